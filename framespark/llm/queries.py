@@ -4,18 +4,86 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
-from .storage import table
+from . import bpe, langid, minhash, packing, quality, tokenfile, warc
+from .storage import new_path, table
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    tokenfile.write_token_files(table(spark, sf_dir, "documents"), path, TOKENIZER, end_id=2)
+    read = tokenfile.with_crc32(tokenfile.read_token_files(spark, path))
+    return read.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), "ids_crc32")
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.resolved_records(warc.read_warc(spark, path))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, end_id=0, capacity=2048)
+
+
+def _held_out() -> F.Column:
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 4 == 2
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~_held_out()))
+    return langid.predict(docs, model).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    digests = encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        "ids",
+    )
+    decoded = bpe.decode(digests, RANKS)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_superminhash": op3_superminhash,
+    "op4_token_files": op4_token_files,
+    "op6_warc_revisits": op6_warc_revisits,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_language_id": op8_language_id,
+    "op9_prefix_bpe": op9_prefix_bpe,
+    "op10_importance_resampling": op10_importance_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The digests of op6 are those of the pages themselves. SQL has no tokenizer, signature or model for the others.
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_revisits": """
+        WITH p AS (
+            SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, ''))::BIGINT AS payload_bytes
+            FROM pages
+        ), q AS (
+            SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS original FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN original END AS refers_to
+        FROM q
+    """,
+}
