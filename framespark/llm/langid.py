@@ -24,7 +24,7 @@ DIMS = 4096
 PER_LANGUAGE = 400
 CENTROIDS = 4
 #: A text is rejected below this share of the least cosine that a training text has to its nearest centroid.
-REJECT_SHARE = 0.5
+REJECT_SHARE = 0.25
 STRETCH = 1 << 20
 
 _CLASS = np.full(256, 32, np.uint8)

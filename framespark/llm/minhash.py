@@ -6,15 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import meet_in_blocks
 from .components import connected_components
 from .storage import materialize
 from .wordhash import U, hash_words, mix, shingles, slices
 
 BANDS, ROWS = 28, 5
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+#: Documents of a bucket that meet in one task, of each side, and columns of their items that are compared at once.
+BLOCK_ROWS, COLUMNS = 400, 4096
 
 
 def superminhash(h: np.ndarray, offsets: np.ndarray, m: int) -> np.ndarray:
@@ -130,6 +133,50 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _link_block(percent: int):
+    """Links between components of one bucket: a link for each two components, if any of their documents allow it.
+
+    Two documents are compared only in the first band that they share.
+    """
+
+    def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        whole = pa.concat_arrays(column.chunks)
+        return whole.flatten().to_numpy(), np.concatenate(([0], np.cumsum(whole.value_lengths().to_numpy())))
+
+    def run(table: pa.Table) -> pa.Table:
+        component, n, piece = (table.column(c).to_numpy() for c in ("component", "n", "piece"))
+        band, first, second = (table.column(c)[0].as_py() for c in ("band", "first", "second"))
+        keys = flat(table.column("keys"))[0].reshape(len(n), -1)
+        items, off = flat(table.column("items"))
+        left, right = np.flatnonzero(piece == first), np.flatnonzero(piece == second)
+        less, more = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
+        open_ = (component[left][:, None] != component[right]) & (100 * less >= percent * more)
+        for earlier in range(band):
+            open_ &= keys[left, earlier][:, None] != keys[right, earlier]
+        if not open_.any():
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        # items that only one document has are in no intersection; the others become columns of 0 and 1
+        owner = np.repeat(np.arange(len(n)), np.diff(off))
+        _, column, times = np.unique(items, return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        place = np.cumsum(times > 1) - 1
+        owner, column = owner[shared], place[column[shared]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            s = slice(*np.searchsorted(column, (lo, lo + COLUMNS)))
+            dense = np.zeros((len(n), COLUMNS), np.float32)
+            dense[owner[s], column[s] - lo] = 1
+            both += dense[left] @ dense[right].T
+        union = n[left][:, None] + n[right] - both
+        i, k = np.nonzero(open_ & (100 * both >= percent * union))
+        pairs = np.unique(np.column_stack((component[left[i]], component[right[k]])), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = 5,
@@ -142,9 +189,10 @@ def near_duplicates(
     """One row per input row: ``id_col``, ``n_shingles``, ``component_id``, ``kept``.
 
     Documents with equal shingle sets are one node (their smallest id). Nodes that share a band of their signature
-    meet in a bucket. In each of a few rounds every node of a bucket is held against one leader of it; then all
-    pairs of a bucket that are still in different components are held against each other, so no link within a
-    bucket is left out while groups of copies cost a linear number of pairs. Links are confirmed on full sets.
+    meet in a bucket. In each of a few rounds every node of a bucket is held against one leader of it. In buckets
+    that still hold several components all documents then meet, in blocks that compare full sets and give one link
+    for each two components; so no link within a bucket is left out and no list of all pairs is made. Links are
+    confirmed on full sets.
 
     Null or blank texts have an empty set and link with nothing. A null id stays, as a component of its own
     (``component_id`` null, kept). Rows that repeat an id are documents of their own with that id. Other columns of
@@ -161,50 +209,50 @@ def near_duplicates(
         usable.groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.any_value("keys").alias("keys")), "nodes"
     )
     spots = nodes.select("id", "n", F.posexplode("keys").alias("band", "key"))
-    crowded = spots.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1").select("band", "key")
+    crowded = spots.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
     crowded = materialize(crowded, "crowded")  # with plain exchanges on both sides a full bucket can be split
-    spots = materialize(spots.join(crowded, ["band", "key"]), "spots")
-    wanted = spots.select("id").distinct()
+    # a node whose buckets are full is central: of a group of copies, the one with the fewest edits of its own
+    central = F.sum("size").over(Window.partitionBy("id")).alias("central")
+    spots = materialize(spots.join(crowded, ["band", "key"]).select("band", "key", "id", "n", central), "spots")
     sets = materialize(
-        source.join(wanted, "id").mapInArrow(_sets(words), "id long, n long, items array<long>"), "sets"
+        source.join(spots.select("id").distinct(), "id").mapInArrow(_sets(words), "id long, n long, items array<long>"),
+        "sets",
     )
     links, labels = None, None
-    for step in range(LEADER_ROUNDS + 1):
-        held = spots
-        if labels is not None:
-            held = held.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
-                "component", F.coalesce("component", "id")
-            )
-        else:
-            held = held.withColumn("component", F.col("id"))
-        draw = F.xxhash64("id", F.lit(step)) if step else F.col("id")
-        split = held.groupBy("band", "key").agg(
-            F.min("component").alias("lo"),
-            F.max("component").alias("hi"),
-            F.min(F.struct(draw.alias("draw"), "id", "n", "component")).alias("top"),
-        )
-        split = materialize(split.filter("lo < hi").select("band", "key", "top"), "split")
-        if step < LEADER_ROUNDS:
-            met = held.join(split, ["band", "key"]).select(
-                "id", "n", "component", F.col("top.id").alias("id2"), F.col("top.n").alias("n2"), F.col("top.component").alias("c2")
-            )
-        else:
-            rest = materialize(held.join(split.select("band", "key"), ["band", "key"]), "rest")
-            other = rest.select("band", "key", *(F.col(c).alias(d) for c, d in (("id", "id2"), ("n", "n2"), ("component", "c2"))))
-            met = rest.join(other, ["band", "key"]).filter("id < id2")
+
+    def held() -> DataFrame:
+        if labels is None:
+            return spots.withColumn("component", F.col("id"))
+        known = spots.join(labels.withColumnRenamed("node", "id"), "id", "left")
+        return known.withColumn("component", F.coalesce("component", "id"))
+
+    def split(lead: Column) -> DataFrame:
+        """The buckets that hold several components, and a leader of each: the row with the least ``lead``."""
+        ends = F.min("component").alias("lo"), F.max("component").alias("hi")
+        top = F.min(F.struct(lead.alias("lead"), "id", "n", "component")).alias("top")
+        return materialize(held().groupBy("band", "key").agg(*ends, top).filter("lo < hi").drop("lo", "hi"), "split")
+
+    for step in range(LEADER_ROUNDS):
+        led = split(F.xxhash64("id", F.lit(step)) if step else -F.col("central"))
+        met = held().join(led, ["band", "key"]).filter("component <> top.component")
         pairs = materialize(
-            met.filter("component <> c2")
-            .filter(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-            .select(F.greatest("id", "id2").alias("b"), F.least("id", "id2").alias("a"))
+            met.filter(100 * F.least("n", "top.n") >= percent * F.greatest("n", "top.n"))
+            .select(F.greatest("id", "top.id").alias("b"), F.least("id", "top.id").alias("a"))
             .distinct(),
             "pairs",
         )
-        if pairs.isEmpty():
-            continue
         new = materialize(verify(pairs, sets, percent), "links")
-        if new.isEmpty():
-            continue
-        links = new if links is None else links.unionByName(new)
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            labels = connected_components(links)
+    rest = held().join(split(F.col("id")).select("band", "key"), ["band", "key"])
+    rest = rest.join(sets.select("id", "items"), "id").join(nodes.select("id", "keys"), "id")
+    dealt = meet_in_blocks(materialize(rest.drop("central"), "rest"), ["band", "key"], BLOCK_ROWS)
+    joined = materialize(
+        dealt.groupBy("band", "key", "first", "second").applyInArrow(_link_block(percent), "a long, b long"), "joined"
+    )
+    if not joined.isEmpty():
+        links = joined if links is None else links.unionByName(joined)
         labels = connected_components(links)
     out = signed.join(nodes.select("h1", "h2", "n", F.col("id").alias("node")), ["h1", "h2", "n"], "left")
     if labels is not None:

@@ -169,8 +169,12 @@ def resample(
     return scored.select(id_col, "n_grams", "log_weight", "gumbel_score", (F.col("gumbel_score") >= bar).alias("kept"))
 
 
+#: How much losing the good documents counts against keeping the bad ones when the margin is chosen.
+KEEP_GOOD = 4
+
+
 def best_margin(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", bins: int = 400) -> float:
-    """The margin per n-gram, in hundredths from 0 to 4, that best parts good labels from bad ones on average."""
+    """The margin per n-gram, in hundredths from 0 to 4, that best parts good labels from bad ones."""
     marked = labelled(scored.filter("n_grams > 0"), labels, id_col).filter("good is not null")
     step = F.greatest(F.lit(0), F.least(F.lit(bins), F.ceil(-100 * F.col("per_gram"))))
     rows = marked.groupBy(step.alias("step"), "good").agg(F.count("*").alias("n")).collect()
@@ -180,6 +184,6 @@ def best_margin(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", bi
     if not at.sum(axis=1).all():
         return bins / 100
     share = np.cumsum(at, axis=1) / at.sum(axis=1, keepdims=True)  # kept, of bad and of good
-    gain = share[1] - share[0]
+    gain = KEEP_GOOD * share[1] - share[0]
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
     return float(best[len(best) // 2]) / 100

@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, packing, quality, tokenfile, warc
+from . import ann, bpe, embdedup, langid, minhash, packing, quality, tokenfile, warc
 from .storage import new_path, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -26,6 +31,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), "ids_crc32")
 
 
+def op5_pigeonhole_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
@@ -63,8 +72,10 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_adaptive_scan": op1_adaptive_scan,
     "op3_superminhash": op3_superminhash,
     "op4_token_files": op4_token_files,
+    "op5_pigeonhole_join": op5_pigeonhole_join,
     "op6_warc_revisits": op6_warc_revisits,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_language_id": op8_language_id,
