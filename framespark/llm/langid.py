@@ -109,6 +109,18 @@ class LanguageModel:
         return at, np.clip(cosine[np.arange(len(at)), at].astype(np.float64), 0.0, 1.0)
 
 
+    def judge(self, texts: list[str | None], lettered: list[bool]) -> tuple[list[str], np.ndarray, list[bool]]:
+        """(language, cosine, rejected) of each text; ``lettered`` says which hold a letter."""
+        lang, score = ["und"] * len(texts), np.zeros(len(texts))
+        at = [i for i, x in enumerate(lettered) if x and self.languages]
+        if at:
+            which, cosine = self.nearest([texts[i] for i in at])
+            score[at] = cosine
+            for i, w in zip(at, which.tolist(), strict=True):
+                lang[i] = self.languages[w]
+        return lang, score, [n == "und" or s < self.reject_below for n, s in zip(lang, score.tolist(), strict=True)]
+
+
 def fit(
     train: DataFrame,
     id_col: str = "doc_id",
@@ -182,16 +194,7 @@ def predict(
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts = part.column(1).to_pylist()
-                lettered = part.column(2).to_pylist()
-                lang, score = ["und"] * len(texts), np.zeros(len(texts))
-                at = [i for i, x in enumerate(lettered) if x and model.languages]
-                if at:
-                    which, cosine = model.nearest([texts[i] for i in at])
-                    score[at] = cosine
-                    for i, w in zip(at, which.tolist(), strict=True):
-                        lang[i] = model.languages[w]
-                reject = [name == "und" or s < model.reject_below for name, s in zip(lang, score.tolist(), strict=True)]
+                lang, score, reject = model.judge(part.column(1).to_pylist(), part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(lang), pa.array(score), pa.array(reject)],
                     [id_col, "lang_pred", "score", "rejected"],
@@ -200,3 +203,20 @@ def predict(
     text = F.col(text_col).cast("string")
     source = docs.select(F.col(id_col).cast("long"), text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
     return source.mapInArrow(run, f"{id_col} long, lang_pred string, score double, rejected boolean")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that ``predict`` would not reject."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts, lettered = (part.column(k).to_pylist() for k in (at, part.num_columns - 1))
+                _, _, reject = model.judge(texts, lettered)
+                kept = part.filter(pa.array([not r for r in reject]))
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], part.schema.names[:-1])
+
+    at = docs.columns.index(text_col)
+    marked = docs.select("*", F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)))
+    return marked.mapInArrow(run, docs.schema)

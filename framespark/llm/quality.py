@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
@@ -76,31 +76,34 @@ def log_ratios(counts: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
     return np.log(p[1]) - np.log(p[0])
 
 
+def weights_of(texts: list[bytes], ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of n-grams, log weight) of each text."""
+    b, owner = bucketed(texts, len(ratios))
+    return np.bincount(owner, minlength=len(texts)), np.bincount(owner, ratios[b], len(texts))
+
+
+def _noise(id_col: str, text_col: str, seed: int) -> Column:
+    """Gumbel noise as a function of id, text and seed: a task that runs again draws the same."""
+    draw = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.lit(seed))
+    uniform = (F.shiftrightunsigned(draw, 12).cast("double") + 0.5) / float(1 << 52)
+    return (-F.log(-F.log(uniform))).alias("noise")
+
+
 def weigh(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
-    """``id_col, n_grams, log_weight, noise``: whole texts weighed; the noise is a function of id, text and seed."""
-    buckets = len(ratios)
+    """``id_col, noise, n_grams, log_weight``, of whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _bytes(batch.column(1))
             for lo, hi in slices(texts):
-                b, owner = bucketed(texts[lo:hi], buckets)
-                n = np.bincount(owner, minlength=hi - lo)
-                weight = np.bincount(owner, ratios[b], hi - lo)
+                n, weight = weights_of(texts[lo:hi], ratios)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(k).slice(lo, hi - lo) for k in (0, 2)),
-                        pa.array(n, pa.int64()),
-                        pa.array(weight),
-                    ],
-                    [id_col, "draw", "n_grams", "log_weight"],
+                    [*(batch.column(k).slice(lo, hi - lo) for k in (0, 2)), pa.array(n, pa.int64()), pa.array(weight)],
+                    [id_col, "noise", "n_grams", "log_weight"],
                 )
 
-    draw = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.lit(seed))
-    source = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), draw.alias("draw"))
-    out = source.mapInArrow(run, f"{id_col} long, draw long, n_grams long, log_weight double")
-    uniform = (F.shiftrightunsigned("draw", 12).cast("double") + 0.5) / float(1 << 52)
-    return out.withColumn("noise", -F.log(-F.log(uniform))).drop("draw")
+    source = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), _noise(id_col, text_col, seed))
+    return source.mapInArrow(run, f"{id_col} long, noise double, n_grams long, log_weight double")
 
 
 def kth_largest(scores: DataFrame, column: str, k: int, bins: int = 4096) -> float:
@@ -136,6 +139,21 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Data
     return docs.drop("good").join(marks, docs[id_col] == F.col("label_of"), "left").drop("label_of")
 
 
+def _scored(docs, labels, k, id_col, text_col, buckets, seed, strength) -> tuple[DataFrame, float, np.ndarray]:
+    """Scores of all documents, the k-th largest of them, and the log ratios."""
+    source = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
+    marked = labelled(source, labels, id_col)
+    counts = ngram_models(marked, "good", text_col, buckets)
+    ratios = log_ratios(counts) if counts[1].any() else np.zeros(buckets)
+    weights = weigh(source, ratios, id_col, text_col, seed)
+    weights = weights.withColumn("per_gram", F.col("log_weight") / (F.col("n_grams") + PRIOR))
+    scored = materialize(weights.withColumn("gumbel_score", strength * F.col("per_gram") + F.col("noise")), "weights")
+    if k is None:
+        margin = best_margin(scored, labels, id_col)
+        k = scored.filter(F.col("per_gram") >= -margin).count()
+    return scored, kth_largest(scored, "gumbel_score", k), ratios
+
+
 def resample(
     docs: DataFrame,
     labels: DataFrame,
@@ -152,23 +170,43 @@ def resample(
     default k is the number of documents that the target model explains about as well as the raw one: the log
     weight per n-gram is not under minus the margin that best parts good labels from bad ones. Null and empty texts
     have weight 0. Without any good label the two models agree, all weights are 0 and all documents are kept. A null
-    id is weighed like any other. Other columns are ignored.
+    id is weighed like any other. Rows that repeat an id share its label; equal rows have equal scores. Other columns
+    are ignored; no rows give no rows.
     """
-    source = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    marked = labelled(source, labels, id_col)
-    counts = ngram_models(marked, "good", text_col, buckets)
-    ratios = log_ratios(counts) if counts[1].any() else np.zeros(buckets)
-    weights = weigh(source, ratios, id_col, text_col, seed)
-    per_gram = F.col("log_weight") / (F.col("n_grams") + PRIOR)
-    weights = weights.withColumn("per_gram", per_gram)
-    scored = materialize(weights.withColumn("gumbel_score", strength * per_gram + F.col("noise")), "weights")
-    if k is None:
-        margin = best_margin(scored, labels, id_col)
-        k = scored.filter(F.col("per_gram") >= -margin).count()
-    bar = kth_largest(scored, "gumbel_score", k)
+    scored, bar, _ = _scored(docs, labels, k, id_col, text_col, buckets, seed, strength)
     return scored.select(id_col, "n_grams", "log_weight", "gumbel_score", (F.col("gumbel_score") >= bar).alias("kept"))
 
 
+def keep_drawn(
+    docs: DataFrame,
+    labels: DataFrame,
+    k: int | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    buckets: int = BUCKETS,
+    seed: int = 0,
+    strength: float = STRENGTH,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``resample`` keeps.
+
+    The score depends on id, text and models alone, so rows are weighed again as they are read: no join of texts.
+    """
+    _, bar, ratios = _scored(docs, labels, k, id_col, text_col, buckets, seed, strength)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _bytes(batch.column(at))
+            for lo, hi in slices(texts):
+                n, weight = weights_of(texts[lo:hi], ratios)
+                part = batch.slice(lo, hi - lo)
+                noise = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False)
+                kept = part.filter(pa.array(strength * (weight / (n + PRIOR)) + noise >= bar))
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], part.schema.names[:-1])
+
+    return docs.select("*", _noise(id_col, text_col, seed)).mapInArrow(run, docs.schema)
+
+
 #: How much losing the good documents counts against keeping the bad ones when the margin is chosen.
 KEEP_GOOD = 4
 
