@@ -10,17 +10,15 @@ anew only until they fall in with the old ones again.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: White space (or control characters, which libraries class differently) whose split depends on its neighbours.
-ODD = re.compile(r"\s (?=\s|\Z)|\A (?=\s|\Z)|[\x1c-\x1f]")
+from .chunks import chunks, simple_pieces
+
 #: Chunks and token pairs remembered by one worker; others are worked out again.
 REMEMBERED = 400_000
 
@@ -66,7 +64,7 @@ class PrefixBpe:
         known = self.beside.get((left, right))
         if known is None:
             known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            if len(self.beside) < 4 * self.room:
+            if len(self.beside) < self.room:
                 self.beside[left, right] = known
         return known
 
@@ -125,42 +123,50 @@ class PrefixBpe:
         return [whole] if whole is not None else self.read(len(octets), self.table(octets))
 
 
+_shared: dict[tuple[str, str], TextBpe] = {}
+
+
 class TextBpe:
-    """Encodes texts: each match of the pattern on its own; chunks cut before single spaces are remembered."""
+    """Encodes texts: each match of the pattern on its own; matches are remembered up to a bound."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
         import regex
 
         self.bpe, self.matches = PrefixBpe(ranks, remembered), regex.compile(pattern).findall
-        self.chunks: dict[str, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.spaced: dict[str, list[int]] = {}  # by the piece without its leading space
+        self.bare: dict[str, list[int]] = {}
         self.room = remembered
 
-    def piece(self, text: str) -> list[int]:
-        known = self.pieces.get(text)
-        if known is None:
-            known = self.bpe.encode_piece(text.encode())
-            if len(self.pieces) < self.room and len(text) < 64:
-                self.pieces[text] = known
-        return known
+    @classmethod
+    def shared(cls, rank_file: str, pattern: str) -> TextBpe:
+        """One encoder for all tasks of a worker."""
+        if (rank_file, pattern) not in _shared:
+            _shared[rank_file, pattern] = cls(load_ranks(rank_file), pattern)
+        return _shared[rank_file, pattern]
 
     def chunk(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.piece, self.matches(text))))
+        out = []
+        pieces = simple_pieces(text)
+        for piece in self.matches(text) if pieces is None else pieces:
+            table, key = (self.spaced, piece[1:]) if piece[0] == " " else (self.bare, piece)
+            known = table.get(key)
+            if known is None:
+                known = self.bpe.encode_piece(piece.encode())
+                if len(table) < self.room and len(key) < 48:
+                    table[key] = known
+            out += known
+        return out
 
     def encode(self, text: str) -> list[int]:
-        if ODD.search(text):
+        words = chunks(text)
+        if words is None:
             return self.chunk(text)
-        first, *others = text.split(" ")
-        out = [self.chunk(first)] if first else []
-        known, room = self.chunks, self.room
-        for word in others:
-            got = known.get(word)
-            if got is None:
-                got = self.chunk(" " + word)
-                if len(known) < room and len(word) < 64:
-                    known[word] = got
-            out.append(got)
-        return list(chain.from_iterable(out))
+        out = self.chunk(words[0])
+        find = self.spaced.get
+        for word in words[1:]:
+            known = find(word)
+            out += self.chunk(" " + word) if known is None else known
+        return out
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,7 +176,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = TextBpe(load_ranks(rank_file), pattern)
+        bpe = TextBpe.shared(rank_file, pattern)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)

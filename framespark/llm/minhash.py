@@ -17,7 +17,7 @@ from .wordhash import U, hash_words, mix, shingles, slices
 BANDS, ROWS = 28, 5
 LEADER_ROUNDS = 2
 #: Documents of a bucket that meet in one task, of each side, and columns of their items that are compared at once.
-BLOCK_ROWS, COLUMNS = 400, 4096
+BLOCK_ROWS, COLUMNS = 800, 4096
 
 
 def superminhash(h: np.ndarray, offsets: np.ndarray, m: int) -> np.ndarray:
@@ -133,28 +133,44 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _link_block(percent: int):
-    """Links between components of one bucket: a link for each two components, if any of their documents allow it.
+FACING = "band int, key long, first int, second int, id long, n long, component long, piece int, keys array<long>"
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    whole = pa.concat_arrays(column.chunks)
+    return whole.flatten().to_numpy(), np.concatenate(([0], np.cumsum(whole.value_lengths().to_numpy())))
+
+
+def _open_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of both stretches of a block, and which of them must be compared: documents of different components
+    whose sizes allow a link and whose first common band is this one."""
+    component, n, piece = (table.column(c).to_numpy() for c in ("component", "n", "piece"))
+    band, first, second = (table.column(c)[0].as_py() for c in ("band", "first", "second"))
+    keys = _flat(table.column("keys"))[0].reshape(len(n), -1)
+    left, right = np.flatnonzero(piece == first), np.flatnonzero(piece == second)
+    less, more = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
+    open_ = (component[left][:, None] != component[right]) & (100 * less >= percent * more)
+    for earlier in range(band):
+        open_ &= keys[left, earlier][:, None] != keys[right, earlier]
+    return left, right, open_
 
-    Two documents are compared only in the first band that they share.
-    """
 
-    def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-        whole = pa.concat_arrays(column.chunks)
-        return whole.flatten().to_numpy(), np.concatenate(([0], np.cumsum(whole.value_lengths().to_numpy())))
+def _facing(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        left, right, open_ = _open_pairs(table, percent)
+        rows = np.union1d(left[open_.any(axis=1)], right[open_.any(axis=0)])
+        return table.take(pa.array(rows)).select(["band", "key", "first", "second", "id", "n", "component", "piece", "keys"])
+
+    return run
+
+
+def _link_block(percent: int):
+    """Links between components of one bucket: a link for each two components, if any of their documents allow it."""
 
     def run(table: pa.Table) -> pa.Table:
-        component, n, piece = (table.column(c).to_numpy() for c in ("component", "n", "piece"))
-        band, first, second = (table.column(c)[0].as_py() for c in ("band", "first", "second"))
-        keys = flat(table.column("keys"))[0].reshape(len(n), -1)
-        items, off = flat(table.column("items"))
-        left, right = np.flatnonzero(piece == first), np.flatnonzero(piece == second)
-        less, more = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
-        open_ = (component[left][:, None] != component[right]) & (100 * less >= percent * more)
-        for earlier in range(band):
-            open_ &= keys[left, earlier][:, None] != keys[right, earlier]
-        if not open_.any():
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        left, right, open_ = _open_pairs(table, percent)
+        component, n = table.column("component").to_numpy(), table.column("n").to_numpy()
+        items, off = _flat(table.column("items"))
         # items that only one document has are in no intersection; the others become columns of 0 and 1
         owner = np.repeat(np.arange(len(n)), np.diff(off))
         _, column, times = np.unique(items, return_inverse=True, return_counts=True)
@@ -245,11 +261,15 @@ def near_duplicates(
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             labels = connected_components(links)
-    rest = held().join(split(F.col("id")).select("band", "key"), ["band", "key"])
-    rest = rest.join(sets.select("id", "items"), "id").join(nodes.select("id", "keys"), "id")
-    dealt = meet_in_blocks(materialize(rest.drop("central"), "rest"), ["band", "key"], BLOCK_ROWS)
+    rest = held().join(split(F.col("id")).select("band", "key"), ["band", "key"]).drop("central")
+    rest = materialize(rest.join(nodes.select("id", "keys"), "id"), "rest")
+    block = ["band", "key", "first", "second"]
+    dealt = meet_in_blocks(rest, ["band", "key"], BLOCK_ROWS)
+    # only documents that have someone left to meet travel with their sets
+    facing = materialize(dealt.groupBy(*block).applyInArrow(_facing(percent), FACING), "facing")
     joined = materialize(
-        dealt.groupBy("band", "key", "first", "second").applyInArrow(_link_block(percent), "a long, b long"), "joined"
+        facing.join(sets.select("id", "items"), "id").groupBy(*block).applyInArrow(_link_block(percent), "a long, b long"),
+        "joined",
     )
     if not joined.isEmpty():
         links = joined if links is None else links.unionByName(joined)

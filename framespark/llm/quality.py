@@ -136,7 +136,8 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Data
     marks = labels.filter(f"{id_col} is not null and quality is not null").groupBy(F.col(id_col).alias("label_of")).agg(
         (F.max("quality") == 1).alias("good")
     )
-    return docs.drop("good").join(marks, docs[id_col] == F.col("label_of"), "left").drop("label_of")
+    # labels grow with the documents: never broadcast
+    return docs.drop("good").join(marks.hint("merge"), docs[id_col] == F.col("label_of"), "left").drop("label_of")
 
 
 def _scored(docs, labels, k, id_col, text_col, buckets, seed, strength) -> tuple[DataFrame, float, np.ndarray]:

@@ -57,7 +57,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int, id_col:
     """(id, n, ids): every whole text's ids (null: none) and then ``end_id``, as packed unsigned integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_file)
+        encoder = ChunkEncoder.shared(tokenizer_file)
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):

@@ -1,21 +1,26 @@
-"""Ids of whole texts by the tokenizers library, with a bounded memory of the space-separated chunks already met.
+"""Ids of whole texts by the tokenizers library, with a bounded memory of the pieces already met.
 
-A byte-level tokenizer first splits a text by its pattern and then encodes every match on its own. A space that
-follows something other than white space, or that is the last of its run, always begins a match; so a text may be
-cut before its spaces, and equal chunks have equal ids. Texts in which that does not hold, or that hold characters
-that libraries class differently, are encoded whole.
+A byte-level tokenizer first splits a text by its pattern and then encodes every match on its own, so equal matches
+have equal ids and each need be encoded only once while it is remembered. Texts that must not be cut (see ``chunks``)
+are encoded whole.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
-#: A space within or at the end of a run of white space, control characters, or a special token's text.
-ODD = re.compile(r"\s (?=\s|\Z)|\A (?=\s|\Z)|[\x00-\x08\x0e-\x1f\x7f-\x9f  ﻿]|<\|")
-#: Chunks remembered by one worker; others are encoded again each time they occur.
-REMEMBERED = 400_000
+from .chunks import chunks, simple_pieces
+
+#: Pieces remembered by one worker; others are encoded again each time they occur.
+REMEMBERED = 600_000
+
+#: Characters as a byte-level tokenizer writes them: every byte of their UTF-8 as one visible character.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHERS = [b for b in range(256) if b not in _VISIBLE]
+_BYTE = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
+_WRITTEN = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in range(256) if c < 128 or c > 159}
+
+_encoders: dict[str, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
@@ -28,32 +33,51 @@ class ChunkEncoder:
         self.whole.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.split, self.model = self.whole.pre_tokenizer.pre_tokenize_str, self.whole.model.tokenize
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # by the piece, without a leading space where it has one
+        self.bare: dict[str, bytes] = {}  # pieces that do not begin with a space
         self.room = remembered
 
-    def piece(self, mapped: str) -> bytes:
-        known = self.pieces.get(mapped)
-        if known is None:
-            known = np.array([t.id for t in self.model(mapped)], self.dtype).tobytes()
-            if len(self.pieces) < self.room and len(mapped) < 64:
-                self.pieces[mapped] = known
-        return known
+    @classmethod
+    def shared(cls, tokenizer_file: str) -> ChunkEncoder:
+        """One encoder for all tasks of a worker."""
+        if tokenizer_file not in _encoders:
+            _encoders[tokenizer_file] = cls(tokenizer_file)
+        return _encoders[tokenizer_file]
+
+    def _ids(self, written: str) -> bytes:
+        return np.array([t.id for t in self.model(written)], self.dtype).tobytes()
 
     def chunk(self, text: str) -> bytes:
-        return b"".join([self.piece(mapped) for mapped, _ in self.split(text)])
+        pieces = simple_pieces(text)
+        if pieces is None:
+            return b"".join([self._ids(written) for written, _ in self.split(text)])
+        out = []
+        for piece in pieces:
+            spaced = piece[0] == " "
+            table, key = (self.pieces, piece[1:]) if spaced else (self.bare, piece)
+            known = table.get(key)
+            if known is None:
+                known = self._ids(piece.translate(_WRITTEN))
+                if len(table) < self.room and len(key) < 48:
+                    table[key] = known
+            out.append(known)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        if ODD.search(text):
+        words = chunks(text)
+        if words is None:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        first, *others = text.split(" ")
-        out = [self.chunk(first)] if first else []
-        known, room = self.chunks, self.room
-        for word in others:
-            got = known.get(word)
-            if got is None:
-                got = self.chunk(" " + word)
-                if len(known) < room and len(word) < 64:
-                    known[word] = got
-            out.append(got)
+        out = [self.chunk(words[0])] if words[0] else []
+        find, add, bare = self.pieces.get, out.append, self.bare.get
+        for word in words[1:]:
+            known = find(word)
+            if known is None:
+                last = word[-1:]
+                known = find(word[:-1]) if last == "." or last == "," else None
+                if known is not None and bare(last) is not None and word[-2:-1].isalpha():
+                    add(known)
+                    known = bare(last)
+                else:
+                    known = self.chunk(" " + word)
+            add(known)
         return b"".join(out)

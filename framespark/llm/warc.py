@@ -1,12 +1,13 @@
 """WARC archives with revisit records for repeated payloads.
 
 Headers alone are shuffled: payload digests are grouped, every record of a repeated digest learns which record is
-its original, and fresh headers are written. Archives are plain WARC 1.1 files; Spark's text writer puts the blank
+its original, and fresh headers are written. Archives are gzipped WARC 1.1 files; Spark's text writer puts the blank
 lines that end a record, so any file system that Spark writes to will do.
 """
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
 
@@ -115,6 +116,7 @@ def write_warc(
         .repartition(files, F.xxhash64("page_id", F.octet_length("value")))
         .select("value")
         .write.option("lineSep", CRLF * 2)
+        .option("compression", "gzip")
         .text(path)
     )
 
@@ -151,7 +153,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for f, block in parse_records(content.as_py()):
+                for f, block in parse_records(gzip.decompress(content.as_py())):
                     payload = block.partition(b"\r\n\r\n")[2] if f["WARC-Type"] == "response" else None
                     page = f.get("WARC-Page-ID")
                     rows.append(
