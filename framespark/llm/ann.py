@@ -193,8 +193,9 @@ def search(
                 q_ids = part.column(0).to_numpy()[places]
                 score = q @ index.sample.T
                 score[index.sample_ids[None, :] == q_ids[:, None]] = -np.inf
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
                 # k rows are at least this near
-                bound = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(q), -np.inf)
+                bound = np.take_along_axis(score, best, axis=1)[:, -1] - 1e-9 if best.shape[1] == k else np.full(len(q), -np.inf)
                 order = np.argsort(index.order(index.turned_queries(q)), axis=1, kind="stable")
                 enough = np.argmax(np.cumsum(index.sizes[order], axis=1) > k, axis=1) + 1
                 enough[index.sizes.sum() <= k] = nlists
@@ -248,12 +249,32 @@ def search(
             {"query_id": pa.array([f[0] for f in found], pa.int64()), "hits": pa.array([f[1] for f in found], hit)}
         )
 
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best of the sample, which give each query's first bound, scored as ``scan`` scores."""
+        hit = pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())]))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                q, places = matrix(part.column(1), dim)
+                q_ids = part.column(0).to_numpy()[places]
+                near = q @ index.sample.T
+                near[index.sample_ids[None, :] == q_ids[:, None]] = -np.inf
+                best = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                rows = []
+                for i, own in enumerate(best):
+                    own = own[np.isfinite(near[i, own]) & (index.sample_ids[own] >= 0)]
+                    score = (q[i] * index.sample[own]).sum(axis=1)
+                    rows.append([{"far": -a, "vec_id": b} for a, b in zip(score.tolist(), index.sample_ids[own].tolist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids, pa.int64()), pa.array(rows, hit)], ["query_id", "hits"])
+
     key = ["list", "block", "share"]
     hits = spread.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(
         meet, "query_id long, hits array<struct<far: double, vec_id: long>>"
     )
-    # at most k hits for each probed block come together
-    best = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"))
+    hits = hits.unionByName(queries.mapInArrow(seeds, "query_id long, hits array<struct<far: double, vec_id: long>>"))
+    # at most k hits for each probed block come together; those of the sample may have been found again
+    every = F.array_distinct(F.flatten(F.collect_list("hits")))
+    best = hits.groupBy("query_id").agg(F.slice(F.array_sort(every), 1, k).alias("hits"))
     ranked = best.select("query_id", F.posexplode("hits").alias("place", "hit"))
     return ranked.select(
         "query_id", (F.col("place") + 1).alias("rank"), "hit.vec_id", (-F.col("hit.far")).alias("score")
