@@ -103,7 +103,7 @@ def exif_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_PIXELS = """p AS (
     SELECT event_id % 2 stack_id, (event_id // 2) % 4 frame_idx, (event_id // 8) // 25 y, (event_id // 8) % 25 x,
            CAST(round(value * 100) AS BIGINT) v FROM events
-), px AS (
+), px AS MATERIALIZED (
     SELECT stack_id, frame_idx, y, x, (v * 7 + x * 3) % 256 b, (v * 13 + y * 5) % 256 g, (v * 29 + (x + y) * 11) % 256 r
     FROM p
 )"""
@@ -117,7 +117,7 @@ SQL_SHARP = SQL_PIXELS.replace("px AS", "px1 AS") + """, px AS (
 SQL_GRAY = """gp AS (
     SELECT vec_id % 10 frame_idx, vec_id // 10 y, unnest(generate_series(0, len(embedding) - 1)) x, unnest(embedding) e
     FROM embeddings
-), px AS (
+), px AS MATERIALIZED (
     SELECT 0::BIGINT stack_id, frame_idx, y, x, CAST(least(255, greatest(0, floor(128 + 320 * e::DOUBLE))) AS BIGINT) v
     FROM gp
 )"""

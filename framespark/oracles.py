@@ -23,21 +23,23 @@ def conv(src: str, out: str, cols: dict[str, str], ty, tx=None, keys=FRAME, keep
     same = " AND ".join(f"a.{c} = b.{c}" for c in keys)
     sums = ", ".join(f"sum(t.k * ({e})) / {scale} {c}" for c, e in cols.items())
     kept = "".join(f", a.{c}" for c in keep)
-    return f"""{out} AS (
-        SELECT {k}, a.y, a.x, a.h, a.w{kept}, {sums} FROM {src} a, {taps(ty, tx or ty)}
-        JOIN {src} b ON {same} AND b.y = {mirrored("a.y + t.dy", "a.h")} AND b.x = {mirrored("a.x + t.dx", "a.w")}
-        WHERE {where} GROUP BY {k}, a.y, a.x, a.h, a.w{kept})"""
+    return f"""{out} AS MATERIALIZED (
+        SELECT {k}, a.y, a.x, a.h, a.w{kept}, {sums.replace("t.k", "a.k_")} FROM (
+            SELECT a.*, t.k k_, {mirrored("a.y + t.dy", "a.h")} y_, {mirrored("a.x + t.dx", "a.w")} x_
+            FROM {src} a CROSS JOIN {taps(ty, tx or ty)} WHERE {where}) a
+        JOIN {src} b ON {same} AND b.y = a.y_ AND b.x = a.x_
+        GROUP BY {k}, a.y, a.x, a.h, a.w{kept})"""
 
 
 def sized(src: str, out: str, keys: str = "stack_id") -> str:
-    return f"{out} AS (SELECT *, max(y) OVER (PARTITION BY {keys}) + 1 h, max(x) OVER (PARTITION BY {keys}) + 1 w FROM {src})"
+    return f"{out} AS MATERIALIZED (SELECT *, max(y) OVER (PARTITION BY {keys}) + 1 h, max(x) OVER (PARTITION BY {keys}) + 1 w FROM {src})"
 
 
 def reduced(src: str, out: str, cols, keys=FRAME, t=G5) -> str:
     total = sum(t) ** 2
     c = conv(src, f"{out}_", {c: f"b.{c}" for c in cols}, t, keys=keys, where="a.y % 2 = 0 AND a.x % 2 = 0", scale=f"{total}.0::DOUBLE")
     names = ", ".join((*keys, *cols))
-    return c + f", {out} AS (SELECT {names}, y // 2 y, x // 2 x, (h + 1) // 2 h, (w + 1) // 2 w FROM {out}_)"
+    return c + f", {out} AS MATERIALIZED (SELECT {names}, y // 2 y, x // 2 x, (h + 1) // 2 h, (w + 1) // 2 w FROM {out}_)"
 
 
 def expanded(coarse: str, fine: str, out: str, cols, keys=FRAME, t=G5) -> str:
@@ -45,16 +47,17 @@ def expanded(coarse: str, fine: str, out: str, cols, keys=FRAME, t=G5) -> str:
     same = " AND ".join(f"a.{c} = b.{c}" for c in keys)
     my, mx = mirrored("a.y + t.dy", "(2 * ((a.h + 1) // 2))"), mirrored("a.x + t.dx", "(2 * ((a.w + 1) // 2))")
     sums = ", ".join(f"coalesce(sum(t.k * b.{c}), 0) / {sum(t) ** 2 / 4!r}::DOUBLE {c}" for c in cols)
-    return f"""{out} AS (
-        SELECT {k}, a.y, a.x, {sums} FROM {fine} a, {taps(t, t)}
-        LEFT JOIN {coarse} b ON {same} AND 2 * b.y = {my} AND 2 * b.x = {mx}
+    return f"""{out} AS MATERIALIZED (
+        SELECT {k}, a.y, a.x, {sums.replace("t.k", "a.k_")} FROM (
+            SELECT a.*, t.k k_, {my} y_, {mx} x_ FROM {fine} a CROSS JOIN {taps(t, t)}) a
+        LEFT JOIN {coarse} b ON {same} AND a.y_ % 2 = 0 AND a.x_ % 2 = 0 AND b.y = a.y_ // 2 AND b.x = a.x_ // 2
         GROUP BY {k}, a.y, a.x)"""
 
 
 def plus(a: str, b: str, out: str, cols, sign: str, keys=FRAME, keep: tuple[str, ...] = ("h", "w")) -> str:
     kept = "".join(f", {a}.{c}" for c in keep)
     names = ", ".join((*keys, "y", "x"))
-    return f"{out} AS (SELECT {names}{kept}, {', '.join(f'{a}.{c} {sign} {b}.{c} {c}' for c in cols)} FROM {a} JOIN {b} USING ({names}))"
+    return f"{out} AS MATERIALIZED (SELECT {names}{kept}, {', '.join(f'{a}.{c} {sign} {b}.{c} {c}' for c in cols)} FROM {a} JOIN {b} USING ({names}))"
 
 
 BGR = ("b", "g", "r")
@@ -171,15 +174,15 @@ def _pyramid(keys=("stack_id",)) -> str:
 def _energy(kind: str) -> str:
     v = {"v": "b.v"}
     if kind == "variance":
-        return conv("pz", "en_", {"s": "b.v::DOUBLE", "s2": "(b.v * b.v)::DOUBLE"}, (1,) * 5) + ", en AS (SELECT *, s2 / 25 - (s / 25) * (s / 25) e FROM en_)"
+        return conv("pz", "en_", {"s": "b.v::DOUBLE", "s2": "(b.v * b.v)::DOUBLE"}, (1,) * 5) + ", en AS MATERIALIZED (SELECT *, s2 / 25 - (s / 25) * (s / 25) e FROM en_)"
     if kind == "laplacian":
         s = conv("pz", "sm", v, B5, scale="256.0::DOUBLE")
         one = conv("sm", "la", {"l1": "b.v"}, (1, 0, -2, 0, 1), (1, 4, 6, 4, 1))
         two = conv("sm", "lb", {"l2": "b.v"}, (1, 4, 6, 4, 1), (1, 0, -2, 0, 1))
-        return f"{s}, {one}, {two}, en AS (SELECT {_PX4}, la.h, la.w, abs(l1 + l2) e FROM la JOIN lb USING ({_PX4}))"
+        return f"{s}, {one}, {two}, en AS MATERIALIZED (SELECT {_PX4}, la.h, la.w, abs(l1 + l2) e FROM la JOIN lb USING ({_PX4}))"
     gx, gy = conv("pz", "sx", {"gx": "b.v"}, (1, 2, 1), (-1, 0, 1)), conv("pz", "sy", {"gy": "b.v"}, (-1, 0, 1), (1, 2, 1))
     e = "abs(gx) + abs(gy)" if kind == "sobel" else "CASE WHEN gx * gx + gy * gy > 5 THEN gx * gx + gy * gy ELSE 0 END"
-    return f"{gx}, {gy}, en AS (SELECT {_PX4}, sx.h, sx.w, ({e})::DOUBLE e FROM sx JOIN sy USING ({_PX4}))"
+    return f"{gx}, {gy}, en AS MATERIALIZED (SELECT {_PX4}, sx.h, sx.w, ({e})::DOUBLE e FROM sx JOIN sy USING ({_PX4}))"
 
 
 def _bilateral() -> str:
@@ -188,15 +191,12 @@ def _bilateral() -> str:
     sp = math.exp(-1 / 8)
     near = "(VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) t(dy, dx)"
     wt = f"{sp!r}::DOUBLE * exp(-((b.e - a.e) * (b.e - a.e)) / {2 * 0.8**2!r}::DOUBLE)"
-    return f"""sm2 AS (SELECT a.stack_id, a.frame_idx, a.y, a.x, a.h, a.w, (a.e + sum({wt} * b.e)) / (1 + sum({wt})) e
-        FROM en a, {near} JOIN en b ON a.stack_id = b.stack_id AND a.frame_idx = b.frame_idx
-          AND b.y = {mirrored("a.y + t.dy", "a.h")} AND b.x = {mirrored("a.x + t.dx", "a.w")} GROUP BY a.stack_id, a.frame_idx, a.y, a.x, a.h, a.w, a.e)"""
+    return f"""sm2 AS MATERIALIZED (SELECT a.stack_id, a.frame_idx, a.y, a.x, a.h, a.w, (a.e + sum({wt} * b.e)) / (1 + sum({wt})) e
+        FROM (SELECT a.*, {mirrored("a.y + t.dy", "a.h")} y_, {mirrored("a.x + t.dx", "a.w")} x_ FROM en a CROSS JOIN {near}) a
+        JOIN en b ON a.stack_id = b.stack_id AND a.frame_idx = b.frame_idx AND b.y = a.y_ AND b.x = a.x_
+        GROUP BY a.stack_id, a.frame_idx, a.y, a.x, a.h, a.w, a.e)"""
 
 
-WEIGHTS = {
-    "average": "CASE WHEN sum(e) OVER p <> 0 THEN e / sum(e) OVER p ELSE 0 END",
-    "max": "(round(e, 6) = max(round(e, 6)) OVER p)::INT::DOUBLE / sum((round(e, 6) = max_e)::INT) OVER p",
-}
 GRAYZ = f"{SQL_GRAY}, {SIZED}"
 FRAMES = """frames AS (SELECT *, CAST(row_number() OVER (PARTITION BY stack_id ORDER BY dir, path) - 1 AS BIGINT) frame_idx FROM (
     SELECT *, lower(regexp_extract(path, '\\.([^./]+)$', 1)) ext, regexp_extract(path, '^(.*?)/?[^/]*$', 1) dir FROM files)

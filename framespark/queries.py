@@ -612,8 +612,8 @@ for _kind in ("laplacian", "sobel", "variance", "tenengrad"):
     _energy_query(_kind)
 
 _EN = f"{o.GRAYZ}, {o._energy('laplacian')}"
-_AVG = "wa AS (SELECT stack_id, frame_idx, y, x, CASE WHEN sum(e) OVER p <> 0 THEN e / sum(e) OVER p ELSE 0 END wt FROM en WINDOW p AS (PARTITION BY stack_id, y, x))"
-_MAX = """mx AS (SELECT *, max(round(e, 6)) OVER (PARTITION BY stack_id, y, x) me FROM EN),
+_AVG = "wa AS MATERIALIZED (SELECT stack_id, frame_idx, y, x, CASE WHEN sum(e) OVER p <> 0 THEN e / sum(e) OVER p ELSE 0 END wt FROM en WINDOW p AS (PARTITION BY stack_id, y, x))"
+_MAX = """mx AS MATERIALIZED (SELECT *, max(round(e, 6)) OVER (PARTITION BY stack_id, y, x) me FROM EN),
     wm AS (SELECT stack_id, frame_idx, y, x, (round(e, 6) = me)::INT::DOUBLE / sum((round(e, 6) = me)::INT) OVER (PARTITION BY stack_id, y, x) wt FROM mx)"""
 
 
