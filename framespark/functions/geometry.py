@@ -59,31 +59,43 @@ def check_homography(m: Column | str, height: float, width: float, limits: str =
     """
     area_limit, aspect_limit, angle_limit = HOMOGRAPHY_LIMITS[limits]
     corners = [(0.0, 0.0), (width - 1.0, 0.0), (width - 1.0, height - 1.0), (0.0, height - 1.0)]
-    p = [apply(m, F.lit(x), F.lit(y)) for x, y in corners]
-    edges = list(zip(p, p[1:] + p[:1], strict=True))
-    twice = sum((a[0] * b[1] - b[0] * a[1] for a, b in edges), F.lit(0.0))
-    full = (width - 1.0) * (height - 1.0)
-    ratio = F.abs(twice) / 2 / full
-    ratio = F.greatest(ratio, 1 / ratio)
-    boxes = []
-    for a, b in edges:
-        ux, uy = b[0] - a[0], b[1] - a[1]
-        norm = F.sqrt(ux * ux + uy * uy)
-        along = [(q[0] * ux + q[1] * uy) / norm for q in p]
-        across = [(q[1] * ux - q[0] * uy) / norm for q in p]
-        s, t = F.greatest(*along) - F.least(*along), F.greatest(*across) - F.least(*across)
-        boxes.append(F.struct(F.round(s * t, 6), F.greatest(s, t) / F.least(s, t)))
-    aspect = F.array_min(F.array(*boxes))["col2"]
-    angles = []
-    for i in range(4):
-        a, q, b = p[i - 1], p[i], p[(i + 1) % 4]
-        ax, ay, bx, by = a[0] - q[0], a[1] - q[1], b[0] - q[0], b[1] - q[1]
-        cosine = (ax * bx + ay * by) / F.sqrt((ax * ax + ay * ay) * (bx * bx + by * by))
-        angles.append(F.abs(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(cosine, F.lit(1.0))))) - 90))
-    angle = F.greatest(*angles)
-    reasons = [(ratio > area_limit, "area"), (aspect > aspect_limit, "aspect"), (angle > angle_limit, "angle")]
-    text = F.concat_ws("; ", F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in reasons))))
-    return F.struct(ratio.alias("area_ratio"), aspect.alias("aspect"), angle.alias("angle"), text.alias("reasons"))
+    placed = [apply(m, F.lit(x), F.lit(y)) for x, y in corners]
+    points = F.array(*(F.struct(u.alias("x"), v.alias("y")) for u, v in placed))
+
+    def measure(c: Column) -> Column:
+        p = [(c[i]["x"], c[i]["y"]) for i in range(4)]
+        edges = list(zip(p, p[1:] + p[:1], strict=True))
+        twice = sum((a[0] * b[1] - b[0] * a[1] for a, b in edges), F.lit(0.0))
+        ratio = F.abs(twice) / 2 / ((width - 1.0) * (height - 1.0))
+        sides = F.array(*(_box(p, a, b) for a, b in edges))
+        boxes = F.transform(sides, lambda e: F.struct(F.round(e["s"] * e["t"], 6).alias("area"), (F.greatest(e["s"], e["t"]) / F.least(e["s"], e["t"])).alias("aspect")))
+        angle = F.array_max(F.array(*(_off_square(p[i - 1], p[i], p[(i + 1) % 4]) for i in range(4))))
+        return F.struct(ratio.alias("ratio"), F.array_min(boxes)["aspect"].alias("aspect"), angle.alias("angle"))
+
+    def judge(q: Column) -> Column:
+        ratio = F.greatest(q["ratio"], 1 / q["ratio"])
+        reasons = [(ratio > area_limit, "area"), (q["aspect"] > aspect_limit, "aspect"), (q["angle"] > angle_limit, "angle")]
+        text = F.concat_ws("; ", F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in reasons))))
+        return F.struct(ratio.alias("area_ratio"), q["aspect"].alias("aspect"), q["angle"].alias("angle"), text.alias("reasons"))
+
+    # lambdas over one-element arrays name what is used many times, so that it is worked out once
+    return F.transform(F.transform(F.array(points), measure), judge)[0]
+
+
+def _box(p: list[tuple[Column, Column]], a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """The sides of the rectangle around points p that lies along the edge from a to b."""
+    ux, uy = b[0] - a[0], b[1] - a[1]
+    norm = F.sqrt(ux * ux + uy * uy)
+    along = F.array(*((q[0] * ux + q[1] * uy) / norm for q in p))
+    across = F.array(*((q[1] * ux - q[0] * uy) / norm for q in p))
+    return F.struct((F.array_max(along) - F.array_min(along)).alias("s"), (F.array_max(across) - F.array_min(across)).alias("t"))
+
+
+def _off_square(a: tuple[Column, Column], q: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """How many degrees the corner at q is off a right angle."""
+    ax, ay, bx, by = a[0] - q[0], a[1] - q[1], b[0] - q[0], b[1] - q[1]
+    cosine = (ax * bx + ay * by) / F.sqrt((ax * ax + ay * ay) * (bx * bx + by * by))
+    return F.abs(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(cosine, F.lit(1.0))))) - 90)
 
 
 def rescale_transform(m: Column | str, subsample: float, kind: str = "rigid") -> Column:
