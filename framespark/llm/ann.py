@@ -125,7 +125,7 @@ def scan(index: Index, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.
         exact[np.take_along_axis(own, best, axis=1)] = -np.inf
         limit = np.minimum(limit, norm + index.top - 2 * exact.min(axis=1))
     limit = limit * (1 + 1e-12) + 1e-12
-    keep = part <= (limit * (b / dims) * (1 + EPSILON / np.sqrt(b)) ** 2)[:, None]
+    keep = ~own & (part <= (limit * (b / dims) * (1 + EPSILON / np.sqrt(b)) ** 2)[:, None])
     qi, vi = np.nonzero(keep)
     part = part[qi, vi]
     while b < dims and len(qi):
