@@ -10,7 +10,7 @@ EXTENSIONS = {
     "tif": ["tif", "tiff"],
     "jpg": ["jpg", "jpeg"],
     "png": ["png"],
-    "raw": ["raw", "crw", "cr2", "cr3", "nef", "arw", "dng", "orf", "rw2", "raf", "pef", "srw"],
+    "raw": ["arw", "cr2", "cr3", "dng", "nef", "orf", "pef", "raf", "raw", "rw2", "srw"],
     "pdf": ["pdf"],
 }
 IMAGES = ("tif", "jpg", "png", "raw")
