@@ -230,8 +230,10 @@ def near_duplicates(
     # a node whose buckets are full is central: of a group of copies, the one with the fewest edits of its own
     central = F.sum("size").over(Window.partitionBy("id")).alias("central")
     spots = materialize(spots.join(crowded, ["band", "key"]).select("band", "key", "id", "n", central), "spots")
+    # ids grow with the input, so they are never broadcast: one plan at every size
+    wanted = spots.select("id").distinct().hint("merge")
     sets = materialize(
-        source.join(spots.select("id").distinct(), "id").mapInArrow(_sets(words), "id long, n long, items array<long>"),
+        source.join(wanted, "id").mapInArrow(_sets(words), "id long, n long, items array<long>"),
         "sets",
     )
     links, labels = None, None
