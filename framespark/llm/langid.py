@@ -2,8 +2,8 @@
 
 A text is a vector of its byte n-grams (lengths 1 to 3 over lower-cased letters, with single spaces between words),
 hashed to a fixed number of places, weighted by (1 + log count) times inverse document frequency and normalised.
-Every language has a few centroids, clustered by cosine; the nearest one names the language, and a text that is far
-from all of them is rejected.
+Every language has a few centroids, clustered by cosine; the nearest one names the language. A text is rejected if its
+cosine is below nearly all that texts of that language, with about as many n-grams, have when held out.
 """
 
 from __future__ import annotations
@@ -23,8 +23,14 @@ DIMS = 4096
 #: Labelled texts of each language that its centroids are fitted on, about: the bound of the training sample.
 PER_LANGUAGE = 400
 CENTROIDS = 4
-#: A text is rejected below this share of the least cosine that a training text has to its nearest centroid.
-REJECT_SHARE = 0.25
+#: A text is rejected below this quantile of the cosines of held-out texts of its nearest language and either level.
+REJECT_QUANTILE = 0.005
+#: Levels are half octaves, one of the number of different n-grams and one of all (few of them differ where words are
+#: repeated). A level with fewer held-out texts takes in those around it.
+LEVELS = 64
+LEAST_HELD_OUT = 100
+#: Lengths at which held-out texts are cut, besides being judged whole, so that short texts have examples too.
+CUTS = tuple(1 << k for k in range(2, 14))
 STRETCH = 1 << 20
 
 _CLASS = np.full(256, 32, np.uint8)
@@ -72,12 +78,19 @@ def _counted(raw: list[bytes], dims: int) -> np.ndarray:
     return total.reshape(len(raw), dims)
 
 
-def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
+def measured(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vector and the two levels of each text."""
     x = counts(texts, len(idf))
+    size = np.maximum(np.stack([np.count_nonzero(x, axis=1), x.sum(axis=1)], axis=1), 1)
+    levels = np.minimum((2 * np.log2(size)).astype(np.int64), LEVELS - 1)
     np.log1p(x, out=x)  # log(1 + count) rises from 0 as 1 + log(count) does, without a jump
     x *= idf
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return x / np.maximum(norm, 1e-12)
+    return x / np.maximum(norm, 1e-12), levels
+
+
+def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
+    return measured(texts, idf)[0]
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
@@ -96,29 +109,57 @@ def cluster(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return c
 
 
+def held_out_bars(texts: list[str], x: np.ndarray, idf: np.ndarray, k: int) -> np.ndarray | None:
+    """The cosine below which a text is rejected, a row for each kind of level: each half of ``texts`` (vectors ``x``)
+    is held against centroids of the other half, whole and cut. None where nothing can be held out."""
+    if len(texts) < 2:
+        return None
+    folds = [np.arange(h, len(texts), 2) for h in (0, 1)]
+    against = [cluster(x[folds[1 - h]], k) for h in (0, 1)]
+    seen = np.full((2, len(texts), LEVELS), np.nan)  # one value of a text in each level, that of its longest cut
+    for cut in (*CUTS, None):
+        for h in (0, 1):
+            for lo in range(0, len(folds[h]), 256):
+                at = folds[h][lo : lo + 256]
+                at = at[[cut is None or len(texts[i]) > cut and any(c.isalpha() for c in texts[i][:cut]) for i in at]]
+                v, level = measured([texts[i][:cut] for i in at], idf)
+                for kind in (0, 1):
+                    seen[kind, at, level[:, kind]] = (v @ against[h].T).max(axis=1)
+    bars = np.zeros((2, LEVELS))
+    for kind, level in np.ndindex(bars.shape):
+        for reach in range(LEVELS):
+            near = seen[kind][:, max(0, level - reach) : level + reach + 1]
+            near = near[~np.isnan(near)]
+            if len(near) >= LEAST_HELD_OUT or reach == LEVELS - 1:
+                bars[kind, level] = np.quantile(near, REJECT_QUANTILE)
+                break
+    return bars
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
     centroids: np.ndarray
     idf: np.ndarray
-    reject_below: float
+    reject_below: np.ndarray  # centroids x 2 x LEVELS
 
-    def nearest(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cosine = vectors(texts, self.idf) @ self.centroids.T
+    def nearest(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(centroid, cosine, bar that the cosine should reach) of each text."""
+        x, level = measured(texts, self.idf)
+        cosine = x @ self.centroids.T
         at = np.argmax(cosine, axis=1)
-        return at, np.clip(cosine[np.arange(len(at)), at].astype(np.float64), 0.0, 1.0)
-
+        score = np.clip(cosine[np.arange(len(at)), at].astype(np.float64), 0.0, 1.0)
+        return at, score, self.reject_below[at[:, None], [0, 1], level].max(axis=1)
 
     def judge(self, texts: list[str | None], lettered: list[bool]) -> tuple[list[str], np.ndarray, list[bool]]:
         """(language, cosine, rejected) of each text; ``lettered`` says which hold a letter."""
-        lang, score = ["und"] * len(texts), np.zeros(len(texts))
+        lang, score, bar = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         at = [i for i, x in enumerate(lettered) if x and self.languages]
         if at:
-            which, cosine = self.nearest([texts[i] for i in at])
-            score[at] = cosine
+            which, score[at], bar[at] = self.nearest([texts[i] for i in at])
             for i, w in zip(at, which.tolist(), strict=True):
                 lang[i] = self.languages[w]
-        return lang, score, [n == "und" or s < self.reject_below for n, s in zip(lang, score.tolist(), strict=True)]
+        return lang, score, [n == "und" or low for n, low in zip(lang, (score < bar).tolist(), strict=True)]
 
 
 def fit(
@@ -133,7 +174,8 @@ def fit(
     """Learns from labelled texts; rows without a text or language, or without a letter, teach nothing.
 
     Document frequencies are counted over all of ``train``; centroids are fitted, one task a language, on about
-    ``per_language`` of its texts (at most twice as many) drawn by a hash of id and text.
+    ``per_language`` of its texts (at most twice as many) drawn by a hash of id and text. The same texts, held out by
+    halves, set the bars of rejection.
     """
     rows = (
         train.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -166,16 +208,19 @@ def fit(
         pdf = pdf.sort_values(["id", "text"]).head(2 * per_language)
         x = vectors(pdf["text"].tolist(), idf)
         c = cluster(x, k)
-        least = float((x @ c.T).max(axis=1).min())
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "k": range(len(c)), "v": [v.tolist() for v in c], "least": least})
+        bars = held_out_bars(pdf["text"].tolist(), x, idf, k)
+        bars = None if bars is None else bars.ravel().tolist()
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "k": range(len(c)), "v": [v.tolist() for v in c], "bars": [bars] * len(c)})
 
-    found = sample.groupBy("lang").applyInPandas(centroids, "lang string, k int, v array<float>, least double")
+    found = sample.groupBy("lang").applyInPandas(centroids, "lang string, k int, v array<float>, bars array<double>")
     got = sorted(found.collect(), key=lambda r: (r["lang"], r["k"]))  # languages x k rows
+    known = [r["bars"] for r in got if r["bars"]]
+    lowest = np.min(known, axis=0) if known else np.zeros(2 * LEVELS)  # for a language of one text
     return LanguageModel(
         [r["lang"] for r in got],
         np.array([r["v"] for r in got], np.float32).reshape(-1, dims),
         idf,
-        REJECT_SHARE * min((r["least"] for r in got), default=0.0),
+        np.array([r["bars"] or lowest for r in got]).reshape(-1, 2, LEVELS),
     )
 
 
@@ -185,9 +230,9 @@ def predict(
     """One row per document: ``id_col, lang_pred, score, rejected``.
 
     ``lang_pred`` is a learned language, or ``und`` with score 0 and rejected if the text is null or has no letter or
-    nothing was learned. ``score`` is the cosine to the nearest centroid; a text farther than any distance seen in
-    training allows is marked rejected and keeps its nearest language. Ties go to the language first in order. Whole
-    texts are compared. Null and repeated ids are carried along row by row; other columns are ignored.
+    nothing was learned. ``score`` is the cosine to the nearest centroid; a text below the bars of its language and
+    levels is marked rejected and keeps its nearest language. Ties go to the language first in order. Whole texts are
+    compared. Null and repeated ids are carried along row by row; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

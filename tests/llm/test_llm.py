@@ -216,6 +216,27 @@ def test_language(spark):
     assert langid.predict(docs(spark, ["x"]), langid.fit(train.limit(0))).first()["lang_pred"] == "und"
 
 
+def test_language_rejects_what_it_has_not_learned(spark):
+    rng = random.Random(7)
+    kinds = {"aa": "the and tion ing er on that with is of".split(), "bb": "que lle eau ère ment de la oui ou les".split()}
+    text = lambda k, n: " ".join("".join(rng.choices(kinds[k], k=rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(k, rng.choice([1, 3, 10, 40, 150])), k) for i in range(600) for k in [("aa", "bb")[i % 2]]]
+    model = langid.fit(spark.createDataFrame(rows[:400], "doc_id long, text string, lang string"))
+    clean = model.judge([r[1] for r in rows[400:]], [True] * 200)[2]
+    assert sum(clean) <= 6
+    odd = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita",
+        "Litwo ojczyzno moja ty jesteś jak zdrowie ile cię trzeba cenić ten tylko się dowie kto cię stracił",
+        "Watu wote wamezaliwa huru hadhi na haki zao ni sawa wote wamejaliwa akili na dhamiri hivyo yapasa",
+        "zzzz " * 40,
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)),
+        '<div class="nav"><ul><li><a href="/index.html">home</a></li></ul></div> ' * 5,
+    ]
+    assert all(model.judge(odd, [True] * len(odd))[2])
+    lone = langid.fit(spark.createDataFrame([rows[0]], "doc_id long, text string, lang string"))
+    assert lone.judge([rows[0][1]], [True])[2] == [False]
+
+
 def test_resampling(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choices(["good", "fine", "text", "here"] if i % 4 else ["buy!!", "now!!", "$$$"], k=40))) for i in range(200)]
