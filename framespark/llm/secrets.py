@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,14 +40,17 @@ PREFIXES = re.compile(
     r"(?:AKIA|ASIA)[0-9A-Z]{16}$|gh[pousr]_[0-9A-Za-z]{36,}$|xox[abprs]-[0-9A-Za-z-]{10,}$|[sr]k_live_[0-9A-Za-z]{16,}$"
     r"|AIza[0-9A-Za-z_-]{35}$|eyJ[0-9A-Za-z_-]{10,}|glpat-[0-9A-Za-z_-]{20,}$"
 )
-#: A candidate: a long run of the characters of keys with a digit in it, or what is assigned to a credential word.
+#: A candidate: a long run of the characters of keys with a digit in it, after the names that are set to it within the
+#: run, or what is assigned to a credential word.
 DIGIT = re.compile(r"[0-9]")
 RUN_BEFORE = re.compile(r"[0-9A-Za-z+/_=-]*\Z")
 RUN = re.compile(r"[0-9A-Za-z+/_=-]{16,}(?:\.[0-9A-Za-z+/_=-]{8,}){0,2}|[0-9A-Za-z+/_=-]+")
 SHORTEST = 16
 GIVEN_WORDS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey")
-GIVEN = re.compile(r"(?i:(?:password|passwd|pwd|secret|token|api_?key)[\"']?\s*[:=]\s*[\"']?)([^\s\"'|,;]{8,})")
+GIVEN = re.compile(r"(?i:(?:password|passwd|pwd|secret|token|api_?key)[\"']?\s*[:=]\s*[\"']?)((?:(?!&[\w.-]+=)[^\s\"'|,;]){8,})")
 ASSIGNED = re.compile(r"[:=]\s*[\"']?$")
+#: A name and its "=" within a run (NAME=value, /path?name=value); the "=" that pad a value at its end are not such.
+NAMED = re.compile(r"[A-Za-z0-9_/+.-]*[A-Za-z0-9_-]=(?=[^=])")
 WORD = re.compile(r"[^\W\d_]+")
 CONTEXT = 60
 
@@ -111,15 +115,21 @@ def candidate_spans(text: str) -> list[tuple[int, int]]:
                 break
             window *= 4
         at = RUN.match(text, lo).end()
-        if at - lo >= SHORTEST:
+        while name := NAMED.match(text, lo, at):
+            lo = name.end()
+        if at - lo >= SHORTEST and DIGIT.search(text, lo, at):
             spans.append((lo, at))
     low = text.lower()
     if any(w in low for w in GIVEN_WORDS):
-        runs = set()
-        for lo, hi in spans:
-            runs.update(range(lo, hi))
-        spans += [m.span(1) for m in GIVEN.finditer(text) if runs.isdisjoint(range(*m.span(1)))]
-        spans.sort()
+        starts, alone = [lo for lo, _ in spans], []
+        for lo, hi in (m.span(1) for m in GIVEN.finditer(text)):
+            k = bisect_right(starts, lo) - 1
+            if k >= 0 and spans[k][1] > lo:
+                if spans[k][1] >= hi:  # what is given stands for the run around it
+                    spans[k] = (lo, hi)
+            elif k + 1 == len(spans) or spans[k + 1][0] >= hi:
+                alone.append((lo, hi))
+        spans = sorted(spans + alone)
     return spans
 
 
@@ -239,9 +249,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", max_rows: int = MAX_TRAIN
 
 
 def judge(candidates: DataFrame, model) -> DataFrame:
-    """Adds ``score``, the forest's probability that a candidate is a secret (without a forest: 0)."""
+    """Adds ``score``, the forest's probability that a candidate is a secret (without a forest: 1 where ``rule_labels`` is
+    sure that it is one, else 0)."""
     if model is None:
-        return candidates.withColumn("score", F.lit(0.0))
+        sure = F.coalesce(F.col("is_secret"), F.lit(False))
+        return rule_labels(candidates).withColumn("score", sure.cast("double")).drop("is_secret")
     as_vector = F.udf(Vectors.dense, VectorUDT())
     scored = model.transform(candidates.withColumn("x", as_vector("features")))
     return scored.withColumn("score", vector_to_array("probability")[1]).drop(

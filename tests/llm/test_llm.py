@@ -269,6 +269,24 @@ def test_secrets(spark):
     assert secrets.candidate_spans("x" * 100 + "1" * 3 + " abc1") == [(0, 103)]
 
 
+def test_secrets_set_without_quotes(spark):
+    rng = random.Random(8)
+    many = lambda kinds, n: "".join(rng.choice(kinds) for _ in range(n))
+    mixed = "abcdefghjkmnpqrsABCDEFGHJKMNPQRS23456789"
+    keys = ["AKIA" + many("ABCDEFGHJK23456789", 16), "ghp_" + many(mixed, 36), "S3cretValue99", many(mixed, 38) + "==", many(mixed, 22) + "47"]
+    forms = ["AWS_ACCESS_KEY_ID={}", "https://a.example/x?id=7&token={}&user=me2", "password={}", "export API_SECRET={}", "[db]\ntoken={}\n"]
+    texts = [f.format(k) for f, k in zip(forms, keys, strict=True)]
+    for text, key in zip(texts, keys, strict=True):
+        at = text.index(key)
+        assert secrets.candidate_spans(text) == [(at, at + len(key))]
+    assert secrets.candidate_spans("password=S3cretValue99&user=bob12345") == [(9, 22)]
+    assert secrets.candidate_spans("token==" + "a1" * 10) == [(6, 27)]
+    want = set(enumerate(keys))
+    assert {(r["doc_id"], r["value"]) for r in secrets.scan(docs(spark, texts)).collect()} == want  # no forest: all are sure
+    texts += [f"card {rng.randrange(10**15, 10**16)} and words" for _ in range(40)]
+    assert {(r["doc_id"], r["value"]) for r in secrets.scan(docs(spark, texts)).collect()} == want
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert minhash.near_duplicates(none).count() == 0
