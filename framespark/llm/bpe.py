@@ -14,13 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import chunks, simple_pieces
+from .worker import kept, stretches
 
-#: Chunks and token pairs remembered by one worker; others are worked out again.
-REMEMBERED = 400_000
+#: Bytes of memory for the chunks, and number of token pairs, that one worker remembers; others are worked out again.
+REMEMBERED, PAIRS = 64 << 20, 300_000
+#: What one remembered chunk takes besides its characters and ids.
+ENTRY_BYTES = 170
+#: Ids decoded at once, about.
+DECODED = 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -30,7 +36,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class PrefixBpe:
-    def __init__(self, ranks: dict[bytes, int], remembered: int = REMEMBERED):
+    def __init__(self, ranks: dict[bytes, int], pairs: int = PAIRS):
         self.ranks = ranks
         self.longest = max(map(len, ranks))
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
@@ -38,7 +44,7 @@ class PrefixBpe:
             self.bytes_of[rank] = octets
         self.beside: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
-        self.room = remembered
+        self.room = pairs
 
     def merged(self, octets: bytes) -> list[int]:
         """The encoding by its definition: the lowest-ranked pair merges first, the leftmost of equals."""
@@ -123,50 +129,49 @@ class PrefixBpe:
         return [whole] if whole is not None else self.read(len(octets), self.table(octets))
 
 
-_shared: dict[tuple[str, str], TextBpe] = {}
-
-
 class TextBpe:
     """Encodes texts: each match of the pattern on its own; matches are remembered up to a bound."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
         import regex
 
-        self.bpe, self.matches = PrefixBpe(ranks, remembered), regex.compile(pattern).findall
-        self.spaced: dict[str, list[int]] = {}  # by the piece without its leading space
-        self.bare: dict[str, list[int]] = {}
+        self.bpe, self.matches = PrefixBpe(ranks), regex.compile(pattern).findall
+        self.spaced: dict[str, bytes] = {}  # by the piece without its leading space
+        self.bare: dict[str, bytes] = {}
         self.room = remembered
 
     @classmethod
     def shared(cls, rank_file: str, pattern: str) -> TextBpe:
-        """One encoder for all tasks of a worker."""
-        if (rank_file, pattern) not in _shared:
-            _shared[rank_file, pattern] = cls(load_ranks(rank_file), pattern)
-        return _shared[rank_file, pattern]
+        """One encoder for the tasks of a stage that a worker runs."""
+        return kept(("bpe", rank_file, pattern), lambda: cls(load_ranks(rank_file), pattern))
 
-    def chunk(self, text: str) -> list[int]:
+    def chunk(self, text: str) -> bytes:
         out = []
         pieces = simple_pieces(text)
         for piece in self.matches(text) if pieces is None else pieces:
             table, key = (self.spaced, piece[1:]) if piece[0] == " " else (self.bare, piece)
             known = table.get(key)
             if known is None:
-                known = self.bpe.encode_piece(piece.encode())
-                if len(table) < self.room and len(key) < 48:
+                known = np.array(self.bpe.encode_piece(piece.encode()), "<i4").tobytes()
+                if self.room > 0 and len(key) < 48:
                     table[key] = known
-            out += known
-        return out
+                    self.room -= ENTRY_BYTES + len(key) + len(known)
+            out.append(known)
+        return b"".join(out)
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit integers."""
         words = chunks(text)
         if words is None:
             return self.chunk(text)
-        out = self.chunk(words[0])
-        find = self.spaced.get
+        out, find = [self.chunk(words[0])], self.spaced.get
         for word in words[1:]:
             known = find(word)
-            out += self.chunk(" " + word) if known is None else known
-        return out
+            out.append(self.chunk(" " + word) if known is None else known)
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<i4").tolist()
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,11 +183,11 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = TextBpe.shared(rank_file, pattern)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                ids = [np.array(bpe.encode(t.as_py() or ""), np.int32) for t in part.column(1)]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                flat = pa.array(np.concatenate(ids))
+            for lo, hi in stretches(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                ids = [bpe.packed(t.as_py() or "") for t in part.column(1)]
+                ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.ListArray.from_arrays(ends, flat)], [id_col, "ids"]
                 )
@@ -192,22 +197,32 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
 
 
 def decode(encoded: DataFrame, rank_file: str, ids_col: str = "ids", out_col: str = "bytes") -> DataFrame:
-    """Adds the bytes that a column of ids stands for (null ids: null)."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + f", {out_col} binary"
+    """Adds ``out_col``, the bytes that a column of ids stands for (null ids: null, no ids: no bytes).
+
+    All rows and columns stay; a column that has the name of ``out_col`` gives way to it.
+    """
+    encoded = encoded.select(*(f"`{c}`" for c in encoded.columns if c != out_col))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + f", `{out_col}` binary"
     place = encoded.columns.index(ids_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def table() -> list[bytes]:
         ranks = load_ranks(rank_file)
-        table = [b""] * (max(ranks.values()) + 1)
+        out = [b""] * (max(ranks.values()) + 1)
         for octets, rank in ranks.items():
-            table[rank] = octets
-        find = table.__getitem__
+            out[rank] = octets
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = kept(("bytes", rank_file), table).__getitem__
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            lengths = pc.fill_null(pc.list_value_length(batch.column(place)), 0).to_numpy(zero_copy_only=False)
+            ends, lo = np.cumsum(lengths, dtype=np.int64), 0
+            while lo < len(ends):  # stretches of a bounded number of ids; a longer row stands alone
+                before = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, before + DECODED, "right")))
+                part = batch.slice(lo, hi - lo)
                 out = [b"".join(map(find, v.values.to_numpy().tolist())) if v.is_valid else None for v in part.column(place)]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(out, pa.binary())], [*part.schema.names, out_col]
-                )
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, out_col])
+                lo = hi
 
     return encoded.mapInArrow(run, schema)

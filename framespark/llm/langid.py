@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordhash import slices
+from .worker import begin_task, stretches
 
 DIMS = 4096
 #: Labelled texts of each language that its centroids are fitted on, about: the bound of the training sample.
@@ -31,7 +31,8 @@ LEVELS = 64
 LEAST_HELD_OUT = 100
 #: Lengths at which held-out texts are cut, besides being judged whole, so that short texts have examples too.
 CUTS = tuple(1 << k for k in range(2, 14))
-STRETCH = 1 << 20
+#: Bytes of text counted at once, about, and texts.
+STRETCH, ROWS = 1 << 20, 256
 
 _CLASS = np.full(256, 32, np.uint8)
 _CLASS[97:123] = np.arange(97, 123)
@@ -42,7 +43,7 @@ def counts(texts: list[str], dims: int = DIMS) -> np.ndarray:
     """N-gram counts, a row for each text."""
     out = np.zeros((len(texts), dims), np.float32)
     raw = [t.lower().encode() for t in texts]
-    stretches, owner = [], []
+    parts, owner = [], []
     for i, t in enumerate(raw):
         lo = 0
         while True:  # a long text is counted in stretches that end at spaces
@@ -50,13 +51,17 @@ def counts(texts: list[str], dims: int = DIMS) -> np.ndarray:
             if hi - lo > STRETCH:
                 hi = t.rfind(b" ", lo + 1, lo + STRETCH)
                 hi = hi if hi > lo else lo + STRETCH
-            stretches.append(t[lo:hi])
+            parts.append(t[lo:hi])
             owner.append(i)
             lo = hi
             if lo >= len(t):
                 break
-    for lo, hi in slices(stretches):
-        np.add.at(out, owner[lo:hi], _counted(stretches[lo:hi], dims))
+    lo, size = 0, 0
+    for hi in range(1, len(parts) + 1):
+        size += len(parts[hi - 1])
+        if size >= STRETCH or hi == len(parts):
+            np.add.at(out, owner[lo:hi], _counted(parts[lo:hi], dims))
+            lo, size = hi, 0
     return out
 
 
@@ -184,10 +189,11 @@ def fit(
     )
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         df, n = np.zeros(dims, np.int64), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                texts = batch.column(0).slice(lo, 256).to_pylist()
+            for lo, hi in stretches(batch.column(0), STRETCH, ROWS):
+                texts = batch.column(0).slice(lo, hi - lo).to_pylist()
                 df += (counts(texts, dims) > 0).sum(axis=0)
                 n += len(texts)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([df])], ["n", "df"])
@@ -236,9 +242,10 @@ def predict(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi in stretches(batch.column(1), STRETCH, ROWS):
+                part = batch.slice(lo, hi - lo)
                 lang, score, reject = model.judge(part.column(1).to_pylist(), part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(lang), pa.array(score), pa.array(reject)],
@@ -251,12 +258,14 @@ def predict(
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that ``predict`` would not reject."""
+    """The rows of ``docs``, all columns, that ``predict`` would not reject: null texts and those without a letter go,
+    equal texts go or stay together, ids do not matter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi in stretches(batch.column(at), STRETCH, ROWS):
+                part = batch.slice(lo, hi - lo)
                 texts, lettered = (part.column(k).to_pylist() for k in (at, part.num_columns - 1))
                 _, _, reject = model.judge(texts, lettered)
                 kept = part.filter(pa.array([not r for r in reject]))

@@ -12,69 +12,76 @@ from pyspark.sql import functions as F
 from .blocks import meet_in_blocks
 from .components import connected_components
 from .storage import materialize
-from .wordhash import U, hash_words, mix, shingles, slices
+from .wordhash import U, hash_words, mix, shingles
+from .worker import begin_task, texts
 
 BANDS, ROWS = 28, 5
 LEADER_ROUNDS = 2
 #: Documents of a bucket that meet in one task, of each side, and columns of their items that are compared at once.
-BLOCK_ROWS, COLUMNS = 800, 4096
+BLOCK_ROWS, COLUMNS = 400, 4096
+#: Elements whose permutations are walked at once, and draws from which a permutation is told without a table of it.
+STRETCH, TOLD = 1 << 16, 8
 
 
 def superminhash(h: np.ndarray, offsets: np.ndarray, m: int) -> np.ndarray:
     """Signatures (texts x m) of element sets given by ``offsets`` (Ertl 2017); an empty set's row holds infinity.
 
     Every element walks through one random permutation of the m places and, in its step j, offers j + (a fraction)
-    to the place drawn. A set stops as soon as no place of it could still fall below j. The walks of all elements
-    of all sets that still go on are advanced together.
+    to the place drawn. A set stops as soon as no place of it could still fall below j. Elements walk in stretches of
+    bounded number: the least offer over stretches is the least over all.
     """
-    sets = len(offsets) - 1
-    out = np.full((sets, m), np.inf)
-    owner = np.repeat(np.arange(sets), np.diff(offsets))
-    state = h.copy()
-    rest, perm = np.arange(len(h)), None
+    out = np.full((len(offsets) - 1, m), np.inf)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    for lo in range(0, len(h), STRETCH):
+        _walk(h[lo : lo + STRETCH], owner[lo : lo + STRETCH], out)
+    return out
+
+
+def _walk(state: np.ndarray, owner: np.ndarray, out: np.ndarray) -> None:
+    """Lowers ``out`` by the offers of these elements; the walks of all sets that still go on are advanced together.
+
+    The permutation after a few draws is told from the draws alone; a table of it is kept for long walks only, which
+    the elements of small sets take.
+    """
+    m, whole = out.shape[1], out.reshape(-1)
+    draws: list[np.ndarray] = []
+    perm = None
     for j in range(m):
         state = mix(state + U(0x9E3779B97F4A7C15))
-        low = (state & U(0xFFFFFFFF)).astype(np.int64)
-        k = j + (low * (m - j) >> 32)
-        rows = np.arange(len(rest))
-        if j == 0:
+        k = j + ((state & U(0xFFFFFFFF)).astype(np.int64) * (m - j) >> 32)
+        if perm is None and j == TOLD:
+            perm = np.broadcast_to(np.arange(m, dtype=np.int16), (len(state), m)).copy()
+            rows = np.arange(len(state))
+            for i, drawn in enumerate(draws):
+                perm[rows, drawn] = perm[:, i]
+        if perm is None:
             place = k
+            for i in range(j - 1, -1, -1):  # place i was moved to where draw i came from
+                place = np.where(draws[i] == place, i, place)
+            draws.append(k)
         else:
-            if perm is None:  # replay the first draw: place 0 was swapped with place k0
-                perm = np.broadcast_to(np.arange(m, dtype=np.int16), (len(rest), m)).copy()
-                perm[rows, first], perm[rows, 0] = 0, first.astype(np.int16)
+            rows = np.arange(len(state))
             place = perm[rows, k].astype(np.int64)
-            perm[rows, k] = perm[rows, j]
+            perm[rows, k] = perm[:, j]
         value = j + (state >> U(33)).astype(np.float64) * 2.0**-31
-        flat = owner * m + place
-        order = np.lexsort((value, flat))
-        flat, value = flat[order], value[order]
-        head = np.ones(len(flat), bool)
-        head[1:] = flat[1:] != flat[:-1]
-        flat, value = flat[head], value[head]
-        whole = out.reshape(-1)
-        whole[flat] = np.minimum(whole[flat], value)
+        np.minimum.at(whole, owner * m + place, value)
         going = (out.max(axis=1) >= j + 1)[owner]
         if not going.any():
-            break
-        if j == 0:
-            first = k[going]
-        elif not going.all():
-            perm = perm[going]
-        rest, owner, state = rest[going], owner[going], state[going]
-    return out
-
-
-def _encode(texts: pa.Array) -> list[bytes]:
-    return [b"" if v is None else v for v in texts.cast(pa.binary()).to_pylist()]
+            return
+        if not going.all():
+            owner, state = owner[going], state[going]
+            if perm is None:
+                draws = [d[going] for d in draws]
+            else:
+                perm = perm[going]
 
 
 def _signing(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in batches:
-            texts = _encode(batch.column(1))
-            for lo, hi in slices(texts):
-                h, off = shingles(*hash_words(texts[lo:hi]), words)
+            for lo, hi, part in texts(batch.column(1)):
+                h, off = shingles(*hash_words(part), words)
                 sign = superminhash(h, off, bands * rows)
                 bits = np.where(np.isinf(sign), 0.0, sign).view(np.uint64)
                 key = np.zeros((hi - lo, bands), np.uint64)
@@ -101,10 +108,10 @@ def _signing(words: int, bands: int, rows: int):
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in batches:
-            texts = _encode(batch.column(1))
-            for lo, hi in slices(texts):
-                h, off = shingles(*hash_words(texts[lo:hi]), words)
+            for lo, hi, part in texts(batch.column(1)):
+                h, off = shingles(*hash_words(part), words)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
@@ -281,7 +288,7 @@ def near_duplicates(
         out = out.join(labels, "node", "left")
     else:
         out = out.withColumn("component", F.lit(None).cast("long"))
-    component = F.coalesce("component", F.when(F.col("id").isNotNull(), F.coalesce("node", "id")))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id"))
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),

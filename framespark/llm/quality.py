@@ -16,32 +16,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
-from .wordhash import U, hash_words, mix, slices
+from .wordhash import U, hash_words, mix
+from .worker import begin_task, texts
 
 BUCKETS = 1 << 14
 #: A pseudo-count for each bucket, so that n-grams never seen in the target get no infinite weight.
 SMOOTHING = 1.0
-#: Of the log weight per n-gram against the Gumbel noise, whose standard deviation is about 1.3.
+#: The length of the passage whose likelihood ratio is a document's weight: the log weight per n-gram times this many.
+#: Plain importance resampling takes the whole document's (several hundred n-grams), so noise counts for more here.
 STRENGTH = 200.0
 #: N-grams of weight 0 added to every document: a few words say little for or against a text.
 PRIOR = 20
 
 
-def bucketed(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def bucketed(raw: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words and word pairs of each text, and the text each belongs to."""
-    words, off = hash_words(texts)
+    words, off = hash_words(raw)
     n = np.diff(off)
-    owner = np.repeat(np.arange(len(texts)), n)
+    owner = np.repeat(np.arange(len(raw)), n)
     pair = owner[1:] == owner[:-1]
     twos = mix(words[:-1][pair] * U(0xD6E8FEB86659FD93) + words[1:][pair])
     all_h = np.concatenate((words, twos)) % U(buckets)
     return all_h.astype(np.int64), np.concatenate((owner, owner[1:][pair]))
 
 
-def _bytes(column: pa.Array) -> list[bytes]:
-    return [v or b"" for v in column.cast(pa.binary()).to_pylist()]
-
-
 def ngram_models(docs: DataFrame, target: str, text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
     """Counts (2 x buckets) over all documents: of raw text, and of rows whose column ``target`` is true.
 
@@ -49,11 +47,12 @@ def ngram_models(docs: DataFrame, target: str, text_col: str = "text", buckets:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         total = np.zeros((2, buckets), np.int64)
         for batch in batches:
-            texts, good = _bytes(batch.column(0)), np.array(batch.column(1).to_pylist(), object) == True  # noqa: E712
-            for lo, hi in slices(texts):
-                b, owner = bucketed(texts[lo:hi], buckets)
+            good = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
+            for lo, hi, part in texts(batch.column(0)):
+                b, owner = bucketed(part, buckets)
                 total[0] += np.bincount(b, minlength=buckets)
                 total[1] += np.bincount(b[good[lo:hi][owner]], minlength=buckets)
         yield pa.RecordBatch.from_arrays([pa.array([total[0]]), pa.array([total[1]])], ["raw", "target"])
@@ -76,13 +75,13 @@ def log_ratios(counts: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
     return np.log(p[1]) - np.log(p[0])
 
 
-def weights_of(texts: list[bytes], ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weights_of(raw: list[bytes], ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of n-grams, log weight) of each text."""
-    b, owner = bucketed(texts, len(ratios))
-    return np.bincount(owner, minlength=len(texts)), np.bincount(owner, ratios[b], len(texts))
+    b, owner = bucketed(raw, len(ratios))
+    return np.bincount(owner, minlength=len(raw)), np.bincount(owner, ratios[b], len(raw))
 
 
-def _noise(id_col: str, text_col: str, seed: int) -> Column:
+def gumbel_noise(id_col: str, text_col: str, seed: int | Column) -> Column:
     """Gumbel noise as a function of id, text and seed: a task that runs again draws the same."""
     draw = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.lit(seed))
     uniform = (F.shiftrightunsigned(draw, 12).cast("double") + 0.5) / float(1 << 52)
@@ -90,19 +89,22 @@ def _noise(id_col: str, text_col: str, seed: int) -> Column:
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
-    """``id_col, noise, n_grams, log_weight``, of whole texts."""
+    """``id_col, noise, n_grams, log_weight``, a row per document, of whole texts.
+
+    Null and empty texts have no n-grams and weight 0; null and repeated ids are carried along. Other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in batches:
-            texts = _bytes(batch.column(1))
-            for lo, hi in slices(texts):
-                n, weight = weights_of(texts[lo:hi], ratios)
+            for lo, hi, part in texts(batch.column(1)):
+                n, weight = weights_of(part, ratios)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k).slice(lo, hi - lo) for k in (0, 2)), pa.array(n, pa.int64()), pa.array(weight)],
                     [id_col, "noise", "n_grams", "log_weight"],
                 )
 
-    source = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), _noise(id_col, text_col, seed))
+    source = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), gumbel_noise(id_col, text_col, seed))
     return source.mapInArrow(run, f"{id_col} long, noise double, n_grams long, log_weight double")
 
 
@@ -188,7 +190,7 @@ def keep_drawn(
     seed: int = 0,
     strength: float = STRENGTH,
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``resample`` keeps.
+    """The rows of ``docs``, all columns, that ``resample`` keeps; null and repeated ids, null texts and ties as there.
 
     The score depends on id, text and models alone, so rows are weighed again as they are read: no join of texts.
     """
@@ -196,16 +198,16 @@ def keep_drawn(
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         for batch in batches:
-            texts = _bytes(batch.column(at))
-            for lo, hi in slices(texts):
-                n, weight = weights_of(texts[lo:hi], ratios)
-                part = batch.slice(lo, hi - lo)
-                noise = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False)
-                kept = part.filter(pa.array(strength * (weight / (n + PRIOR)) + noise >= bar))
-                yield pa.RecordBatch.from_arrays(kept.columns[:-1], part.schema.names[:-1])
-
-    return docs.select("*", _noise(id_col, text_col, seed)).mapInArrow(run, docs.schema)
+            for lo, hi, part in texts(batch.column(at)):
+                n, weight = weights_of(part, ratios)
+                rows = batch.slice(lo, hi - lo)
+                noise = rows.column(rows.num_columns - 1).to_numpy(zero_copy_only=False)
+                kept = rows.filter(pa.array(strength * (weight / (n + PRIOR)) + noise >= bar))
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], rows.schema.names[:-1])
+
+    return docs.select("*", gumbel_noise(id_col, text_col, seed)).mapInArrow(run, docs.schema)
 
 
 #: How much losing the good documents counts against keeping the bad ones when the margin is chosen.

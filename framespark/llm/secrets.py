@@ -17,15 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
-from .wordhash import U, hash_words, slices
+from .wordhash import U, hash_words
+from .worker import begin_task, stretches, texts
 
 #: Words that go with credentials, and words that go with look-alikes.
 CREDENTIAL_WORDS = (
@@ -53,6 +50,8 @@ ASSIGNED = re.compile(r"[:=]\s*[\"']?$")
 NAMED = re.compile(r"[A-Za-z0-9_/+.-]*[A-Za-z0-9_-]=(?=[^=])")
 WORD = re.compile(r"[^\W\d_]+")
 CONTEXT = 60
+#: Bytes of text that are looked through at once.
+SLICE = 1 << 18
 
 BUCKETS = 1 << 16
 LETTERS = 27
@@ -80,14 +79,14 @@ def corpus_statistics(docs: DataFrame, text_col: str = "text", frequent: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells + BUCKETS, np.int64)
-        kind = np.full(256, 26, np.int64)
+        kind = np.full(256, 26, np.int16)
         kind[97:123] = kind[65:91] = np.arange(26)
+        begin_task()
         for batch in batches:
-            texts = [v or b"" for v in batch.column(0).cast(pa.binary()).to_pylist()]
-            for lo, hi in slices(texts):
-                data = kind[np.frombuffer(b"\n".join(texts[lo:hi]), np.uint8)]
+            for _, _, part in texts(batch.column(0), SLICE):
+                data = kind[np.frombuffer(b"\n".join(part), np.uint8)]
                 total[:cells] += np.bincount(data[:-1] * LETTERS + data[1:], minlength=cells)
-                words, _ = hash_words(texts[lo:hi])
+                words, _ = hash_words(part)
                 total[cells:] += np.bincount((words % U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array([total])], ["counts"])
 
@@ -183,24 +182,27 @@ def find_candidates(
 ) -> DataFrame:
     """``id_col, start, length, value, before, after, features`` of every candidate in whole texts.
 
-    ``start`` and ``length`` count characters. ``path_col`` may be missing; then no document has a path.
+    ``start`` and ``length`` count characters. ``path_col`` may be missing; then no document has a path. Null texts have no
+    candidates; null and repeated ids are carried along, and other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64())]
         names = [id_col, "start", "length", "value", "before", "after", "features"]
+        begin_task()
         for batch in batches:
-            rows = []
-            for doc, text, path in zip(*(batch.column(k) for k in range(3)), strict=True):
-                if not text.is_valid:
-                    continue
-                whole = text.as_py()
-                for lo, hi in candidate_spans(whole):
-                    before, after = whole[max(0, lo - CONTEXT) : lo], whole[hi : hi + CONTEXT]
-                    features = describe(corpus, path.as_py(), before, whole[lo:hi], after)
-                    rows.append((doc.as_py(), lo, hi - lo, whole[lo:hi], before, after, features))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            for first, end in stretches(batch.column(1), SLICE):
+                rows = []
+                for doc, text, path in zip(*(batch.column(k).slice(first, end - first) for k in range(3)), strict=True):
+                    if not text.is_valid:
+                        continue
+                    whole = text.as_py()
+                    for lo, hi in candidate_spans(whole):
+                        before, after = whole[max(0, lo - CONTEXT) : lo], whole[hi : hi + CONTEXT]
+                        features = describe(corpus, path.as_py(), before, whole[lo:hi], after)
+                        rows.append((doc.as_py(), lo, hi - lo, whole[lo:hi], before, after, features))
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string")
     source = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), path)
@@ -228,24 +230,26 @@ def train(labelled: DataFrame, id_col: str = "doc_id", max_rows: int = MAX_TRAIN
 
     The rarer kind is weighted up to the other.
     """
+    from pyspark.ml.classification import RandomForestClassifier  # the driver's alone: workers import this module too
+    from pyspark.ml.functions import array_to_vector
+
     rows = labelled.filter("is_secret is not null").select(id_col, "start", "features", F.col("is_secret").cast("double").alias("y"))
     found = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(found) < 2:
         return None
     most = max(found.values())
     draw = F.pmod(F.xxhash64(id_col, "start", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    as_vector = F.udf(Vectors.dense, VectorUDT())
     weight, share = F.lit(1.0), F.lit(1.0)
     for y, n in found.items():
         kept = min(n, max_rows // 2)
         weight = F.when(F.col("y") == y, most / n).otherwise(weight)
         share = F.when(F.col("y") == y, kept / n).otherwise(share)
     sample = materialize(rows.filter(draw < share).withColumn("weight", weight), "findings")
-    ready = sample.select("y", "weight", as_vector("features").alias("x"))
+    ready = sample.select("y", "weight", array_to_vector("features").alias("x"))
     forest = RandomForestClassifier(
         featuresCol="x", labelCol="y", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=seed, maxBins=32
     )
-    return PipelineModel([forest.fit(ready)])
+    return forest.fit(ready)
 
 
 def judge(candidates: DataFrame, model) -> DataFrame:
@@ -254,8 +258,9 @@ def judge(candidates: DataFrame, model) -> DataFrame:
     if model is None:
         sure = F.coalesce(F.col("is_secret"), F.lit(False))
         return rule_labels(candidates).withColumn("score", sure.cast("double")).drop("is_secret")
-    as_vector = F.udf(Vectors.dense, VectorUDT())
-    scored = model.transform(candidates.withColumn("x", as_vector("features")))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    scored = model.transform(candidates.withColumn("x", array_to_vector("features")))
     return scored.withColumn("score", vector_to_array("probability")[1]).drop(
         "x", "rawPrediction", "probability", "prediction"
     )
@@ -287,30 +292,26 @@ def scan(
 
 
 def redact(docs: DataFrame, secrets: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every found value replaced by ``mark``; all columns and rows stay.
+    """``docs`` with every found value replaced by ``mark``; all columns, of any names, and all rows stay.
 
-    Texts stay where they are unless a secret was found in them: spans are collected by document and joined.
+    ``secrets`` are rows of ``scan``. Spans are collected by id and joined; a span is cut out of a text only if its value
+    is what the text has there, so rows that share an id lose their own secrets alone. Null texts stay null, and rows
+    with a null id, which nothing can be joined to, stay as they are. Of spans that overlap the first is cut.
     """
-    spans = secrets.groupBy(F.col(id_col).alias("of")).agg(
-        F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans")
-    )
-    where = docs.join(spans, docs[id_col] == F.col("of"), "left")
-    text = F.col(text_col)
+    spans_col = "spans"
+    while spans_col in docs.columns:
+        spans_col += "_"
+    span = F.struct(F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length"), "value")
+    spans = secrets.groupBy(F.col(id_col).alias(id_col)).agg(F.array_sort(F.collect_set(span)).alias(spans_col))
+    where = docs.join(spans, id_col, "left")
+    text = F.col(f"`{text_col}`")
 
     def cut(state, span):
         kept = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        return F.struct(
-            F.concat(state["out"], kept, F.lit(mark)).alias("out"),
-            (span["start"] + span["length"]).cast("int").alias("at"),
-        )
+        there = (span["start"] >= state["at"]) & (F.substring(text, span["start"] + 1, span["length"]) == span["value"])
+        done = F.struct(F.concat(state["out"], kept, F.lit(mark)).alias("out"), (span["start"] + span["length"]).alias("at"))
+        return F.when(there, done).otherwise(state)
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    done = F.aggregate(
-        F.transform("spans", lambda s: F.struct(s["start"].cast("int").alias("start"), s["length"].cast("int").alias("length"))),
-        start,
-        cut,
-        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
-    )
-    replaced = F.when(F.col("spans").isNull(), text).otherwise(done)
-    return where.withColumn(text_col, replaced).select(*docs.columns)
-
+    done = F.aggregate(spans_col, start, cut, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return where.withColumn(text_col, F.when(F.col(spans_col).isNull(), text).otherwise(done)).select(*(f"`{c}`" for c in docs.columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,12 @@ DIR_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a new local one."""
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset, a new local one, on one machine alone: executors
+    elsewhere would not see it, so a cluster must name a shared folder."""
     where = spark.conf.get(DIR_KEY, None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError(f"{DIR_KEY} must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(DIR_KEY, where)
     return where.rstrip("/")

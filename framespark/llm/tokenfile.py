@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .storage import materialize
 from .tokens import ChunkEncoder
+from .worker import begin_task, stretches
 
 #: Tokens at which a block is closed.
 BLOCK_TOKENS = 1 << 18
@@ -53,20 +54,24 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def encode_batches(batches: Iterator[pa.RecordBatch], tokenizer_file: str, end_id: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """(ids of documents, their tokens with ``end_id`` as packed unsigned integers) of batches of (id, text)."""
+    encoder = ChunkEncoder.shared(tokenizer_file)
+    end = np.array([end_id], encoder.dtype).tobytes()
+    for batch in batches:
+        for lo, hi in stretches(batch.column(1)):
+            part = batch.slice(lo, hi - lo)
+            yield part.column(0), [(encoder.encode(t.as_py()) if t.is_valid else b"") + end for t in part.column(1)]
+
+
 def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n, ids): every whole text's ids (null: none) and then ``end_id``, as packed unsigned integers."""
+    width = np.dtype(token_width(tokenizer_file)).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder.shared(tokenizer_file)
-        end = np.array([end_id], encoder.dtype).tobytes()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                ids = [(encoder.encode(t.as_py()) if t.is_valid else b"") + end for t in part.column(1)]
-                n = [len(x) // encoder.dtype.itemsize for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["id", "n", "ids"]
-                )
+        for names, ids in encode_batches(batches, tokenizer_file, end_id):
+            n = [len(x) // width for x in ids]
+            yield pa.RecordBatch.from_arrays([names, pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["id", "n", "ids"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, "id long, n long, ids binary")
@@ -90,6 +95,7 @@ def write_token_files(
     encoded = materialize(encode_documents(docs, tokenizer_file, end_id, id_col, text_col), "ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
         total = np.zeros(1, np.int64)
         for batch in batches:
             for row in batch.column(0):
@@ -164,7 +170,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for at in range(batch.num_rows) for r in batch.slice(at, 1).to_pylist()):
                 lengths = np.array(row["lengths"], np.int64)
                 ids = id_of[unpack(row["control"], row["data"], int(lengths.sum()))]
                 ends = np.cumsum(lengths)

@@ -10,9 +10,12 @@ from __future__ import annotations
 import numpy as np
 
 from .chunks import chunks, simple_pieces
+from .worker import kept
 
-#: Pieces remembered by one worker; others are encoded again each time they occur.
-REMEMBERED = 600_000
+#: Bytes of memory for the pieces that one worker remembers, about; others are encoded again each time they occur.
+REMEMBERED = 80 << 20
+#: What one remembered piece takes besides its characters and ids: a place in a table and two objects' heads.
+ENTRY_BYTES = 170
 
 #: Characters as a byte-level tokenizer writes them: every byte of their UTF-8 as one visible character.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -20,8 +23,6 @@ _OTHERS = [b for b in range(256) if b not in _VISIBLE]
 _BYTE = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
 _WRITTEN = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in range(256) if c < 128 or c > 159}
 
-_encoders: dict[str, ChunkEncoder] = {}
-
 
 class ChunkEncoder:
     """``encode(text)`` gives little-endian unsigned ids as bytes, of two bytes each if the vocabulary allows."""
@@ -30,7 +31,6 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(tokenizer_file)
-        self.whole.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.split, self.model = self.whole.pre_tokenizer.pre_tokenize_str, self.whole.model.tokenize
         self.pieces: dict[str, bytes] = {}  # by the piece, without a leading space where it has one
@@ -39,10 +39,8 @@ class ChunkEncoder:
 
     @classmethod
     def shared(cls, tokenizer_file: str) -> ChunkEncoder:
-        """One encoder for all tasks of a worker."""
-        if tokenizer_file not in _encoders:
-            _encoders[tokenizer_file] = cls(tokenizer_file)
-        return _encoders[tokenizer_file]
+        """One encoder for the tasks of a stage that a worker runs."""
+        return kept(("tokens", tokenizer_file), lambda: cls(tokenizer_file))
 
     def _ids(self, written: str) -> bytes:
         return np.array([t.id for t in self.model(written)], self.dtype).tobytes()
@@ -58,8 +56,9 @@ class ChunkEncoder:
             known = table.get(key)
             if known is None:
                 known = self._ids(piece.translate(_WRITTEN))
-                if len(table) < self.room and len(key) < 48:
+                if self.room > 0 and len(key) < 48:
                     table[key] = known
+                    self.room -= ENTRY_BYTES + len(key) + len(known)
             out.append(known)
         return b"".join(out)
 

@@ -87,7 +87,6 @@ def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(TOKENIZER)
-    whole.encode_special_tokens = True
     path = new_path(spark, "t")
     tokenfile.write_token_files(docs(spark, ODD_TEXTS).repartition(3), path, TOKENIZER, end_id=2)
     at = 0
@@ -105,7 +104,6 @@ def test_chunked_encoding_equals_whole_encoding():
     from tokenizers import Tokenizer
 
     whole, own = Tokenizer.from_file(TOKENIZER), ChunkEncoder(TOKENIZER)
-    whole.encode_special_tokens = True
     ranks = bpe.load_ranks(RANKS)
     other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     text = bpe.TextBpe(ranks, public_tokenizers.PATTERN)
