@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -13,7 +14,7 @@ def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     zero vectors.
     """
     column = column.cast(pa.list_(pa.float64()))
-    lengths = np.array([-1 if n is None else n for n in column.value_lengths().to_pylist()])
+    lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
     places = np.flatnonzero(lengths == dim)
     if not len(places) or not dim:
         return np.zeros((0, dim)), places[:0]
@@ -30,5 +31,5 @@ def rotation(dim: int, seed: int = 7) -> np.ndarray:
 
 def lists(m: np.ndarray) -> pa.Array:
     """The rows of a matrix as a list column."""
-    ends = np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)
-    return pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(m).reshape(-1)))
+    ends = np.arange(0, m.size + 1, max(1, m.shape[1]), dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(m, np.float64).reshape(-1)))
