@@ -1,8 +1,10 @@
 """WARC archives with revisit records for repeated payloads.
 
-Headers alone are shuffled: payload digests are grouped, every record of a repeated digest learns which record is
-its original, and fresh headers are written. Archives are gzipped WARC 1.1 files; Spark's text writer puts the blank
-lines that end a record, so any file system that Spark writes to will do.
+Headers alone (id, digest and length of payload) are shuffled to be resolved: payload digests are grouped, and every
+record of a repeated digest learns which record is its original. What they learn, a row for each revisit, then meets
+the pages in one join, and fresh archives are written from its partitions. Archives are WARC 1.1 files, each one gzip
+stream (not a stream for each record, so they are read from their beginning); Spark's text writer puts the blank lines
+that end a record, so any file system that Spark writes to will do.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ def _field(name: str, value: Column) -> Column:
 def resolve_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, id_col: str = "page_id") -> DataFrame:
     """Adds ``payload_bytes``, ``payload_digest``, ``record_type`` and ``refers_to`` to ``pages(id, url, html)``.
 
-    Of records with equal payloads of at least ``min_bytes`` bytes the one with the largest id is the response.
+    Columns of those names give way. Of records with equal payloads of at least ``min_bytes`` bytes the one with the largest id is the response.
     Digest and length together decide equality. Rows that repeat an id share its record type only if payloads agree:
     the first to be written is the response and the others refer to the same id, their own. A null id is a response
     and never an original.
@@ -53,23 +55,15 @@ def resolve_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, id_co
     marked = pages.withColumn("payload_bytes", F.octet_length(F.coalesce("html", F.lit(""))).cast("long")).withColumn(
         "payload_digest", F.sha1(raw)
     )
-    headers = marked.filter(F.col("payload_bytes") >= min_bytes).select(id_col, "payload_bytes", "payload_digest")
-    originals = (
-        headers.groupBy("payload_digest", "payload_bytes")
-        .agg(F.max(id_col).alias("original"), F.count("*").alias("n"))
-        .filter("n > 1 and original is not null")
-        .drop("n")
-    )
+    payload = ["payload_digest", "payload_bytes"]
+    headers = marked.select(id_col, *payload).filter(F.col(id_col).isNotNull() & (F.col("payload_bytes") >= min_bytes))
+    originals = headers.groupBy(*payload).agg(F.max(id_col).alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
     spread = originals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = materialize(spread, "originals")
-    salted = marked.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-    revisits = F.col("original").isNotNull() & F.col(id_col).isNotNull() & (F.col(id_col) != F.col("original"))
-    return (
-        salted.join(spread, ["payload_digest", "payload_bytes", "salt"], "left")
-        .withColumn("record_type", F.when(revisits, "revisit").otherwise("response"))
-        .withColumn("refers_to", F.when(revisits, F.col("original")))
-        .drop("salt", "original")
-    )
+    salted = headers.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+    revisits = salted.join(spread, [*payload, "salt"]).filter(F.col(id_col) != F.col("refers_to"))
+    revisits = materialize(revisits.select(id_col, *payload, "refers_to").distinct(), "revisits")
+    kind = F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response")
+    return marked.join(revisits, [id_col, *payload], "left").withColumn("record_type", kind)
 
 
 def write_warc(
@@ -108,15 +102,12 @@ def write_warc(
         F.lit(CRLF),
         block,
     )
-    size = source.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    files = max(1, -(-size // FILE_BYTES))
+    rows, size = source.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
     (
-        resolved.withColumn("value", record)
-        .select("value", "page_id")
-        .repartition(files, F.xxhash64("page_id", F.octet_length("value")))
-        .select("value")
+        resolved.select(record.alias("value"))
         .write.option("lineSep", CRLF * 2)
         .option("compression", "gzip")
+        .option("maxRecordsPerFile", max(1, rows * FILE_BYTES // max(1, size or 0)))
         .text(path)
     )
 
@@ -139,7 +130,10 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, record_id, record_type, payload_digest, payload, refers_to_record) of every record."""
+    """(page_id, url, record_id, record_type, payload_digest, payload, refers_to_record) of every record.
+
+    A revisit has a null payload, a record without a page id or target line a null there; no files, no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "record_id", "record_type", "payload_digest", "payload", "refers_to_record"]
@@ -185,7 +179,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def resolved_records(records: DataFrame) -> DataFrame:
     """Joins revisits to the responses they refer to: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
 
-    Only ids, digests and lengths are shuffled. A response's digest is that of the payload read, not of its header.
+    One row per record, null and repeated page ids included; a revisit whose response is missing has null bytes. No
+    records, no rows. Only ids, digests and lengths are shuffled. A response's digest is that of the payload read, not of its header.
     """
     heads = materialize(
         records.select(
