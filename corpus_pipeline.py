@@ -17,14 +17,13 @@ from framespark.llm.storage import materialize, table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row number in place of its id, kept by being written: ids may be null or repeat."""
-    return materialize(docs.withColumn("row_id", F.monotonically_increasing_id()), "rows")
-
-
-def _only(rows: DataFrame, decided: DataFrame, keep: str) -> DataFrame:
-    kept = decided.filter(keep).select("row_id")
-    return rows.join(kept, "row_id", "left_semi").drop("row_id")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a row number, kept by being written, and its column's name, which no column has: ids may be null or
+    repeat, and columns may have any names."""
+    name = "row_id"
+    while name in docs.columns:
+        name += "_"
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,15 +38,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8)."""
-    rows = _numbered(docs)
-    decided = minhash.near_duplicates(rows, words=5, percent=80, id_col="row_id")
-    return _only(rows, decided, "kept")
+    rows, row = _numbered(docs)
+    decided = minhash.near_duplicates(rows, words=5, percent=80, id_col=row)
+    return rows.join(decided.filter("kept").select(row), row, "left_semi").drop(row)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in them replaced by a mark."""
-    rows = _numbered(docs)
-    return secrets.redact(rows, secrets.scan(rows, id_col="row_id"), id_col="row_id").drop("row_id")
+    rows, row = _numbered(docs)
+    return secrets.redact(rows, secrets.scan(rows, id_col=row), id_col=row).drop(row)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
