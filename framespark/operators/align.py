@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from .stencil import FRAME, stencil
+from .stencil import FRAME, stencil, stencils
 
 PAIR = ("stack_id", "frame_idx")
 #: The side on which descriptors meet in blocks: keypoints of one frame held by one task.
@@ -26,8 +26,7 @@ def detect_keypoints(px: DataFrame, top_k: int = 500, k: float = 0.04) -> DataFr
     ``v``, ``h`` and ``w``; frames with a side under 9 have no corners.
     """
     v = px.withColumn("v", F.col("v").cast("double"))
-    slopes = stencil(v, (1, 2, 1), (-1, 0, 1), ["v"], out=["gx"])
-    slopes = stencil(slopes, (-1, 0, 1), (1, 2, 1), ["v"], out=["gy"])
+    slopes = stencils(v, {"gx": ("v", (1, 2, 1), (-1, 0, 1)), "gy": ("v", (-1, 0, 1), (1, 2, 1))})
     products = slopes.withColumns({"xx": F.col("gx") * F.col("gx"), "yy": F.col("gy") * F.col("gy"), "xy": F.col("gx") * F.col("gy")})
     sums = stencil(products, (1,) * 5, None, ["xx", "yy", "xy"])
     trace = F.col("xx") + F.col("yy")

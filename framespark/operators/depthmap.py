@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stencil import BINOMIAL, FRAME, expand, reduce, stencil
+from ..sources.scratch import written
+from .stencil import BINOMIAL, FRAME, grown, reduce, stencil, stencils
 
 PLACE = ("stack_id", "y", "x")
 
@@ -19,14 +20,12 @@ def energy_map(px: DataFrame, kind: str = "laplacian") -> DataFrame:
     """
     v = px.withColumn("v", F.col("v").cast("double"))
     if kind in ("sobel", "mod_laplacian", "tenengrad"):
-        gx = stencil(v, (1, 2, 1), (-1, 0, 1), ["v"], out=["gx"])
-        both = stencil(gx, (-1, 0, 1), (1, 2, 1), ["v"], out=["gy"])
+        both = stencils(v, {"gx": ("v", (1, 2, 1), (-1, 0, 1)), "gy": ("v", (-1, 0, 1), (1, 2, 1))})
         square = F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")
         e = F.abs("gx") + F.abs("gy") if kind != "tenengrad" else F.when(square > 5, square).otherwise(0.0)
     elif kind == "laplacian":
         smooth = stencil(v, BINOMIAL, None, ["v"], out=["s"]).withColumn("s", F.col("s") / 256)
-        one = stencil(smooth, (1, 0, -2, 0, 1), (1, 4, 6, 4, 1), ["s"], out=["l1"])
-        both = stencil(one, (1, 4, 6, 4, 1), (1, 0, -2, 0, 1), ["s"], out=["l2"])
+        both = stencils(smooth, {"l1": ("s", (1, 0, -2, 0, 1), (1, 4, 6, 4, 1)), "l2": ("s", (1, 4, 6, 4, 1), (1, 0, -2, 0, 1))})
         e = F.abs(F.col("l1") + F.col("l2"))
     elif kind == "variance":
         both = stencil(v.withColumn("v2", F.col("v") * F.col("v")), (1,) * 5, None, ["v", "v2"], out=["s", "s2"])
@@ -39,10 +38,9 @@ def energy_map(px: DataFrame, kind: str = "laplacian") -> DataFrame:
 def bilateral(energy: DataFrame, sigma_color: float = 0.8, sigma_space: float = 2.0) -> DataFrame:
     """Edge-keeping smoothing of ``e`` over the cross of the four neighbours (radius 1)."""
     up, down, left, right = "u", "d", "l", "r"
-    near = stencil(energy, (1, 0, 0), (0, 1, 0), ["e"], out=[up])
-    near = stencil(near, (0, 0, 1), (0, 1, 0), ["e"], out=[down])
-    near = stencil(near, (0, 1, 0), (1, 0, 0), ["e"], out=[left])
-    near = stencil(near, (0, 1, 0), (0, 0, 1), ["e"], out=[right])
+    here, before, behind = (0, 1, 0), (1, 0, 0), (0, 0, 1)
+    taps = {up: (before, here), down: (behind, here), left: (here, before), right: (here, behind)}
+    near = stencils(energy, {side: ("e", *t) for side, t in taps.items()})
     space = math.exp(-1 / (2 * sigma_space**2))
 
     def weight(c: str) -> Column:
@@ -88,7 +86,7 @@ def depth_map(weights: DataFrame) -> DataFrame:
 def _pyramids(df: DataFrame, cols: list[str], levels: int) -> list[DataFrame]:
     out = [df]
     for _ in range(levels):
-        out.append(reduce(out[-1], cols, taps=BINOMIAL))
+        out.append(written(reduce(out[-1], cols, taps=BINOMIAL), "level"))  # each level is read three times
     return out
 
 
@@ -101,20 +99,20 @@ def weighted_blend(px: DataFrame, weights: DataFrame, levels: int = 5, depth: in
     both = px.select(*FRAME, "y", "x", "h", "w", *(F.col(c).cast("double") for c in bgr)).join(
         weights.select(*FRAME, "y", "x", "wt"), [*FRAME, "y", "x"]
     )
+    both = written(both, "weighted")  # weights come from many steps
     gauss = _pyramids(both, [*bgr, "wt"], levels)
     blended = []
     for k, level in enumerate(gauss):
         detail = level
         if k < levels:
-            up = expand(gauss[k + 1].drop("wt"), level, bgr, taps=BINOMIAL).drop("h", "w")
-            up = up.withColumnsRenamed({c: f"up_{c}" for c in bgr})
+            up = grown(gauss[k + 1], bgr, taps=BINOMIAL).withColumnsRenamed({c: f"up_{c}" for c in bgr})
             detail = level.join(up, [*FRAME, "y", "x"]).withColumns({c: F.col(c) - F.col(f"up_{c}") for c in bgr})
         total = F.sum("wt")
         summed = {c: F.when(total > 1e-8, F.sum(F.col(c) * F.col("wt")) / total).otherwise(0.0) for c in bgr}
         blended.append(detail.groupBy(*PLACE).agg(F.first("h").alias("h"), F.first("w").alias("w"), *(v.alias(c) for c, v in summed.items())))
     image = blended[-1]
     for detail in blended[-2::-1]:
-        up = expand(image, detail, bgr, ["stack_id"], BINOMIAL).drop("h", "w").withColumnsRenamed({c: f"up_{c}" for c in bgr})
+        up = grown(image, bgr, ["stack_id"], BINOMIAL).withColumnsRenamed({c: f"up_{c}" for c in bgr})
         image = detail.join(up, list(PLACE)).select(*PLACE, "h", "w", *((F.col(c) + F.col(f"up_{c}")).alias(c) for c in bgr))
     most = float((1 << depth) - 1)
     return image.select(*PLACE, *(F.floor(F.round(F.greatest(F.lit(0.0), F.least(F.col(c), F.lit(most))), 6)).cast("long").alias(c) for c in bgr))

@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stencil import FRAME, GENERATING, expand, reduce, stencil, with_size
+from ..sources.scratch import written
+from .stencil import FRAME, GENERATING, grown, reduce, stencil, with_size
 
 BGR = ("b", "g", "r")
 
@@ -29,15 +30,15 @@ def float_gray() -> Column:
 def laplacian_pyramid(px: DataFrame, levels: int, keys: Sequence[str] = FRAME, cols: Sequence[str] = BGR) -> list[DataFrame]:
     """Details from fine to coarse, the coarsest image last; each ``keys, y, x, h, w`` and ``cols`` as doubles.
 
-    The number of levels is a parameter of the plan: frames of one call share a shape (see ``validate_stack``).
+    The number of levels is a parameter of the plan: frames of one call share a shape (see ``validate_stack``). Coarse
+    levels are written, so the plan of a level does not hold those of the levels before it.
     """
     level = with_size(px, [k for k in keys if k != "frame_idx"] or list(keys))
-    level = level.select(*keys, "y", "x", "h", "w", *(F.col(c).cast("double") for c in cols))
+    level = level.select(*keys, *(F.col(c).cast("long") for c in ("y", "x", "h", "w")), *(F.col(c).cast("double") for c in cols))
     out = []
     for _ in range(levels):
-        coarse = reduce(level, cols, keys)
-        up = expand(coarse, level, cols, keys).drop("h", "w")
-        up = up.withColumnsRenamed({c: f"up_{c}" for c in cols})
+        coarse = written(reduce(level, cols, keys), "level")  # each level is read three times
+        up = grown(coarse, cols, keys).withColumnsRenamed({c: f"up_{c}" for c in cols})
         detail = level.join(up, [*keys, "y", "x"])
         out.append(detail.select(*keys, "y", "x", "h", "w", *((F.col(c) - F.col(f"up_{c}")).alias(c) for c in cols)))
         level = coarse
@@ -86,7 +87,7 @@ def collapse(pyramid: list[DataFrame], keys: Sequence[str] = ("stack_id",), cols
     """The image of a pyramid, from its coarsest level up."""
     image = pyramid[-1]
     for detail in pyramid[-2::-1]:
-        up = expand(image, detail, cols, keys).drop("h", "w").withColumnsRenamed({c: f"up_{c}" for c in cols})
+        up = grown(image, cols, keys).withColumnsRenamed({c: f"up_{c}" for c in cols})
         both = detail.join(up, [*keys, "y", "x"])
         image = both.select(*keys, "y", "x", "h", "w", *((F.col(c) + F.col(f"up_{c}")).alias(c) for c in cols))
     return image
@@ -99,7 +100,7 @@ def focus_stack_pyramid(px: DataFrame, levels: int, depth: int = 8, keys: Sequen
     rounding down.
     """
     pyramid = laplacian_pyramid(px, levels, [*keys, "frame_idx"])
-    fused = [focus_argmax(level, keys) for level in pyramid[:-1]] + [base_fusion(pyramid[-1], keys=keys)]
+    fused = [focus_argmax(level, keys) for level in pyramid[:-1]] + [written(base_fusion(pyramid[-1], keys=keys), "base")]
     image = collapse(fused, keys)
     most = float((1 << depth) - 1)
     return image.select(*keys, "y", "x", *(F.floor(F.round(F.least(F.abs(c), F.lit(most)), 6)).cast("long").alias(c) for c in BGR))

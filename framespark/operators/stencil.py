@@ -1,15 +1,22 @@
-"""Separable convolutions over pixel tables as two window passes, and the pyramid steps made of them.
+"""Separable convolutions over pixel tables by tiles, and the pyramid steps made of them.
 
-A pass mirrors the few rows next to both ends (reflection that does not repeat the edge), convolves by ``lag`` and
-``lead``, and drops the mirrored rows again. A partition is one line of one frame, so work spreads over lines.
+A tile of a frame is one group, with a margin of the pixels around it, so work spreads over tiles of bounded size and
+a convolution is one shuffle. A task lays its pixels out as an array, mirrors them beyond the frame's ends (reflection
+that does not repeat the edge) and adds up shifted arrays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StructField, StructType
+
+#: The side of a tile.
+TILE = 128
 
 FRAME = ("stack_id", "frame_idx")
 #: Taps of the pyramid's generating kernel times 20 (for its parameter 0.4), and of the binomial one times 16.
@@ -22,30 +29,22 @@ def with_size(px: DataFrame, keys: Sequence[str] = ("stack_id",)) -> DataFrame:
     return px.drop("h", "w").join(size, list(keys))
 
 
-def _pass(df: DataFrame, keys: Sequence[str], axis: str, size: str, taps: Sequence[float], cols: dict[str, Column], edge: str) -> DataFrame:
-    r = len(taps) // 2
-    other = "x" if axis == "y" else "y"
-    at, n = F.col(axis), F.col(size)
-    if edge == "reflect":
-        before, after = (at >= 1) & (at <= r), (at >= n - 1 - r) & (at <= n - 2)
-        places = F.array(at, F.when(before, -at), F.when(after, 2 * (n - 1) - at))
-    else:  # the edge row stands for all rows beyond it
-        places = F.array(at, *(F.when(at == 0, F.lit(-k)) for k in range(1, r + 1)), *(F.when(at == n - 1, n - 1 + k) for k in range(1, r + 1)))
-    spread = df.withColumn("_at", F.explode(F.array_compact(places)))
-    w = Window.partitionBy(*keys, other).orderBy("_at")
-
-    def folded(v: Column) -> Column:
-        total = None
-        for k, tap in enumerate(taps):
-            if tap == 0:
-                continue
-            off = k - r
-            term = v if off == 0 else F.lag(v, -off).over(w) if off < 0 else F.lead(v, off).over(w)
-            term = term if tap == 1 else term * F.lit(tap)
-            total = term if total is None else total + term
-        return total
-
-    return spread.withColumns({c: folded(v) for c, v in cols.items()}).filter(F.col("_at") == at).drop("_at")
+def _mirrored(lo: int, n: int, size: int, edge: str) -> np.ndarray:
+    """For n places from ``lo`` on, the places within a side of ``size`` that they show."""
+    at = np.arange(lo, lo + n)
+    if edge != "reflect":  # the edge row stands for all rows beyond it
+        return np.clip(at, 0, size - 1)
+    at = np.abs(at)
+    return np.where(at >= size, 2 * (size - 1) - at, at)
+
+
+def _convolved(a: np.ndarray, taps: Sequence[float], axis: int) -> np.ndarray:
+    n, total = a.shape[axis] - len(taps) + 1, None
+    for k, tap in enumerate(taps):
+        if tap:
+            part = a[k : k + n] if axis == 0 else a[:, k : k + n]
+            total = part * tap if total is None else total + part * tap
+    return np.zeros((n, a.shape[1]) if axis == 0 else (a.shape[0], n)) if total is None else total
 
 
 def stencil(
@@ -56,14 +55,54 @@ def stencil(
     keys: Sequence[str] = FRAME,
     out: Sequence[str] | None = None,
     edge: str = "reflect",
+    tile: int = TILE,
 ) -> DataFrame:
     """Convolves ``cols`` by ``taps_y`` along y and ``taps_x`` along x; ``df`` has columns ``h`` and ``w``.
 
-    Results are named ``out`` (by default they replace ``cols``). Sides must be longer than half the taps.
+    Results are named ``out`` (by default they replace ``cols``); they are whole numbers where columns and taps are.
+    Frames are dense, and their sides are longer than half the taps.
     """
-    out = list(out or cols)
-    done = _pass(df, keys, "y", "h", taps_y, {o: F.col(c) for o, c in zip(out, cols, strict=True)}, edge)
-    return _pass(done, keys, "x", "w", taps_x or taps_y, {o: F.col(o) for o in out}, edge)
+    return stencils(df, {o: (c, taps_y, taps_x or taps_y) for o, c in zip(out or cols, cols, strict=True)}, keys, edge, tile)
+
+
+def stencils(
+    df: DataFrame, results: dict[str, tuple[str, Sequence[float], Sequence[float]]], keys: Sequence[str] = FRAME, edge: str = "reflect", tile: int = TILE
+) -> DataFrame:
+    """Several convolutions in one pass: ``results`` maps each new column to its source, taps along y and taps along x."""
+    out = list(results)
+    ry, rx = (max(len(r[k]) // 2 for r in results.values()) for k in (1, 2))
+    types = {f.name: f.dataType for f in df.schema}
+    kinds = {o: "long" if all(isinstance(t, int) for t in (*ty, *tx)) and isinstance(types[c], IntegralType) else "double" for o, (c, ty, tx) in results.items()}
+    names = [c for c in df.columns if c not in kinds] + out
+    schema = StructType([StructField(c, types[c]) for c in names[: -len(out)]])
+    for o in out:
+        schema = schema.add(o, kinds[o])
+
+    def tiles(at: str, size: str, r: int) -> Column:
+        last = F.expr(f"({size} - 1) div {tile}")
+        near = F.expr(f"({at} - {r}) div {tile}"), F.expr(f"({at} + {r}) div {tile}")
+        return F.array_distinct(F.array(F.greatest(near[0], F.lit(0)), F.least(near[1], last)))
+
+    def run(table: pa.Table) -> pa.Table:
+        y, x, ty, tx, h, w = (table.column(c).to_numpy() for c in ("y", "x", "_ty", "_tx", "h", "w"))
+        y0, x0, height, width = ty[0] * tile, tx[0] * tile, h[0], w[0]
+        rows, columns = min(tile, height - y0), min(tile, width - x0)
+        from_y = _mirrored(y0 - ry, rows + 2 * ry, height, edge) - (y0 - ry)
+        from_x = _mirrored(x0 - rx, columns + 2 * rx, width, edge) - (x0 - rx)
+        home = np.flatnonzero((y >= y0) & (y < y0 + tile) & (x >= x0) & (x < x0 + tile))
+        kept = table.take(pa.array(home))
+        done = [kept.column(c) for c in names[: -len(out)]]
+        for o, (c, taps_y, taps_x) in results.items():
+            dense = np.zeros((rows + 2 * ry, columns + 2 * rx), np.float64 if kinds[o] == "double" else np.int64)
+            dense[y - (y0 - ry), x - (x0 - rx)] = table.column(c).to_numpy()
+            cut_y, cut_x = ry - len(taps_y) // 2, rx - len(taps_x) // 2  # shorter taps need less of the margin
+            dense = dense[from_y][:, from_x][cut_y : len(from_y) - cut_y, cut_x : len(from_x) - cut_x]
+            dense = _convolved(_convolved(dense, taps_y, 0), taps_x, 1)
+            done.append(pa.chunked_array([pa.array(dense[y[home] - y0, x[home] - x0].astype(dense.dtype))]))
+        return pa.table(done, names=names)
+
+    spread = df.withColumn("_ty", F.explode(tiles("y", "h", ry))).withColumn("_tx", F.explode(tiles("x", "w", rx)))
+    return spread.groupBy(*keys, "_ty", "_tx").applyInArrow(run, schema)
 
 
 def gaussian_taps(sigma: float, size: int | None = None) -> list[float]:
@@ -84,21 +123,42 @@ def reduce(px: DataFrame, cols: Sequence[str], keys: Sequence[str] = FRAME, taps
     return kept.withColumns(halves | {c: F.col(c) / total for c in cols})
 
 
-def expand(coarse: DataFrame, fine: DataFrame, cols: Sequence[str], keys: Sequence[str] = FRAME, taps: Sequence[int] = GENERATING) -> DataFrame:
-    """``coarse`` on the grid of ``fine``: zeros between, convolved, times 4. ``fine`` gives ``keys, y, x, h, w``.
+def grown(coarse: DataFrame, cols: Sequence[str], keys: Sequence[str] = FRAME, taps: Sequence[int] = GENERATING, tile: int = TILE) -> DataFrame:
+    """(keys, y, x, cols) of ``coarse`` at twice its size: zeros between, convolved, times 4.
 
-    Zeros lie on a grid of exactly twice the coarse size, which is cut to the fine size afterwards.
+    Zeros lie on a grid of exactly twice the coarse size, beyond which it is mirrored; what a fine frame lacks of that
+    grid goes when the two are joined.
     """
-    total = sum(taps) ** 2 / 4.0
-    grid = coarse.select(*keys, "y", "x", (2 * F.col("h")).alias("h"), (2 * F.col("w")).alias("w"), *cols)
-    four = F.explode(F.array(*(F.struct(F.lit(j).alias("dy"), F.lit(i).alias("dx")) for j in (0, 1) for i in (0, 1))))
-    zeros = grid.withColumn("_o", four)
-    corner = (F.col("_o.dy") == 0) & (F.col("_o.dx") == 0)
-    spread = zeros.select(
-        *keys, (2 * F.col("y") + F.col("_o.dy")).alias("y"), (2 * F.col("x") + F.col("_o.dx")).alias("x"), "h", "w",
-        *(F.when(corner, F.col(c)).otherwise(F.lit(0.0)).alias(c) for c in cols),
-    )
-    smooth = stencil(spread, taps, None, cols, keys).drop("h", "w")
-    smooth = smooth.select(*keys, "y", "x", *(F.col(c) / total for c in cols))
-    smooth = smooth.toDF(*keys, "y", "x", *cols)
-    return fine.select(*keys, "y", "x", "h", "w").join(smooth, [*keys, "y", "x"])
+    scale, r, half = 4.0 / sum(taps) ** 2, len(taps) // 2, tile // 2
+    m = (r + 1) // 2  # the margin in coarse pixels
+    types = {f.name: f.dataType for f in coarse.schema}
+    schema = StructType([StructField(k, types[k]) for k in keys]).add("y", "long").add("x", "long")
+    for c in cols:
+        schema = schema.add(c, "double")
+
+    def run(table: pa.Table) -> pa.Table:
+        y, x, ty, tx, h, w = (table.column(c).to_numpy() for c in ("y", "x", "_ty", "_tx", "h", "w"))
+        y0, x0 = ty[0] * half, tx[0] * half
+        rows, columns = min(half, h[0] - y0), min(half, w[0] - x0)
+        from_y = _mirrored(2 * y0 - r, 2 * rows + 2 * r, 2 * h[0], "reflect") - 2 * (y0 - m)
+        from_x = _mirrored(2 * x0 - r, 2 * columns + 2 * r, 2 * w[0], "reflect") - 2 * (x0 - m)
+        at = 2 * (y - y0 + m), 2 * (x - x0 + m)
+        n = 4 * rows * columns
+        done = [pa.chunked_array([pa.repeat(table.column(k)[0], n)]) for k in keys]
+        done += [np.repeat(2 * y0 + np.arange(2 * rows), 2 * columns), np.tile(2 * x0 + np.arange(2 * columns), 2 * rows)]
+        for c in cols:
+            dense = np.zeros((2 * (rows + 2 * m), 2 * (columns + 2 * m)))
+            dense[at] = table.column(c).to_numpy()
+            done.append((_convolved(_convolved(dense[from_y][:, from_x], taps, 0), taps, 1) * scale).ravel())
+        return pa.table(done, names=schema.names)
+
+    spread = coarse.select(*keys, "y", "x", "h", "w", *cols)
+    for at, size in (("y", "h"), ("x", "w")):
+        near = F.expr(f"({at} - {m}) div {half}"), F.expr(f"({at} + {m}) div {half}"), F.expr(f"({size} - 1) div {half}")
+        spread = spread.withColumn(f"_t{at}", F.explode(F.array_distinct(F.array(F.greatest(near[0], F.lit(0)), F.least(near[1], near[2])))))
+    return spread.groupBy(*keys, "_ty", "_tx").applyInArrow(run, schema)
+
+
+def expand(coarse: DataFrame, fine: DataFrame, cols: Sequence[str], keys: Sequence[str] = FRAME, taps: Sequence[int] = GENERATING) -> DataFrame:
+    """``coarse`` on the grid of ``fine``, which gives ``keys, y, x, h, w``."""
+    return fine.select(*keys, "y", "x", "h", "w").join(grown(coarse, cols, keys, taps), [*keys, "y", "x"])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,26 +9,19 @@ from pyspark.sql import functions as F
 
 from ..operators import align, balance, depthmap, noise, pyramid, vignette
 from ..operators.stencil import with_size
+from ..sources.scratch import written
 from .bunches import bunches
 
 Step = Callable[[DataFrame], DataFrame]
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder (a new local one only where none is set) and read again."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def stack_pipeline(px: DataFrame, steps: list[Step]) -> DataFrame:
     """The steps in order, each a function from pixels to pixels; frames whose pixels become null are dropped.
 
     Steps use their input several times (statistics, then pixels), so it is written once between them.
     """
     for step in steps:
-        px = cut_lineage(step(px))
+        px = written(step(px), "step")
     return px.filter(F.col("b").isNotNull())
 
 
