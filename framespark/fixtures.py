@@ -35,6 +35,13 @@ def sharp_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def large_pixels(spark: SparkSession, sf_dir: str, scale: int = 11) -> DataFrame:
+    """The sharp stacks with every pixel as a square of ``scale`` x ``scale``: frames 275 pixels wide by default."""
+    places = [F.explode(F.sequence(F.lit(0), F.lit(scale - 1))).alias(c) for c in ("dy", "dx")]
+    spread = sharp_pixels(spark, sf_dir).select("*", places[0]).select("*", places[1])
+    return spread.selectExpr("stack_id", "frame_idx", f"y * {scale} + dy y", f"x * {scale} + dx x", "b", "g", "r")
+
+
 def gray_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stack of ten gray frames, 64 pixels wide, from ``embeddings``."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("x", "e"))
@@ -114,6 +121,8 @@ SQL_SHARP = SQL_PIXELS.replace("px AS", "px1 AS") + """, px AS (
            CASE WHEN (y // 5) % 4 = frame_idx THEN b ELSE (x * 9 + y * 5) % 256 END b,
            CASE WHEN (y // 5) % 4 = frame_idx THEN g ELSE (x * 9 + y * 5) % 256 END g,
            CASE WHEN (y // 5) % 4 = frame_idx THEN r ELSE (x * 9 + y * 5) % 256 END r FROM px1)"""
+SQL_LARGE = SQL_SHARP.replace(" px AS (", " px2 AS (") + """, px AS MATERIALIZED (
+    SELECT stack_id, frame_idx, y * 11 + dy.range y, x * 11 + dx.range x, b, g, r FROM px2, range(11) dy, range(11) dx)"""
 SQL_GRAY = """gp AS (
     SELECT vec_id % 10 frame_idx, vec_id // 10 y, unnest(generate_series(0, len(embedding) - 1)) x, unnest(embedding) e
     FROM embeddings

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,12 @@ def _struct(**fields: Column) -> Column:
     return F.struct(*(v.alias(k) for k, v in fields.items()))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it: else expressions within expressions grow too
+    large to be planned."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _whole(v: Column, most: int) -> Column:
     """Clipped to the range and cut to a whole number."""
     return F.floor(F.greatest(F.lit(0.0), F.least(v, F.lit(float(most))))).cast("long")
@@ -122,14 +130,19 @@ def lab_to_bgr(l: Channel, a: Channel, b: Channel, depth: int = 16) -> Column:
     fy = (_c(l) / 652.8 + 16) / 116
     fx, fz = (_c(a) / 256.0 - 128) / 500 + fy, fy - (_c(b) / 256.0 - 128) / 200
     x, y, z = (F.when(f > EDGE, f * f * f).otherwise(3 * EDGE * EDGE * (f - 4 / 29)) for f in (fx, fy, fz))
-    xyz = (x * WHITE_X, y, z * WHITE_Z)
-    out = []
-    for row in FROM_XYZ:
-        c = sum((k * v for k, v in zip(row[1:], xyz[1:], strict=True)), row[0] * xyz[0])
-        c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-        c = F.when(c <= 0.0031308, 12.92 * c).otherwise(1.055 * F.pow(c, F.lit(1 / 2.4)) - 0.055)
-        out.append(_whole(c * top(depth), top(depth)))
-    return _struct(b=out[2], g=out[1], r=out[0])
+
+    def channels(xyz: Column) -> Column:
+        linear = []
+        for row in FROM_XYZ:
+            c = sum((k * xyz[v] for k, v in zip(row[1:], "yz", strict=True)), row[0] * xyz["x"])
+            linear.append(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
+        return _struct(r=linear[0], g=linear[1], b=linear[2])
+
+    def curved(rgb: Column) -> Column:
+        bent = {n: F.when(rgb[n] <= 0.0031308, 12.92 * rgb[n]).otherwise(1.055 * F.pow(rgb[n], F.lit(1 / 2.4)) - 0.055) for n in "bgr"}
+        return _struct(**{n: _whole(c * top(depth), top(depth)) for n, c in bent.items()})
+
+    return once(once(_struct(x=x * WHITE_X, y=y, z=z * WHITE_Z), channels), curved)
 
 
 def white_balance(b: Channel, g: Channel, r: Channel, target_rgb: tuple[float, float, float], depth: int = 8) -> Column:

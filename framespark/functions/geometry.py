@@ -29,8 +29,8 @@ def decompose_affine(m: Column | str) -> Column:
     )
 
 
-#: Limits of a normal and of a large affine distortion (rotation, least and most scale, shear, share
-#: of the diagonal), and of a homography (area ratio, aspect ratio, corner angle).
+#: Limits of a normal and of a large affine distortion (rotation, least and most scale, shear, share of
+#: the width or height), and of a homography (area ratio, aspect ratio, corner angle).
 AFFINE_LIMITS = {"normal": (10.0, 0.9, 1.1, 5.0, 0.1), "large": (20.0, 0.5, 1.5, 10.0, 0.2)}
 HOMOGRAPHY_LIMITS = {"normal": (1.5, 2.0, 10.0), "large": (2.0, 4.0, 12.0)}
 
@@ -39,10 +39,9 @@ def check_affine(m: Column | str, height: float, width: float, limits: str = "no
     """The reasons against a transform, joined by '; '; empty if it is valid."""
     rotation, low, high, shear, share = AFFINE_LIMITS[limits]
     p = decompose_affine(m)
-    most = (height * height + width * width) ** 0.5 * share
-    scale = (p["sx"] < low) | (p["sx"] > high) | (p["sy"] < low) | (p["sy"] > high)
-    far = F.sqrt(p["tx"] * p["tx"] + p["ty"] * p["ty"]) > most
-    reasons = [(F.abs(p["rotation"]) > rotation, "rotation"), (scale, "scale"), (F.abs(p["shear"]) > shear, "shear"), (far, "translation")]
+    scales = [((p[s] < low) | (p[s] > high), f"{s[1]}-scale") for s in ("sx", "sy")]
+    far = [(F.abs(p["tx"]) > width * share, "x-translation"), (F.abs(p["ty"]) > height * share, "y-translation")]
+    reasons = [(F.abs(p["rotation"]) > rotation, "rotation"), *scales, (F.abs(p["shear"]) > shear, "shear"), *far]
     return F.concat_ws("; ", F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in reasons))))
 
 
@@ -58,7 +57,7 @@ def check_homography(m: Column | str, height: float, width: float, limits: str =
     The aspect is that of the least rectangle around the four corners; one of its sides lies along an edge.
     """
     area_limit, aspect_limit, angle_limit = HOMOGRAPHY_LIMITS[limits]
-    corners = [(0.0, 0.0), (width - 1.0, 0.0), (width - 1.0, height - 1.0), (0.0, height - 1.0)]
+    corners = [(0.0, 0.0), (width, 0.0), (width, height), (0.0, height)]
     placed = [apply(m, F.lit(x), F.lit(y)) for x, y in corners]
     points = F.array(*(F.struct(u.alias("x"), v.alias("y")) for u, v in placed))
 
@@ -66,15 +65,15 @@ def check_homography(m: Column | str, height: float, width: float, limits: str =
         p = [(c[i]["x"], c[i]["y"]) for i in range(4)]
         edges = list(zip(p, p[1:] + p[:1], strict=True))
         twice = sum((a[0] * b[1] - b[0] * a[1] for a, b in edges), F.lit(0.0))
-        ratio = F.abs(twice) / 2 / ((width - 1.0) * (height - 1.0))
+        ratio = F.abs(twice) / 2 / (width * height)
         sides = F.array(*(_box(p, a, b) for a, b in edges))
         boxes = F.transform(sides, lambda e: F.struct(F.round(e["s"] * e["t"], 6).alias("area"), (F.greatest(e["s"], e["t"]) / F.least(e["s"], e["t"])).alias("aspect")))
         angle = F.array_max(F.array(*(_off_square(p[i - 1], p[i], p[(i + 1) % 4]) for i in range(4))))
         return F.struct(ratio.alias("ratio"), F.array_min(boxes)["aspect"].alias("aspect"), angle.alias("angle"))
 
     def judge(q: Column) -> Column:
-        ratio = F.greatest(q["ratio"], 1 / q["ratio"])
-        reasons = [(ratio > area_limit, "area"), (q["aspect"] > aspect_limit, "aspect"), (q["angle"] > angle_limit, "angle")]
+        ratio = q["ratio"]
+        reasons = [((ratio > area_limit) | (ratio < 1 / area_limit), "area"), (q["aspect"] > aspect_limit, "aspect"), (q["angle"] > angle_limit, "angle")]
         text = F.concat_ws("; ", F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in reasons))))
         return F.struct(ratio.alias("area_ratio"), q["aspect"].alias("aspect"), q["angle"].alias("angle"), text.alias("reasons"))
 

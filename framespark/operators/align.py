@@ -4,21 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from ..sources.scratch import written
 from .stencil import FRAME, stencil, stencils
 
 PAIR = ("stack_id", "frame_idx")
-#: The side on which descriptors meet in blocks: keypoints of one frame held by one task.
+#: Keypoints of a frame that meet keypoints of its target in one task; fuller frames meet by parts.
 BLOCK = 2048
 
 
-def _word(bits: list[Column]) -> Column:
-    return sum((F.when(b, F.lit(1 << i)).otherwise(0).cast("long") for i, b in enumerate(bits)), F.lit(0).cast("long"))
-
-
 def detect_keypoints(px: DataFrame, top_k: int = 500, k: float = 0.04) -> DataFrame:
     """(stack_id, frame_idx, kp_id, y, x, response, bits) of gray frames: the strongest corners of each frame.
 
@@ -45,28 +43,72 @@ def detect_keypoints(px: DataFrame, top_k: int = 500, k: float = 0.04) -> DataFr
     return best.join(bits, [*FRAME, "kp_id"])
 
 
-def _meet(kp: DataFrame, pairs: DataFrame, cols: list[str]) -> DataFrame:
-    """Keypoints of each frame beside those of its target: a frame holds a bounded number of keypoints."""
-    left = kp.select(*PAIR, F.col("kp_id").alias("kp0"), *(F.col(c).alias(f"{c}0") for c in cols)).join(pairs, list(PAIR))
-    right = kp.select("stack_id", F.col("frame_idx").alias("target_idx"), F.col("kp_id").alias("kp1"), *(F.col(c).alias(f"{c}1") for c in cols))
-    return left.join(right, ["stack_id", "target_idx"])
-
+def _meet(kp: DataFrame, pairs: DataFrame, col: str, keep: int, block: int = BLOCK) -> DataFrame:
+    """(stack_id, frame_idx, target_idx, way, kp, other, dist): the ``keep`` nearest that each keypoint has in each part of
+    the other frame; way 0 is from a frame to its target, way 1 back. Frames meet part by part, so a task holds two
+    parts, and no pair but those kept leaves it."""
+    parts = kp.groupBy(*PAIR).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    placed = kp.select(*PAIR, F.col("kp_id").alias("kp"), F.col(col).alias("d")).join(parts, list(PAIR))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("kp"), F.col("parts")).cast("int"))
+    other = parts.select("stack_id", F.col("frame_idx").alias("of"), F.col("parts").alias("others"))
+    each = F.explode(F.sequence(F.lit(0), F.col("others") - 1))
+    pairs = pairs.select(*PAIR, "target_idx")
+    left = placed.join(pairs, list(PAIR)).join(other, (F.col("of") == F.col("target_idx")) & (placed["stack_id"] == other["stack_id"]))
+    left = left.select(pairs["stack_id"], pairs["frame_idx"], "target_idx", F.lit(0).alias("way"), F.col("part").alias("p0"), each.alias("p1"), "kp", "d")
+    there = placed.withColumnRenamed("frame_idx", "target_idx").join(pairs, ["stack_id", "target_idx"])
+    right = there.join(other.withColumnRenamed("of", "frame_idx"), list(PAIR)).select(
+        *PAIR, "target_idx", F.lit(1).alias("way"), each.alias("p0"), F.col("part").alias("p1"), "kp", "d"
+    )
 
-def match_knn(kp: DataFrame, pairs: DataFrame, ratio: float = 0.75) -> DataFrame:
+    def distances(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+        if pa.types.is_integer(a.type):
+            return np.bitwise_count(a.to_numpy()[:, None] ^ b.to_numpy()[None, :]).astype(np.float64)
+        x, y = (pa.concat_arrays(c.chunks).flatten().to_numpy().astype(np.float64).reshape(len(c), -1) for c in (a, b))
+        out, step = np.zeros((len(x), len(y))), max(1, (1 << 20) // max(1, y.size))
+        for lo in range(0, len(x), step):
+            out[lo : lo + step] = ((x[lo : lo + step, None, :] - y[None, :, :]) ** 2).sum(axis=2)
+        return np.round(np.sqrt(out), 9)
+
+    def run(table: pa.Table) -> pa.Table:
+        way = table.column("way").to_numpy()
+        sides = [table.filter(pa.array(way == k)) for k in (0, 1)]
+        rows = []
+        if all(t.num_rows for t in sides):
+            dist = distances(sides[0].column("d"), sides[1].column("d"))
+            ids = [t.column("kp").to_numpy() for t in sides]
+            for k, d in ((0, dist), (1, dist.T)):
+                best = np.lexsort((np.broadcast_to(ids[1 - k], d.shape), d), axis=1)[:, :keep]
+                for i, own in enumerate(best):
+                    rows += [(k, int(ids[k][i]), int(ids[1 - k][j]), float(d[i, j])) for j in own]
+        names = {c: [table.column(c)[0].as_py()] * len(rows) for c in (*PAIR, "target_idx")} if rows else {c: [] for c in (*PAIR, "target_idx")}
+        kinds = [("way", pa.int32()), ("kp", pa.int64()), ("other", pa.int64()), ("dist", pa.float64())]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in names.items()} | {n: pa.array(v, t) for (n, t), v in zip(kinds, columns, strict=True)})
+
+    schema = "stack_id long, frame_idx long, target_idx long, way int, kp long, other long, dist double"
+    return left.unionByName(right).groupBy(*PAIR, "target_idx", "p0", "p1").applyInArrow(run, schema)
+
+
+def match_knn(kp: DataFrame, pairs: DataFrame, ratio: float = 0.75, block: int = BLOCK) -> DataFrame:
     """Nearest descriptors by Euclidean distance that are nearer than ``ratio`` times the second nearest."""
-    gaps = F.aggregate(F.zip_with("desc0", "desc1", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v)
-    met = _meet(kp, pairs, ["desc"]).select(*PAIR, "target_idx", "kp0", "kp1", F.round(F.sqrt(gaps), 9).alias("dist"))
-    nearest = met.groupBy(*PAIR, "target_idx", "kp0").agg(F.min(F.struct("dist", "kp1")).alias("d1"), F.sort_array(F.collect_list("dist"))[1].alias("d2"))
-    return nearest.filter(F.col("d1.dist") < ratio * F.col("d2")).select(*PAIR, "target_idx", "kp0", "d1.kp1", "d1.dist")
+    met = _meet(kp, pairs, "desc", 2, block).filter("way = 0")
+    order = Window.partitionBy(*PAIR, "target_idx", "kp").orderBy("dist", "other")
+    two = met.withColumn("rank", F.row_number().over(order)).filter("rank <= 2")
+    nearest = two.groupBy(*PAIR, "target_idx", F.col("kp").alias("kp0")).agg(
+        *(F.max(F.when(F.col("rank") == k, F.col(c))).alias(n) for k, c, n in ((1, "other", "kp1"), (1, "dist", "dist"), (2, "dist", "second")))
+    )
+    return nearest.filter(F.col("dist") < ratio * F.col("second")).select(*PAIR, "target_idx", "kp0", "kp1", "dist")
 
 
-def match_cross_check(kp: DataFrame, pairs: DataFrame) -> DataFrame:
+def match_cross_check(kp: DataFrame, pairs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs of binary descriptors that are each other's nearest by Hamming distance; ties go to the lower id."""
-    met = _meet(kp, pairs, ["bits"]).select(*PAIR, "target_idx", "kp0", "kp1", F.bit_count(F.col("bits0").bitwiseXOR(F.col("bits1"))).cast("long").alias("dist"))
-    forth = met.groupBy(*PAIR, "target_idx", "kp0").agg(F.min(F.struct("dist", "kp1")).alias("a"))
-    back = met.groupBy(*PAIR, "target_idx", "kp1").agg(F.min(F.struct("dist", "kp0")).alias("b"))
-    forth = forth.select(*PAIR, "target_idx", "kp0", "a.kp1", "a.dist")
-    return forth.join(back.select(*PAIR, "target_idx", "kp1", "b.kp0"), [*PAIR, "target_idx", "kp0", "kp1"])
+    best = F.min(F.struct("dist", "other")).alias("best")
+    nearest = _meet(kp, pairs, "bits", 1, block).groupBy(*PAIR, "target_idx", "way", "kp").agg(best)
+    # a pair that holds both ways is met twice
+    kp0 = F.when(F.col("way") == 0, F.col("kp")).otherwise(F.col("best.other")).alias("kp0")
+    kp1 = F.when(F.col("way") == 0, F.col("best.other")).otherwise(F.col("kp")).alias("kp1")
+    both = nearest.groupBy(*PAIR, "target_idx", kp0, kp1).agg(F.count("*").alias("ways"), F.first("best.dist").cast("long").alias("dist"))
+    return both.filter("ways = 2").select(*PAIR, "target_idx", "kp0", "kp1", "dist")
 
 
 def pair_frames(frames: DataFrame, refs: DataFrame, delta_max: int = 2) -> DataFrame:
@@ -184,11 +226,15 @@ def homography_fit(matches: DataFrame) -> DataFrame:
     return matches.groupBy(*PAIR).applyInPandas(run, "stack_id long, frame_idx long, m array<double>")
 
 
-def phase_shift(px: DataFrame, pairs: DataFrame, scales: tuple[float, float] = (0.9, 1.1)) -> DataFrame:
+def phase_shift(px: DataFrame, pairs: DataFrame, scales: tuple[float, float] = (0.9, 1.1), factor: int = 1) -> DataFrame:
     """(stack_id, frame_idx, target_idx, dx, dy, scale): shift by phase correlation of Hann-windowed gray frames.
 
-    A frame and its target are one group. The scale comes from radial profiles of log magnitudes.
+    A frame and its target are one group, of every ``factor``-th row and column: choose it so that two such frames fit a
+    task (``auto_factor``). The shift is told to a fraction of a pixel by the centre of mass around the peak. The scale
+    comes from radial profiles of log magnitudes; it is told, not corrected for.
     """
+    if factor > 1:
+        px = px.filter((F.col("y") % factor == 0) & (F.col("x") % factor == 0)).withColumns({c: F.expr(f"{c} div {factor}") for c in ("y", "x")})
     a = px.join(pairs.select(*PAIR, "target_idx"), list(PAIR)).withColumn("side", F.lit(0))
     b = px.join(pairs.select("stack_id", F.col("frame_idx").alias("of"), F.col("target_idx").alias("frame_idx")), ["stack_id", "frame_idx"])
     b = b.select("stack_id", F.col("of").alias("frame_idx"), F.col("frame_idx").alias("target_idx"), "y", "x", "v", F.lit(1).alias("side"))
@@ -208,8 +254,12 @@ def phase_shift(px: DataFrame, pairs: DataFrame, scales: tuple[float, float] = (
         grid = np.linspace(*scales, 41)
         errors = [np.mean((np.interp(at * s, at, profile[0]) - profile[1])[1:33] ** 2) for s in grid]
         cross = np.conj(f) * g
-        peak = np.unravel_index(np.argmax(np.abs(np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)))), (h, w))
-        dy, dx = (p - n if p > n // 2 else p for p, n in zip(peak, (h, w), strict=True))
+        surface = np.abs(np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)))
+        peak = np.unravel_index(np.argmax(surface), (h, w))
+        near = np.arange(-2, 3)
+        around = surface[np.ix_((peak[0] + near) % h, (peak[1] + near) % w)]
+        parts = (around.sum(axis=1) @ near, around.sum(axis=0) @ near)
+        dy, dx = (factor * ((p - n if p > n // 2 else p) + c / around.sum()) for p, n, c in zip(peak, (h, w), parts, strict=True))
         key = {c: pdf[c].iloc[:1] for c in ("stack_id", "frame_idx", "target_idx")}
         return pd.DataFrame(key | {"dx": float(dx), "dy": float(dy), "scale": float(grid[int(np.argmin(errors))])})
 
@@ -219,28 +269,30 @@ def phase_shift(px: DataFrame, pairs: DataFrame, scales: tuple[float, float] = (
 
 
 def compose_chain(transforms: DataFrame, refs: DataFrame) -> DataFrame:
-    """(stack_id, frame_idx, m): each frame's way to the reference, composed outward from it.
+    """(stack_id, frame_idx, m): each frame's way to the reference.
 
-    ``transforms(stack_id, frame_idx, target_idx, m)``: frame to target. A stack's few matrices are folded in order
-    of distance from the reference; a frame whose chain is broken is left out.
+    ``transforms(stack_id, frame_idx, target_idx, m)``: frame to target. By pointer jumping: in every round each way is
+    prolonged by its end's own way, so rounds are logarithmic in the longest chain and no row holds a stack. A frame
+    whose chain is broken, or runs in a circle, is left out.
     """
     unit = F.array(*map(F.lit, (1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0))).cast("array<double>")
-    held = transforms.join(refs, "stack_id")
-    far = F.abs(F.col("frame_idx") - F.col("ref_idx"))
-    steps = held.groupBy("stack_id", "ref_idx").agg(
-        F.sort_array(F.collect_list(F.struct(far.alias("far"), F.col("frame_idx").alias("i"), F.col("target_idx").alias("t"), "m"))).alias("steps")
-    )
-
-    def add(done: Column, step: Column) -> Column:
-        known = F.element_at(done, step["t"])
-        more = F.map_concat(done, F.create_map(step["i"], geometry.compose(step["m"], known)))
-        return F.when(F.map_contains_key(done, step["t"]), more).otherwise(done)
-
-    chained = F.aggregate("steps", F.create_map(F.col("ref_idx"), unit), add)
-    return steps.select("stack_id", F.explode(chained).alias("frame_idx", "m"))
+    ways = transforms.join(refs, "stack_id").filter("frame_idx <> ref_idx").select(*PAIR, F.col("target_idx").alias("at"), "ref_idx", "m")
+    for _ in range(64):  # more rounds than any chain needs: one that goes on runs in a circle
+        end = ways.select("stack_id", F.col("frame_idx").alias("at"), F.col("at").alias("to"), F.col("m").alias("more"))
+        on = F.col("to").isNotNull()
+        ways = ways.join(end, ["stack_id", "at"], "left").select(
+            *PAIR, F.coalesce("to", "at").alias("at"), "ref_idx", F.when(on, geometry.compose("m", "more")).otherwise(F.col("m")).alias("m"), on.alias("moved")
+        )
+        ways = written(ways, "ways")
+        if ways.filter("moved").isEmpty():
+            break
+        ways = ways.drop("moved")
+    found = ways.filter("at = ref_idx").select(*PAIR, "m")
+    return found.unionByName(refs.select("stack_id", F.col("ref_idx").alias("frame_idx"), unit.alias("m")))
 
 
 def without_transform(frames: DataFrame, chained: DataFrame) -> DataFrame:
+    """The frames that no chain of transforms leads to the reference."""
     return frames.join(chained.select(*PAIR), list(PAIR), "left_anti")
 
 

@@ -39,8 +39,16 @@ def circular_mask(px: DataFrame, mask_size: float) -> DataFrame:
     return px.filter(dx * dx + dy * dy <= radius * radius)
 
 
-def histogram(px: DataFrame, mode: str = "LUMI", depth: int = 8) -> DataFrame:
-    """(stack_id, frame_idx, channel, value, n): partial counts before the one shuffle."""
+def histogram(px: DataFrame, mode: str = "LUMI", depth: int = 8, factor: int = 1, mask_size: float = 0.0) -> DataFrame:
+    """(stack_id, frame_idx, channel, value, n): partial counts before the one shuffle.
+
+    ``factor`` takes every n-th row and column; ``mask_size`` over 0 counts within that circle alone (``px`` has ``h`` and
+    ``w``).
+    """
+    if mask_size > 0:
+        px = circular_mask(px, mask_size)
+    if factor > 1:
+        px = px.filter((F.col("y") % factor == 0) & (F.col("x") % factor == 0))
     named = channels(mode, depth)
     pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("channel"), v.cast("long").alias("value")) for k, v in named.items())))
     rows = px.select("stack_id", "frame_idx", pairs.alias("p")).select("stack_id", "frame_idx", "p.*")
@@ -109,30 +117,36 @@ def cumulative(hist: DataFrame, depth: int = 8) -> DataFrame:
 def match_histogram(hist: DataFrame, refs: DataFrame, depth: int = 8) -> DataFrame:
     """(…, value, out): the table that gives each frame the reference's distribution.
 
-    A frame's cumulated share is looked up in the reference's by linear interpolation, found by an interval join.
-    The first plateau becomes a ramp up to the least other result; the last one is carried on towards the largest.
+    A frame's cumulated share is looked up in the reference's by linear interpolation: knots and asked shares of a frame
+    are sorted together, and each share takes the last knot before it. The first plateau becomes a ramp up to the least
+    other result; the last one is carried on towards the largest.
     """
     most = color.top(depth)
     cdf = cumulative(hist, depth)
-    ref = reference_rows(cdf, refs)
     by = Window.partitionBy("stack_id", "channel")
     ordered = by.orderBy("value")
-    knots = ref.select(
-        "stack_id", "channel", F.col("value").alias("v0"), F.col("cdf").alias("c0"),
-        F.lead("cdf").over(ordered).alias("c1"), F.min("cdf").over(by).alias("least"), F.max("cdf").over(by).alias("most"),
+    # the last value of a plateau is its knot, but for the highest one, of which it is the first
+    knots = reference_rows(cdf, refs).select(
+        "stack_id", "channel", F.col("value").alias("v0"), F.col("cdf").alias("c0"), F.lead("cdf").over(ordered).alias("c1"),
+        F.lag("cdf").over(ordered).alias("before"), F.max("cdf").over(by).alias("most"),
     )
-    bounds = knots.select("stack_id", "channel", "least", "most").distinct()
-    asked = cdf.join(bounds, ["stack_id", "channel"]).withColumn("c", F.greatest("least", F.least("most", "cdf"))).drop("least", "most")
-    # the last value of a plateau is its knot: intervals are half open, except at the upper end
-    top_knot = (F.col("c") >= F.col("most")) & (F.col("c0") == F.col("most"))
-    joined = asked.join(knots.drop("least"), ["stack_id", "channel"]).filter(
-        ((F.col("c") >= F.col("c0")) & (F.col("c") < F.col("c1"))) | top_knot
-    )
-    rows = Window.partitionBy("stack_id", "frame_idx", "channel", "value").orderBy(F.col("v0"))
-    first = joined.withColumn("k", F.row_number().over(rows)).filter("k = 1")
-    at = F.when(top_knot, F.col("v0").cast("double")).otherwise(
-        F.col("v0") + (F.col("c") - F.col("c0")) / (F.col("c1") - F.col("c0"))
-    )
+    rises = F.col("c0") < F.col("c1")
+    tops = (F.col("c0") == F.col("most")) & (F.col("before").isNull() | (F.col("before") < F.col("most")))
+    knots = knots.filter(rises | tops).withColumn("c1", F.when(tops, None).otherwise(F.col("c1")))
+    bounds = knots.groupBy("stack_id", "channel").agg(F.min("c0").alias("least"), F.max("c0").alias("most"))
+    asked = cdf.join(bounds, ["stack_id", "channel"]).select(
+        "stack_id", "frame_idx", "channel", F.greatest("least", F.least("most", "cdf")).alias("c"), F.lit(1).alias("kind"), "value",
+        F.lit(None).cast("struct<v0: bigint, c0: double, c1: double>").alias("knot"),
+    )
+    frames = hist.select("stack_id", "frame_idx", "channel").distinct()
+    held = frames.join(knots, ["stack_id", "channel"]).select(
+        "stack_id", "frame_idx", "channel", F.col("c0").alias("c"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("value"),
+        F.struct("v0", "c0", "c1").alias("knot"),
+    )
+    along = Window.partitionBy("stack_id", "frame_idx", "channel").orderBy("c", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    first = asked.unionByName(held).withColumn("k", F.last("knot", ignorenulls=True).over(along)).filter("kind = 1")
+    step = (F.col("c") - F.col("k.c0")) / (F.col("k.c1") - F.col("k.c0"))
+    at = F.col("k.v0") + F.when(F.col("k.c1").isNull(), F.lit(0.0)).otherwise(step)
     lut = first.select("stack_id", "frame_idx", "channel", "value", at.alias("raw"))
     frame = Window.partitionBy("stack_id", "frame_idx", "channel")
     lut = lut.withColumns({"l0": F.min_by("raw", "value").over(frame), "l1": F.max_by("raw", "value").over(frame)})
@@ -185,16 +199,21 @@ def apply_correction(px: DataFrame, corrections: DataFrame, mode: str = "LUMI",
             "HLS": (color.bgr_to_hls, color.hls_to_bgr, "hls"),
             "LAB": (color.bgr_to_lab, color.lab_to_bgr, "lab"),
         }[mode]
-        space = to("b", "g", "r", depth)
-        done = back(*(mapped(space[c], c.upper()) if c.upper() in names else space[c] for c in order), depth)
+        ready = lambda space: F.struct(*((mapped(space[c], c.upper()) if c.upper() in names else space[c]).alias(c) for c in order))
+        changed = color.once(color.once(to("b", "g", "r", depth), ready), lambda space: back(*(space[c] for c in order), depth))
+        both, done = both.withColumn("_done", changed), F.col("_done")
         changed = {c: done[c] for c in "bgr"}
-    return both.withColumns(changed).drop(*(f"k_{n}" for n in names))
+    return both.withColumns(changed).drop("_done", *(f"k_{n}" for n in names))
 
 
 def balance_frames(px: DataFrame, refs: DataFrame, mode: str = "LUMI", map_: str = "LINEAR", depth: int = 8,
-                   lo: int = 0, hi: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(balanced pixels, summary of corrections) of many stacks against their reference frames."""
-    hist = histogram(px, mode, depth)
+                   lo: int = 0, hi: int | None = None, factor: int = 1, mask_size: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(balanced pixels, summary of corrections) of many stacks against their reference frames.
+
+    Corrections come from the pixels that ``factor`` and ``mask_size`` leave (see ``histogram``), with values from ``lo``
+    to ``hi``; they are applied to all.
+    """
+    hist = histogram(px, mode, depth, factor, mask_size)
     if map_ == "MATCH_HIST":
         lut = match_histogram(hist, refs, depth)
         return apply_lut(px, lut, mode), lut
@@ -204,13 +223,12 @@ def balance_frames(px: DataFrame, refs: DataFrame, mode: str = "LUMI", map_: str
 
 
 def apply_lut(px: DataFrame, lut: DataFrame, mode: str = "LUMI") -> DataFrame:
-    """Pixels sent through per-frame tables: each table is one map per frame and channel of at most 2**depth entries."""
-    maps = lut.groupBy("stack_id", "frame_idx", "channel").agg(
-        F.map_from_entries(F.collect_list(F.struct("value", "out"))).alias("table")
-    )
+    """Pixels sent through per-frame tables: each is one array per frame and channel, indexed by value."""
+    entries = F.sort_array(F.collect_list(F.struct("value", "out")))
+    maps = lut.groupBy("stack_id", "frame_idx", "channel").agg(F.transform(entries, lambda e: e["out"]).alias("table"))
     names = ["L"] if mode == "LUMI" else ["B", "G", "R"]
     wide = maps.groupBy("stack_id", "frame_idx").pivot("channel", names).agg(F.first("table"))
     wide = wide.withColumnsRenamed({n: f"t_{n}" for n in names})
     both = px.join(wide, ["stack_id", "frame_idx"])
-    pick = lambda c: F.element_at(F.col("t_L" if mode == "LUMI" else f"t_{c.upper()}"), F.col(c))
+    pick = lambda c: F.get(F.col("t_L" if mode == "LUMI" else f"t_{c.upper()}"), F.col(c).cast("int"))
     return both.withColumns({c: pick(c) for c in "bgr"}).drop(*(f"t_{n}" for n in names))

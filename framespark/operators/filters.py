@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import color
 from .stencil import FRAME, gaussian_taps, stencil
 
 
@@ -63,12 +64,34 @@ def local_tonemap(px: DataFrame, amount: float = 0.5, clip: float = 2.0, tiles:
     return mixed.select(*keys, "y", "x", blend.alias(col))
 
 
-def denoise(px: DataFrame, h: float = 10.0, template: int = 7, search: int = 21, tile: int = 64, cols: tuple[str, ...] = ("b", "g", "r"), keys=FRAME) -> DataFrame:
+def local_tonemap_color(px: DataFrame, amount: float = 0.5, clip: float = 2.0, tiles: int = 2, depth: int = 8, keys=FRAME) -> DataFrame:
+    """``local_tonemap`` of colour frames of 8 or 16 bits: their Lab lightness is equalised as 8-bit values and mixed with
+    the original; a and b stay. ``px`` has ``h`` and ``w``."""
+    if amount <= 0:
+        return px.drop("h", "w")
+    keys = list(keys)
+    lab = px.select(*keys, "y", "x", "h", "w", color.bgr_to_lab("b", "g", "r", depth).alias("lab"))
+    # Lab values are of 16 bits whatever the depth
+    eight = lab.withColumn("v", F.floor(F.col("lab.l") / 65535.0 * 255.0).cast("long"))
+    done = local_tonemap(eight, 1.0, clip, tiles, "v", keys).withColumnRenamed("v", "equal")
+    lifted = F.floor(F.col("equal") / 255.0 * 65535.0)
+    mixed = F.floor(F.round((1 - min(amount, 1.0)) * F.col("lab.l") + min(amount, 1.0) * lifted, 6) + 0.5).cast("long")
+    both = lab.join(done, [*keys, "y", "x"]).withColumn("l", mixed)
+    return both.select(*keys, "y", "x", color.lab_to_bgr("l", "lab.a", "lab.b", depth).alias("c")).select(*keys, "y", "x", "c.*")
+
+
+def denoise(
+    px: DataFrame, h: float = 10.0, template: int = 7, search: int = 21, tile: int = 64, cols: tuple[str, ...] = ("b", "g", "r"), keys=FRAME, depth: int = 8
+) -> DataFrame:
     """Non-local means: every pixel becomes the mean of the search window, weighted by patches' likeness.
 
+    Patches are held against each other by mean squared difference; 16-bit frames by mean absolute difference, with 256
+    times ``h``.
+
     Works on tiles with a halo of the window and patch radius, one group a tile, so its memory is bounded by ``tile``.
     """
-    keys = list(keys)
+    keys, wide = list(keys), depth == 16
+    h = h * 256 if wide else h
     halo = search // 2 + template // 2
     frame_keys = ", ".join(f"{k} long" for k in keys)
     reach = -(-halo // tile)
@@ -93,10 +116,11 @@ def denoise(px: DataFrame, h: float = 10.0, template: int = 7, search: int = 21,
         for dy in range(-r, r + 1):
             for dx in range(-r, r + 1):
                 other = padded[r + dy : r + dy + shape[0] + 2 * t, r + dx : r + dx + shape[1] + 2 * t]
-                gap = ((base - other) ** 2).mean(axis=2)
+                gap = (np.abs(base - other) if wide else (base - other) ** 2).mean(axis=2)
                 area = np.pad(gap.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
                 patch = (area[template:, template:] - area[:-template, template:] - area[template:, :-template] + area[:-template, :-template]) / template**2
-                w = np.exp(-np.maximum(patch, 0) / (h * h))
+                patch = np.maximum(patch, 0)
+                w = np.exp(-(patch * patch if wide else patch) / (h * h))
                 weight += w
                 total += w[..., None] * other[t : t + shape[0], t : t + shape[1]]
         done = np.floor(total / weight[..., None] + 0.5).astype(np.int64)

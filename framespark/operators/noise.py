@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import color
 from .stencil import BINOMIAL, stencil, with_size
 
 BGR = ("b", "g", "r")
@@ -16,11 +17,16 @@ def mean_frame(px: DataFrame, max_frames: int | None = None) -> DataFrame:
     return some.groupBy("stack_id", "y", "x").agg(*(F.floor(F.avg(c)).cast("long").alias(c) for c in BGR))
 
 
-def differences(mean: DataFrame) -> DataFrame:
-    """Absolute differences to the 5 x 5 Gaussian blur (rounded): ``d_b, d_g, d_r`` and their length ``d``."""
+def differences(mean: DataFrame, lab: bool = False) -> DataFrame:
+    """Absolute differences to the 5 x 5 Gaussian blur (rounded): ``d_b, d_g, d_r`` and their length ``d``, or with ``lab``
+    the distance in 8-bit Lab for ``d``."""
     blurred = stencil(with_size(mean), BINOMIAL, None, BGR, ["stack_id"], [f"s_{c}" for c in BGR])
     rounded = {f"d_{c}": F.abs(F.col(c) - F.floor((F.col(f"s_{c}") + 128) / 256)).cast("long") for c in BGR}
     far = F.sqrt(sum((F.col(f"d_{c}") * F.col(f"d_{c}") for c in BGR), F.lit(0)).cast("double"))
+    if lab:
+        a = color.bgr_to_lab("b", "g", "r", 8)
+        b = color.bgr_to_lab(*(F.floor((F.col(f"s_{c}") + 128) / 256).cast("long") for c in BGR), 8)
+        far = F.sqrt(sum(((a[c] - b[c]) * (a[c] - b[c]) for c in "lab"), F.lit(0)).cast("double"))
     return blurred.withColumns(rounded).withColumn("d", far).select("stack_id", "y", "x", *rounded, "d")
 
 

@@ -171,6 +171,55 @@ def _pyramid(keys=("stack_id",)) -> str:
     return ", ".join(tables) + f", fused AS (SELECT {k}, y, x, {out} FROM img)"
 
 
+def pyramid_deep(levels: int) -> str:
+    """Common tables up to ``fused`` for several levels of reduction, from ``pz``."""
+    names = ", ".join(FRAME)
+    best = lambda s, t, out: f"{out} AS MATERIALIZED (SELECT stack_id, y, x, h, w, b, g, r FROM (SELECT *, row_number() OVER (PARTITION BY stack_id, y, x ORDER BY {s} DESC, frame_idx) rk FROM {t}) WHERE rk = 1)"
+    tables = [f"f0 AS (SELECT {names}, y, x, h, w, b::DOUBLE b, g::DOUBLE g, r::DOUBLE r FROM pz)"]
+    for k in range(levels):
+        tables += [
+            reduced(f"f{k}", f"f{k + 1}", BGR),
+            expanded(f"f{k + 1}", f"f{k}", f"u{k}", BGR),
+            plus(f"f{k}", f"u{k}", f"l{k}", BGR, "-"),
+            f"l{k}g AS (SELECT *, {FGRAY} v FROM l{k})",
+            conv(f"l{k}g", f"e{k}", {"e": "b.v * b.v"}, G5, keep=BGR),
+            best("round(e / 400, 6)", f"e{k}", f"w{k}"),
+        ]
+    n = levels
+    tables += [
+        f"t0 AS (SELECT *, CAST(floor({FGRAY}) AS BIGINT) v FROM f{n})",
+        f"tn AS (SELECT {names}, v, count(*) n FROM t0 GROUP BY ALL)",
+        f"ta AS (SELECT {names}, count(*) alln FROM t0 GROUP BY ALL)",
+        f"t1 AS (SELECT t0.*, -v * ln(n::DOUBLE / alln) t FROM t0 JOIN tn USING ({names}, v) JOIN ta USING ({names}))",
+        conv("t1", "t2", {"t": "b.t", "s": "b.v", "s2": "b.v * b.v"}, (1,) * 5, keep=BGR),
+        best("round(t, 6)", "t2", "we"),
+        best("round(s2 / 25 - (s / 25) * (s / 25), 6)", "t2", "wd"),
+        f"i{n} AS MATERIALIZED (SELECT stack_id, y, x, we.h, we.w, {', '.join(f'(we.{c} + wd.{c}) / 2 {c}' for c in BGR)} FROM we JOIN wd USING (stack_id, y, x))",
+    ]
+    for k in range(n - 1, -1, -1):
+        tables += [expanded(f"i{k + 1}", f"w{k}", f"v{k}", BGR, ("stack_id",)), plus(f"w{k}", f"v{k}", f"i{k}", BGR, "+", ("stack_id",))]
+    out = ", ".join(f"CAST(floor(round(least(abs({c}), 255.0::DOUBLE), 6)) AS BIGINT) {c}" for c in BGR)
+    return ", ".join(tables) + f", fused AS (SELECT stack_id, y, x, {out} FROM i0)"
+
+
+def blend_deep(levels: int) -> str:
+    """Common tables up to ``blended`` for several levels, from ``pz`` and the weights ``wb``."""
+    mean = ", ".join(f"CASE WHEN sum(wt) > 1e-8 THEN sum({c} * wt) / sum(wt) ELSE 0 END {c}" for c in BGR)
+    tables = [f"g0 AS MATERIALIZED (SELECT {_PX4}, h, w, b::DOUBLE b, g::DOUBLE g, r::DOUBLE r, wt FROM pz JOIN wb USING ({_PX4}))"]
+    for k in range(levels):
+        tables += [
+            reduced(f"g{k}", f"g{k + 1}", ("b", "g", "r", "wt"), t=B5),
+            expanded(f"g{k + 1}", f"g{k}", f"u{k}", BGR, t=B5),
+            plus(f"g{k}", f"u{k}", f"l{k}", BGR, "-", keep=("h", "w", "wt")),
+            f"s{k} AS MATERIALIZED (SELECT stack_id, y, x, h, w, {mean} FROM l{k} GROUP BY stack_id, y, x, h, w)",
+        ]
+    tables.append(f"i{levels} AS MATERIALIZED (SELECT stack_id, y, x, h, w, {mean} FROM g{levels} GROUP BY stack_id, y, x, h, w)")
+    for k in range(levels - 1, -1, -1):
+        tables += [expanded(f"i{k + 1}", f"s{k}", f"v{k}", BGR, ("stack_id",), B5), plus(f"s{k}", f"v{k}", f"i{k}", BGR, "+", ("stack_id",))]
+    out = ", ".join(f"floor(round(greatest(0, least({c}, 255)), 6))::BIGINT {c}" for c in BGR)
+    return ", ".join(tables) + f", blended AS (SELECT stack_id, y, x, {out} FROM i0)"
+
+
 def _energy(kind: str) -> str:
     v = {"v": "b.v"}
     if kind == "variance":

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import align, balance, depthmap, noise, pyramid, vignette
+from ..functions import geometry
+from ..functions.color import gray
+from ..operators import align, balance, depthmap, filters, noise, pyramid, vignette
 from ..operators.stencil import with_size
 from ..sources.scratch import written
 from .bunches import bunches
@@ -54,11 +56,12 @@ def aligned(transforms: DataFrame, border: str = "REPLICATE") -> Step:
     return lambda px: align.warp(with_size(px), transforms, border)
 
 
-def align_frames(kp: DataFrame, frames: DataFrame, refs: DataFrame, delta_max: int = 2, least: int = 20) -> DataFrame:
-    """(stack_id, frame_idx, m): transforms to the reference from a keypoint table with binary descriptors.
-
-    Frames are matched towards the reference; a frame whose nearest target fails falls back to the next.
-    """
+def estimate_transforms(
+    kp: DataFrame, frames: DataFrame, refs: DataFrame, delta_max: int = 2, least: int = 20, size: tuple[float, float] | None = None,
+    limits: str = "normal",
+) -> tuple[DataFrame, DataFrame]:
+    """(candidates, valid): the frames and targets tried, and the similarities found for them from keypoints with binary
+    descriptors: enough inliers and, with ``size`` (height, width), a distortion within ``limits``."""
     pairs = align.pair_frames(frames, refs, delta_max)
     met = align.match_cross_check(kp, pairs.select("stack_id", "frame_idx", "target_idx"))
     at = lambda k, a, b: kp.select("stack_id", F.col("frame_idx").alias(a), F.col("kp_id").alias(f"kp{k}"), F.col("x").cast("double").alias(f"x{k}"), F.col("y").cast("double").alias(f"y{k}"))
@@ -66,11 +69,80 @@ def align_frames(kp: DataFrame, frames: DataFrame, refs: DataFrame, delta_max: i
     # one robust fit for each frame and target: the pair stands in for the frame
     pair_id = F.col("frame_idx") * (1 << 20) + F.col("target_idx")
     rows = placed.select("stack_id", pair_id.alias("frame_idx"), F.col("kp0").alias("kp_id"), "x0", "y0", "x1", "y1")
-    fitted = align.robust_fit(rows).filter(F.col("n_inliers") >= least)
+    fitted = align.robust_fit(written(rows, "matches")).filter(F.col("n_inliers") >= least)
+    if size:
+        fitted = fitted.filter(geometry.check_affine("m", *map(float, size), limits) == "")
     valid = fitted.select("stack_id", F.expr("frame_idx div 1048576").alias("frame_idx"), (F.col("frame_idx") % (1 << 20)).alias("target_idx"), "m")
+    return pairs, valid
+
+
+def align_frames(kp: DataFrame, frames: DataFrame, refs: DataFrame, delta_max: int = 2, least: int = 20) -> DataFrame:
+    """(stack_id, frame_idx, m): transforms to the reference from a keypoint table with binary descriptors.
+
+    Frames are matched towards the reference; a frame whose nearest target fails falls back to the next.
+    """
+    pairs, valid = estimate_transforms(kp, frames, refs, delta_max, least)
     return align.compose_chain(align.choose_pairs(pairs, valid), refs)
 
 
+def align_stack(
+    px: DataFrame, refs: DataFrame, top_k: int = 500, delta_max: int = 2, least: int = 20, limits: str = "normal",
+    phase_fallback: bool = True, border: str = "REPLICATE_BLUR", factor: int = 1,
+) -> tuple[DataFrame, DataFrame]:
+    """(warped pixels, transforms): stacks of one shape aligned to their reference frames.
+
+    Keypoints of the gray frames (every ``factor``-th row and column) are detected, matched towards the reference and
+    fitted; transforms are checked. A frame that has none takes the shift that phase correlation tells for its nearest
+    target, unless ``phase_fallback`` is off; a frame that no chain leads to the reference is left out. ``transforms``
+    has ``stack_id, frame_idx, m``.
+    """
+    px = with_size(px)
+    h, w = px.select("h", "w").first()
+    thin = px if factor == 1 else px.filter((F.col("y") % factor == 0) & (F.col("x") % factor == 0))
+    at = {c: F.expr(f"{c} div {factor}") for c in ("y", "x")} | {c: F.expr(f"({c} + {factor} - 1) div {factor}") for c in ("h", "w")}
+    gray_px = written(thin.withColumns(at).select("stack_id", "frame_idx", "y", "x", "h", "w", gray("b", "g", "r").alias("v")), "gray")
+    frames = gray_px.select("stack_id", "frame_idx").distinct()
+    kp = written(align.detect_keypoints(gray_px, top_k), "keypoints")
+    pairs, valid = estimate_transforms(kp, frames, refs, delta_max, least, (-(-h // factor), -(-w // factor)), limits)
+    chosen = written(align.choose_pairs(pairs, valid), "chosen")
+    if phase_fallback:
+        lost = pairs.filter("delta = 1").join(chosen.select("stack_id", "frame_idx"), ["stack_id", "frame_idx"], "left_anti")
+        found = align.phase_shift(gray_px.select("stack_id", "frame_idx", "y", "x", "v"), written(lost.drop("delta"), "lost"))
+        m = F.array(F.lit(1.0), F.lit(0.0), F.col("dx"), F.lit(0.0), F.lit(1.0), F.col("dy"), *map(F.lit, (0.0, 0.0, 1.0)))
+        chosen = chosen.unionByName(found.select("stack_id", "frame_idx", "target_idx", m.alias("m")))
+    chained = align.compose_chain(chosen, refs)
+    chained = written(chained.withColumn("m", geometry.rescale_transform("m", factor)), "transforms")
+    warped = with_size(align.warp(px, chained, border))
+    if border == "REPLICATE_BLUR":
+        warped = align.blur_outside(warped)
+    return warped.drop("h", "w"), chained
+
+
+def auto_aligned(refs: DataFrame, **options) -> Step:
+    """``align_stack`` as a step."""
+    return lambda px: align_stack(px, refs, **options)[0]
+
+
+def stack_job(px: DataFrame, refs: DataFrame, steps: list[Step], fuse: Step, after: list[Step]) -> DataFrame:
+    """The whole job: steps on frames, fusion to one image a stack, and steps on the images."""
+    image = written(fuse(stack_pipeline(px, steps)), "fused")
+    for step in after:
+        image = written(step(image), "after")
+    return image
+
+
+def sharpened(radius: float = 1.0, amount: float = 0.5, threshold: float = 0.0) -> Step:
+    return lambda image: filters.unsharp_mask(with_size(image), radius, amount, threshold, keys=("stack_id",)).drop("h", "w")
+
+
+def denoised(h: float = 10.0, search: int = 21) -> Step:
+    return lambda image: filters.denoise(with_size(image), h, search=search, keys=("stack_id",))
+
+
+def tone_mapped(amount: float = 0.5, clip: float = 2.0, tiles: int = 2) -> Step:
+    return lambda image: filters.local_tonemap_color(with_size(image), amount, clip, tiles, keys=("stack_id",))
+
+
 def focus_stack(px: DataFrame, algo: str = "pyramid", **options) -> DataFrame:
     return {"pyramid": pyramid.focus_stack_pyramid, "depthmap": depthmap.focus_stack_depthmap}[algo](px, **options)
 

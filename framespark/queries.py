@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from .operators.stencil import BINOMIAL, GENERATING, gaussian_taps, reduce, expa
 from .plans import stack
 from .plans.bunches import bunches
 from .sources import frames as src
+from .sources.scratch import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,6 +71,14 @@ def S5_output_names(s, d):
     return src.output_names(_frames(s, d), "stack_", "pyramid").select("stack_id", "path", "out_name")
 
 
+@query(f"WITH {o.SQL_PIXELS} SELECT stack_id, frame_idx, y, x, b, g, r FROM px")
+def S6_write_frames(s, d):
+    """Written by stack and read again."""
+    path = f"{scratch_dir(s)}/frames-{uuid.uuid4().hex}"
+    src.write_frames(fx.pixels(s, d), path)
+    return src.read_pixels(s, path).withColumn("stack_id", F.col("stack_id").cast("long")).select(*PX, "b", "g", "r")
+
+
 @query(f"""WITH {o.FR} SELECT stack_id, regexp_extract(path, '([^/]*?)\\.[^./]+$', 1) AS "label",
     count(*) OVER (PARTITION BY stack_id) - 1 - frame_idx layer_idx FROM frames""")
 def S7_to_layers(s, d):
@@ -338,6 +348,17 @@ def A7_mean_frame(s, d):
     return noise.mean_frame(fx.pixels(s, d), 3)
 
 
+_LABDIFF = f"""{o.SQL_PIXELS}, {o.MEAN}, {o.sized('mean', 'meanz')}, {o.conv('meanz', 'blurred', {f's{c}': f'b.{c}' for c in 'bgr'}, o.B5, keys=('stack_id',), keep=('b', 'g', 'r'))},
+    two AS (SELECT stack_id, 0 frame_idx, y, x, b, g, r FROM blurred UNION ALL SELECT stack_id, 1, y, x, floor((sb + 128) / 256)::BIGINT, floor((sg + 128) / 256)::BIGINT, floor((sr + 128) / 256)::BIGINT FROM blurred),
+    {o._lab().replace('/ 65535.0::DOUBLE f', '/ 255.0::DOUBLE f').replace('FROM px)', 'FROM two)')},
+    far AS (SELECT p.stack_id, p.y, p.x, sqrt(((p.l - q.l) * (p.l - q.l) + (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b))::DOUBLE) d FROM lab p JOIN lab q USING (stack_id, y, x) WHERE p.frame_idx = 0 AND q.frame_idx = 1)"""
+
+
+@query(f"WITH {_LABDIFF}, bar AS (SELECT stack_id, round(avg(d) + 2 * stddev_pop(d), 6) bar FROM far GROUP BY 1) SELECT stack_id, y, x FROM far JOIN bar USING (stack_id) WHERE round(d, 6) >= bar")
+def A9_hot_pixels_lab(s, d):
+    return noise.hot_pixels_norm(noise.differences(noise.mean_frame(fx.pixels(s, d)), lab=True), k=2.0)
+
+
 def _diff(s, d):
     return noise.differences(noise.mean_frame(fx.pixels(s, d)))
 
@@ -422,6 +443,46 @@ def K1_balance_rgb(s, d):
     return balance.balance_frames(px, _refs(px), "RGB")[0].select(*PX, "b", "g", "r")
 
 
+def _space_query(name: str, mode: str, to: str, back: str, mapped: tuple[str, ...], rest: str) -> None:
+    """Balances 16-bit pixels in another colour space; ``to`` and ``back`` are tables from px to ``sp`` and from ``bal``."""
+    each = " UNION ALL ".join(f"SELECT stack_id, frame_idx, '{c.upper()}' channel, {c} AS \"value\", count(*) n FROM sp GROUP BY ALL" for c in mapped)
+    joins = " ".join(f"JOIN corr k{c} ON k{c}.stack_id = sp.stack_id AND k{c}.frame_idx = sp.frame_idx AND k{c}.channel = '{c.upper()}'" for c in mapped)
+    cols = ", ".join(o._cut(f"sp.{c} * k{c}.param") + f" {c}" for c in mapped)
+    sql = (f"WITH {o.SQL_WIDE}, {to}, hist AS ({each}), {o.MID}, {o.REF}, {o.LINEAR}, "
+           f"bal AS (SELECT sp.stack_id, sp.frame_idx, sp.y, sp.x, {rest}, {cols} FROM sp {joins}), {back}")
+
+    def f(s, d):
+        px = fx.pixels(s, d, wide=True)
+        return balance.balance_frames(px, _refs(px), mode, depth=16)[0].select(*PX, "b", "g", "r")
+
+    f.__name__ = name
+    query(sql)(f)
+
+
+_space_query("K1_balance_hsv", "HSV", f"{o.HSV}, {_HSV_SQL}, sp AS (SELECT * FROM hsv)",
+             f"i AS (SELECT {o._PX4}, h / {_U} * 360 hh, s / {_U} ss, v / {_U} vv FROM bal) SELECT {o._PX4}, {o._sextants('hh', '(vv * ss)', '(vv - vv * ss)')} FROM i", ("s", "v"), "sp.h h")
+_space_query("K1_balance_hls", "HLS", f"{o.HSV}, {_HLS_SQL}, sp AS (SELECT * FROM hls)",
+             f"{_HLS_BACK.replace('FROM hls', 'FROM bal')} SELECT {o._PX4}, {o._sextants('hh', 'cc', '(ll - cc / 2)')} FROM i", ("l", "s"), "sp.h h")
+_space_query("K1_balance_lab", "LAB", f"{o._lab().replace('lab AS', 'sp AS')}", f"{o._from_lab().replace('FROM lab', 'FROM bal')}", ("l",), "sp.a a, sp.b b")
+
+
+@query(f"WITH RECURSIVE {o.SQL_PIXELS}, {o.HIST}, {o.MID}, {o.REF}, {_BISECT}, gm AS (SELECT stack_id, frame_idx, CASE WHEN frame_idx = ref_idx THEN 1.0::DOUBLE ELSE (lo + hi) / 2 END param FROM it JOIN refs USING (stack_id) WHERE i = 42) "
+       f"SELECT {o._PX4}, {', '.join(f'CASE WHEN param = 1 THEN {c} ELSE CAST(floor(greatest(0.0::DOUBLE, least(pow({c}::DOUBLE / 255, 1 / param) * 255, 255.0::DOUBLE))) AS BIGINT) END {c}' for c in 'bgr')} FROM px JOIN gm USING (stack_id, frame_idx)")
+def K1_balance_gamma(s, d):
+    px = fx.pixels(s, d)
+    return balance.balance_frames(px, _refs(px), "LUMI", "GAMMA")[0].select(*PX, "b", "g", "r")
+
+
+_MASKED = f"{o.SQL_PIXELS.replace('px AS', 'px0 AS')}, {o.sized('px0', 'pz0')}, px1 AS (SELECT * FROM pz0 WHERE pow(x - w / 2.0, 2) + pow(y - h / 2.0, 2) <= pow(least(w, h) * 0.9 / 2, 2) AND y % 2 = 0 AND x % 2 = 0)"
+
+
+@query(f'WITH {_MASKED}, px AS (SELECT * FROM px0), hist AS (SELECT stack_id, frame_idx, \'L\' channel, {o.LUMA} AS "value", count(*) n FROM px1 GROUP BY ALL), '
+       f'mid AS (SELECT stack_id, frame_idx, channel, sum("value" * n) / sum(n) mid FROM hist WHERE "value" BETWEEN 20 AND 230 GROUP BY ALL), {o.REF}, {o.LINEAR} SELECT {o._PX4}, {_APPLY} FROM px JOIN corr USING (stack_id, frame_idx)')
+def K1_balance_masked_subsample(s, d):
+    px = with_size(fx.pixels(s, d))
+    return balance.balance_frames(px, _refs(px), lo=20, hi=230, factor=2, mask_size=0.9)[0].select(*PX, "b", "g", "r")
+
+
 # ---- vignetting -----------------------------------------------------------------------------------------------
 
 _RADIAL = f"""rb AS (SELECT *, least(floor(sqrt(pow(x - w / 2.0::DOUBLE, 2) + pow(y - h / 2.0::DOUBLE, 2)) / sqrt(pow(w / 2.0::DOUBLE, 2) + pow(h / 2.0::DOUBLE, 2)) * 20), 19)::BIGINT bin, {o.LUMA} v FROM pz),
@@ -543,6 +604,16 @@ def K4_focus_stack_pyramid(s, d):
     return pyramid.focus_stack_pyramid(px, pyramid.levels_for(h, w, 8))
 
 
+_LARGE = f"{fx.SQL_LARGE}, {o.SIZED}"
+
+
+@query(f"WITH {_LARGE}, {o.pyramid_deep(3)} SELECT * FROM fused")
+def K4_pyramid_of_large_frames(s, d):
+    px = fx.large_pixels(s, d)
+    h, w = px.agg(F.max("y") + 1, F.max("x") + 1).first()
+    return pyramid.focus_stack_pyramid(px, pyramid.levels_for(h, w))
+
+
 _BUNCHED = f"""{o.SQL_SHARP}, {o.sized('px', 'pw')}, bu AS (SELECT * FROM (VALUES (0), (1)) t(bunch_idx)),
     pz AS (SELECT stack_id, bunch_idx::BIGINT bunch_idx, frame_idx, y, x, h, w, b, g, r FROM pw, bu WHERE frame_idx >= bunch_idx * 2 AND frame_idx < bunch_idx * 2 + 3)"""
 
@@ -668,6 +739,11 @@ def K5_focus_stack_depthmap(s, d):
     return depthmap.focus_stack_depthmap(_sharp(s, d), levels=1)
 
 
+@query(f"WITH {_COLORGRAY.replace(o.SQL_SHARP, fx.SQL_LARGE)}, {o._energy('laplacian')}, {o._bilateral()}, {_MAX.replace('EN)', 'sm2)')}, wb AS (SELECT * FROM wm), {o.blend_deep(5)} SELECT * FROM blended")
+def K5_depthmap_of_large_frames(s, d):
+    return depthmap.focus_stack_depthmap(with_size(fx.large_pixels(s, d)))
+
+
 _SHARPEN = ", ".join(f"CASE WHEN abs({c} - floor(round(s{c}, 6) + 0.5)) > 4 THEN greatest(0, least(floor(round({c} * 1.5 - 0.5 * floor(round(s{c}, 6) + 0.5), 6) + 0.5), 255))::BIGINT ELSE {c} END {c}" for c in "bgr")
 
 
@@ -693,9 +769,14 @@ def I2_local_tonemap(s, d):
     return filters.local_tonemap(_gray(s, d), 0.5, 2.0, 2).select(*PX, "v")
 
 
+@query()
+def I2_local_tonemap_color(s, d):
+    return filters.local_tonemap_color(_sharp(s, d)).select(*PX, "b", "g", "r")
+
+
 @query()
 def I3_denoise(s, d):
-    return filters.denoise(_sharp(s, d), h=10.0, search=7).select(*PX, "b", "g", "r")
+    return filters.denoise(_sharp(s, d), h=10.0).select(*PX, "b", "g", "r")
 
 
 @query()
@@ -706,11 +787,11 @@ def I4_fuse_and_sharpen(s, d):
 
 # ---- alignment ------------------------------------------------------------------------------------------------
 
-_PAIRS = "prs AS (SELECT DISTINCT stack_id, frame_idx, frame_idx + 1 target_idx FROM kp WHERE frame_idx % 2 = 0)"
+_PAIRS = "prs AS (SELECT DISTINCT stack_id, frame_idx, frame_idx + 1 target_idx FROM kp)"
 
 
 def _pairs(kp):
-    return kp.filter("frame_idx % 2 = 0").select("stack_id", "frame_idx", (F.col("frame_idx") + 1).alias("target_idx")).distinct()
+    return kp.select("stack_id", "frame_idx", (F.col("frame_idx") + 1).alias("target_idx")).distinct()
 
 
 _MET = f"""{o.SQL_KEYPOINTS}, {_PAIRS}, met AS (SELECT a.stack_id, a.frame_idx, target_idx, a.kp_id kp0, b.kp_id kp1, a.desc_ da, b.desc_ db, a.signs sa, b.signs sb
@@ -804,7 +885,7 @@ def A24_similarity_fit(s, d):
 
 
 _RANSAC = """nu AS (SELECT *, row_number() OVER (PARTITION BY stack_id, frame_idx ORDER BY kp_id) - 1 i, count(*) OVER (PARTITION BY stack_id, frame_idx) n FROM m),
-    fr AS (SELECT DISTINCT stack_id, frame_idx, n FROM nu), hy AS (SELECT fr.*, h.range hyp, (h.range * 7919 + 104729) % n i FROM fr, range(0, 64) h),
+    fr AS (SELECT DISTINCT stack_id, frame_idx, n FROM nu), hy AS (SELECT fr.*, h.range hyp, (h.range * 7919 + 104729) % n i FROM fr, range(0, 256) h),
     hj AS (SELECT *, (i + 1 + (hyp * 6101 + 15485) % (n - 1)) % n j FROM hy),
     tw AS (SELECT hj.stack_id, hj.frame_idx, hyp, p.x0, p.y0, p.x1, p.y1, q.x0 - p.x0 dx, q.y0 - p.y0 dy, q.x1 - p.x1 du, q.y1 - p.y1 dv FROM hj JOIN nu p ON p.frame_idx = hj.frame_idx AND p.i = hj.i JOIN nu q ON q.frame_idx = hj.frame_idx AND q.i = hj.j),
     mo AS (SELECT stack_id, frame_idx, hyp, a, b, x1 - a * x0 + b * y0 tx, y1 - b * x0 - a * y0 ty FROM (SELECT *, (dx * du + dy * dv) / (dx * dx + dy * dy) a, (dx * dv - dy * du) / (dx * dx + dy * dy) b FROM tw WHERE dx * dx + dy * dy > 0)),
@@ -816,7 +897,16 @@ _RANSAC = """nu AS (SELECT *, row_number() OVER (PARTITION BY stack_id, frame_id
 
 @query(f"WITH {o.SQL_MATCHES}, {_RANSAC}, {_FIT.replace('SRC', 'inl')} SELECT stack_id, frame_idx, {_FITOUT}, n::BIGINT n_inliers FROM ab")
 def J11_robust_fit(s, d):
-    fitted = align.robust_fit(fx.matches(s, d), n_hyp=64)
+    fitted = align.robust_fit(fx.matches(s, d))
+    return fitted.select("stack_id", "frame_idx", *_flat(fitted), "n_inliers")
+
+
+_LMEDS = _RANSAC.replace("count(*) FILTER (e <= 3) score", "-quantile_cont(e, 0.5) score")
+
+
+@query(f"WITH {o.SQL_MATCHES}, {_LMEDS}, {_FIT.replace('SRC', 'inl')} SELECT stack_id, frame_idx, {_FITOUT}, n::BIGINT n_inliers FROM ab")
+def J11_robust_fit_lmeds(s, d):
+    fitted = align.robust_fit(fx.matches(s, d), method="LMEDS")
     return fitted.select("stack_id", "frame_idx", *_flat(fitted), "n_inliers")
 
 
@@ -842,11 +932,11 @@ def G7_homography_fit(s, d):
 
 @query()
 def A25_phase_shift(s, d):
-    px = _gray(s, d)
-    moved = px.filter("frame_idx = 0").select("stack_id", F.lit(1).cast("long").alias("frame_idx"), ((F.col("y") + 2) % F.col("h")).alias("y"), ((F.col("x") + 5) % F.col("w")).alias("x"), "v")
-    both = px.filter("frame_idx = 0").select(*PX, "v").unionByName(moved)
-    pairs = both.filter("frame_idx = 0").select("stack_id", "frame_idx", F.lit(1).cast("long").alias("target_idx")).distinct()
-    return align.phase_shift(both, pairs)
+    """Each of the ten frames against itself moved by 5 columns and 2 rows."""
+    px = _gray(s, d).select(F.col("frame_idx").alias("stack_id"), F.lit(0).cast("long").alias("frame_idx"), "y", "x", "h", "w", "v")
+    moved = px.withColumns({"frame_idx": F.lit(1).cast("long"), "y": (F.col("y") + 2) % F.col("h"), "x": (F.col("x") + 5) % F.col("w")})
+    pairs = px.select("stack_id", "frame_idx", F.lit(1).cast("long").alias("target_idx")).distinct()
+    return _rounded(align.phase_shift(px.unionByName(moved).select(*PX, "v"), pairs), "dx", "dy", "scale", digits=3)
 
 
 _WARPM = "frame_idx / 16.0::DOUBLE"
@@ -869,40 +959,58 @@ def J10_warp(s, d):
     return align.warp(px, _shifts(px)).select(*PX, "b", "g", "r")
 
 
+@query(f"WITH {o.SQL_PIXELS}, {o.SIZED}, {_WARP.replace('sum(b * wt)', 'sum(CASE WHEN out_ THEN 7 ELSE b END * wt)').replace('sum(g * wt)', 'sum(CASE WHEN out_ THEN 7 ELSE g END * wt)').replace('sum(r * wt)', 'sum(CASE WHEN out_ THEN 7 ELSE r END * wt)').replace('FROM t4 JOIN', 'FROM (SELECT *, sy < 0 OR sx < 0 OR sy >= h OR sx >= w out_ FROM t4) t4 JOIN')} SELECT * FROM wp")
+def J10_warp_constant_border(s, d):
+    px = with_size(fx.pixels(s, d))
+    return align.warp(px, _shifts(px), "CONSTANT", 7).select(*PX, "b", "g", "r")
+
+
+_BLURRED = ", ".join(f"CASE WHEN out_ THEN floor(round(s{c}, 6))::BIGINT ELSE {c} END {c}" for c in "bgr")
+
+
+@query(f"WITH {o.SQL_PIXELS}, {o.SIZED}, {_WARP.replace('FROM t4 JOIN', ', max(sy < 0 OR sx < 0 OR sy >= h OR sx >= w) out_, max(t4.h) h, max(t4.w) w FROM t4 JOIN')}, "
+       f"{o.conv('wp', 'c', {f's{c}': f'b.{c}' for c in 'bgr'}, gaussian_taps(50.0, 21), keep=('b', 'g', 'r', 'out_'))} SELECT {o._PX4}, {_BLURRED} FROM c")
+def J10_warp_blurred_border(s, d):
+    px = with_size(fx.pixels(s, d))
+    return align.blur_outside(with_size(align.warp(px, _shifts(px), "REPLICATE_BLUR"))).select(*PX, "b", "g", "r")
+
+
 def _chain(f, refs):
-    pairs = align.pair_frames(f, refs, 2).filter("NOT (delta = 1 AND frame_idx % 7 = 3)")
+    pairs = align.pair_frames(f, refs, 2).filter("NOT (delta = 1 AND frame_idx % 7 = 3) AND NOT (frame_idx % 490 = 3)")
     m = "array(1D, 0D, CAST(frame_idx AS DOUBLE), 0D, 1D, CAST(-target_idx AS DOUBLE), 0D, 0D, 1D) m"
     return align.choose_pairs(pairs.drop("delta").withColumn("delta", F.abs(F.col("frame_idx") - F.col("target_idx"))), pairs.selectExpr("stack_id", "frame_idx", "target_idx", m))
 
 
-_CHAIN = f"""{o.FR.replace("files)", "files) ")}, small AS (SELECT * FROM frames WHERE frame_idx < 12), rf AS (SELECT stack_id, count(*) // 2 ref_idx FROM small GROUP BY 1),
-    cd AS (SELECT f.stack_id, f.frame_idx, ref_idx, f.frame_idx + sign(ref_idx - f.frame_idx)::BIGINT * d.delta target_idx, d.delta FROM small f JOIN rf USING (stack_id), (VALUES (1), (2)) d(delta) WHERE f.frame_idx <> ref_idx AND d.delta <= abs(ref_idx - f.frame_idx)),
-    ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stack_id, frame_idx ORDER BY delta) rk FROM cd WHERE NOT (delta = 1 AND frame_idx % 7 = 3)) WHERE rk = 1),
+_CHAIN = f"""{o.FR.replace("files)", "files) ")}, rf AS (SELECT stack_id, count(*) // 2 ref_idx FROM frames GROUP BY 1),
+    cd AS (SELECT f.stack_id, f.frame_idx, ref_idx, f.frame_idx + sign(ref_idx - f.frame_idx)::BIGINT * d.delta target_idx, d.delta FROM frames f JOIN rf USING (stack_id), (VALUES (1), (2)) d(delta) WHERE f.frame_idx <> ref_idx AND d.delta <= abs(ref_idx - f.frame_idx)),
+    ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stack_id, frame_idx ORDER BY delta) rk FROM cd WHERE NOT (delta = 1 AND frame_idx % 7 = 3) AND NOT (frame_idx % 490 = 3)) WHERE rk = 1),
     walk AS (SELECT stack_id, ref_idx frame_idx, 0.0::DOUBLE tx, 0.0::DOUBLE ty FROM rf UNION ALL SELECT ch.stack_id, ch.frame_idx, walk.tx + ch.frame_idx, walk.ty - ch.target_idx FROM walk JOIN ch ON ch.stack_id = walk.stack_id AND ch.target_idx = walk.frame_idx)"""
 
 
 @query(f"WITH RECURSIVE {_CHAIN} SELECT stack_id, frame_idx, tx, ty FROM walk")
 def W10_compose_chain(s, d):
-    f = _frames(s, d).filter("frame_idx < 12")
+    f = _frames(s, d)
     refs = src.resolve_reference(f)
     return align.compose_chain(_chain(f, refs), refs).select("stack_id", "frame_idx", F.col("m")[2].alias("tx"), F.col("m")[5].alias("ty"))
 
 
-@query(f"WITH RECURSIVE {_CHAIN} SELECT stack_id, frame_idx, path FROM small ANTI JOIN walk USING (stack_id, frame_idx)")
+@query(f"WITH RECURSIVE {_CHAIN} SELECT stack_id, frame_idx, path FROM frames ANTI JOIN walk USING (stack_id, frame_idx)")
 def J13_without_transform(s, d):
-    f = _frames(s, d).filter("frame_idx < 12")
+    f = _frames(s, d)
     refs = src.resolve_reference(f)
     return align.without_transform(f, align.compose_chain(_chain(f, refs), refs)).select("stack_id", "frame_idx", "path")
 
 
 @query()
 def K7_align_frames(s, d):
-    kp = fx.keypoints(s, d).withColumns({"x": (F.col("kp_id") * 31) % 97, "y": (F.col("kp_id") * 17) % 89})
-    same = kp.filter("frame_idx = 0").drop("frame_idx").withColumn("frame_idx", F.explode(F.array(*(F.lit(i).cast("long") for i in range(5)))))
-    moved = same.withColumns({"x": F.col("x") + 3 * F.col("frame_idx"), "y": F.col("y") - 2 * F.col("frame_idx")})
-    f = moved.select("stack_id", "frame_idx").distinct()
-    found = stack.align_frames(moved, f, src.resolve_reference(f), least=5)
-    return found.select("stack_id", "frame_idx", *(F.round(F.col("m")[i], 4).alias(f"m{i}") for i in (0, 1, 2, 3, 4, 5)))
+    """All ten frames, each followed by itself moved by a known shift: frame 2 i + 1 is frame 2 i moved."""
+    px = _gray(s, d).withColumnsRenamed({"stack_id": "one", "frame_idx": "stack_id"}).drop("one")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("frame_idx")
+    moved = px.select("stack_id", "h", "w", "v", "y", "x", copies)
+    moved = moved.withColumns({"y": (F.col("y") + 2 * F.col("frame_idx")) % F.col("h"), "x": (F.col("x") + 3 * F.col("frame_idx")) % F.col("w")})
+    rows = moved.select(*PX, *(F.col("v").alias(c) for c in "bgr"))
+    found = stack.align_stack(rows, src.resolve_reference(rows.select("stack_id", "frame_idx").distinct()), border="REPLICATE")[1]
+    return found.select("stack_id", "frame_idx", *(F.round(F.col("m")[i], 3).alias(f"m{i}") for i in range(6)))
 
 
 @query()
@@ -932,26 +1040,27 @@ def G1_decompose_affine(s, d):
     return _rounded(t, "sx", "sy", "rotation", "shear")
 
 
-@query(f"""WITH {_TSQL}, {_DEC} SELECT p_partkey, concat_ws('; ', CASE WHEN abs(rotation) > 10 THEN 'rotation' END, CASE WHEN sx < 0.9 OR sx > 1.1 OR sy < 0.9 OR sy > 1.1 THEN 'scale' END,
-    CASE WHEN abs(shear) > 5 THEN 'shear' END, CASE WHEN sqrt(tx * tx + ty * ty) > sqrt(1300.0::DOUBLE * 1300 + 2000.0::DOUBLE * 2000) * 0.1 THEN 'translation' END) reasons FROM de""")
+@query(f"""WITH {_TSQL}, {_DEC} SELECT p_partkey, concat_ws('; ', CASE WHEN abs(rotation) > 10 THEN 'rotation' END, CASE WHEN sx < 0.9 OR sx > 1.1 THEN 'x-scale' END,
+    CASE WHEN sy < 0.9 OR sy > 1.1 THEN 'y-scale' END, CASE WHEN abs(shear) > 5 THEN 'shear' END, CASE WHEN abs(tx) > 2000 * 0.1 THEN 'x-translation' END,
+    CASE WHEN abs(ty) > 1300 * 0.1 THEN 'y-translation' END) reasons FROM de""")
 def G2_check_affine(s, d):
     return _transforms(s, d).select("p_partkey", geometry.check_affine("m", 1300.0, 2000.0).alias("reasons"))
 
 
-_CORNERS = """co AS (SELECT p_partkey, i, (a * X + b * Y + tx) / (g * X + h * Y + 1) px, (c * X + d * Y + ty) / (g * X + h * Y + 1) py FROM tf, (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE), (1, 1999.0::DOUBLE, 0.0::DOUBLE), (2, 1999.0::DOUBLE, 1299.0::DOUBLE), (3, 0.0::DOUBLE, 1299.0::DOUBLE)) q(i, X, Y)),
+_CORNERS = """co AS (SELECT p_partkey, i, (a * X + b * Y + tx) / (g * X + h * Y + 1) px, (c * X + d * Y + ty) / (g * X + h * Y + 1) py FROM tf, (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE), (1, 2000.0::DOUBLE, 0.0::DOUBLE), (2, 2000.0::DOUBLE, 1300.0::DOUBLE), (3, 0.0::DOUBLE, 1300.0::DOUBLE)) q(i, X, Y)),
     ed AS (SELECT a.p_partkey, a.i, a.px, a.py, b.px qx, b.py qy, c.px rx, c.py ry FROM co a JOIN co b ON b.p_partkey = a.p_partkey AND b.i = (a.i + 1) % 4 JOIN co c ON c.p_partkey = a.p_partkey AND c.i = (a.i + 3) % 4),
-    an AS (SELECT p_partkey, abs(sum(px * qy - qx * py)) / 2 / (1999.0::DOUBLE * 1299) ratio, max(abs(degrees(acos(greatest(-1, least(1, ((rx - px) * (qx - px) + (ry - py) * (qy - py)) / sqrt((pow(rx - px, 2) + pow(ry - py, 2)) * (pow(qx - px, 2) + pow(qy - py, 2))))))) - 90)) angle FROM ed GROUP BY 1),
+    an AS (SELECT p_partkey, abs(sum(px * qy - qx * py)) / 2 / (2000.0::DOUBLE * 1300) ratio, max(abs(degrees(acos(greatest(-1, least(1, ((rx - px) * (qx - px) + (ry - py) * (qy - py)) / sqrt((pow(rx - px, 2) + pow(ry - py, 2)) * (pow(qx - px, 2) + pow(qy - py, 2))))))) - 90)) angle FROM ed GROUP BY 1),
     bx AS (SELECT e.p_partkey, e.i, max((p.px * (qx - e.px) + p.py * (qy - e.py)) / n) - min((p.px * (qx - e.px) + p.py * (qy - e.py)) / n) s, max((p.py * (qx - e.px) - p.px * (qy - e.py)) / n) - min((p.py * (qx - e.px) - p.px * (qy - e.py)) / n) t
       FROM (SELECT *, sqrt(pow(qx - px, 2) + pow(qy - py, 2)) n FROM ed) e JOIN co p ON p.p_partkey = e.p_partkey GROUP BY ALL),
     asp AS (SELECT p_partkey, min((round(s * t, 6), greatest(s, t) / least(s, t))) z FROM bx GROUP BY 1)"""
 
 
-@query(f"""WITH {_TSQL}, {_CORNERS}, fin AS (SELECT p_partkey, greatest(ratio, 1 / ratio) area_ratio, z[2] aspect, angle FROM an JOIN asp USING (p_partkey))
-    SELECT p_partkey, round(area_ratio, 6) area_ratio, round(aspect, 6) aspect, round(angle, 6) angle,
-           concat_ws('; ', CASE WHEN area_ratio > 1.5 THEN 'area' END, CASE WHEN aspect > 2 THEN 'aspect' END, CASE WHEN angle > 10 THEN 'angle' END) reasons FROM fin""")
+@query(f"""WITH {_TSQL}, {_CORNERS}, fin AS (SELECT p_partkey, ratio area_ratio, z[2] aspect, angle FROM an JOIN asp USING (p_partkey))
+    SELECT p_partkey, round(area_ratio, 5) area_ratio, round(aspect, 6) aspect, round(angle, 6) angle,
+           concat_ws('; ', CASE WHEN area_ratio > 1.5 OR area_ratio < 1 / 1.5 THEN 'area' END, CASE WHEN aspect > 2 THEN 'aspect' END, CASE WHEN angle > 10 THEN 'angle' END) reasons FROM fin""")
 def G3_check_homography(s, d):
     t = _transforms(s, d, True).select("p_partkey", geometry.check_homography("m", 1300.0, 2000.0).alias("p")).select("p_partkey", "p.*")
-    return _rounded(t, "area_ratio", "aspect", "angle")
+    return _rounded(_rounded(t, "aspect", "angle"), "area_ratio", digits=5)
 
 
 @query(f"WITH {_TSQL} SELECT p_partkey, round(0.5 * a - 0.25 * c, 6) m0, round(0.5 * b - 0.25 * d, 6) m1, round(0.5 * tx - 0.25 * ty + 7, 6) m2, round(0.25 * a + 0.5 * c, 6) m3, round(0.25 * b + 0.5 * d, 6) m4, round(0.25 * tx + 0.5 * ty - 3, 6) m5 FROM tf")
@@ -1048,10 +1157,13 @@ def J15_apply_strokes(s, d):
 
 @query()
 def K9_stack_pipeline(s, d):
+    """Noise, vignetting, alignment, balancing, fusion with all its levels, denoising, tone mapping and sharpening."""
     px = fx.sharp_pixels(s, d)
-    steps = [stack.mask_noise(20, method="rgb"), stack.balanced(_refs(px)), stack.aligned(_shifts(px))]
-    prepared = stack.stack_pipeline(px, steps)
-    return pyramid.focus_stack_pyramid(prepared, 0)
+    h, w = px.agg(F.max("y") + 1, F.max("x") + 1).first()
+    refs = _refs(px)
+    steps = [stack.mask_noise(20, method="rgb"), stack.correct_vignette(20), stack.auto_aligned(refs, limits="large"), stack.balanced(refs)]
+    fuse = lambda p: pyramid.focus_stack_pyramid(p, pyramid.levels_for(h, w, 8))
+    return stack.stack_job(px, refs, steps, fuse, [stack.denoised(), stack.tone_mapped(), stack.sharpened()]).select("stack_id", "y", "x", "b", "g", "r")
 
 
 @query(f"WITH {o.SQL_PIXELS} SELECT stack_id, frame_idx, max(b)::BIGINT peak FROM px GROUP BY ALL")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,21 +57,32 @@ def scan_filelist(names: DataFrame, root: str) -> DataFrame:
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """8-bit pixels of JPEG and PNG files: ``path, y, x, b, g, r``. Deeper images come as Parquet (``read_pixels``)."""
+    """8-bit pixels of JPEG and PNG files: ``path, y, x, b, g, r``; gray files have three equal channels.
+
+    Files that are no images are left out. Deeper images come as Parquet (``read_pixels``).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                origin, h, w, n, data = (batch.column(k)[at].as_py() for k in range(5))
+                image = np.frombuffer(data, np.uint8).reshape(h, w, n)
+                channels = [image[..., k if n >= 3 else 0] for k in range(3)]
+                for lo in range(0, h, rows := max(1, (1 << 16) // max(1, w))):  # a stretch of rows at a time
+                    y, x = np.mgrid[lo : min(h, lo + rows), 0:w]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.repeat(origin, y.size), pa.array(y.ravel(), pa.int64()), pa.array(x.ravel(), pa.int64())]
+                        + [pa.array(c[lo : lo + rows].ravel().astype(np.int64)) for c in channels],
+                        ["path", "y", "x", "b", "g", "r"],
+                    )
+
     image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    color = image.filter("nChannels = 3").select("origin", "width", F.posexplode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i", "_"), "data")
-    value = lambda k: F.expr(f"CAST(conv(hex(substring(data, 3 * i + {k + 1}, 1)), 16, 10) AS INT)")
-    return color.select(
-        F.col("origin").alias("path"),
-        F.expr("i div width").alias("y"),
-        (F.col("i") % F.col("width")).cast("long").alias("x"),
-        value(0).alias("b"),
-        value(1).alias("g"),
-        value(2).alias("r"),
-    )
+    source = image.select("origin", "height", "width", "nChannels", "data")
+    return source.mapInArrow(run, "path string, y long, x long, b long, g long, r long")
 
 
 def read_pixels(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_frames`` wrote, or any such table of pixels."""
     return spark.read.parquet(path)
 
 

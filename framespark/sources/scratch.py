@@ -6,23 +6,26 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 DIR_KEY = "spark.checkpoint.dir"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read again.
-
-    Where that is unset a local folder serves, on one machine alone; a cluster must name a shared one.
-    """
-    spark = df.sparkSession
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset a local folder serves, on one machine alone; a
+    cluster must name a shared one."""
     where = spark.conf.get(DIR_KEY, None)
     if not where:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
             raise ValueError(f"{DIR_KEY} must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(DIR_KEY, where)
-    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet under ``scratch_dir`` and read again."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
