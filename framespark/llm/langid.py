@@ -269,8 +269,8 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
                 texts, lettered = (part.column(k).to_pylist() for k in (at, part.num_columns - 1))
                 _, _, reject = model.judge(texts, lettered)
                 kept = part.filter(pa.array([not r for r in reject]))
-                yield pa.RecordBatch.from_arrays(kept.columns[:-1], part.schema.names[:-1])
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], names)
 
-    at = docs.columns.index(text_col)
+    at, names = docs.columns.index(text_col), docs.columns
     marked = docs.select("*", F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)))
     return marked.mapInArrow(run, docs.schema)

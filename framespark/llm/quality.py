@@ -78,7 +78,7 @@ def log_ratios(counts: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
 def weights_of(raw: list[bytes], ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of n-grams, log weight) of each text."""
     b, owner = bucketed(raw, len(ratios))
-    return np.bincount(owner, minlength=len(raw)), np.bincount(owner, ratios[b], len(raw))
+    return np.bincount(owner, minlength=len(raw)), np.bincount(owner, ratios[b], len(raw)).astype(np.float64)
 
 
 def gumbel_noise(id_col: str, text_col: str, seed: int | Column) -> Column:
@@ -195,7 +195,10 @@ def keep_drawn(
     The score depends on id, text and models alone, so rows are weighed again as they are read: no join of texts.
     """
     _, bar, ratios = _scored(docs, labels, k, id_col, text_col, buckets, seed, strength)
-    at = docs.columns.index(text_col)
+    at, names = docs.columns.index(text_col), docs.columns
+    drawn = "noise"
+    while drawn in names:
+        drawn += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task()
@@ -205,9 +208,9 @@ def keep_drawn(
                 rows = batch.slice(lo, hi - lo)
                 noise = rows.column(rows.num_columns - 1).to_numpy(zero_copy_only=False)
                 kept = rows.filter(pa.array(strength * (weight / (n + PRIOR)) + noise >= bar))
-                yield pa.RecordBatch.from_arrays(kept.columns[:-1], rows.schema.names[:-1])
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], names)
 
-    return docs.select("*", gumbel_noise(id_col, text_col, seed)).mapInArrow(run, docs.schema)
+    return docs.select("*", gumbel_noise(id_col, text_col, seed).alias(drawn)).mapInArrow(run, docs.schema)
 
 
 #: How much losing the good documents counts against keeping the bad ones when the margin is chosen.
