@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -204,26 +206,40 @@ def fit_quality(matches: DataFrame, models: DataFrame, subsample: int = 1, thres
 
 
 def homography_fit(matches: DataFrame) -> DataFrame:
-    """(stack_id, frame_idx, m): a homography by normalised equations of all matches, one bounded solve a frame."""
+    """(stack_id, frame_idx, m): a homography by normalised linear equations of all matches.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = pdf[["x0", "y0"]].to_numpy(), pdf[["x1", "y1"]].to_numpy()
-
-        def normal(a):
-            mean, scale = a.mean(axis=0), max(a.std(), 1e-9)
-            return np.array([[1 / scale, 0, -mean[0] / scale], [0, 1 / scale, -mean[1] / scale], [0, 0, 1]])
-
-        t, s = normal(p), normal(q)
-        a = p @ t[:2, :2].T + t[:2, 2]
-        b = q @ s[:2, :2].T + s[:2, 2]
-        one, zero = np.ones((len(a), 1)), np.zeros((len(a), 3))
-        h = np.hstack((a, one))
-        rows = np.vstack((np.hstack((h, zero, -b[:, :1] * h)), np.hstack((zero, h, -b[:, 1:] * h))))
-        _, vectors = np.linalg.eigh(rows.T @ rows)
-        m = np.linalg.inv(s) @ vectors[:, 0].reshape(3, 3) @ t
-        return pd.DataFrame({"stack_id": pdf["stack_id"].iloc[:1], "frame_idx": pdf["frame_idx"].iloc[:1], "m": [(m / m[2, 2]).ravel().tolist()]})
-
-    return matches.groupBy(*PAIR).applyInPandas(run, "stack_id long, frame_idx long, m array<double>")
+    The normal matrix of the equations is made of 24 sums of products, which Spark adds up whatever the number of matches;
+    only the sums of a frame are solved in Python. Frames with fewer than four matches with all coordinates are left out.
+    """
+    points = ["x0", "y0", "x1", "y1"]
+    known = matches.dropna(subset=points)
+    scale = lambda a, b: F.greatest(F.sqrt((F.var_pop(a) + F.var_pop(b)) / 2), F.lit(1e-9))
+    frames = known.groupBy(*PAIR).agg(
+        *(F.avg(c).alias(f"mean_{c}") for c in points), scale("x0", "y0").alias("scale_0"), scale("x1", "y1").alias("scale_1"), F.count("*").alias("n")
+    ).filter("n >= 4")
+    x, y, u, v = ((F.col(c) - F.col(f"mean_{c}")) / F.col(f"scale_{c[1]}") for c in points)
+    point, one = (x, y, F.lit(1.0)), F.lit(1.0)
+    upper = [(i, j) for i in range(3) for j in range(i, 3)]
+    sums = [F.sum(point[i] * point[j] * by).alias(f"s{k}_{i}{j}") for k, by in enumerate((one, u, v, u * u + v * v)) for i, j in upper]
+    norms = [*(f"mean_{c}" for c in points), "scale_0", "scale_1"]
+    summed = known.select(*PAIR, *points).join(frames, list(PAIR)).groupBy(*PAIR, *norms).agg(*sums)
+
+    def solve(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            found = []
+            for r in pdf.to_dict("records"):
+                plain, by_u, by_v, by_both = (np.array([[r[f"s{k}_{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)]) for k in range(4))
+                none = np.zeros((3, 3))
+                normal = np.block([[plain, none, -by_u], [none, plain, -by_v], [-by_u, -by_v, by_both]])
+                t, s = (
+                    np.array([[1 / size, 0, -mx / size], [0, 1 / size, -my / size], [0, 0, 1]])
+                    for size, mx, my in ((r[f"scale_{k}"], r[f"mean_x{k}"], r[f"mean_y{k}"]) for k in (0, 1))
+                )
+                m = np.linalg.inv(s) @ np.linalg.eigh(normal)[1][:, 0].reshape(3, 3) @ t
+                found.append((m / m[2, 2]).ravel().tolist())
+            yield pdf[list(PAIR)].assign(m=found)
+
+    return summed.mapInPandas(solve, "stack_id long, frame_idx long, m array<double>")
 
 
 def phase_shift(px: DataFrame, pairs: DataFrame, scales: tuple[float, float] = (0.9, 1.1), factor: int = 1) -> DataFrame:

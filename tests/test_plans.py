@@ -58,8 +58,12 @@ def test_homography_of_exact_matches(spark):
     q = np.column_stack((p, np.ones(30))) @ h.T
     q = q[:, :2] / q[:, 2:]
     rows = [(0, 0, i, *map(float, (*a, *b))) for i, (a, b) in enumerate(zip(p, q))]
-    got = align.homography_fit(spark.createDataFrame(rows, "stack_id long, frame_idx long, kp_id long, x0 double, y0 double, x1 double, y1 double")).first()
-    assert np.allclose(np.array(got["m"]).reshape(3, 3), h, atol=1e-6)
+    few = [(0, 1, *r[2:]) for r in rows[:3]] + [(0, 1, 3, None, 1.0, 1.0, 1.0)]
+    schema = "stack_id long, frame_idx long, kp_id long, x0 double, y0 double, x1 double, y1 double"
+    got = align.homography_fit(spark.createDataFrame(rows + few + [(0, 0, 99, None, 1.0, 1.0, 1.0)], schema)).collect()
+    assert [r["frame_idx"] for r in got] == [0]  # three matches fix no homography
+    assert np.allclose(np.array(got[0]["m"]).reshape(3, 3), h, atol=1e-6)
+    assert align.homography_fit(spark.createDataFrame([], schema)).count() == 0
 
 
 @pytest.mark.parametrize("depth", [8, 16])
