@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embdedup, langid, minhash, packing, quality, secrets, tokenfile, warc
+from . import ann, bpe, embdedup, exact, filteraudit, langid, minhash, packing, phrases, quality, secrets, tokenfile, warc
 from .storage import new_path, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -75,6 +75,19 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_quotient_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(*filteraudit.document_failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.collocations(phrases.count_phrases(table(spark, sf_dir, "documents"), least=100, longest=5), top=2000)
+    return found.withColumnRenamed("part", "lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_scan": op1_adaptive_scan,
     "op2_secret_forest": op2_secret_forest,
@@ -86,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_importance_resampling": op10_importance_resampling,
+    "op11_quotient_dedup": op11_quotient_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_collocations": op13_collocations,
 }
 
 #: The digests of op6 are those of the pages themselves. SQL has no tokenizer or model for the others, and op1 is
@@ -135,4 +151,71 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN original END AS refers_to
         FROM q
     """,
+    "op11_quotient_dedup": """
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+    """,
+    "op12_filter_audit": r"""
+        WITH d AS (
+            SELECT coalesce(lang, '') AS part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                   doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS e
+            FROM documents LEFT JOIN labels USING (doc_id)
+        ), f AS (
+            SELECT part, good, toxic, {
+                'A': len(words) < 100, 'B': 100 * len(list_distinct(words)) < 80 * len(words),
+                'C': 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * len(t), 'D': regexp_matches(t, '[#$%&*|]'), 'E': e
+            } AS fails FROM d
+        ), x AS (
+            SELECT part, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic,
+                   (CASE WHEN fails.A THEN 'A' ELSE '' END) || (CASE WHEN fails.B THEN 'B' ELSE '' END) || (CASE WHEN fails.C THEN 'C' ELSE '' END)
+                   || (CASE WHEN fails.D THEN 'D' ELSE '' END) || (CASE WHEN fails.E THEN 'E' ELSE '' END) AS failed
+            FROM f GROUP BY part, failed
+        ), letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c), orders AS (
+            SELECT p.c || q.c || r.c || s.c || t.c AS filter_order FROM letter p, letter q, letter r, letter s, letter t
+            WHERE len(list_distinct([p.c, q.c, r.c, s.c, t.c])) = 5
+        ), steps AS (
+            SELECT filter_order, step, filter_order[1 : step - 1] AS before, filter_order[step] AS own
+            FROM orders, (SELECT unnest(range(1, 6))::INTEGER AS step)
+        ), y AS (
+            SELECT part, filter_order, step, own,
+                   coalesce(sum(n) FILTER (translate(failed, before || own, '') = failed), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER (contains(failed, own) AND translate(failed, before, '') = failed), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (contains(failed, own) AND translate(failed, before, '') <> failed), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (failed = own), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(good) FILTER (contains(failed, own) AND translate(failed, before, '') = failed), 0)::BIGINT AS good_lost,
+                   coalesce(sum(toxic) FILTER (contains(failed, own) AND translate(failed, before, '') = failed), 0)::BIGINT AS toxic_lost
+            FROM x, steps GROUP BY ALL
+        )
+        SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM y
+    """,
+    "op13_collocations": r"""
+        WITH p AS (
+            SELECT lang, row_number() OVER () AS piece_id, words FROM (
+                SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words
+                FROM documents
+            )
+        ), f AS (
+            SELECT lang, k, list_aggregate(words[i : i + k - 1], 'string_agg', ' ') AS phrase, count(*) AS n
+            FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS k))
+            GROUP BY ALL
+        ), total AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY 1),
+        c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS words FROM f WHERE k >= 2 AND n >= 100),
+        free AS (
+            SELECT * FROM c WHERE NOT EXISTS (
+                SELECT 1 FROM c longer WHERE longer.lang = c.lang AND longer.k > c.k AND 100 * longer.a >= 100 * c.a AND contains(' ' || longer.phrase || ' ', ' ' || c.phrase || ' ')
+            )
+        ), cuts AS (
+            SELECT free.lang, free.phrase, free.a, cut, x.n AS l, y.n AS r, total.n AS n,
+                   (1000::HUGEINT * free.a * total.n) // (x.n::HUGEINT * y.n) AS score
+            FROM (SELECT *, unnest(range(1, k)) AS cut FROM free) free
+            JOIN f x ON x.lang = free.lang AND x.k = cut AND x.phrase = array_to_string(words[1 : cut], ' ')
+            JOIN f y ON y.lang = free.lang AND y.k = free.k - cut AND y.phrase = array_to_string(words[cut + 1 :], ' ')
+            JOIN total ON total.lang = free.lang
+        ), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+        SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase))::INTEGER AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l,
+               r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+        FROM best QUALIFY rank <= 2000
+    """,
 }
