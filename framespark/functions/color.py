@@ -1,4 +1,8 @@
-"""Colour spaces and tone curves as column expressions: no Python runs on pixels."""
+"""Colour spaces and tone curves as column expressions: no Python runs on pixels.
+
+Colour spaces follow the depth of the channels: at 8 bits hue is half the degrees and values are the nearest whole numbers,
+at 16 bits hue fills the range and values are cut.
+"""
 
 from __future__ import annotations
 
@@ -42,6 +46,22 @@ def _whole(v: Column, most: int) -> Column:
     return F.floor(F.greatest(F.lit(0.0), F.least(v, F.lit(float(most))))).cast("long")
 
 
+def _level(v: Column, most: int, depth: int) -> Column:
+    """As a channel's value: the nearest whole number at 8 bits, the one below at 16."""
+    return _whole(v + 0.5 if depth == 8 else v, most)
+
+
+def _turn(degrees: Column, depth: int) -> Column:
+    """A hue as a channel's value: half the degrees at 8 bits (0 to 179), a share of all values at 16."""
+    if depth == 8:
+        return F.pmod(F.floor(degrees / 2 + 0.5), F.lit(180)).cast("long")
+    return _whole(degrees / 360 * top(depth), top(depth))
+
+
+def _degrees(h: Channel, depth: int) -> Column:
+    return _c(h).cast("double") * 2 if depth == 8 else _unit(h, depth=depth)[0] * 360
+
+
 def _hue(b: Column, g: Column, r: Column, high: Column, delta: Column) -> Column:
     """Degrees; of equal channels the test for blue counts before that for green, and that before red."""
     red = 60 * (g - b) / delta
@@ -63,7 +83,7 @@ def bgr_to_hsv(b: Channel, g: Channel, r: Channel, depth: int = 16) -> Column:
     high, low = F.greatest(b, g, r), F.least(b, g, r)
     delta, m = high - low, top(depth)
     s = F.when(high == 0, F.lit(0.0)).otherwise(delta / high)
-    return _struct(h=_whole(_hue(b, g, r, high, delta) / 360 * m, m), s=_whole(s * m, m), v=_whole(high * m, m))
+    return _struct(h=_turn(_hue(b, g, r, high, delta), depth), s=_level(s * m, m, depth), v=_level(high * m, m, depth))
 
 
 def bgr_to_hls(b: Channel, g: Channel, r: Channel, depth: int = 16) -> Column:
@@ -71,10 +91,10 @@ def bgr_to_hls(b: Channel, g: Channel, r: Channel, depth: int = 16) -> Column:
     high, low = F.greatest(b, g, r), F.least(b, g, r)
     delta, m, light = high - low, top(depth), (high + low) / 2
     s = F.when(delta == 0, F.lit(0.0)).when(light < 0.5, delta / (high + low)).otherwise(delta / (2 - high - low))
-    return _struct(h=_whole(_hue(b, g, r, high, delta) / 360 * m, m), l=_whole(light * m, m), s=_whole(s * m, m))
+    return _struct(h=_turn(_hue(b, g, r, high, delta), depth), l=_level(light * m, m, depth), s=_level(s * m, m, depth))
 
 
-def _from_chroma(h: Column, c: Column, low: Column, most: int) -> Column:
+def _from_chroma(h: Column, c: Column, low: Column, depth: int) -> Column:
     """The channels of a hue in degrees, a chroma and the least channel; 360 itself lies in no sextant."""
     sextant = h / 60
     x = c * (1 - F.abs(F.pmod(sextant, F.lit(2.0)) - 1))
@@ -85,20 +105,20 @@ def _from_chroma(h: Column, c: Column, low: Column, most: int) -> Column:
         out = zero
         for i, channels in enumerate(orders):
             out = F.when((sextant >= i) & (sextant < i + 1), channels[k]).otherwise(out)
-        return _whole((out + low) * most, most)
+        return _level((out + low) * top(depth), top(depth), depth)
 
     return _struct(b=pick(2), g=pick(1), r=pick(0))
 
 
 def hsv_to_bgr(h: Channel, s: Channel, v: Channel, depth: int = 16) -> Column:
-    h, s, v = _unit(h, s, v, depth=depth)
-    return _from_chroma(h * 360, v * s, v - v * s, top(depth))
+    s, v = _unit(s, v, depth=depth)
+    return _from_chroma(_degrees(h, depth), v * s, v - v * s, depth)
 
 
 def hls_to_bgr(h: Channel, l: Channel, s: Channel, depth: int = 16) -> Column:  # noqa: E741
-    h, light, s = _unit(h, l, s, depth=depth)
+    light, s = _unit(l, s, depth=depth)
     c = (1 - F.abs(2 * light - 1)) * s
-    return _from_chroma(h * 360, c, light - c / 2, top(depth))
+    return _from_chroma(_degrees(h, depth), c, light - c / 2, depth)
 
 
 #: Linear RGB to XYZ and back, and the white point.
@@ -108,8 +128,14 @@ WHITE_X, WHITE_Z = 0.950456, 1.088754
 EDGE = 6 / 29
 
 
+def _lab_scale(depth: int) -> tuple[float, int, int, int]:
+    """What L and what a and b are multiplied by, the largest a and b, the largest L."""
+    return (2.55, 1, 255, 255) if depth == 8 else (652.8, 256, 65535, 65280)
+
+
 def bgr_to_lab(b: Channel, g: Channel, r: Channel, depth: int = 16) -> Column:
-    """Lab scaled to 16 bits: L by 652.8, a and b shifted by 128 and scaled by 256."""
+    """Lab as whole numbers. At 16 bits L is scaled by 652.8, and a and b, shifted by 128, by 256; at 8 bits L is scaled by
+    2.55, and a and b are shifted by 128."""
     linear = [
         F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
         for c in _unit(r, g, b, depth=depth)
@@ -119,16 +145,18 @@ def bgr_to_lab(b: Channel, g: Channel, r: Channel, depth: int = 16) -> Column:
         F.when(t > EDGE**3, F.pow(t, F.lit(1 / 3))).otherwise(t / (3 * EDGE * EDGE) + 4 / 29)
         for t in (x / WHITE_X, y, z / WHITE_Z)
     )
+    light, shift, most, full = _lab_scale(depth)
     return _struct(
-        l=_whole((116 * fy - 16) * 652.8, 65280),
-        a=_whole((500 * (fx - fy) + 128) * 256, 65535),
-        b=_whole((200 * (fy - fz) + 128) * 256, 65535),
+        l=_level((116 * fy - 16) * light, full, depth),
+        a=_level((500 * (fx - fy) + 128) * shift, most, depth),
+        b=_level((200 * (fy - fz) + 128) * shift, most, depth),
     )
 
 
 def lab_to_bgr(l: Channel, a: Channel, b: Channel, depth: int = 16) -> Column:  # noqa: E741
-    fy = (_c(l) / 652.8 + 16) / 116
-    fx, fz = (_c(a) / 256.0 - 128) / 500 + fy, fy - (_c(b) / 256.0 - 128) / 200
+    light, shift, _, _ = _lab_scale(depth)
+    fy = (_c(l) / light + 16) / 116
+    fx, fz = (_c(a) / float(shift) - 128) / 500 + fy, fy - (_c(b) / float(shift) - 128) / 200
     x, y, z = (F.when(f > EDGE, f * f * f).otherwise(3 * EDGE * EDGE * (f - 4 / 29)) for f in (fx, fy, fz))
 
     def channels(xyz: Column) -> Column:
@@ -140,7 +168,7 @@ def lab_to_bgr(l: Channel, a: Channel, b: Channel, depth: int = 16) -> Column:
 
     def curved(rgb: Column) -> Column:
         bent = {n: F.when(rgb[n] <= 0.0031308, 12.92 * rgb[n]).otherwise(1.055 * F.pow(rgb[n], F.lit(1 / 2.4)) - 0.055) for n in "bgr"}
-        return _struct(**{n: _whole(c * top(depth), top(depth)) for n, c in bent.items()})
+        return _struct(**{n: _level(c * top(depth), top(depth), depth) for n, c in bent.items()})
 
     return once(once(_struct(x=x * WHITE_X, y=y, z=z * WHITE_Z), channels), curved)
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
+from ..sources.frames import auto_factor
 
 #: Which values each mode balances: names of channels and, per mode, how to get them.
 MODES = ("LUMI", "RGB", "HSV", "HLS", "LAB")
@@ -39,19 +40,30 @@ def circular_mask(px: DataFrame, mask_size: float) -> DataFrame:
     return px.filter(dx * dx + dy * dy <= radius * radius)
 
 
-def histogram(px: DataFrame, mode: str = "LUMI", depth: int = 8, factor: int = 1, mask_size: float = 0.0) -> DataFrame:
+def histogram(
+    px: DataFrame, mode: str = "LUMI", depth: int = 8, factor: int = 1, mask_size: float = 0.0, fast: bool = True
+) -> DataFrame:
     """(stack_id, frame_idx, channel, value, n): partial counts before the one shuffle.
 
-    ``factor`` takes every n-th row and column; ``mask_size`` over 0 counts within that circle alone (``px`` has ``h`` and
-    ``w``).
+    ``factor`` takes every n-th row and column, or, where not ``fast``, the means of n x n blocks of each channel, rounded;
+    0 chooses it for each stack so that some two million pixels are left. ``mask_size`` over 0 counts within that circle
+    of the thinned frame alone. ``px`` has ``h`` and ``w`` for a mask or a factor of 0.
     """
-    if mask_size > 0:
-        px = circular_mask(px, mask_size)
-    if factor > 1:
-        px = px.filter((F.col("y") % factor == 0) & (F.col("x") % factor == 0))
     named = channels(mode, depth)
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("channel"), v.cast("long").alias("value")) for k, v in named.items())))
-    rows = px.select("stack_id", "frame_idx", pairs.alias("p")).select("stack_id", "frame_idx", "p.*")
+    base = px.select("stack_id", "frame_idx", "y", "x", *(c for c in ("h", "w") if c in px.columns), *(v.cast("long").alias(f"c_{k}") for k, v in named.items()))
+    n = auto_factor("balance", F.col("h"), F.col("w")) if factor == 0 else F.lit(factor)
+    if factor != 1:
+        base = base.withColumn("n", n.cast("long"))
+        block = {c: F.expr(f"{c} div n") for c in ("y", "x")} | {c: F.expr(f"({c} + n - 1) div n") for c in ("h", "w") if c in px.columns}
+        if fast:
+            base = base.filter((F.col("y") % F.col("n") == 0) & (F.col("x") % F.col("n") == 0)).withColumns(block)
+        else:
+            keys = ["stack_id", "frame_idx", *block]
+            base = base.withColumns(block).groupBy(*keys).agg(*(F.floor(F.avg(f"c_{k}") + 0.5).cast("long").alias(f"c_{k}") for k in named))
+    if mask_size > 0:
+        base = circular_mask(base, mask_size)
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("channel"), F.col(f"c_{k}").alias("value")) for k in named)))
+    rows = base.select("stack_id", "frame_idx", pairs.alias("p")).select("stack_id", "frame_idx", "p.*")
     return rows.groupBy("stack_id", "frame_idx", "channel", "value").agg(F.count("*").alias("n"))
 
 
@@ -77,11 +89,13 @@ def linear_correction(hist: DataFrame, refs: DataFrame, lo: int = 0, hi: int | N
     )
 
 
-def gamma_fit(hist: DataFrame, refs: DataFrame, depth: int = 8, steps: int = 42) -> DataFrame:
+def gamma_fit(hist: DataFrame, refs: DataFrame, depth: int = 8, steps: int = 42, lo: int = 0, hi: int | None = None) -> DataFrame:
     """Per frame and channel the gamma in [0.1, 5] that brings the corrected mid value to the reference's.
 
-    Bisection folded over each frame's histogram, held as one array of at most 2**depth values.
+    Bisection folded over each frame's histogram, held as one array of at most 2**depth values; mid values are those of
+    the values from ``lo`` to ``hi``.
     """
+    hist = hist.filter(F.col("value") >= lo) if hi is None else hist.filter(F.col("value").between(lo, hi))
     mid = mid_value(hist)
     ref = reference_rows(mid, refs).withColumnRenamed("mid", "target")
     whole = hist.groupBy("stack_id", "frame_idx", "channel").agg(
@@ -178,12 +192,56 @@ def _of_channel(corrections: DataFrame, names: Sequence[str]) -> DataFrame:
     return corrections.groupBy("stack_id", "frame_idx").pivot("channel", list(names)).agg(F.first("param"))
 
 
-def apply_correction(px: DataFrame, corrections: DataFrame, mode: str = "LUMI", map_: str = "LINEAR", depth: int = 8) -> DataFrame:
-    """Pixels with each frame's correction applied to the channels of ``mode`` (LUMI applies it to all three)."""
-    most = color.top(depth)
-    names = {"LUMI": ["L"], "RGB": ["B", "G", "R"], "HSV": ["S", "V"], "HLS": ["L", "S"], "LAB": ["L"]}[mode]
+#: For each mode in a colour space: there, back, its channels, and those that are balanced.
+_SPACES = {
+    "HSV": (color.bgr_to_hsv, color.hsv_to_bgr, "hsv", "sv"),
+    "HLS": (color.bgr_to_hls, color.hls_to_bgr, "hls", "ls"),
+    "LAB": (color.bgr_to_lab, color.lab_to_bgr, "lab", "l"),
+}
+
+
+def _balanced_channels(mode: str) -> list[str]:
+    """The names of a mode's corrections: LUMI has one for all three colours."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode: {mode}")
+    return ["L"] if mode == "LUMI" else [c.upper() for c in ("bgr" if mode == "RGB" else _SPACES[mode][3])]
+
+
+def _recoloured(both: DataFrame, mode: str, depth: int, mapped: Callable[[Column, str], Column], untouched: Column) -> DataFrame:
+    """Colours with ``mapped(value, name)`` in place of each balanced channel, in the mode's space; ``untouched`` rows stay."""
+    names = _balanced_channels(mode)
+    if mode in ("LUMI", "RGB"):
+        changed = {c: mapped(F.col(c), "L" if mode == "LUMI" else c.upper()) for c in "bgr"}
+    else:
+        to, back, order, _ = _SPACES[mode]
+        ready = lambda space: F.struct(*((mapped(space[c], c.upper()) if c.upper() in names else space[c]).alias(c) for c in order))
+        done = color.once(color.once(to("b", "g", "r", depth), ready), lambda space: back(*(space[c] for c in order), depth))
+        both = both.withColumn("_done", done)
+        changed = {c: F.col("_done")[c] for c in "bgr"}
+    return both.withColumns({c: F.when(untouched, F.col(c)).otherwise(v) for c, v in changed.items()}).drop("_done")
+
+
+def _is_reference(px: DataFrame, refs: DataFrame | None) -> DataFrame:
+    """Marks each stack's reference frame in a column ``_ref``."""
+    if refs is None:
+        return px.withColumn("_ref", F.lit(False))
+    marked = px.join(refs.select("stack_id", F.col("ref_idx").alias("_ref_idx")), "stack_id", "left")
+    return marked.withColumn("_ref", F.coalesce(F.col("frame_idx") == F.col("_ref_idx"), F.lit(False))).drop("_ref_idx")
+
+
+def apply_correction(
+    px: DataFrame, corrections: DataFrame, mode: str = "LUMI", map_: str = "LINEAR", depth: int = 8, refs: DataFrame | None = None
+) -> DataFrame:
+    """Pixels with each frame's correction applied to the channels of ``mode`` (LUMI applies it to all three colours).
+
+    Each channel is clipped at the largest value of ``depth``. The frames of ``refs`` stay as they are: a way to a colour
+    space and back would round them.
+    """
+    if map_ not in ("LINEAR", "GAMMA"):
+        raise ValueError(f"unknown correction: {map_}")
+    most, names = color.top(depth), _balanced_channels(mode)
     wide = _of_channel(corrections, names).withColumnsRenamed({n: f"k_{n}" for n in names})
-    both = px.join(wide, ["stack_id", "frame_idx"])
+    both = _is_reference(px, refs).join(wide, ["stack_id", "frame_idx"])
 
     def mapped(v: Column, name: str) -> Column:
         k = F.col(f"k_{name}")
@@ -191,44 +249,36 @@ def apply_correction(px: DataFrame, corrections: DataFrame, mode: str = "LUMI",
             return F.when(k == 1, v).otherwise(color.gamma_correction(v, k, depth))
         return F.floor(F.greatest(F.lit(0.0), F.least(v * k, F.lit(float(most))))).cast("long")
 
-    if mode in ("LUMI", "RGB"):
-        changed = {c: mapped(F.col(c), "L" if mode == "LUMI" else c.upper()) for c in "bgr"}
-    else:
-        to, back, order = {
-            "HSV": (color.bgr_to_hsv, color.hsv_to_bgr, "hsv"),
-            "HLS": (color.bgr_to_hls, color.hls_to_bgr, "hls"),
-            "LAB": (color.bgr_to_lab, color.lab_to_bgr, "lab"),
-        }[mode]
-        ready = lambda space: F.struct(*((mapped(space[c], c.upper()) if c.upper() in names else space[c]).alias(c) for c in order))
-        changed = color.once(color.once(to("b", "g", "r", depth), ready), lambda space: back(*(space[c] for c in order), depth))
-        both, done = both.withColumn("_done", changed), F.col("_done")
-        changed = {c: done[c] for c in "bgr"}
-    return both.withColumns(changed).drop("_done", *(f"k_{n}" for n in names))
+    return _recoloured(both, mode, depth, mapped, F.col("_ref")).drop("_ref", *(f"k_{n}" for n in names))
 
 
 def balance_frames(px: DataFrame, refs: DataFrame, mode: str = "LUMI", map_: str = "LINEAR", depth: int = 8,
-                   lo: int = 0, hi: int | None = None, factor: int = 1, mask_size: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """(balanced pixels, summary of corrections) of many stacks against their reference frames.
+                   lo: int = 0, hi: int | None = None, factor: int = 1, mask_size: float = 0.0, fast: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(balanced pixels, summary of corrections) of many stacks against their reference frames, which stay as they are.
 
-    Corrections come from the pixels that ``factor`` and ``mask_size`` leave (see ``histogram``), with values from ``lo``
-    to ``hi``; they are applied to all.
+    Corrections come from the pixels that ``factor``, ``fast`` and ``mask_size`` leave (see ``histogram``; a factor of 0 is
+    chosen for each stack by its size, see ``auto_factor``), with values from ``lo`` to ``hi``; they are applied to all.
+    LAB balances L alone. For MATCH_HIST the summary is the table of each frame and channel.
     """
-    hist = histogram(px, mode, depth, factor, mask_size)
+    hist = histogram(px, mode, depth, factor, mask_size, fast)
     if map_ == "MATCH_HIST":
         lut = match_histogram(hist, refs, depth)
-        return apply_lut(px, lut, mode), lut
-    fitted = linear_correction(hist, refs, lo, hi) if map_ == "LINEAR" else gamma_fit(hist, refs, depth)
+        return apply_lut(px, lut, mode, depth, refs), lut
+    if map_ not in ("LINEAR", "GAMMA"):
+        raise ValueError(f"unknown correction: {map_}")
+    fitted = linear_correction(hist, refs, lo, hi) if map_ == "LINEAR" else gamma_fit(hist, refs, depth, lo=lo, hi=hi)
     summary = correction_summary(fitted, refs)
-    return apply_correction(px, summary, mode, map_, depth), summary
+    return apply_correction(px, summary, mode, map_, depth, refs), summary
 
 
-def apply_lut(px: DataFrame, lut: DataFrame, mode: str = "LUMI") -> DataFrame:
-    """Pixels sent through per-frame tables: each is one array per frame and channel, indexed by value."""
+def apply_lut(px: DataFrame, lut: DataFrame, mode: str = "LUMI", depth: int = 8, refs: DataFrame | None = None) -> DataFrame:
+    """Pixels sent through per-frame tables in the mode's space: each table is one array per frame and channel, indexed by
+    value. The frames of ``refs`` stay as they are."""
+    names = _balanced_channels(mode)
     entries = F.sort_array(F.collect_list(F.struct("value", "out")))
     maps = lut.groupBy("stack_id", "frame_idx", "channel").agg(F.transform(entries, lambda e: e["out"]).alias("table"))
-    names = ["L"] if mode == "LUMI" else ["B", "G", "R"]
     wide = maps.groupBy("stack_id", "frame_idx").pivot("channel", names).agg(F.first("table"))
     wide = wide.withColumnsRenamed({n: f"t_{n}" for n in names})
-    both = px.join(wide, ["stack_id", "frame_idx"])
-    pick = lambda c: F.get(F.col("t_L" if mode == "LUMI" else f"t_{c.upper()}"), F.col(c).cast("int"))
-    return both.withColumns({c: pick(c) for c in "bgr"}).drop(*(f"t_{n}" for n in names))
+    both = _is_reference(px, refs).join(wide, ["stack_id", "frame_idx"])
+    pick = lambda v, name: F.get(F.col(f"t_{name}"), v.cast("int"))
+    return _recoloured(both, mode, depth, pick, F.col("_ref")).drop("_ref", *(f"t_{n}" for n in names))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from . import tiles
 from .stencil import FRAME, GENERATING, grown, reduce, stencil, with_size
 
 BGR = ("b", "g", "r")
@@ -93,14 +94,58 @@ def collapse(pyramid: list[DataFrame], keys: Sequence[str] = ("stack_id",), cols
     return image
 
 
-def focus_stack_pyramid(px: DataFrame, levels: int, depth: int = 8, keys: Sequence[str] = ("stack_id",)) -> DataFrame:
+def focus_stack_pyramid(px: DataFrame, levels: int | None = None, depth: int = 8, keys: Sequence[str] = ("stack_id",), min_size: int = 32) -> DataFrame:
     """All-in-focus images of many stacks at once: ``keys, y, x, b, g, r`` as whole numbers.
 
-    ``px`` has ``keys``, ``frame_idx``, ``y``, ``x`` and colours. A stack of one frame comes out as it is, up to
-    rounding down.
+    ``px`` has ``keys``, ``frame_idx``, ``y``, ``x`` and colours. Stacks may differ in shape: each has ``levels``
+    reductions, by default until the smaller side nears ``min_size``. A stack of one frame comes out as it is, up to
+    rounding down. Frames are worked on by tiles, in passes of several levels (see ``tiles``).
     """
-    pyramid = laplacian_pyramid(px, levels, [*keys, "frame_idx"])
-    fused = [focus_argmax(level, keys) for level in pyramid[:-1]] + [written(base_fusion(pyramid[-1], keys=keys), "base")]
-    image = collapse(fused, keys)
-    most = float((1 << depth) - 1)
-    return image.select(*keys, "y", "x", *(F.floor(F.round(F.least(F.abs(c), F.lit(most)), 6)).cast("long").alias(c) for c in BGR))
+    sized = with_size(px, list(keys))
+    left = tiles.reductions(F.col("h"), F.col("w"), min_size) if levels is None else F.lit(levels).cast("long")
+    sized = sized.select(*keys, "frame_idx", *(F.col(c).cast("long") for c in ("y", "x", "h", "w")), *BGR, left.alias("left"))
+    return _fused(tiles.parts_of_pixels(sized.filter("left > 0"), keys), sized.filter("left = 0"), depth, keys)
+
+
+def focus_stack_tiles(frames: DataFrame, depth: int = 8, keys: Sequence[str] = ("stack_id",), min_size: int = 32) -> DataFrame:
+    """``focus_stack_pyramid`` of tile rows (see ``tiles.pack_tiles``)."""
+    frames = frames.withColumn("left", tiles.reductions(F.col("h"), F.col("w"), min_size))
+    return _fused(tiles.parts_of_tiles(frames.filter("left > 0"), keys), tiles.unpack_tiles(frames.filter("left = 0"), keys), depth, keys)
+
+
+def _fused(parts: DataFrame, flat: DataFrame, depth: int, keys: Sequence[str]) -> DataFrame:
+    """Passes from fine to coarse, the base of all stacks, and passes back. ``flat`` has the pixels of stacks without levels.
+
+    What a pass leaves is written, so each is done once, and the number of passes is that of the largest frames.
+    """
+    columns = [*keys, "frame_idx", "y", "x", "h", "w", *BGR]
+    bottom = flat.select(*columns[:-3], *(F.col(c).cast("double") for c in BGR), F.lit(0).alias("passes"))
+    done: list[DataFrame] = []
+    while True:
+        both = written(tiles.fuse_details(parts, keys), "tiles")
+        coarse = both.filter("frame_idx is not null")
+        if both.isEmpty():
+            break
+        done.append(both.filter("frame_idx is null"))
+        bottom = bottom.unionByName(tiles.unpack_tiles(coarse.filter("left = 0"), keys).withColumn("passes", F.lit(len(done))))
+        active = coarse.filter("left > 0")
+        if active.isEmpty():
+            break
+        parts = tiles.parts_of_tiles(active, keys)
+    passes = bottom.select(*keys, "passes").distinct()
+    base = written(base_fusion(bottom.drop("passes"), keys=keys).join(passes, list(keys)), "base")
+    most, image = (1 << depth) - 1, None
+    levels = [d.select(*keys, "left").distinct() for d in done]
+    margins = [tiles.AROUND] * (tiles.STEP + 1)
+    for k in range(len(done) - 1, -1, -1):
+        reached = base.filter(F.col("passes") == k + 1).drop("passes").withColumn("frame_idx", F.lit(0).cast("long"))
+        parts = tiles.parts_of_pixels(reached.join(levels[k], list(keys)), keys, margins, shrink=True)
+        if image is not None:
+            finer = image.drop("left", "frame_idx").join(levels[k], list(keys)).withColumn("frame_idx", F.lit(0).cast("long"))
+            parts = parts.unionByName(tiles.parts_of_tiles(finer, keys, margins, shrink=True))
+        image = tiles.rebuild(done[k], parts, keys)
+        if k:
+            image = written(image, "image")
+    out = [F.floor(F.round(F.least(F.abs(c), F.lit(float(most))), 6)).cast("long").alias(c) for c in BGR]
+    small = base.filter("passes = 0").select(*keys, "y", "x", *out)
+    return small if image is None else small.unionByName(tiles.unpack_tiles(image, keys, frames=False, whole=most))

@@ -66,10 +66,14 @@ def stencil(
 
 
 def stencils(
-    df: DataFrame, results: dict[str, tuple[str, Sequence[float], Sequence[float]]], keys: Sequence[str] = FRAME, edge: str = "reflect", tile: int = TILE
+    df: DataFrame, results: dict[str, tuple], keys: Sequence[str] = FRAME, edge: str = "reflect", tile: int = TILE
 ) -> DataFrame:
-    """Several convolutions in one pass: ``results`` maps each new column to its source, taps along y and taps along x."""
-    out = list(results)
+    """Several convolutions in one pass: ``results`` maps each new column to its source, taps along y and taps along x.
+
+    For other kernels a result is its source, a function of a dense plane with a margin, and the width of that margin.
+    """
+    out, free = list(results), {o: r[1:] for o, r in results.items() if callable(r[1])}
+    results = {o: (r[0], (0.0,) * (2 * r[2] + 1), (0.0,) * (2 * r[2] + 1)) if o in free else r for o, r in results.items()}
     ry, rx = (max(len(r[k]) // 2 for r in results.values()) for k in (1, 2))
     types = {f.name: f.dataType for f in df.schema}
     kinds = {o: "long" if all(isinstance(t, int) for t in (*ty, *tx)) and isinstance(types[c], IntegralType) else "double" for o, (c, ty, tx) in results.items()}
@@ -97,7 +101,7 @@ def stencils(
             dense[y - (y0 - ry), x - (x0 - rx)] = table.column(c).to_numpy()
             cut_y, cut_x = ry - len(taps_y) // 2, rx - len(taps_x) // 2  # shorter taps need less of the margin
             dense = dense[from_y][:, from_x][cut_y : len(from_y) - cut_y, cut_x : len(from_x) - cut_x]
-            dense = _convolved(_convolved(dense, taps_y, 0), taps_x, 1)
+            dense = free[o][0](dense) if o in free else _convolved(_convolved(dense, taps_y, 0), taps_x, 1)
             done.append(pa.chunked_array([pa.array(dense[y[home] - y0, x[home] - x0].astype(dense.dtype))]))
         return pa.table(done, names=names)
 

@@ -95,7 +95,15 @@ def _cut(v: str, most: int = 65535) -> str:
     return f"CAST(floor(greatest(0.0::DOUBLE, least({v}, {most}.0::DOUBLE))) AS BIGINT)"
 
 
-def _sextants(h: str, c: str, low: str) -> str:
+def _near(v: str, most: int = 255) -> str:
+    return f"CAST(floor(greatest(0.0::DOUBLE, least({v} + 0.5, {most}.0::DOUBLE))) AS BIGINT)"
+
+
+def _level(v: str, depth: int, most: int | None = None) -> str:
+    return _near(v, most or 255) if depth == 8 else _cut(v, most or 65535)
+
+
+def _sextants(h: str, c: str, low: str, depth: int = 16) -> str:
     """Channels from hue (degrees), chroma and least channel, as columns b, g, r."""
     s = f"({h} / 60)"
     x = f"({c} * (1 - abs(({s} - 2 * floor({s} / 2)) - 1)))"
@@ -103,33 +111,80 @@ def _sextants(h: str, c: str, low: str) -> str:
     out = []
     for name in "bgr":
         cases = " ".join(f"WHEN {s} >= {i} AND {s} < {i + 1} THEN {v}" for i, v in enumerate(parts[name]))
-        out.append(_cut(f"((CASE {cases} ELSE 0 END) + {low}) * 65535") + f" {name}")
+        out.append(_level(f"((CASE {cases} ELSE 0 END) + {low}) * {(1 << depth) - 1}", depth) + f" {name}")
     return ", ".join(out)
 
 
-def _lab() -> str:
+def _lab(depth: int = 16) -> str:
     lin = ", ".join(f"CASE WHEN f{c} <= 0.04045 THEN f{c} / 12.92::DOUBLE ELSE pow((f{c} + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END l{c}" for c in "rgb")
     rows = {"x": (0.412453, 0.357580, 0.180423, 0.950456), "yy": (0.212671, 0.715160, 0.072169, 1.0), "z": (0.019334, 0.119193, 0.950227, 1.088754)}
     xyz = ", ".join(f"({a!r}::DOUBLE * lr + {b!r}::DOUBLE * lg + {c!r}::DOUBLE * lb) / {w!r}::DOUBLE t{n}" for n, (a, b, c, w) in rows.items())
     e = 6 / 29
     f = ", ".join(f"CASE WHEN t{n} > {e**3!r}::DOUBLE THEN pow(t{n}, {1 / 3!r}::DOUBLE) ELSE t{n} / {3 * e * e!r}::DOUBLE + {4 / 29!r}::DOUBLE END f{n}" for n in rows)
-    return f"""c AS (SELECT *, b / 65535.0::DOUBLE fb, g / 65535.0::DOUBLE fg, r / 65535.0::DOUBLE fr FROM px),
+    m = f"{(1 << depth) - 1}.0::DOUBLE"
+    k, shift, full = (2.55, 1, 255) if depth == 8 else (652.8, 256, 65280)
+    values = (_level(f"(116 * fyy - 16) * {k}::DOUBLE", depth, full), *(_level(f"({n} + 128) * {shift}", depth) for n in ("500 * (fx - fyy)", "200 * (fyy - fz)")))
+    return f"""c AS (SELECT *, b / {m} fb, g / {m} fg, r / {m} fr FROM px),
         l AS (SELECT *, {lin} FROM c), t AS (SELECT *, {xyz} FROM l), f AS (SELECT {_PX4}, {f} FROM t),
-        lab AS (SELECT {_PX4}, {_cut("(116 * fyy - 16) * 652.8::DOUBLE", 65280)} l, {_cut("(500 * (fx - fyy) + 128) * 256")} a, {_cut("(200 * (fyy - fz) + 128) * 256")} b FROM f)"""
+        lab AS (SELECT {_PX4}, {values[0]} l, {values[1]} a, {values[2]} b FROM f)"""
 
 
-def _from_lab() -> str:
+def _from_lab(depth: int = 16) -> str:
     e = 6 / 29
     cube = lambda v: f"CASE WHEN {v} > {e!r}::DOUBLE THEN {v} * {v} * {v} ELSE {3 * e * e!r}::DOUBLE * ({v} - {4 / 29!r}::DOUBLE) END"
     rows = {"r": (3.240479, -1.537150, -0.498535), "g": (-0.969256, 1.875992, 0.041556), "b": (0.055648, -0.204043, 1.057311)}
     lin = ", ".join(f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {a!r}::DOUBLE * vx + {b!r}::DOUBLE * vy + {c!r}::DOUBLE * vz)) l{n}" for n, (a, b, c) in rows.items())
-    out = ", ".join(_cut(f"(CASE WHEN l{n} <= 0.0031308 THEN 12.92::DOUBLE * l{n} ELSE 1.055::DOUBLE * pow(l{n}, {1 / 2.4!r}::DOUBLE) - 0.055::DOUBLE END) * 65535") + f" {n}" for n in "bgr")
-    return f"""g1 AS (SELECT {_PX4}, (l / 652.8::DOUBLE + 16) / 116 fy, a, b FROM lab),
-        g2 AS (SELECT *, (a / 256.0::DOUBLE - 128) / 500 + fy fx, fy - (b / 256.0::DOUBLE - 128) / 200 fz FROM g1),
+    out = ", ".join(_level(f"(CASE WHEN l{n} <= 0.0031308 THEN 12.92::DOUBLE * l{n} ELSE 1.055::DOUBLE * pow(l{n}, {1 / 2.4!r}::DOUBLE) - 0.055::DOUBLE END) * {(1 << depth) - 1}", depth) + f" {n}" for n in "bgr")
+    k, shift = (2.55, 1) if depth == 8 else (652.8, 256)
+    return f"""g1 AS (SELECT {_PX4}, (l / {k}::DOUBLE + 16) / 116 fy, a, b FROM lab),
+        g2 AS (SELECT *, (a / {shift}.0::DOUBLE - 128) / 500 + fy fx, fy - (b / {shift}.0::DOUBLE - 128) / 200 fz FROM g1),
         g3 AS (SELECT {_PX4}, ({cube("fx")}) * 0.950456::DOUBLE vx, {cube("fy")} vy, ({cube("fz")}) * 1.088754::DOUBLE vz FROM g2),
         g4 AS (SELECT {_PX4}, {lin} FROM g3) SELECT {_PX4}, {out} FROM g4"""
 
 
+#: At 8 bits: tables from px to ``sp`` and statements from ``bal`` to colours, by mode; and the channels that are balanced.
+_HUE8 = HSV.replace("65535.0", "255.0")
+_H8 = "floor(hue / 2 + 0.5)::BIGINT % 180 h"
+_S8 = _near("(hi - lo) / (CASE WHEN (hi + lo) / 2 < 0.5 THEN hi + lo ELSE 2 - hi - lo END) * 255")
+SPACES8 = {
+    "HSV": (
+        f"{_HUE8}, sp AS (SELECT {_PX4}, {_H8}, CASE WHEN hi = 0 THEN 0 ELSE {_near('(hi - lo) / hi * 255')} END s, {_near('hi * 255')} v FROM e)",
+        f"i AS (SELECT {_PX4}, h * 2.0::DOUBLE hh, s / 255.0::DOUBLE ss, v / 255.0::DOUBLE vv FROM bal) SELECT {_PX4}, {_sextants('hh', '(vv * ss)', '(vv - vv * ss)', 8)} FROM i",
+        "hsv", "sv",
+    ),
+    "HLS": (
+        f"{_HUE8}, sp AS (SELECT {_PX4}, {_H8}, {_near('(hi + lo) / 2 * 255')} l, CASE WHEN hi = lo THEN 0 ELSE {_S8} END s FROM e)",
+        f"i AS (SELECT {_PX4}, h * 2.0::DOUBLE hh, (1 - abs(2 * (l / 255.0::DOUBLE) - 1)) * (s / 255.0::DOUBLE) cc, l / 255.0::DOUBLE ll FROM bal) SELECT {_PX4}, {_sextants('hh', 'cc', '(ll - cc / 2)', 8)} FROM i",
+        "hls", "ls",
+    ),
+    "LAB": (_lab(8).replace("lab AS", "sp AS"), _from_lab(8).replace("FROM lab", "FROM bal"), "lab", "l"),
+}
+
+
+def balanced8(mode: str, map_: str, bisect: str, match: str) -> str:
+    """Frames of 8 bits balanced in a colour space: each (stack, channel) is a stack of its own until pixels meet its table."""
+    to, back, order, own = SPACES8[mode]
+    n = len(own)
+    hist = " UNION ALL ".join(f"SELECT stack_id * 4 + {i} stack_id, frame_idx, 'L' channel, {c} AS \"value\", count(*) n FROM sp GROUP BY ALL" for i, c in enumerate(own))
+    values = "(SELECT * FROM (SELECT DISTINCT stack_id, frame_idx FROM hist), (SELECT range AS \"value\" FROM range(0, 256)))"
+    if map_ == "LINEAR":
+        lut = f"{MID}, {LINEAR}, lut AS (SELECT stack_id, frame_idx, \"value\", {_cut('\"value\" * param', 255)} AS out FROM {values} JOIN corr USING (stack_id, frame_idx))"
+    elif map_ == "GAMMA":
+        lut = f"{MID}, {bisect}, lut AS (SELECT stack_id, frame_idx, \"value\", {_cut('pow(\"value\"::DOUBLE / 255, 1 / ((lo + hi) / 2)) * 255', 255)} AS out FROM {values} JOIN it USING (stack_id, frame_idx) WHERE i = 42)"
+    else:
+        match = match.replace("FROM px) f", "FROM hist) f")
+        at = match.rindex("SELECT stack_id, frame_idx, 'L'")
+        lut = match[:at] + ", lut AS (" + match[at:] + ")"
+    joins = " ".join(f'JOIN lut k{c} ON k{c}.stack_id = sp.stack_id * 4 + {i} AND k{c}.frame_idx = sp.frame_idx AND k{c}."value" = sp.{c}' for i, c in enumerate(own))
+    cols = ", ".join(f"k{c}.out {c}" if c in own else f"sp.{c}" for c in order)
+    refs = f"{REF.replace('refs AS', 'refs0 AS')}, refs AS (SELECT stack_id * 4 + range stack_id, ref_idx FROM refs0, range({n}))"
+    at = back.rindex(f"SELECT {_PX4}")
+    done = back[:at] + (", " if at and not back[:at].rstrip().endswith(",") else "") + "done AS (" + back[at:] + ")"
+    out = ", ".join(f"CASE WHEN px.frame_idx = ref_idx THEN px.{c} ELSE done.{c} END {c}" for c in BGR)
+    return (f"WITH RECURSIVE {SQL_PIXELS}, {to}, {refs}, hist AS ({hist}), {lut}, bal AS (SELECT sp.stack_id, sp.frame_idx, sp.y, sp.x, {cols} FROM sp {joins}), "
+            f"{done} SELECT px.stack_id, px.frame_idx, px.y, px.x, {out} FROM px JOIN done USING ({_PX4}) JOIN refs0 ON refs0.stack_id = px.stack_id")
+
+
 def _contrast(v: str, k: float, most: int) -> str:
     import math
 

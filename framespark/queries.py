@@ -245,6 +245,31 @@ def C6_lab_to_bgr(s, d):
     return C5_bgr_to_lab(s, d).select(*PX, color.lab_to_bgr("l", "a", "b").alias("c")).select(*PX, "c.*")
 
 
+def _space8_queries(name: str, mode: str, to, back) -> None:
+    """There, and there and back, at 8 bits."""
+    there, again, order, _ = o.SPACES8[mode]
+
+    def forth(s, d):
+        return fx.pixels(s, d).select(*PX, to("b", "g", "r", 8).alias("c")).select(*PX, "c.*")
+
+    def home(s, d):
+        return forth(s, d).select(*PX, back(*order, 8).alias("c")).select(*PX, "c.*")
+
+    low = mode.lower()
+    number = int(name)
+    for f, title, sql in (
+        (forth, f"C{number}_bgr_to_{low}_8bit", f"WITH {o.SQL_PIXELS}, {there} SELECT * FROM sp"),
+        (home, f"C{number + 1}_{low}_to_bgr_8bit", f"WITH {o.SQL_PIXELS}, {there}, {again.replace('FROM bal', 'FROM sp')}"),
+    ):
+        f.__name__ = title
+        query(sql)(f)
+
+
+_space8_queries("1", "HSV", color.bgr_to_hsv, color.hsv_to_bgr)
+_space8_queries("3", "HLS", color.bgr_to_hls, color.hls_to_bgr)
+_space8_queries("5", "LAB", color.bgr_to_lab, color.lab_to_bgr)
+
+
 @query(f"WITH {o.SQL_PIXELS} SELECT {o._PX4}, {o._cut('b::DOUBLE * (140.0::DOUBLE / 100)', 255)} b, {o._cut('g::DOUBLE * (140.0::DOUBLE / 120)', 255)} g, {o._cut('r::DOUBLE * (140.0::DOUBLE / 200)', 255)} r FROM px")
 def C7_white_balance(s, d):
     return fx.pixels(s, d).select(*PX, color.white_balance("b", "g", "r", (200.0, 120.0, 100.0)).alias("c")).select(*PX, "c.*")
@@ -350,7 +375,7 @@ def A7_mean_frame(s, d):
 
 _LABDIFF = f"""{o.SQL_PIXELS}, {o.MEAN}, {o.sized('mean', 'meanz')}, {o.conv('meanz', 'blurred', {f's{c}': f'b.{c}' for c in 'bgr'}, o.B5, keys=('stack_id',), keep=('b', 'g', 'r'))},
     two AS (SELECT stack_id, 0 frame_idx, y, x, b, g, r FROM blurred UNION ALL SELECT stack_id, 1, y, x, floor((sb + 128) / 256)::BIGINT, floor((sg + 128) / 256)::BIGINT, floor((sr + 128) / 256)::BIGINT FROM blurred),
-    {o._lab().replace('/ 65535.0::DOUBLE f', '/ 255.0::DOUBLE f').replace('FROM px)', 'FROM two)')},
+    {o._lab(8).replace('FROM px)', 'FROM two)')},
     far AS (SELECT p.stack_id, p.y, p.x, sqrt(((p.l - q.l) * (p.l - q.l) + (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b))::DOUBLE) d FROM lab p JOIN lab q USING (stack_id, y, x) WHERE p.frame_idx = 0 AND q.frame_idx = 1)"""
 
 
@@ -413,11 +438,11 @@ def J3_select_hot_pixels(s, d):
 
 
 _LUTSQL = _MATCH[: _MATCH.rindex("SELECT stack_id, frame_idx, 'L'")] + ", lut AS (" + _MATCH[_MATCH.rindex("SELECT stack_id, frame_idx, 'L'"):] + ")"
-_LUT3 = ", ".join(f"t{c}.out {c}" for c in "bgr")
+_LUT3 = ", ".join(f"CASE WHEN px.frame_idx = ref_idx THEN px.{c} ELSE t{c}.out END {c}" for c in "bgr")
 _LUTJ = " ".join(f'JOIN lut t{c} ON t{c}.stack_id = px.stack_id AND t{c}.frame_idx = px.frame_idx AND t{c}."value" = px.{c}' for c in "bgr")
 
 
-@query(f"WITH {o.SQL_PIXELS}, {o.HIST}, {o.REF}, {_LUTSQL} SELECT px.stack_id, px.frame_idx, px.y, px.x, {_LUT3} FROM px {_LUTJ}")
+@query(f"WITH {o.SQL_PIXELS}, {o.HIST}, {o.REF}, {_LUTSQL} SELECT px.stack_id, px.frame_idx, px.y, px.x, {_LUT3} FROM px {_LUTJ} JOIN refs ON refs.stack_id = px.stack_id")
 def J2_apply_lut(s, d):
     px = fx.pixels(s, d)
     return balance.balance_frames(px, _refs(px), "LUMI", "MATCH_HIST")[0].select(*PX, "b", "g", "r")
@@ -450,6 +475,9 @@ def _space_query(name: str, mode: str, to: str, back: str, mapped: tuple[str, ..
     cols = ", ".join(o._cut(f"sp.{c} * k{c}.param") + f" {c}" for c in mapped)
     sql = (f"WITH {o.SQL_WIDE}, {to}, hist AS ({each}), {o.MID}, {o.REF}, {o.LINEAR}, "
            f"bal AS (SELECT sp.stack_id, sp.frame_idx, sp.y, sp.x, {rest}, {cols} FROM sp {joins}), {back}")
+    at = sql.rindex(f"SELECT {o._PX4}")  # the reference frame stays as it is
+    kept = ", ".join(f"CASE WHEN px.frame_idx = ref_idx THEN px.{c} ELSE done.{c} END {c}" for c in "bgr")
+    sql = f"{sql[:at].rstrip()}, done AS ({sql[at:]}) SELECT px.stack_id, px.frame_idx, px.y, px.x, {kept} FROM px JOIN done USING ({o._PX4}) JOIN refs ON refs.stack_id = px.stack_id"
 
     def f(s, d):
         px = fx.pixels(s, d, wide=True)
@@ -466,6 +494,20 @@ _space_query("K1_balance_hls", "HLS", f"{o.HSV}, {_HLS_SQL}, sp AS (SELECT * FRO
 _space_query("K1_balance_lab", "LAB", f"{o._lab().replace('lab AS', 'sp AS')}", f"{o._from_lab().replace('FROM lab', 'FROM bal')}", ("l",), "sp.a a, sp.b b")
 
 
+def _space8_balance(mode: str, map_: str) -> None:
+    def f(s, d):
+        px = fx.pixels(s, d)
+        return balance.balance_frames(px, _refs(px), mode, map_)[0].select(*PX, "b", "g", "r")
+
+    f.__name__ = f"K1_balance_{mode.lower()}_{map_.lower()}_8bit"
+    query(o.balanced8(mode, map_, _BISECT, _MATCH))(f)
+
+
+for _mode in ("HSV", "HLS", "LAB"):
+    for _map in ("LINEAR", "GAMMA", "MATCH_HIST"):
+        _space8_balance(_mode, _map)
+
+
 @query(f"WITH RECURSIVE {o.SQL_PIXELS}, {o.HIST}, {o.MID}, {o.REF}, {_BISECT}, gm AS (SELECT stack_id, frame_idx, CASE WHEN frame_idx = ref_idx THEN 1.0::DOUBLE ELSE (lo + hi) / 2 END param FROM it JOIN refs USING (stack_id) WHERE i = 42) "
        f"SELECT {o._PX4}, {', '.join(f'CASE WHEN param = 1 THEN {c} ELSE CAST(floor(greatest(0.0::DOUBLE, least(pow({c}::DOUBLE / 255, 1 / param) * 255, 255.0::DOUBLE))) AS BIGINT) END {c}' for c in 'bgr')} FROM px JOIN gm USING (stack_id, frame_idx)")
 def K1_balance_gamma(s, d):
@@ -473,7 +515,9 @@ def K1_balance_gamma(s, d):
     return balance.balance_frames(px, _refs(px), "LUMI", "GAMMA")[0].select(*PX, "b", "g", "r")
 
 
-_MASKED = f"{o.SQL_PIXELS.replace('px AS', 'px0 AS')}, {o.sized('px0', 'pz0')}, px1 AS (SELECT * FROM pz0 WHERE pow(x - w / 2.0, 2) + pow(y - h / 2.0, 2) <= pow(least(w, h) * 0.9 / 2, 2) AND y % 2 = 0 AND x % 2 = 0)"
+_MASKED = f"""{o.SQL_PIXELS.replace('px AS', 'px0 AS')}, {o.sized('px0', 'pz0')},
+    thin AS (SELECT stack_id, frame_idx, y // 2 y, x // 2 x, (h + 1) // 2 h, (w + 1) // 2 w, b, g, r FROM pz0 WHERE y % 2 = 0 AND x % 2 = 0),
+    px1 AS (SELECT * FROM thin WHERE pow(x - w / 2.0, 2) + pow(y - h / 2.0, 2) <= pow(least(w, h) * 0.9 / 2, 2))"""
 
 
 @query(f'WITH {_MASKED}, px AS (SELECT * FROM px0), hist AS (SELECT stack_id, frame_idx, \'L\' channel, {o.LUMA} AS "value", count(*) n FROM px1 GROUP BY ALL), '
@@ -731,15 +775,15 @@ _BLEND = f"""g0 AS (SELECT {o._PX4}, h, w, b::DOUBLE b, g::DOUBLE g, r::DOUBLE r
 def A22_weighted_blend(s, d):
     px = _sharp(s, d)
     e = depthmap.energy_map(px.withColumn("v", color.gray("b", "g", "r")))
-    return depthmap.weighted_blend(px, depthmap.focus_weights(e, "average"), levels=1)
+    return depthmap.weighted_blend(px, depthmap.focus_weights(e, "average"), levels=2)
 
 
 @query(f"WITH {_COLORGRAY}, {o._energy('laplacian')}, {o._bilateral()}, {_MAX.replace('EN)', 'sm2)')}, wb AS (SELECT * FROM wm), {_BLEND} SELECT * FROM blended")
 def K5_focus_stack_depthmap(s, d):
-    return depthmap.focus_stack_depthmap(_sharp(s, d), levels=1)
+    return depthmap.focus_stack_depthmap(_sharp(s, d), levels=2)
 
 
-@query(f"WITH {_COLORGRAY.replace(o.SQL_SHARP, fx.SQL_LARGE)}, {o._energy('laplacian')}, {o._bilateral()}, {_MAX.replace('EN)', 'sm2)')}, wb AS (SELECT * FROM wm), {o.blend_deep(5)} SELECT * FROM blended")
+@query(f"WITH {_COLORGRAY.replace(o.SQL_SHARP, fx.SQL_LARGE)}, {o._energy('laplacian')}, {o._bilateral()}, {_MAX.replace('EN)', 'sm2)')}, wb AS (SELECT * FROM wm), {o.blend_deep(4)} SELECT * FROM blended")
 def K5_depthmap_of_large_frames(s, d):
     return depthmap.focus_stack_depthmap(with_size(fx.large_pixels(s, d)))
 
