@@ -35,10 +35,14 @@ AFFINE_LIMITS = {"normal": (10.0, 0.9, 1.1, 5.0, 0.1), "large": (20.0, 0.5, 1.5,
 HOMOGRAPHY_LIMITS = {"normal": (1.5, 2.0, 10.0), "large": (2.0, 4.0, 12.0)}
 
 
-def check_affine(m: Column | str, height: float, width: float, limits: str = "normal") -> Column:
+def _number(v: Column | float) -> Column:
+    return v.cast("double") if isinstance(v, Column) else F.lit(float(v))
+
+
+def check_affine(m: Column | str, height: Column | float, width: Column | float, limits: str = "normal") -> Column:
     """The reasons against a transform, joined by '; '; empty if it is valid."""
     rotation, low, high, shear, share = AFFINE_LIMITS[limits]
-    p = decompose_affine(m)
+    height, width, p = _number(height), _number(width), decompose_affine(m)
     scales = [((p[s] < low) | (p[s] > high), f"{s[1]}-scale") for s in ("sx", "sy")]
     far = [(F.abs(p["tx"]) > width * share, "x-translation"), (F.abs(p["ty"]) > height * share, "y-translation")]
     reasons = [(F.abs(p["rotation"]) > rotation, "rotation"), *scales, (F.abs(p["shear"]) > shear, "shear"), *far]
@@ -51,14 +55,14 @@ def apply(m: Column | str, x: Column, y: Column) -> tuple[Column, Column]:
     return (m[0] * x + m[1] * y + m[2]) / z, (m[3] * x + m[4] * y + m[5]) / z
 
 
-def check_homography(m: Column | str, height: float, width: float, limits: str = "normal") -> Column:
+def check_homography(m: Column | str, height: Column | float, width: Column | float, limits: str = "normal") -> Column:
     """(area_ratio, aspect, angle, reasons): the image of the frame's corners held against the frame.
 
     The aspect is that of the least rectangle around the four corners; one of its sides lies along an edge.
     """
     area_limit, aspect_limit, angle_limit = HOMOGRAPHY_LIMITS[limits]
-    corners = [(0.0, 0.0), (width, 0.0), (width, height), (0.0, height)]
-    placed = [apply(m, F.lit(x), F.lit(y)) for x, y in corners]
+    height, width, zero = _number(height), _number(width), F.lit(0.0)
+    placed = [apply(m, x, y) for x, y in ((zero, zero), (width, zero), (width, height), (zero, height))]
     points = F.array(*(F.struct(u.alias("x"), v.alias("y")) for u, v in placed))
 
     def measure(c: Column) -> Column:
@@ -97,10 +101,10 @@ def _off_square(a: tuple[Column, Column], q: tuple[Column, Column], b: tuple[Col
     return F.abs(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(cosine, F.lit(1.0))))) - 90)
 
 
-def rescale_transform(m: Column | str, subsample: float, kind: str = "rigid") -> Column:
+def rescale_transform(m: Column | str, subsample: Column | float, kind: str = "rigid") -> Column:
     """A transform found on subsampled frames, for whole frames."""
     v = _m(m)
-    s = float(subsample)
+    s = _number(subsample)
     if kind == "rigid":
         return F.array(v[0], v[1], v[2] * s, v[3], v[4], v[5] * s, *v[6:])
     return F.array(v[0], v[1], v[2] * s, v[3], v[4], v[5] * s, v[6] / s, v[7] / s, v[8])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..functions import geometry
 from ..sources.scratch import written
@@ -148,65 +150,148 @@ def similarity_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
     return s.select(*keys, m.alias("m"), n.cast("long").alias("n"))
 
 
-def robust_fit(matches: DataFrame, threshold: float = 3.0, n_hyp: int = 256, method: str = "RANSAC") -> DataFrame:
-    """(stack_id, frame_idx, m, n_inliers, n): a similarity per frame, robust to outliers.
+#: Matches that fix a transform, by kind.
+SAMPLE = {"similarity": 2, "homography": 4}
+#: Strides and offsets of the arithmetic sequences that pick matches.
+PICKS = ((7919, 104729), (6101, 15485), (5477, 7001), (4337, 3083))
 
-    Each of ``n_hyp`` hypotheses is the exact similarity of two matches picked by an arithmetic sequence, so any run
-    gives the same. RANSAC keeps the one that most matches fit within ``threshold`` pixels, LMEDS the one with the
-    least median residual; the result is then fitted to its inliers. Hypotheses per frame are bounded; matches meet
-    them in a join by frame, and only sums leave it.
-    """
-    order = Window.partitionBy(*PAIR).orderBy("kp_id")
-    numbered = matches.withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy(*PAIR))})
-    numbered = numbered.filter("n >= 2")
-    frames = numbered.groupBy(*PAIR).agg(F.max("n").alias("n"))
-    hyp = frames.withColumn("hyp", F.explode(F.sequence(F.lit(0), F.lit(n_hyp - 1))))
-    first = (F.col("hyp") * 7919 + 104729) % F.col("n")
-    second = (first + 1 + (F.col("hyp") * 6101 + 15485) % (F.col("n") - 1)) % F.col("n")
-    hyp = hyp.select(*PAIR, "hyp", first.alias("i"), second.alias("j"))
-    p = numbered.select(*PAIR, "i", "x0", "y0", "x1", "y1")
-    q = p.select(*PAIR, F.col("i").alias("j"), *(F.col(c).alias(f"{c}j") for c in ("x0", "y0", "x1", "y1")))
-    two = hyp.join(p, [*PAIR, "i"]).join(q, [*PAIR, "j"])
-    dx, dy = F.col("x0j") - F.col("x0"), F.col("y0j") - F.col("y0")
-    du, dv = F.col("x1j") - F.col("x1"), F.col("y1j") - F.col("y1")
+
+def _picked(hyp: DataFrame, kind: str) -> DataFrame:
+    """Adds ``i0, i1, …``, the numbers of the matches of each hypothesis; those that pick one twice are left out."""
+    n, h = F.col("n"), F.col("hyp")
+    first = (h * PICKS[0][0] + PICKS[0][1]) % n
+    second = (first + 1 + (h * PICKS[1][0] + PICKS[1][1]) % (n - 1)) % n
+    at = [first, second, *((h * a + b) % n for a, b in PICKS[2 : SAMPLE[kind]])]
+    hyp = hyp.withColumns({f"i{k}": v for k, v in enumerate(at)})
+    return hyp.filter(F.size(F.array_distinct(F.array(*(F.col(f"i{k}") for k in range(len(at)))))) == len(at))
+
+
+def _similarity_of_two() -> tuple[Column, Column]:
+    """(the exact similarity of points 0 and 1, whether they fix one)."""
+    dx, dy, du, dv = (F.col(f"{c}_1") - F.col(f"{c}_0") for c in ("x0", "y0", "x1", "y1"))
     size = dx * dx + dy * dy
     a, b = (dx * du + dy * dv) / size, (dx * dv - dy * du) / size
-    two = two.filter(size > 0).select(*PAIR, "hyp", a.alias("a"), b.alias("b"), "x0", "y0", "x1", "y1")
-    models = two.select(*PAIR, "hyp", "a", "b", (F.col("x1") - F.col("a") * F.col("x0") + F.col("b") * F.col("y0")).alias("tx"),
-                        (F.col("y1") - F.col("b") * F.col("x0") - F.col("a") * F.col("y0")).alias("ty"))
-    error = lambda: F.sqrt(
-        F.pow(F.col("a") * F.col("x0") - F.col("b") * F.col("y0") + F.col("tx") - F.col("x1"), F.lit(2.0))
-        + F.pow(F.col("b") * F.col("x0") + F.col("a") * F.col("y0") + F.col("ty") - F.col("y1"), F.lit(2.0))
-    )
-    tried = models.join(p.drop("i"), list(PAIR)).withColumn("e", F.round(error(), 6))
-    score = F.count_if(F.col("e") <= threshold).cast("double") if method == "RANSAC" else -F.percentile("e", F.lit(0.5))
-    scored = tried.groupBy(*PAIR, "hyp").agg(score.alias("score"), *(F.first(c).alias(c) for c in ("a", "b", "tx", "ty")))
-    best = scored.groupBy(*PAIR).agg(F.max(F.struct("score", -F.col("hyp"), "a", "b", "tx", "ty")).alias("s")).select(*PAIR, "s.a", "s.b", "s.tx", "s.ty")
-    inliers = p.drop("i").join(best, list(PAIR)).filter(F.round(error(), 6) <= threshold)
-    fitted = similarity_sums(inliers, list(PAIR)).withColumnRenamed("n", "n_inliers")
-    return fitted.join(frames, list(PAIR))
+    x, y, u, v = (F.col(f"{c}_0") for c in ("x0", "y0", "x1", "y1"))
+    return F.array(a, -b, u - a * x + b * y, b, a, v - b * x - a * y, *map(F.lit, (0.0, 0.0, 1.0))), size > 0
+
 
+def _homography_of_four() -> tuple[Column, Column]:
+    """(the exact homography of points 0 to 3, whether no three of them lie on a line), in closed form.
 
-def fit_quality(matches: DataFrame, models: DataFrame, subsample: int = 1, threshold: float = 3.0) -> DataFrame:
+    Each side's points are the image of the projective base: three of them, scaled so that they add up to the fourth. The
+    homography goes from one base to the other; the inverse is the adjugate, as scale does not count.
+    """
+
+    def side(x: str, y: str) -> tuple[list[list[Column]], list[Column]]:
+        p = [(F.col(f"{x}_{k}"), F.col(f"{y}_{k}")) for k in range(4)]
+        area = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (c[0] - a[0]) * (b[1] - a[1])
+        scale = [area(p[3], p[1], p[2]), area(p[0], p[3], p[2]), area(p[0], p[1], p[3])]
+        base = [[s * q[0] for s, q in zip(scale, p)], [s * q[1] for s, q in zip(scale, p)], scale]
+        return base, [*scale, area(p[0], p[1], p[2])]
+
+    (a, of_a), (b, of_b) = side("x0", "y0"), side("x1", "y1")
+    ways = [(1, 2), (2, 0), (0, 1)]
+    adjugate = [[a[r0][c0] * a[r1][c1] - a[r0][c1] * a[r1][c0] for r0, r1 in ways] for c0, c1 in ways]
+    m = [sum((b[i][k] * adjugate[k][j] for k in (1, 2)), b[i][0] * adjugate[0][j]) for i in range(3) for j in range(3)]
+    sound = F.lit(True)
+    for t in (*of_a, *of_b):
+        sound = sound & (F.abs(t) > 1e-6)
+    return F.transform(F.array(F.array(*m)), lambda h: F.transform(h, lambda v: v / h[8]))[0], sound
+
+
+def robust_fit(
+    matches: DataFrame, threshold: float = 3.0, max_iters: int = 2000, method: str = "RANSAC", kind: str = "similarity", confidence: float = 0.999,
+    keys: Sequence[str] = PAIR,
+) -> DataFrame:
+    """(keys, m, n_inliers, n, tried): a transform for each of ``keys``, robust to outliers.
+
+    A hypothesis is the exact similarity of two matches, or the exact homography of four, picked by an arithmetic sequence,
+    so any run gives the same; samples that fix no transform are left out. RANSAC keeps the hypothesis that most matches
+    fit within ``threshold`` pixels, LMEDS the one with the least median residual; of equals the first. The result is
+    fitted to its inliers.
+
+    RANSAC tries hypotheses in rounds, each twice as large as the one before: a frame leaves once its share of inliers
+    makes a better sample improbable (``confidence``) or at ``max_iters``. LMEDS tries as many as ``confidence`` asks for
+    when 45 in 100 matches are outliers. Only sums leave the join of a frame's matches with its round.
+    """
+    if method not in ("RANSAC", "LMEDS") or kind not in SAMPLE:
+        raise ValueError(f"unknown method or kind: {method}, {kind}")
+    keys, size, points = list(keys), SAMPLE[kind], ("x0", "y0", "x1", "y1")
+    frame = Window.partitionBy(*keys)
+    numbered = matches.dropna(subset=list(points)).withColumns({"i": F.row_number().over(frame.orderBy("kp_id")) - 1, "n": F.count("*").over(frame)})
+    numbered = written(numbered.filter(F.col("n") >= size).select(*keys, "i", "n", *points), "numbered")
+    p = numbered.drop("n")
+    frames = numbered.groupBy(*keys).agg(F.max("n").alias("n"))
+    rest = math.log(max(1 - confidence, 1e-12))
+    fixed = min(max_iters, math.ceil(rest / math.log(1 - 0.55**size)))
+    state = frames.select(*keys, "n", F.lit(0).cast("long").alias("tried"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("array<double>").alias("m"))
+    done, batch = 0, 16 if method == "RANSAC" else fixed
+    u, v = geometry.apply("m", F.col("x0"), F.col("y0"))
+    error = F.round(F.sqrt(F.pow(u - F.col("x1"), F.lit(2.0)) + F.pow(v - F.col("y1"), F.lit(2.0))), 6)
+    left: list[DataFrame] = []
+    while done < max_iters:
+        batch = min(batch, max_iters - done)
+        hyp = _picked(state.select(*keys, "n", F.explode(F.sequence(F.lit(done), F.lit(done + batch - 1))).alias("hyp")), kind)
+        for k in range(size):
+            q = p.select(*keys, F.col("i").alias(f"i{k}"), *(F.col(c).alias(f"{c}_{k}") for c in points))
+            hyp = hyp.join(q, [*keys, f"i{k}"])
+        model, sound = _similarity_of_two() if kind == "similarity" else _homography_of_four()
+        models = hyp.filter(sound).select(*keys, "hyp", model.alias("m"))
+        scored = models.join(p.drop("i"), keys).withColumn("e", error)
+        score = F.count_if(F.col("e") <= threshold).cast("double") if method == "RANSAC" else -F.percentile("e", F.lit(0.5))
+        scored = scored.groupBy(*keys, "hyp").agg(score.alias("score"), F.first("m").alias("m"))
+        best = scored.groupBy(*keys).agg(F.max(F.struct("score", -F.col("hyp"), "m")).alias("new"))
+        better = F.col("new").isNotNull() & (F.col("score").isNull() | (F.col("new.score") > F.col("score")))
+        done += batch
+        state = state.join(best, keys, "left").select(
+            *keys, "n", F.lit(done).cast("long").alias("tried"),
+            F.when(better, F.col("new.score")).otherwise(F.col("score")).alias("score"), F.when(better, F.col("new.m")).otherwise(F.col("m")).alias("m"),
+        )
+        all_good = F.pow(F.coalesce("score", F.lit(0.0)) / F.col("n"), F.lit(float(size)))
+        needed = F.when(all_good >= 1, 0.0).when(all_good <= 0, float(max_iters)).otherwise(F.ceil(rest / F.log(1 - all_good)))
+        over = F.lit(method == "LMEDS" or done >= max_iters) | (F.col("tried") >= needed)
+        state = written(state.withColumn("over", over), "rounds")
+        left.append(state.filter("over").drop("over"))
+        state = state.filter("not over").drop("over")
+        if method == "LMEDS" or state.isEmpty():
+            break
+        batch *= 2
+    found = left[0]
+    for more in left[1:]:
+        found = found.unionByName(more)
+    found = found.filter("m is not null")
+    inliers = p.drop("i").join(found.select(*keys, "m"), keys).filter(error <= threshold).drop("m")
+    fitted = similarity_sums(inliers, keys).withColumnRenamed("n", "n_inliers") if kind == "similarity" else homography_fit(inliers, keys)
+    if kind == "homography":
+        fitted = fitted.join(inliers.groupBy(*keys).agg(F.count("*").alias("n_inliers")), keys)
+    return fitted.join(found.select(*keys, "n", "tried"), keys)
+
+
+def fit_quality(matches: DataFrame, models: DataFrame, subsample: int = 1, threshold: float = 3.0, keys: Sequence[str] = PAIR) -> DataFrame:
     """Share of inliers, mean error over the root of their number, worst error, and GOOD, POOR or FAILED."""
-    both = matches.join(models.select(*PAIR, "m"), list(PAIR))
+    keys = list(keys)
+    both = matches.join(models.select(*keys, "m"), keys)
     u, v = geometry.apply("m", F.col("x0"), F.col("y0"))
     e = F.sqrt(F.pow(u - F.col("x1"), F.lit(2.0)) + F.pow(v - F.col("y1"), F.lit(2.0)))
     both = both.withColumn("e", F.round(e, 6))
     inlier = F.col("e") <= threshold
     n = F.count_if(inlier)
-    stats = both.groupBy(*PAIR).agg(
+    stats = both.groupBy(*keys).agg(
         (n / F.count("*")).alias("inlier_share"),
         (F.avg(F.when(inlier, F.col("e"))) / F.sqrt(n.cast("double")) * subsample).alias("avg_error"),
         (F.max(F.when(inlier, F.col("e"))) * subsample).alias("max_error"),
     )
+    return stats.withColumn("status", quality_status())
+
+
+def quality_status() -> Column:
+    """GOOD, POOR or FAILED by a fit's share of inliers and its mean and worst error."""
     good = (F.col("inlier_share") >= 0.75) & (F.col("avg_error") <= 1) & (F.col("max_error") <= 30)
-    status = F.when(F.col("avg_error").isNull(), "FAILED").when(good, "GOOD").otherwise("POOR")
-    return stats.withColumn("status", status)
+    return F.when(F.col("avg_error").isNull(), "FAILED").when(good, "GOOD").otherwise("POOR")
 
 
-def homography_fit(matches: DataFrame) -> DataFrame:
-    """(stack_id, frame_idx, m): a homography by normalised linear equations of all matches.
+def homography_fit(matches: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
+    """(keys, m): a homography by normalised linear equations of all matches.
 
     The normal matrix of the equations is made of 24 sums of products, which Spark adds up whatever the number of matches;
     only the sums of a frame are solved in Python. Frames with fewer than four matches with all coordinates are left out.
@@ -214,7 +299,7 @@ def homography_fit(matches: DataFrame) -> DataFrame:
     points = ["x0", "y0", "x1", "y1"]
     known = matches.dropna(subset=points)
     scale = lambda a, b: F.greatest(F.sqrt((F.var_pop(a) + F.var_pop(b)) / 2), F.lit(1e-9))
-    frames = known.groupBy(*PAIR).agg(
+    frames = known.groupBy(*keys).agg(
         *(F.avg(c).alias(f"mean_{c}") for c in points), scale("x0", "y0").alias("scale_0"), scale("x1", "y1").alias("scale_1"), F.count("*").alias("n")
     ).filter("n >= 4")
     x, y, u, v = ((F.col(c) - F.col(f"mean_{c}")) / F.col(f"scale_{c[1]}") for c in points)
@@ -222,7 +307,7 @@ def homography_fit(matches: DataFrame) -> DataFrame:
     upper = [(i, j) for i in range(3) for j in range(i, 3)]
     sums = [F.sum(point[i] * point[j] * by).alias(f"s{k}_{i}{j}") for k, by in enumerate((one, u, v, u * u + v * v)) for i, j in upper]
     norms = [*(f"mean_{c}" for c in points), "scale_0", "scale_1"]
-    summed = known.select(*PAIR, *points).join(frames, list(PAIR)).groupBy(*PAIR, *norms).agg(*sums)
+    summed = known.select(*keys, *points).join(frames, list(keys)).groupBy(*keys, *norms).agg(*sums)
 
     def solve(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
@@ -237,9 +322,10 @@ def homography_fit(matches: DataFrame) -> DataFrame:
                 )
                 m = np.linalg.inv(s) @ np.linalg.eigh(normal)[1][:, 0].reshape(3, 3) @ t
                 found.append((m / m[2, 2]).ravel().tolist())
-            yield pdf[list(PAIR)].assign(m=found)
+            yield pdf[list(keys)].assign(m=found)
 
-    return summed.mapInPandas(solve, "stack_id long, frame_idx long, m array<double>")
+    schema = StructType([f for f in summed.schema if f.name in keys]).add("m", ArrayType(DoubleType()))
+    return summed.mapInPandas(solve, schema)
 
 
 def phase_shift(px: DataFrame, pairs: DataFrame, scales: tuple[float, float] = (0.9, 1.1), factor: int = 1) -> DataFrame:
@@ -293,7 +379,8 @@ def compose_chain(transforms: DataFrame, refs: DataFrame) -> DataFrame:
     """
     unit = F.array(*map(F.lit, (1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0))).cast("array<double>")
     ways = transforms.join(refs, "stack_id").filter("frame_idx <> ref_idx").select(*PAIR, F.col("target_idx").alias("at"), "ref_idx", "m")
-    for _ in range(64):  # more rounds than any chain needs: one that goes on runs in a circle
+    longest = ways.groupBy("stack_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(longest.bit_length() + 1):  # more rounds than any chain needs: what still goes on runs in a circle
         end = ways.select("stack_id", F.col("frame_idx").alias("at"), F.col("at").alias("to"), F.col("m").alias("more"))
         on = F.col("to").isNotNull()
         ways = ways.join(end, ["stack_id", "at"], "left").select(

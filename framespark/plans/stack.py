@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.color import gray
 from ..operators import align, balance, depthmap, filters, noise, pyramid, vignette
 from ..operators.stencil import with_size
+from ..sources.frames import auto_factor
 from ..sources.scratch import written
 from .bunches import bunches
 
@@ -56,24 +57,48 @@ def aligned(transforms: DataFrame, border: str = "REPLICATE") -> Step:
     return lambda px: align.warp(with_size(px), transforms, border)
 
 
+TARGET = ("stack_id", "frame_idx", "target_idx")
+
+
+def _matched(kp: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``TARGET, kp_id, x0, y0, x1, y1``: mutual nearest keypoints of pairs of frames, by binary descriptors."""
+    met = align.match_cross_check(kp, pairs.select(*TARGET))
+    at = lambda k, a: kp.select("stack_id", F.col("frame_idx").alias(a), F.col("kp_id").alias(f"kp{k}"), F.col("x").cast("double").alias(f"x{k}"), F.col("y").cast("double").alias(f"y{k}"))
+    placed = met.join(at(0, "frame_idx"), ["stack_id", "frame_idx", "kp0"]).join(at(1, "target_idx"), ["stack_id", "target_idx", "kp1"])
+    return placed.select(*TARGET, F.col("kp0").alias("kp_id"), "x0", "y0", "x1", "y1")
+
+
+def _fitted(matches: DataFrame, least: int, kind: str, method: str, threshold: float, factor: Column | int = 1) -> DataFrame:
+    """``TARGET, m, n_inliers, inlier_share, avg_error, max_error, status`` of pairs with enough inliers, in pixels of the
+    whole frames; ``matches`` may have their own ``factor``."""
+    models = align.robust_fit(matches, threshold, method=method, kind=kind, keys=TARGET).filter(F.col("n_inliers") >= least)
+    quality = align.fit_quality(matches, models, 1, threshold, TARGET)
+    both = models.select(*TARGET, "m", "n_inliers").join(quality, list(TARGET))
+    if "factor" in matches.columns:
+        both = both.join(matches.groupBy(*TARGET).agg(F.max("factor").alias("factor")), list(TARGET))
+        factor = F.col("factor")
+    scaled = {c: F.col(c) * factor for c in ("avg_error", "max_error")}
+    both = both.withColumns({**scaled, "m": geometry.rescale_transform("m", factor, "rigid" if kind == "similarity" else kind)})
+    return both.withColumn("status", align.quality_status()).drop("factor")
+
+
+def _allowed(transforms: DataFrame, sizes: DataFrame, kind: str, limits: str) -> DataFrame:
+    """Transforms whose distortion is within ``limits`` for their stack's ``h`` and ``w``."""
+    held = transforms.join(sizes, "stack_id")
+    reasons = geometry.check_affine("m", F.col("h"), F.col("w"), limits) if kind == "similarity" else geometry.check_homography("m", F.col("h"), F.col("w"), limits)["reasons"]
+    return held.filter(reasons == "").drop("h", "w")
+
+
 def estimate_transforms(
-    kp: DataFrame, frames: DataFrame, refs: DataFrame, delta_max: int = 2, least: int = 20, size: tuple[float, float] | None = None,
-    limits: str = "normal",
+    kp: DataFrame, frames: DataFrame, refs: DataFrame, delta_max: int = 2, least: int = 20, sizes: DataFrame | None = None,
+    limits: str = "normal", kind: str = "similarity", method: str = "RANSAC", threshold: float = 3.0,
 ) -> tuple[DataFrame, DataFrame]:
-    """(candidates, valid): the frames and targets tried, and the similarities found for them from keypoints with binary
-    descriptors: enough inliers and, with ``size`` (height, width), a distortion within ``limits``."""
+    """(candidates, valid): the frames and targets tried, and the transforms found for them from keypoints with binary
+    descriptors: with ``least`` inliers, how well they fit, and, with ``sizes(stack_id, h, w)``, a distortion within ``limits``.
+    """
     pairs = align.pair_frames(frames, refs, delta_max)
-    met = align.match_cross_check(kp, pairs.select("stack_id", "frame_idx", "target_idx"))
-    at = lambda k, a, b: kp.select("stack_id", F.col("frame_idx").alias(a), F.col("kp_id").alias(f"kp{k}"), F.col("x").cast("double").alias(f"x{k}"), F.col("y").cast("double").alias(f"y{k}"))
-    placed = met.join(at(0, "frame_idx", 0), ["stack_id", "frame_idx", "kp0"]).join(at(1, "target_idx", 0), ["stack_id", "target_idx", "kp1"])
-    # one robust fit for each frame and target: the pair stands in for the frame
-    pair_id = F.col("frame_idx") * (1 << 20) + F.col("target_idx")
-    rows = placed.select("stack_id", pair_id.alias("frame_idx"), F.col("kp0").alias("kp_id"), "x0", "y0", "x1", "y1")
-    fitted = align.robust_fit(written(rows, "matches")).filter(F.col("n_inliers") >= least)
-    if size:
-        fitted = fitted.filter(geometry.check_affine("m", *map(float, size), limits) == "")
-    valid = fitted.select("stack_id", F.expr("frame_idx div 1048576").alias("frame_idx"), (F.col("frame_idx") % (1 << 20)).alias("target_idx"), "m")
-    return pairs, valid
+    valid = _fitted(written(_matched(kp, pairs), "matches"), least, kind, method, threshold)
+    return pairs, _allowed(valid, sizes, kind, limits) if sizes is not None else valid
 
 
 def align_frames(kp: DataFrame, frames: DataFrame, refs: DataFrame, delta_max: int = 2, least: int = 20) -> DataFrame:
@@ -85,34 +110,67 @@ def align_frames(kp: DataFrame, frames: DataFrame, refs: DataFrame, delta_max: i
     return align.compose_chain(align.choose_pairs(pairs, valid), refs)
 
 
+def _thinned(px: DataFrame, factor: Column) -> DataFrame:
+    """Gray frames with every ``factor``-th row and column."""
+    thin = px.withColumn("factor", factor).filter((F.col("y") % F.col("factor") == 0) & (F.col("x") % F.col("factor") == 0))
+    at = {c: F.expr(f"{c} div factor") for c in ("y", "x")} | {c: F.expr(f"({c} + factor - 1) div factor") for c in ("h", "w")}
+    return thin.withColumns(at).select("stack_id", "frame_idx", "y", "x", "h", "w", "factor", gray("b", "g", "r").alias("v"))
+
+
+def match_with_fallback(px: DataFrame, pairs: DataFrame, factor: int = 0, top_k: int = 500, least: int = 20) -> DataFrame:
+    """``TARGET, kp_id, x0, y0, x1, y1, factor``: matches of pairs of thinned frames (``factor`` 0 is chosen by the size of
+    each stack), and, of pairs with fewer than ``least`` of them, those of the whole frames.
+
+    Only the frames of such pairs are searched for keypoints again, and only those pairs are matched again. ``px`` has
+    ``h`` and ``w``; keypoints lie at pixels of the thinned frames.
+    """
+    chosen = F.greatest(auto_factor("align", F.col("h"), F.col("w")), F.lit(1)) if factor == 0 else F.lit(factor)
+    thin = written(_thinned(px, chosen.cast("long")), "gray")
+    factors = thin.groupBy("stack_id").agg(F.max("factor").alias("factor"))
+    kp = written(align.detect_keypoints(thin.drop("factor"), top_k), "keypoints")
+    first = written(_matched(kp, pairs).join(factors, "stack_id"), "matches")
+    counts = first.groupBy(*TARGET).agg(F.count("*").alias("found"))
+    poor = pairs.select(*TARGET).join(factors.filter("factor > 1"), "stack_id").join(counts, list(TARGET), "left")
+    poor = written(poor.filter(F.coalesce("found", F.lit(0)) < least).select(*TARGET), "poor")
+    if poor.isEmpty():
+        return first
+    again = poor.select("stack_id", "frame_idx").union(poor.select("stack_id", "target_idx")).distinct()
+    whole = _thinned(px.join(again, ["stack_id", "frame_idx"], "left_semi"), F.lit(1).cast("long")).drop("factor")
+    finer = _matched(written(align.detect_keypoints(whole, top_k), "keypoints"), poor).withColumn("factor", F.lit(1).cast("long"))
+    return first.join(poor, list(TARGET), "left_anti").unionByName(written(finer, "matches"))
+
+
 def align_stack(
     px: DataFrame, refs: DataFrame, top_k: int = 500, delta_max: int = 2, least: int = 20, limits: str = "normal",
-    phase_fallback: bool = True, border: str = "REPLICATE_BLUR", factor: int = 1,
+    phase_fallback: bool = False, border: str = "REPLICATE_BLUR", factor: int = 1, kind: str = "similarity", method: str = "RANSAC",
+    threshold: float = 3.0,
 ) -> tuple[DataFrame, DataFrame]:
-    """(warped pixels, transforms): stacks of one shape aligned to their reference frames.
-
-    Keypoints of the gray frames (every ``factor``-th row and column) are detected, matched towards the reference and
-    fitted; transforms are checked. A frame that has none takes the shift that phase correlation tells for its nearest
-    target, unless ``phase_fallback`` is off; a frame that no chain leads to the reference is left out. ``transforms``
-    has ``stack_id, frame_idx, m``.
+    """(warped pixels, transforms): stacks of any shapes aligned to their reference frames.
+
+    Keypoints of the gray frames, thinned by ``factor`` (0: by the size of each stack), are detected, matched towards the
+    reference, with a fallback to whole frames (see ``match_with_fallback``), and fitted by a ``kind`` of transform. With
+    ``phase_fallback`` a frame that has none takes the scale and shift that phase correlation tells for its nearest target.
+    Transforms beyond ``limits`` do not count, nor those that a chain adds up to; a frame that no chain leads to the
+    reference is left out. ``transforms`` has ``stack_id, frame_idx, m``, and of the frame's own fit ``target_idx``,
+    ``n_inliers`` and ``status`` (GOOD or POOR; null for reference frames and phase correlation).
     """
     px = with_size(px)
-    h, w = px.select("h", "w").first()
-    thin = px if factor == 1 else px.filter((F.col("y") % factor == 0) & (F.col("x") % factor == 0))
-    at = {c: F.expr(f"{c} div {factor}") for c in ("y", "x")} | {c: F.expr(f"({c} + {factor} - 1) div {factor}") for c in ("h", "w")}
-    gray_px = written(thin.withColumns(at).select("stack_id", "frame_idx", "y", "x", "h", "w", gray("b", "g", "r").alias("v")), "gray")
-    frames = gray_px.select("stack_id", "frame_idx").distinct()
-    kp = written(align.detect_keypoints(gray_px, top_k), "keypoints")
-    pairs, valid = estimate_transforms(kp, frames, refs, delta_max, least, (-(-h // factor), -(-w // factor)), limits)
+    sizes = px.groupBy("stack_id").agg(F.max("h").alias("h"), F.max("w").alias("w"))
+    pairs = written(align.pair_frames(px.select("stack_id", "frame_idx").distinct(), refs, delta_max), "pairs")
+    matches = match_with_fallback(px, pairs, factor, top_k, least)
+    valid = written(_allowed(_fitted(matches, least, kind, method, threshold), sizes, kind, limits), "valid")
     chosen = written(align.choose_pairs(pairs, valid), "chosen")
     if phase_fallback:
-        lost = pairs.filter("delta = 1").join(chosen.select("stack_id", "frame_idx"), ["stack_id", "frame_idx"], "left_anti")
-        found = align.phase_shift(gray_px.select("stack_id", "frame_idx", "y", "x", "v"), written(lost.drop("delta"), "lost"))
-        m = F.array(F.lit(1.0), F.lit(0.0), F.col("dx"), F.lit(0.0), F.lit(1.0), F.col("dy"), *map(F.lit, (0.0, 0.0, 1.0)))
-        chosen = chosen.unionByName(found.select("stack_id", "frame_idx", "target_idx", m.alias("m")))
-    chained = align.compose_chain(chosen, refs)
-    chained = written(chained.withColumn("m", geometry.rescale_transform("m", factor)), "transforms")
-    warped = with_size(align.warp(px, chained, border))
+        lost = written(pairs.filter("delta = 1").join(chosen.select("stack_id", "frame_idx"), ["stack_id", "frame_idx"], "left_anti").select(*TARGET), "lost")
+        thin = _thinned(px, F.lit(max(factor, 1)).cast("long"))
+        found = align.phase_shift(thin.select("stack_id", "frame_idx", "y", "x", "v"), lost)
+        m = F.array(F.col("scale"), F.lit(0.0), F.col("dx"), F.lit(0.0), F.col("scale"), F.col("dy"), *map(F.lit, (0.0, 0.0, 1.0)))
+        found = found.select(*TARGET, geometry.rescale_transform(m, max(factor, 1)).alias("m"))
+        chosen = chosen.unionByName(_allowed(found, sizes, "similarity", limits).select(*TARGET, "m"))
+    chained = _allowed(align.compose_chain(chosen, refs), sizes, kind, limits)
+    fits = chosen.select(*TARGET).join(valid.select(*TARGET, "n_inliers", "status"), list(TARGET), "left")
+    chained = written(chained.join(fits, ["stack_id", "frame_idx"], "left"), "transforms")
+    warped = with_size(align.warp(px, chained.select("stack_id", "frame_idx", "m"), border))
     if border == "REPLICATE_BLUR":
         warped = align.blur_outside(warped)
     return warped.drop("h", "w"), chained

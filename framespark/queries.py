@@ -968,6 +968,40 @@ def A23_fit_quality(s, d):
     return _rounded(align.fit_quality(m, true, 2), "inlier_share", "avg_error", "max_error")
 
 
+_PICK4 = """h4 AS (SELECT fr.*, h.range hyp, (h.range * 7919 + 104729) % n i0, (h.range * 5477 + 7001) % n i2, (h.range * 4337 + 3083) % n i3 FROM fr, range(0, 256) h),
+    p4 AS (SELECT *, (i0 + 1 + (hyp * 6101 + 15485) % (n - 1)) % n i1 FROM h4), q4 AS MATERIALIZED (SELECT * FROM p4 WHERE len(list_distinct([i0, i1, i2, i3])) = 4),
+    """ + ", ".join(
+    f"""j{k} AS MATERIALIZED (SELECT t.*, nu.x0 x0_{k}, nu.y0 y0_{k}, nu.x1 x1_{k}, nu.y1 y1_{k} FROM {f'j{k - 1}' if k else 'q4'} t
+        JOIN nu ON nu.stack_id = t.stack_id AND nu.frame_idx = t.frame_idx AND nu.i = t.i{k})""" for k in range(4))
+
+
+def _base_sql(x: str, y: str, out: str) -> str:
+    """Areas of the triangles of four points, as columns: without the first, the second, the third, the fourth."""
+    area = lambda a, b, c: f"(({x}_{b} - {x}_{a}) * ({y}_{c} - {y}_{a}) - ({x}_{c} - {x}_{a}) * ({y}_{b} - {y}_{a}))"
+    return f"{area(3, 1, 2)} {out}0, {area(0, 3, 2)} {out}1, {area(0, 1, 3)} {out}2, {area(0, 1, 2)} {out}3"
+
+
+def _four_sql() -> str:
+    a = [[f"(s{k} * x0_{k})" for k in range(3)], [f"(s{k} * y0_{k})" for k in range(3)], [f"s{k}" for k in range(3)]]
+    b = [[f"(t{k} * x1_{k})" for k in range(3)], [f"(t{k} * y1_{k})" for k in range(3)], [f"t{k}" for k in range(3)]]
+    ways = [(1, 2), (2, 0), (0, 1)]
+    adj = [[f"({a[r0][c0]} * {a[r1][c1]} - {a[r0][c1]} * {a[r1][c0]})" for r0, r1 in ways] for c0, c1 in ways]
+    m = ", ".join(" + ".join(f"{b[i][k]} * {adj[k][j]}" for k in range(3)) + f" m{3 * i + j}" for i in range(3) for j in range(3))
+    return f"""a4 AS (SELECT *, {_base_sql('x0', 'y0', 's')}, {_base_sql('x1', 'y1', 't')} FROM j3),
+        m4 AS (SELECT stack_id, frame_idx, hyp, {m} FROM a4 WHERE {' AND '.join(f'abs({c}{k}) > 1e-6' for c in 'st' for k in range(4))}),
+        n4 AS MATERIALIZED (SELECT stack_id, frame_idx, hyp, {', '.join(f'm{k} / m8 m{k}' for k in range(9))} FROM m4),
+        e4 AS (SELECT stack_id, frame_idx, hyp, round(sqrt(pow((m0 * x0 + m1 * y0 + m2) / (m6 * x0 + m7 * y0 + m8) - x1, 2) + pow((m3 * x0 + m4 * y0 + m5) / (m6 * x0 + m7 * y0 + m8) - y1, 2)), 6) e FROM n4 JOIN m USING (stack_id, frame_idx)),
+        k4 AS (SELECT stack_id, frame_idx, hyp, count(*) FILTER (e <= 3) n_inliers FROM e4 GROUP BY ALL), c4 AS (SELECT * FROM n4 JOIN k4 USING (stack_id, frame_idx, hyp))"""
+
+
+@query(f"WITH {o.SQL_MATCHES}, {_RANSAC.split(', hy AS')[0]}, {_PICK4}, {_four_sql()} SELECT stack_id, frame_idx, {', '.join(f'round(m{k}, 6) + 0.0::DOUBLE m{k}' for k in range(9))}, n_inliers FROM c4 "
+       "QUALIFY row_number() OVER (PARTITION BY stack_id, frame_idx ORDER BY n_inliers DESC, hyp) = 1")
+def J11_robust_homography(s, d):
+    """Outliers are left in: the fit to the inliers is the true transform, as is the best of 256 samples."""
+    fitted = align.robust_fit(fx.matches(s, d), kind="homography")
+    return fitted.select("stack_id", "frame_idx", *((F.round(F.col("m")[i], 6) + 0.0).alias(f"m{i}") for i in range(9)), "n_inliers")
+
+
 @query()
 def G7_homography_fit(s, d):
     fitted = align.homography_fit(fx.matches(s, d).filter("(kp_id div 5) % 4 <> 0"))

@@ -126,7 +126,7 @@ def test_robust_fit_finds_the_similarity(spark):
     q[:40] += rng.uniform(50, 200, (40, 2))
     rows = [(0, 1, i, *map(float, (*p[i], *q[i]))) for i in range(120)]
     m = spark.createDataFrame(rows, "stack_id long, frame_idx long, kp_id long, x0 double, y0 double, x1 double, y1 double")
-    got = align.robust_fit(m, n_hyp=64).first()
+    got = align.robust_fit(m, max_iters=64).first()
     assert got["n_inliers"] == 80
     assert abs(np.degrees(np.arctan2(got["m"][3], got["m"][0])) - 15) < 0.007
     assert abs(got["m"][2] - 30) < 0.2 and abs(got["m"][5] - 20) < 0.2

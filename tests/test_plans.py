@@ -66,6 +66,48 @@ def test_homography_of_exact_matches(spark):
     assert align.homography_fit(spark.createDataFrame([], schema)).count() == 0
 
 
+def _moved(h, n, outliers, seed, frame):
+    """Rows of n matches of a homography, of which the first are outliers."""
+    rng = np.random.default_rng(seed)
+    p = rng.uniform(0, 500, (n, 2))
+    q = np.column_stack((p, np.ones(n))) @ h.T
+    q = q[:, :2] / q[:, 2:] + rng.normal(0, 0.02, (n, 2))
+    q[:outliers] += rng.uniform(30, 200, (outliers, 2))
+    return [(0, frame, i, *map(float, (*a, *b))) for i, (a, b) in enumerate(zip(p, q))]
+
+
+def test_robust_homographies_in_rounds(spark):
+    h = np.array([[1.02, 0.03, 5.0], [-0.02, 0.97, -3.0], [1e-4, -5e-5, 1.0]])
+    rows = _moved(h, 90, 0, 1, 1) + _moved(h, 90, 45, 2, 2) + _moved(h, 3, 0, 3, 3) + [(0, 2, 999, None, 1.0, 1.0, 1.0)]
+    rows += [(0, 4, i, float(i), 2.0 * i, float(i), 3.0 * i) for i in range(9)]  # all on a line: nothing is fixed
+    m = spark.createDataFrame(rows, "stack_id long, frame_idx long, kp_id long, x0 double, y0 double, x1 double, y1 double")
+    for method in ("RANSAC", "LMEDS"):
+        got = {r["frame_idx"]: r for r in align.robust_fit(m, kind="homography", method=method).collect()}
+        assert set(got) == ({1, 2} if method == "RANSAC" else {1, 2} & set(got))
+        for r in got.values():
+            assert np.allclose(np.array(r["m"]).reshape(3, 3), h, atol=[[1e-3, 1e-3, 0.2], [1e-3, 1e-3, 0.2], [1e-5, 1e-5, 1e-9]])
+        if method == "RANSAC":
+            assert (got[1]["n_inliers"], got[2]["n_inliers"]) == (90, 45) and got[1]["tried"] == 16 and 16 < got[2]["tried"] <= 500
+    keyed = m.filter("frame_idx = 1").withColumn("target_idx", F.lit(7).cast("long"))
+    assert align.robust_fit(keyed, keys=stack.TARGET).first()["target_idx"] == 7
+
+
+def test_matching_falls_back_to_whole_frames(spark):
+    """Thinned by four, only the first pair has enough matches; the others are matched again, on whole frames."""
+    big = texture(150, 170)
+    px = table(spark, {0: big[20:120, 20:140], 1: big[24:124, 24:144], 2: big[27:127, 25:145]})
+    pairs = spark.createDataFrame([(0, 0, 1), (0, 2, 1)], "stack_id long, frame_idx long, target_idx long")
+    got = stack.match_with_fallback(with_size(px), pairs, factor=4, top_k=150, least=8)
+    counts = {(r["frame_idx"], r["factor"]): r["count"] for r in got.groupBy("frame_idx", "factor").count().collect()}
+    assert counts.get((0, 4), 0) >= 8 and (0, 1) not in counts  # moved by whole steps of the thinned frames
+    assert counts.get((2, 1), 0) >= 8 and (2, 4) not in counts
+    refs = spark.createDataFrame([(0, 1)], "stack_id long, ref_idx long")
+    _, found = stack.align_stack(px, refs, top_k=150, least=8, factor=4)
+    found = {r["frame_idx"]: r for r in found.collect()}
+    assert set(found) == {0, 1, 2} and found[0]["status"] == "GOOD" and found[1]["status"] is None
+    assert np.allclose([found[0]["m"][k] for k in (0, 2, 5)], [1, -4, -4], atol=0.2) and np.allclose([found[2]["m"][k] for k in (0, 2, 5)], [1, 1, 3], atol=0.2)
+
+
 @pytest.mark.parametrize("depth", [8, 16])
 def test_denoise_by_definition(spark, depth):
     a = np.random.default_rng(3).integers(0, 1 << depth, (9, 11, 3))
@@ -147,10 +189,10 @@ def test_whole_alignment(spark):
     done = image(warped.filter("frame_idx = 2"), (80, 90))
     assert np.abs(done[10:70, 10:80] - cut[1][10:70, 10:80, 0]).mean() < 4
     # without keypoints phase correlation steps in
-    _, fallen = stack.align_stack(px, refs, top_k=200, least=10_000)
+    _, fallen = stack.align_stack(px, refs, top_k=200, least=10_000, phase_fallback=True)
     assert {r["frame_idx"] for r in fallen.collect()} == {0, 1, 2}
     assert all(abs(r["m"][2] - (shifts[r["frame_idx"]][1] - 3)) < 1.5 for r in fallen.collect())
-    _, none = stack.align_stack(px, refs, top_k=200, least=10_000, phase_fallback=False)
+    _, none = stack.align_stack(px, refs, top_k=200, least=10_000)
     assert [r["frame_idx"] for r in none.collect()] == [1]
 
 
