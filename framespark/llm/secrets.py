@@ -2,13 +2,15 @@
 
 Candidates are found by their form alone. Each is described by its length and characters, by how likely its
 character transitions are in the corpus, by how much of it dictionary words of the corpus cover, by the path (source)
-of its document and by its neighbouring words. A random forest is fitted on labelled findings; where none are given,
-findings that a high-precision rule can tell either way serve as labels.
+of its document and by its neighbouring words. A random forest is fitted on labelled findings; where none are given, they
+are made: secrets and look-alikes of known kinds are planted into a bounded sample of the documents, so that labels come
+from what was planted and not from the features.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -65,6 +67,100 @@ MAX_TRAIN = 20_000
 TREES, DEPTH = 20, 8
 
 
+#: Documents that secrets and look-alikes are planted into, about, plants in each, and plants at least in small tables.
+PLANT_DOCS, PLANTS, LEAST_PLANTS = 2_000, 4, 2_400
+_ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_HEX, _DIGITS = "0123456789abcdef", "0123456789"
+
+
+def _drawn(rng: random.Random, alphabet: str, low: int, high: int | None = None) -> str:
+    """A string with a digit in it."""
+    n = rng.randint(low, high or low)
+    text = "".join(rng.choice(alphabet) for _ in range(n))
+    at = rng.randrange(n)
+    return text if any(c in _DIGITS for c in text) else text[:at] + rng.choice(_DIGITS) + text[at + 1 :]
+
+
+def plant(rng: random.Random, words: list[str]) -> tuple[str, str, str, bool]:
+    """(what goes before, value, what goes after, whether it is a secret) of a random kind, half of them secrets.
+
+    ``words`` are some of the document's own. Secrets: keys with known beginnings; random values set to a credential word or
+    told in prose. Look-alikes: commit hashes, checksums, ids, numbers, file names, versions, dates and placeholders, some
+    of them set to a name like a secret is.
+    """
+    a, b = rng.choice(words), rng.choice(words)
+    quote = rng.choice(["", "", '"', "'"])
+    equals = rng.choice(["=", " = ", ": ", ":"])
+    name = rng.choice(["password", "api_key", "secret", "token", "client_secret", "auth_token", "DB_PASSWORD", "private_key", "access_key"])
+    if rng.random() < 0.5:
+        value = rng.choice([
+            "AKIA" + _drawn(rng, _ALNUM[:26] + _DIGITS, 16), "ghp_" + _drawn(rng, _ALNUM, 36), "sk_live_" + _drawn(rng, _ALNUM, 24), "xoxb-" + _drawn(rng, _DIGITS, 12) + "-" + _drawn(rng, _ALNUM, 24),
+            "eyJ" + _drawn(rng, _ALNUM, 20) + "." + _drawn(rng, _ALNUM, 30) + "." + _drawn(rng, _ALNUM, 40), _drawn(rng, _ALNUM + "+/", 40), _drawn(rng, _ALNUM, 20, 40), _drawn(rng, _HEX, 32), _drawn(rng, _HEX, 40), _drawn(rng, _ALNUM + "!@%-_", 12, 20),
+            _drawn(rng, _ALNUM[:52], 18, 30) + _drawn(rng, _DIGITS, 1, 3), f"{a[:9].capitalize()}{b[:9].title()}{_drawn(rng, _DIGITS, 1, 4)}",
+        ])
+        known, told = PREFIXES.match(value), len(value) < SHORTEST or value.startswith(a[:9].capitalize())
+        style = 0 if told else rng.randrange(3 if known else 2)
+        if style == 2:
+            return f"{a} ", value, f" {b}", True
+        before = f"{name}{equals}{quote}" if style == 0 else rng.choice([f"the {name.lower()} is ", f"use {name.lower()} ", "Authorization: Bearer "])
+        line = rng.random() < 0.3  # alone on a line, as in a file of settings
+        return ("\n" if line else "") + before, value, (quote if style == 0 else "") + ("\n" if line else ""), True
+    number = _drawn(rng, _DIGITS, 16, 20)
+    kinds = [
+        ("commit ", _drawn(rng, _HEX, 40)), ("sha256: ", _drawn(rng, _HEX, 64)), ("checksum=", _drawn(rng, _HEX, 32)), ("md5 ", _drawn(rng, _HEX, 32)), ("etag: ", _drawn(rng, _HEX, 32)),
+        ("id ", "-".join(_drawn(rng, _HEX, n) for n in (8, 4, 4, 4, 12))), ("order ", number), ("invoice no. ", number), ("phone ", _drawn(rng, _DIGITS, 16)), ("isbn ", "978-" + _drawn(rng, _DIGITS, 13)),
+        (f"{a} ", f"{a}_{b}_20{_drawn(rng, _DIGITS, 2)}_v{rng.randint(1, 9)}_final"), (f"{a}/", f"{b}/{a}-{b}-{rng.randint(1, 999)}/index"), ("version ", f"{rng.randint(1, 9)}-{a}-{b}-build-{_drawn(rng, _DIGITS, 4)}"),
+        ("on ", f"20{_drawn(rng, _DIGITS, 2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T12-{_drawn(rng, _DIGITS, 2)}-00"), (f"{name}{equals}", f"your-{name.lower().replace('_', '-')}-here-1"), (f"{name}{equals}", f"example-{a}-{b}-123"),
+        (f"{name}_id{equals}", number), (f"token count{equals}", number), (f"{a} ", number), (f"{a} ", f"{a}{b}{rng.randint(10, 99)}{a}{b}"),
+    ]
+    before, value = rng.choice(kinds)
+    return before, value, "", False
+
+
+def planted(docs: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """``row, text, path, plants``: about ``PLANT_DOCS`` of the ``rows`` documents with secrets and look-alikes in them.
+
+    A small table gets more plants in each document. ``plants`` are structs of start, length and is_secret, in characters of the new text. Documents are drawn by a hash of id
+    and text, and so is what is planted: any run gives the same.
+    """
+    plants = max(PLANTS, -(-LEAST_PLANTS // max(rows, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row, text, path in zip(*(c.to_pylist() for c in batch.columns)):
+                rng, text = random.Random(row), text or ""
+                words = [w for w in WORD.findall(text[:4000]) if len(w) > 2] or ["value", "text"]
+                spaces = [m.start() for m in re.finditer(" ", text)] or [len(text)]
+                at, new, size, last, found = sorted(rng.choice(spaces) for _ in range(plants)), [], 0, 0, []
+                for place in at:
+                    before, value, after, secret = plant(rng, words)
+                    new += [text[last:place], " ", before, value, after]
+                    size += place - last + 1 + len(before)
+                    found.append({"start": size, "length": len(value), "is_secret": secret})
+                    size, last = size + len(value) + len(after), place
+                out.append((row, "".join([*new, text[last:]]), path, found))
+            columns = list(zip(*out)) if out else [[]] * 4
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("is_secret", pa.bool_())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["row", "text", "path", "plants"])
+
+    path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string")
+    text = F.col(text_col).cast("string")
+    draw = F.xxhash64(F.col(id_col).cast("string"), text, F.lit(17))
+    share = min(1.0, PLANT_DOCS / max(rows, 1))
+    source = docs.select(draw.alias("row"), text.alias("text"), path.alias("path")).filter(F.pmod("row", F.lit(1 << 30)) < share * (1 << 30))
+    return source.mapInArrow(run, "row long, text string, path string, plants array<struct<start: long, length: long, is_secret: boolean>>")
+
+
+def planted_findings(docs: DataFrame, corpus: "Corpus", id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """Labelled candidates (see ``find_candidates``, by ``row``): those that are what was planted, with ``is_secret``."""
+    sample = materialize(planted(docs, docs.count(), id_col, text_col, path_col), "planted")
+    candidates = find_candidates(sample.select("row", "text", "path"), corpus, "row", "text", "path")
+    plants = sample.select("row", F.explode("plants").alias("p")).select("row", F.col("p.start").alias("from"), (F.col("p.start") + F.col("p.length")).alias("to"), "p.is_secret")
+    inside = (F.col("start") < F.col("to")) & (F.col("start") + F.col("length") > F.col("from"))
+    return candidates.join(plants, "row").filter(inside).drop("from", "to")
+
+
 @dataclass
 class Corpus:
     """Counted over all texts: log probabilities of character transitions, and which word buckets are frequent."""
@@ -276,18 +372,19 @@ def scan(
 ) -> DataFrame:
     """One row per secret found: ``id_col, start, length, value, score``.
 
-    ``findings`` are labelled candidates (``id_col, start, length, is_secret``); by default ``rule_labels`` gives
-    labels. Null and empty texts hold nothing. Null and repeated ids are carried along; equal rows give equal
+    ``findings`` are labelled candidates (``id_col, start, length, is_secret``); by default they are planted (see
+    ``planted_findings``) into about ``PLANT_DOCS`` documents. Candidates have a digit and ``SHORTEST`` characters, or are
+    set to one of ``GIVEN_WORDS``: keys of letters alone elsewhere are none. Null and empty texts hold nothing. Null and repeated ids are carried along; equal rows give equal
     findings. Other columns are ignored; no rows give no findings.
     """
     corpus = corpus_statistics(docs, text_col)
     candidates = materialize(find_candidates(docs, corpus, id_col, text_col, path_col), "candidates")
     if findings is None:
-        labelled = rule_labels(candidates)
+        model = train(planted_findings(docs, corpus, id_col, text_col, path_col), "row")
     else:
         marks = findings.groupBy(id_col, "start", "length").agg(F.max("is_secret").alias("is_secret"))
-        labelled = candidates.join(marks, [id_col, "start", "length"])
-    found = judge(candidates, train(labelled, id_col)).filter(F.col("score") >= threshold)
+        model = train(candidates.join(marks, [id_col, "start", "length"]), id_col)
+    found = judge(candidates, model).filter(F.col("score") >= threshold)
     return found.select(id_col, "start", "length", "value", "score")
 
 

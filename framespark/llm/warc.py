@@ -2,14 +2,15 @@
 
 Headers alone (id, digest and length of payload) are shuffled to be resolved: payload digests are grouped, and every
 record of a repeated digest learns which record is its original. What they learn, a row for each revisit, then meets
-the pages in one join, and fresh archives are written from its partitions. Archives are WARC 1.1 files, each one gzip
-stream (not a stream for each record, so they are read from their beginning); Spark's text writer puts the blank lines
-that end a record, so any file system that Spark writes to will do.
+the pages in one join, and fresh archives are written from its partitions, cut by bytes, each with a ``warcinfo`` record.
+Archives are WARC 1.1 files, each one gzip stream (not a stream for each record, so they are read from their beginning);
+Spark's text writer puts the blank lines that end an archive, so any file system that Spark writes to will do.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -30,9 +31,10 @@ CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _record_id(page_id: Column) -> Column:
-    """A URN from the page id and nothing else, so that a retried task writes the same."""
-    h = F.md5(F.concat(F.lit("page "), page_id.cast("string")))
+def _record_id(*name: Column) -> Column:
+    """A URN from the page id, and for further copies of a page what tells them apart, so that a retried task writes the
+    same."""
+    h = F.md5(F.concat(F.lit("page "), F.concat_ws(" ", *(n.cast("string") for n in name))))
     part = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *part), F.lit(">"))
 
@@ -43,27 +45,38 @@ def _field(name: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), safe, F.lit(CRLF))).otherwise("")
 
 
+ADDED = ("payload_bytes", "payload_digest", "record_type", "refers_to", "copy")
+
+
 def resolve_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, id_col: str = "page_id") -> DataFrame:
-    """Adds ``payload_bytes``, ``payload_digest``, ``record_type`` and ``refers_to`` to ``pages(id, url, html)``.
+    """Adds ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to`` and ``copy`` to ``pages(id, url, html)``.
 
-    Columns of those names give way. Of records with equal payloads of at least ``min_bytes`` bytes the one with the largest id is the response.
-    Digest and length together decide equality. Rows that repeat an id share its record type only if payloads agree:
-    the first to be written is the response and the others refer to the same id, their own. A null id is a response
-    and never an original.
+    Columns of those names give way. Of records with equal payloads of at least ``min_bytes`` bytes the one with the largest
+    id is the response; digest and length together decide equality. Of rows that repeat that id and payload one, with the
+    first url, is the response and the others revisit it, their own id; ``copy`` numbers rows of the same id, url and
+    payload from 0. A null id is a response and never an original.
     """
+    pages = pages.drop(*ADDED)
     raw = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    marked = pages.withColumn("payload_bytes", F.octet_length(F.coalesce("html", F.lit(""))).cast("long")).withColumn(
-        "payload_digest", F.sha1(raw)
-    )
+    marked = pages.withColumns({"payload_bytes": F.octet_length(F.coalesce("html", F.lit(""))).cast("long"), "payload_digest": F.sha1(raw)})
     payload = ["payload_digest", "payload_bytes"]
-    headers = marked.select(id_col, *payload).filter(F.col(id_col).isNotNull() & (F.col("payload_bytes") >= min_bytes))
+    headers = marked.filter(F.col(id_col).isNotNull() & (F.col("payload_bytes") >= min_bytes)).select(id_col, *payload, "url")
     originals = headers.groupBy(*payload).agg(F.max(id_col).alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
     spread = originals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = headers.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-    revisits = salted.join(spread, [*payload, "salt"]).filter(F.col(id_col) != F.col("refers_to"))
-    revisits = materialize(revisits.select(id_col, *payload, "refers_to").distinct(), "revisits")
+    known = salted.join(spread, [*payload, "salt"]).groupBy(id_col, *payload, "refers_to").agg(F.count("*").alias("n"), F.min("url").alias("first_url"))
+    known = materialize(known.filter((F.col(id_col) != F.col("refers_to")) | (F.col("n") > 1)), "revisits")
+    met = marked.join(known, [id_col, *payload], "left").withColumn("tied", F.coalesce(F.col(id_col) == F.col("refers_to"), F.lit(False)))
+    names = [*marked.columns, "record_type", "refers_to", "copy"]
     kind = F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response")
-    return marked.join(revisits, [id_col, *payload], "left").withColumn("record_type", kind)
+    plain = met.filter("not tied").withColumns({"record_type": kind, "copy": F.lit(0).cast("long")}).select(*names)
+    # rows that repeat the original are counted, not sorted: equal ones are one row until they are numbered
+    rest = [c for c in marked.columns if c not in (id_col, *payload)]
+    tied = met.filter("tied").groupBy(id_col, *payload, *rest, "refers_to", "first_url").agg(F.count("*").alias("rows"))
+    tied = tied.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    is_first = (F.col("copy") == 0) & F.col("url").eqNullSafe(F.col("first_url"))
+    tied = tied.withColumns({"record_type": F.when(is_first, "response").otherwise("revisit"), "refers_to": F.when(~is_first, F.col("refers_to"))})
+    return plain.unionByName(tied.select(*names))
 
 
 def write_warc(
@@ -87,10 +100,13 @@ def write_warc(
     )
     revisit = F.col("record_type") == "revisit"
     block = F.when(revisit, http).otherwise(F.concat(http, F.coalesce("html", F.lit(""))))
+    page, copy = F.col("page_id"), F.col("copy")
+    another = F.col("refers_to").eqNullSafe(page) & page.isNotNull()
+    record_id = F.when(page.isNull(), "<urn:null>").when(another, _record_id(page, F.lit("copy"), copy, F.coalesce("url", F.lit("")))).otherwise(_record_id(page))
     record = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         _field("WARC-Type", F.col("record_type")),
-        _field("WARC-Record-ID", F.coalesce(_record_id(F.col("page_id")), F.lit("<urn:null>"))),
+        _field("WARC-Record-ID", record_id),
         _field("WARC-Date", F.lit(date)),
         _field("WARC-Target-URI", F.col("url")),
         _field("WARC-Page-ID", F.col("page_id").cast("string")),
@@ -102,14 +118,32 @@ def write_warc(
         F.lit(CRLF),
         block,
     )
-    rows, size = source.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
-    (
-        resolved.select(record.alias("value"))
-        .write.option("lineSep", CRLF * 2)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", max(1, rows * FILE_BYTES // max(1, size or 0)))
-        .text(path)
-    )
+    info = f"WARC/1.1{CRLF}WARC-Type: warcinfo{CRLF}WARC-Date: {date}{CRLF}WARC-Record-ID: "
+    fields = f"format: WARC File Format 1.1{CRLF}"
+
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Records of a task put together to archives of about ``FILE_BYTES``; a longer record stands alone."""
+        held, size = [], 0
+
+        def archive() -> pa.RecordBatch:
+            name = hashlib.md5(held[0].encode()).hexdigest()
+            urn = "-".join(name[a:b] for a, b in ((0, 8), (8, 12), (12, 16), (16, 20), (20, 32)))
+            first = f"{info}<urn:uuid:{urn}>{CRLF}Content-Type: application/warc-fields{CRLF}Content-Length: {len(fields)}{CRLF * 2}{fields}"
+            return pa.RecordBatch.from_arrays([pa.array([(CRLF * 2).join([first, *held])])], ["value"])
+
+        for batch in batches:
+            for value in batch.column(0):
+                text = value.as_py()
+                if held and size + len(text) > FILE_BYTES:
+                    yield archive()
+                    held, size = [], 0
+                held.append(text)
+                size += len(text)
+        if held:
+            yield archive()
+
+    written = resolved.select(record.alias("value")).mapInArrow(archives, "value string")
+    written.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 HEADER = re.compile(rb"([\w-]+): ?(.*)")
@@ -130,7 +164,7 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, record_id, record_type, payload_digest, payload, refers_to_record) of every record.
+    """(page_id, url, record_id, record_type, payload_digest, payload, refers_to_record) of every response and revisit.
 
     A revisit has a null payload, a record without a page id or target line a null there; no files, no rows.
     """
@@ -148,6 +182,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 rows, held = [], 0
                 for f, block in parse_records(gzip.decompress(content.as_py())):
+                    if f["WARC-Type"] not in ("response", "revisit"):
+                        continue
                     payload = block.partition(b"\r\n\r\n")[2] if f["WARC-Type"] == "response" else None
                     page = f.get("WARC-Page-ID")
                     rows.append(

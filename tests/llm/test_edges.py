@@ -1,5 +1,6 @@
 """Whole queries against brute force on small tables, and nulls, repeated rows, ties, clashing names, long and no rows."""
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -206,8 +207,95 @@ def test_warc_of_null_and_repeated_ids(spark):
     warc.write_warc(spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, payload_bytes long, refers_to string"), path)
     read = warc.read_warc(spark, path)
     got = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.resolved_records(read).collect()), key=repr)
-    assert got == sorted([(1, "revisit", 2), (1, "revisit", 3), (2, "response", None), (None, "response", None), (3, "response", None), (3, "response", None)], key=repr)
-    assert read.filter("payload is null").count() == 2
+    assert got == sorted([(1, "revisit", 2), (1, "revisit", 3), (2, "response", None), (None, "response", None), (3, "response", None), (3, "revisit", 3)], key=repr)
+    assert read.filter("payload is null").count() == 3
+    assert read.select("record_id").distinct().count() == 5  # page 1 has two payloads and one id
+
+
+def test_warc_of_a_much_repeated_row(spark, monkeypatch):
+    """One response for a payload whose page comes again and again; archives are cut by bytes and tell what they are."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    big = "<p>é" + "a" * 1500
+    rows = [(9, u, big) for u in ["b", "a", "b", None, "a"]] + [(4, "c", big)] + [(i, "d", f"{i}" * 3000) for i in range(20, 60)]
+    path = new_path(spark, "w")
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, record_type string, copy int").repartition(3)
+    resolved = warc.resolve_revisits(df)
+    assert sorted(r["refers_to"] for r in resolved.filter("record_type = 'revisit'").collect()) == [9, 9, 9, 9, 9]
+    warc.write_warc(df, path)
+    read = warc.read_warc(spark, path)
+    got = warc.resolved_records(read).filter("page_id < 10").collect()
+    found = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got), key=repr)
+    assert found == [(4, "revisit", 9, 1505), (9, "response", None, 1505), *[(9, "revisit", 9, 1505)] * 4]
+    assert read.count() == len(rows) and read.select("record_id").distinct().count() == len(rows)
+    files = [gzip.decompress(r["content"]) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()]
+    assert len(files) > 6 and all(next(warc.parse_records(f))[0]["WARC-Type"] == "warcinfo" for f in files) and max(map(len, files)) < 40_000
+    assert all(r["url"] == "a" for r in read.filter("page_id = 9 and record_type = 'response'").collect())
+
+
+def test_secret_query_on_planted_findings(spark):
+    """The forest is fitted on what was planted; on documents held out it tells plants apart better than a rule."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["tree", "river", "the", "of", "stone", "house", "and"]) for _ in range(80)) for _ in range(600)]
+    df = spark.createDataFrame([(i, t, f"s{i % 3}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    corpus = secrets.corpus_statistics(df)
+    found = secrets.planted_findings(df, corpus).cache()
+    plants = sum(len(r["plants"]) for r in secrets.planted(df, 600).collect())
+    assert plants == 2400 and found.count() >= 0.9 * plants and found.count() == secrets.planted_findings(df, corpus).count()
+    held = F.pmod(F.xxhash64("row"), F.lit(4)) == 0
+    model = secrets.train(found.filter(~held), "row")
+    judged = secrets.judge(found.filter(held), model).collect()
+    hit = sum(r["is_secret"] and r["score"] >= 0.5 for r in judged)
+    told, true = sum(r["score"] >= 0.5 for r in judged), sum(r["is_secret"] for r in judged)
+    assert hit >= 0.95 * told and hit >= 0.95 * true
+    rules = secrets.rule_labels(found.filter(held).withColumnRenamed("is_secret", "planted")).collect()
+    wrong = sum(bool(r["is_secret"]) != r["planted"] for r in rules)
+    assert wrong > 5 * sum((r["score"] >= 0.5) != r["is_secret"] for r in judged)  # the rule cannot tell many of them
+    # the whole query, on texts with secrets and look-alikes of other draws
+    path, want, rows = new_path(spark, "sf"), set(), []
+    for i, t in enumerate(texts):
+        before, value, after, secret = secrets.plant(rng, ["stone", "house"])
+        rows.append((i, f"{t} {before}{value}{after} {t}", "en", "s0", 1))
+        want |= {(i, value)} if secret else set()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    got = {(r["doc_id"], r["value"]) for r in llm.op2_secret_forest(spark, path).collect()}
+    assert len(got & want) >= 0.93 * len(want) and len(got & want) >= 0.93 * len(got)
+
+
+def test_resampling_query_by_brute_force(spark):
+    rng = random.Random(9)
+    good, bad = ["tree", "river", "stone", "house", "garden", "light"], ["###", "&&&", "zx", "qq", "$$$"]
+    rows, labels = [], []
+    for i in range(200):
+        words = [rng.choice(good if rng.random() < (0.9 if i % 3 else 0.2) else bad) for _ in range(rng.randrange(1, 90))]
+        rows.append((i, " ".join(words) if i % 40 else None, "en", "s", 1))
+        if i % 2:
+            labels.append((i, int(bool(i % 3)), 0))
+    path = new_path(spark, "sf")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    got = {r["doc_id"]: r for r in llm.op10_importance_resampling(spark, path).collect()}
+    noise = {r["doc_id"]: r["noise"] for r in df.select("doc_id", quality.gumbel_noise("doc_id", "text", 0)).collect()}
+    marks, counts, of = dict(l[:2] for l in labels), np.zeros((2, quality.BUCKETS)), {}
+    for i, text, *_ in rows:
+        of[i], _ = quality.bucketed([(text or "").encode()], quality.BUCKETS)
+        np.add.at(counts[0], of[i], 1)
+        if marks.get(i):
+            np.add.at(counts[1], of[i], 1)
+    p = (counts + quality.SMOOTHING) / (counts + quality.SMOOTHING).sum(axis=1, keepdims=True)
+    ratio = np.log(p[1] / p[0])
+    per = {i: ratio[b].sum() / (len(b) + quality.PRIOR) for i, b in of.items()}
+    score = {i: quality.STRENGTH * per[i] + noise[i] for i in of}
+    steps = {i: min(400, max(0, int(np.ceil(-100 * per[i])))) for i in marks if len(of[i])}
+    gain = []
+    for bar in range(401):
+        share = [np.mean([steps[i] <= bar for i in steps if marks[i] == g]) for g in (0, 1)]
+        gain.append(quality.KEEP_GOOD * share[1] - share[0])
+    best = np.flatnonzero(np.array(gain) >= max(gain) - 1e-12)
+    k = sum(v >= -best[len(best) // 2] / 100 for v in per.values())
+    kept = set(sorted(score, key=lambda i: -score[i])[:k])
+    assert {i for i, r in got.items() if r["kept"]} == kept and 0 < len(kept) < 200
+    assert all(abs(r["gumbel_score"] - score[i]) < 1e-6 and r["n_grams"] == len(of[i]) for i, r in got.items())
 
 
 def test_ids_of_null_and_repeated_rows(spark):
