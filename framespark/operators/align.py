@@ -115,6 +115,13 @@ def match_cross_check(kp: DataFrame, pairs: DataFrame, block: int = BLOCK) -> Da
     return both.filter("ways = 2").select(*PAIR, "target_idx", "kp0", "kp1", "dist")
 
 
+def best_matches(matches: DataFrame, most: int | None = None) -> DataFrame:
+    """Adds ``rank``, matches of a pair of frames by distance, then by keypoint; with ``most`` the first so many alone."""
+    order = Window.partitionBy(*PAIR, "target_idx").orderBy("dist", "kp0")
+    ranked = matches.withColumn("rank", F.row_number().over(order))
+    return ranked if most is None else ranked.filter(F.col("rank") <= most)
+
+
 def pair_frames(frames: DataFrame, refs: DataFrame, delta_max: int = 2) -> DataFrame:
     """(stack_id, frame_idx, target_idx, delta): each frame's candidates towards the reference, never past it."""
     held = frames.select(*PAIR).join(refs, "stack_id").filter("frame_idx <> ref_idx")

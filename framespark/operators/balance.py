@@ -14,14 +14,25 @@ from ..sources.frames import auto_factor
 MODES = ("LUMI", "RGB", "HSV", "HLS", "LAB")
 
 
+#: For each mode in a colour space: there, back, its channels, and those that are balanced.
+_SPACES = {
+    "HSV": (color.bgr_to_hsv, color.hsv_to_bgr, "hsv", "sv"),
+    "HLS": (color.bgr_to_hls, color.hls_to_bgr, "hls", "ls"),
+    "LAB": (color.bgr_to_lab, color.lab_to_bgr, "lab", "l"),
+}
+
+
 def channels(mode: str, depth: int = 8) -> dict[str, Column]:
     """The histogrammed channels of a mode."""
     if mode == "LUMI":
         return {"L": color.gray("b", "g", "r")}
     if mode == "RGB":
         return {c.upper(): F.col(c) for c in "bgr"}
-    space = {"HSV": color.bgr_to_hsv, "HLS": color.bgr_to_hls, "LAB": color.bgr_to_lab}[mode]("b", "g", "r", depth)
-    return {c.upper(): space[c] for c in {"HSV": "sv", "HLS": "ls", "LAB": "l"}[mode]}
+    if mode not in _SPACES:
+        raise ValueError(f"unknown mode: {mode}")
+    to, _, _, own = _SPACES[mode]
+    space = to("b", "g", "r", depth)
+    return {c.upper(): space[c] for c in own}
 
 
 def subsample(px: DataFrame, n: int, fast: bool = True, cols: Sequence[str] = ("b", "g", "r")) -> DataFrame:
@@ -67,6 +78,12 @@ def histogram(
     return rows.groupBy("stack_id", "frame_idx", "channel", "value").agg(F.count("*").alias("n"))
 
 
+def reverse_cumulative(hist: DataFrame) -> DataFrame:
+    """Adds ``above``: the pixels of each value or more. Windows over a frame's values, of which there are few."""
+    falling = Window.partitionBy("stack_id", "frame_idx", "channel").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
+    return hist.withColumn("above", F.sum("n").over(falling))
+
+
 def mid_value(hist: DataFrame, lo: int = 0, hi: int | None = None) -> DataFrame:
     """The mean value of each histogram over an interval."""
     inside = hist.filter(F.col("value") >= lo) if hi is None else hist.filter(F.col("value").between(lo, hi))
@@ -81,11 +98,12 @@ def reference_rows(rows: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def linear_correction(hist: DataFrame, refs: DataFrame, lo: int = 0, hi: int | None = None) -> DataFrame:
-    """Per frame and channel the ratio of the reference's mid value to its own; 1 for the reference."""
+    """Per frame and channel the ratio of the reference's mid value to its own; 1 for the reference, and where a frame's mid
+    value is 0, as of the saturation of gray frames."""
     mid = mid_value(hist, lo, hi)
     ref = reference_rows(mid, refs).withColumnRenamed("mid", "ref_mid")
     return mid.join(ref, ["stack_id", "channel"]).select(
-        "stack_id", "frame_idx", "channel", (F.col("ref_mid") / F.col("mid")).alias("param")
+        "stack_id", "frame_idx", "channel", F.when(F.col("mid") == 0, 1.0).otherwise(F.col("ref_mid") / F.nullif("mid", F.lit(0.0))).alias("param")
     )
 
 
@@ -192,14 +210,6 @@ def _of_channel(corrections: DataFrame, names: Sequence[str]) -> DataFrame:
     return corrections.groupBy("stack_id", "frame_idx").pivot("channel", list(names)).agg(F.first("param"))
 
 
-#: For each mode in a colour space: there, back, its channels, and those that are balanced.
-_SPACES = {
-    "HSV": (color.bgr_to_hsv, color.hsv_to_bgr, "hsv", "sv"),
-    "HLS": (color.bgr_to_hls, color.hls_to_bgr, "hls", "ls"),
-    "LAB": (color.bgr_to_lab, color.lab_to_bgr, "lab", "l"),
-}
-
-
 def _balanced_channels(mode: str) -> list[str]:
     """The names of a mode's corrections: LUMI has one for all three colours."""
     if mode not in MODES:

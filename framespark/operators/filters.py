@@ -71,10 +71,10 @@ def local_tonemap_color(px: DataFrame, amount: float = 0.5, clip: float = 2.0, t
         return px.drop("h", "w")
     keys = list(keys)
     lab = px.select(*keys, "y", "x", "h", "w", color.bgr_to_lab("b", "g", "r", depth).alias("lab"))
-    # Lab values are of 16 bits whatever the depth
-    eight = lab.withColumn("v", F.floor(F.col("lab.l") / 65535.0 * 255.0).cast("long"))
+    most = float(color.top(depth))
+    eight = lab.withColumn("v", F.floor(F.col("lab.l") / most * 255.0).cast("long"))
     done = local_tonemap(eight, 1.0, clip, tiles, "v", keys).withColumnRenamed("v", "equal")
-    lifted = F.floor(F.col("equal") / 255.0 * 65535.0)
+    lifted = F.floor(F.col("equal") / 255.0 * most)
     mixed = F.floor(F.round((1 - min(amount, 1.0)) * F.col("lab.l") + min(amount, 1.0) * lifted, 6) + 0.5).cast("long")
     both = lab.join(done, [*keys, "y", "x"]).withColumn("l", mixed)
     return both.select(*keys, "y", "x", color.lab_to_bgr("l", "lab.a", "lab.b", depth).alias("c")).select(*keys, "y", "x", "c.*")

@@ -11,10 +11,12 @@ from .stencil import BINOMIAL, stencil, with_size
 BGR = ("b", "g", "r")
 
 
-def mean_frame(px: DataFrame, max_frames: int | None = None) -> DataFrame:
-    """The mean of the first frames of each stack, cut to whole numbers: ``stack_id, y, x, b, g, r``."""
+def mean_frame(px: DataFrame, max_frames: int | None = None, depth: int = 8) -> DataFrame:
+    """The mean of the first frames of each stack, cut to whole numbers: ``stack_id, y, x, b, g, r``. Values of 16 bits are
+    divided by 256 before, so differences are in 8-bit units at either depth."""
     some = px if max_frames is None else px.filter(F.col("frame_idx") < max_frames)
-    return some.groupBy("stack_id", "y", "x").agg(*(F.floor(F.avg(c)).cast("long").alias(c) for c in BGR))
+    scale = 256.0 if depth == 16 else 1.0
+    return some.groupBy("stack_id", "y", "x").agg(*(F.floor(F.avg(F.col(c) / scale)).cast("long").alias(c) for c in BGR))
 
 
 def differences(mean: DataFrame, lab: bool = False) -> DataFrame:
@@ -74,6 +76,19 @@ def count_guard(hot: DataFrame, limit: int = 2000, strict: bool = False) -> Data
     return counts.withColumn("too_many", over)
 
 
+def select_hot_pixels(px: DataFrame, hot: DataFrame) -> DataFrame:
+    """The pixels of all frames at hot places."""
+    return px.join(hot.select("stack_id", "y", "x"), ["stack_id", "y", "x"], "left_semi")
+
+
+def union_of_masks(*masks: DataFrame) -> DataFrame:
+    """Places that are hot in any of the masks, each once."""
+    out = masks[0].select("stack_id", "y", "x")
+    for more in masks[1:]:
+        out = out.union(more.select("stack_id", "y", "x"))
+    return out.distinct()
+
+
 def repair_hot_pixels(px: DataFrame, hot: DataFrame, kernel: int = 3, how: str = "mean") -> DataFrame:
     """Hot places of every frame get the mean or median of the non-zero values around them, of the original channel.
 

@@ -174,7 +174,7 @@ def balanced8(mode: str, map_: str, bisect: str, match: str) -> str:
     else:
         match = match.replace("FROM px) f", "FROM hist) f")
         at = match.rindex("SELECT stack_id, frame_idx, 'L'")
-        lut = match[:at] + ", lut AS (" + match[at:] + ")"
+        lut = match[:at] + ", lut AS MATERIALIZED (" + match[at:] + ")"
     joins = " ".join(f'JOIN lut k{c} ON k{c}.stack_id = sp.stack_id * 4 + {i} AND k{c}.frame_idx = sp.frame_idx AND k{c}."value" = sp.{c}' for i, c in enumerate(own))
     cols = ", ".join(f"k{c}.out {c}" if c in own else f"sp.{c}" for c in order)
     refs = f"{REF.replace('refs AS', 'refs0 AS')}, refs AS (SELECT stack_id * 4 + range stack_id, ref_idx FROM refs0, range({n}))"
@@ -289,14 +289,14 @@ def _energy(kind: str) -> str:
     return f"{gx}, {gy}, en AS MATERIALIZED (SELECT {_PX4}, sx.h, sx.w, ({e})::DOUBLE e FROM sx JOIN sy USING ({_PX4}))"
 
 
-def _bilateral() -> str:
+def _bilateral(radius: int = 1) -> str:
     import math
 
-    sp = math.exp(-1 / 8)
-    near = "(VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) t(dy, dx)"
-    wt = f"{sp!r}::DOUBLE * exp(-((b.e - a.e) * (b.e - a.e)) / {2 * 0.8**2!r}::DOUBLE)"
+    r = range(-radius, radius + 1)
+    near = ", ".join(f"({j}, {i}, {math.exp(-(j * j + i * i) / 8)!r}::DOUBLE)" for j in r for i in r if 0 < j * j + i * i <= radius * radius)
+    wt = f"a.sp * exp(-((b.e - a.e) * (b.e - a.e)) / {2 * 0.8**2!r}::DOUBLE)"
     return f"""sm2 AS MATERIALIZED (SELECT a.stack_id, a.frame_idx, a.y, a.x, a.h, a.w, (a.e + sum({wt} * b.e)) / (1 + sum({wt})) e
-        FROM (SELECT a.*, {mirrored("a.y + t.dy", "a.h")} y_, {mirrored("a.x + t.dx", "a.w")} x_ FROM en a CROSS JOIN {near}) a
+        FROM (SELECT a.*, t.sp, {mirrored("a.y + t.dy", "a.h")} y_, {mirrored("a.x + t.dx", "a.w")} x_ FROM en a CROSS JOIN (VALUES {near}) t(dy, dx, sp)) a
         JOIN en b ON a.stack_id = b.stack_id AND a.frame_idx = b.frame_idx AND b.y = a.y_ AND b.x = a.x_
         GROUP BY a.stack_id, a.frame_idx, a.y, a.x, a.h, a.w, a.e)"""
 

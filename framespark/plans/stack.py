@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..functions.color import gray
 from ..operators import align, balance, depthmap, filters, noise, pyramid, vignette
 from ..operators.stencil import with_size
 from ..sources.frames import auto_factor
-from ..sources.scratch import written
+from ..sources.scratch import settled, written
 from .bunches import bunches
 
 Step = Callable[[DataFrame], DataFrame]
@@ -21,19 +22,31 @@ Step = Callable[[DataFrame], DataFrame]
 def stack_pipeline(px: DataFrame, steps: list[Step]) -> DataFrame:
     """The steps in order, each a function from pixels to pixels; frames whose pixels become null are dropped.
 
-    Steps use their input several times (statistics, then pixels), so it is written once between them.
+    Steps use their input several times (statistics, then pixels), so it is written once between them. What a step writes
+    for itself, and its input, are deleted when its result is written.
     """
     for step in steps:
-        px = written(step(px), "step")
+        px = settled(px.sparkSession, partial(step, px), "step", before=px)
     return px.filter(F.col("b").isNotNull())
 
 
-def mask_noise(n: int = 100, max_frames: int = 10, method: str = "norm", kernel: int = 3, how: str = "mean") -> Step:
-    """Finds each stack's hot pixels on its mean frame and repairs them in all frames."""
+def mask_noise(
+    n: int = 100, max_frames: int = 10, method: str = "norm_lab", kernel: int = 3, how: str = "mean", limit: int = 2000, depth: int = 8
+) -> Step:
+    """Finds each stack's hot pixels on its mean frame and repairs them in all frames.
+
+    ``method`` is ``norm_lab`` (distance in Lab), ``norm_rgb`` or ``rgb`` (each channel). A stack with more than ``limit`` hot
+    pixels is an error.
+    """
+    if method not in ("norm_lab", "norm_rgb", "rgb"):
+        raise ValueError(f"unknown method: {method}")
 
     def step(px: DataFrame) -> DataFrame:
-        diff = noise.differences(noise.mean_frame(px, max_frames))
-        hot = noise.hot_pixels_rgb(diff, n) if method == "rgb" else noise.hot_pixels_norm(diff, n)
+        diff = noise.differences(noise.mean_frame(px, max_frames, depth), method == "norm_lab")
+        hot = written(noise.hot_pixels_rgb(diff, n) if method == "rgb" else noise.hot_pixels_norm(diff, n), "hot")
+        many = noise.count_guard(hot, limit).filter("too_many").orderBy("stack_id").first()
+        if many:
+            raise ValueError(f"too many hot pixels in stack {many['stack_id']}: {many['n']} > {limit}")
         return noise.repair_hot_pixels(px, hot, kernel, how)
 
     return step
@@ -182,13 +195,27 @@ def auto_aligned(refs: DataFrame, **options) -> Step:
 
 
 def stack_job(px: DataFrame, refs: DataFrame, steps: list[Step], fuse: Step, after: list[Step]) -> DataFrame:
-    """The whole job: steps on frames, fusion to one image a stack, and steps on the images."""
-    image = written(fuse(stack_pipeline(px, steps)), "fused")
+    """The whole job: steps on frames, fusion to one image a stack, and steps on the images.
+
+    The result is a table in the shared folder, the only one that is left; within ``scratch.scope`` it goes too.
+    """
+    spark = px.sparkSession
+    frames = settled(spark, lambda: stack_pipeline(px, steps), "frames") if steps else px
+    image = settled(spark, partial(fuse, frames), "fused", before=frames)
     for step in after:
-        image = written(step(image), "after")
+        image = settled(spark, partial(step, image), "after", before=image)
     return image
 
 
+def bunched(n: int = 10, overlap: int = 2, algo: str = "pyramid", **options) -> Step:
+    """Fusion of each bunch of frames as a step: the bunches' images are the frames of what comes after."""
+
+    def step(px: DataFrame) -> DataFrame:
+        return focus_stack_bunch(px, n=n, overlap=overlap, algo=algo, **options).withColumnRenamed("bunch_idx", "frame_idx")
+
+    return step
+
+
 def sharpened(radius: float = 1.0, amount: float = 0.5, threshold: float = 0.0) -> Step:
     return lambda image: filters.unsharp_mask(with_size(image), radius, amount, threshold, keys=("stack_id",)).drop("h", "w")
 
@@ -205,8 +232,10 @@ def focus_stack(px: DataFrame, algo: str = "pyramid", **options) -> DataFrame:
     return {"pyramid": pyramid.focus_stack_pyramid, "depthmap": depthmap.focus_stack_depthmap}[algo](px, **options)
 
 
-def focus_stack_bunch(px: DataFrame, levels: int, n: int = 10, overlap: int = 2) -> DataFrame:
-    """A fused image for each overlapping bunch: ``stack_id, bunch_idx, y, x, b, g, r``."""
+def focus_stack_bunch(px: DataFrame, levels: int | None = None, n: int = 10, overlap: int = 2, algo: str = "pyramid", **options) -> DataFrame:
+    """A fused image for each overlapping bunch: ``stack_id, bunch_idx, y, x, b, g, r``, by pyramid or by depth map."""
     frames = px.select("stack_id", "frame_idx").distinct()
     dealt = px.join(bunches(frames, n, overlap), ["stack_id", "frame_idx"])
-    return pyramid.focus_stack_pyramid(dealt, levels, keys=("stack_id", "bunch_idx"))
+    if levels is not None:
+        options["levels"] = levels
+    return focus_stack(dealt, algo, keys=("stack_id", "bunch_idx"), **options)

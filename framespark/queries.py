@@ -5,13 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from . import oracles as o
 from .functions import color, geometry
-from .operators import align, balance, depthmap, filters, layers, metadata, noise, pyramid, vignette
+from .operators import align, balance, depthmap, filters, layers, metadata, noise, pyramid, tiles, vignette
 from .operators.stencil import BINOMIAL, GENERATING, gaussian_taps, reduce, expand, stencil, with_size
 from .plans import stack
 from .plans.bunches import bunches
@@ -62,7 +62,17 @@ def S2_scan_filelist(s, d):
 
 @query(f"WITH {o.SQL_PIXELS} SELECT stack_id, frame_idx, count(*) n, sum(b + g + r)::BIGINT total FROM px GROUP BY ALL")
 def S4_read_pixels(s, d):
-    return fx.pixels(s, d).groupBy("stack_id", "frame_idx").agg(F.count("*").alias("n"), F.sum(F.col("b") + F.col("g") + F.col("r")).alias("total"))
+    path = f"{scratch_dir(s)}/{uuid.uuid4().hex}"
+    src.write_frames(fx.pixels(s, d), path)
+    return src.read_pixels(s, path).groupBy("stack_id", "frame_idx").agg(F.count("*").alias("n"), F.sum(F.col("b") + F.col("g") + F.col("r")).alias("total"))
+
+
+@query(f"WITH {fx.SQL_LARGE} SELECT stack_id, frame_idx, y, x, b, g, r FROM px")
+def S4_read_tiles(s, d):
+    path = f"{scratch_dir(s)}/{uuid.uuid4().hex}"
+    src.write_tiles(fx.large_pixels(s, d), path)
+    px = tiles.unpack_tiles(src.read_tiles(s, path))
+    return px.select(*PX, *(F.col(c).cast("long") for c in "bgr"))
 
 
 @query(f"""WITH {o.FR} SELECT stack_id, path, 'stack_' || regexp_extract(path, '([^/]*?)\\.[^./]+$', 1) || '_pyram.' ||
@@ -416,9 +426,12 @@ def A11_hot_pixel_curve(s, d):
     return noise.hot_pixel_curve(_diff(s, d))
 
 
-@query(f"WITH {o.SQL_PIXELS}, {o.DIFF}, {o.HOT} SELECT DISTINCT stack_id, y, x FROM hot")
+@query(f"WITH {o.SQL_PIXELS}, {o.DIFF}, {o.HOT}, bar AS (SELECT stack_id, round(avg(d) + 2 * stddev_pop(d), 6) bar FROM diff GROUP BY 1) "
+       "SELECT stack_id, y, x FROM hot UNION SELECT stack_id, y, x FROM diff JOIN bar USING (stack_id) WHERE round(d, 6) >= bar")
 def U1_union_of_hot_masks(s, d):
-    return noise.hot_pixels_rgb(_diff(s, d), fixed=40).distinct()
+    """Of the pixels that differ in one channel and those that differ by the length of the difference."""
+    diff = _diff(s, d)
+    return noise.union_of_masks(noise.hot_pixels_rgb(diff, fixed=40), noise.hot_pixels_norm(diff, k=2.0))
 
 
 _NEAR = "near AS (SELECT hot.stack_id, hot.y hy, hot.x hx, hot.y + dy.j y, hot.x + dx.i x FROM hot, (VALUES (-1), (0), (1)) dy(j), (VALUES (-1), (0), (1)) dx(i))"
@@ -434,15 +447,18 @@ def J4_repair_hot_pixels(s, d):
 
 @query(f"WITH {o.SQL_PIXELS}, {o.DIFF}, {o.HOT} SELECT px.* FROM px SEMI JOIN hot USING (stack_id, y, x)")
 def J3_select_hot_pixels(s, d):
-    return fx.pixels(s, d).join(noise.hot_pixels_rgb(_diff(s, d), fixed=40), ["stack_id", "y", "x"], "left_semi").select(*PX, "b", "g", "r")
+    return noise.select_hot_pixels(fx.pixels(s, d), noise.hot_pixels_rgb(_diff(s, d), fixed=40)).select(*PX, "b", "g", "r")
 
 
-_LUTSQL = _MATCH[: _MATCH.rindex("SELECT stack_id, frame_idx, 'L'")] + ", lut AS (" + _MATCH[_MATCH.rindex("SELECT stack_id, frame_idx, 'L'"):] + ")"
-_LUT3 = ", ".join(f"CASE WHEN px.frame_idx = ref_idx THEN px.{c} ELSE t{c}.out END {c}" for c in "bgr")
-_LUTJ = " ".join(f'JOIN lut t{c} ON t{c}.stack_id = px.stack_id AND t{c}.frame_idx = px.frame_idx AND t{c}."value" = px.{c}' for c in "bgr")
+_LUTSQL = _MATCH[: _MATCH.rindex("SELECT stack_id, frame_idx, 'L'")] + ", lut AS MATERIALIZED (" + _MATCH[_MATCH.rindex("SELECT stack_id, frame_idx, 'L'"):] + ")"
+_LUT3 = ", ".join(f"CASE WHEN frame_idx = ref_idx THEN {c} ELSE {o} END {c}" for c, o in (("b", "ob"), ("g", "og"), ("r", "r_")))
+_LUTJ = ", ".join(
+    f'j_{c} AS MATERIALIZED (SELECT t.*, lut.out {o} FROM {before} t JOIN lut ON lut.stack_id = t.stack_id AND lut.frame_idx = t.frame_idx AND lut."value" = t.{c})'
+    for c, o, before in (("b", "ob", "px"), ("g", "og", "j_b"), ("r", "r_", "j_g"))
+)
 
 
-@query(f"WITH {o.SQL_PIXELS}, {o.HIST}, {o.REF}, {_LUTSQL} SELECT px.stack_id, px.frame_idx, px.y, px.x, {_LUT3} FROM px {_LUTJ} JOIN refs ON refs.stack_id = px.stack_id")
+@query(f"WITH {o.SQL_PIXELS}, {o.HIST}, {o.REF}, {_LUTSQL}, {_LUTJ} SELECT {o._PX4}, {_LUT3} FROM j_r JOIN refs USING (stack_id)")
 def J2_apply_lut(s, d):
     px = fx.pixels(s, d)
     return balance.balance_frames(px, _refs(px), "LUMI", "MATCH_HIST")[0].select(*PX, "b", "g", "r")
@@ -574,9 +590,11 @@ def G6_correct_vignetting(s, d):
     return vignette.correct_vignetting(px, params).select(*PX, "b", "g", "r")
 
 
-@query(f"WITH {o.SQL_PIXELS} SELECT {o._PX4}, least(b, g, r) < 20 exempt FROM px")
+@query(ORACLE_SQL["G6_correct_vignetting"].replace("least(b, g, r) < 1", "least(b, g, r) < 20"))
 def F8_black_exemption(s, d):
-    return fx.pixels(s, d).select(*PX, (F.least("b", "g", "r") < 20).alias("exempt"))
+    px = with_size(fx.pixels(s, d))
+    params = px.select("stack_id", "frame_idx").distinct().selectExpr("*", "200D i0", "0.05D k", "20D r0")
+    return vignette.correct_vignetting(px, params, black=20).select(*PX, "b", "g", "r")
 
 
 @query()
@@ -590,6 +608,20 @@ def K2_mask_noise_median(s, d):
     return noise.repair_hot_pixels(px, noise.hot_pixels_rgb(_diff(s, d), fixed=40), how="median").select(*PX, "b", "g", "r")
 
 
+@query(f"WITH {_LABDIFF}, q AS (SELECT *, floor(round((d - min(d) OVER (PARTITION BY stack_id)) / 0.01::DOUBLE, 6)) bin FROM far), "
+       "e AS (SELECT a.stack_id, a.bin, count(*) n FROM (SELECT DISTINCT stack_id, bin FROM q) a JOIN q ON q.stack_id = a.stack_id AND q.bin >= a.bin GROUP BY ALL), "
+       f"te AS (SELECT stack_id, max(bin) edge FROM e WHERE n >= 25 GROUP BY 1), hot AS (SELECT stack_id, y, x FROM q JOIN te USING (stack_id) WHERE bin >= edge), {_NEAR}, {_FIX} "
+       f"SELECT {o._PX4}, coalesce(nb, b) b, coalesce(ng, g) g, coalesce(nr, r) r FROM px LEFT JOIN fix USING ({o._PX4})")
+def K2_mask_noise(s, d):
+    """The step as it comes: the 25 noisiest pixels by distance in Lab, with its guard."""
+    return stack.mask_noise(25)(fx.pixels(s, d)).select(*PX, "b", "g", "r")
+
+
+@query(f"WITH {o.SQL_WIDE} SELECT stack_id, y, x, " + ", ".join(f"CAST(floor(avg({c} / 256.0::DOUBLE)) AS BIGINT) {c}" for c in "bgr") + " FROM px GROUP BY ALL")
+def A7_mean_frame_16bit(s, d):
+    return noise.mean_frame(fx.pixels(s, d, wide=True), depth=16)
+
+
 # ---- stencils and pyramids ------------------------------------------------------------------------------------
 
 
@@ -658,6 +690,17 @@ def K4_pyramid_of_large_frames(s, d):
     return pyramid.focus_stack_pyramid(px, pyramid.levels_for(h, w))
 
 
+def _mixed_sql(stack: int, levels: int) -> str:
+    some = fx.SQL_LARGE.replace(" px AS MATERIALIZED", " pxl AS MATERIALIZED") + f", px AS MATERIALIZED (SELECT * FROM pxl WHERE stack_id = {stack} AND (stack_id = 0 OR (y < 130 AND x < 150)))"
+    return f"SELECT * FROM (WITH {some}, {o.SIZED}, {o.pyramid_deep(levels)} SELECT * FROM fused)"
+
+
+@query(f"{_mixed_sql(0, 3)} UNION ALL {_mixed_sql(1, 2)}")
+def K4_stacks_of_two_shapes(s, d):
+    """Frames of 275 columns with three levels, and of 150 with two, in one call."""
+    return pyramid.focus_stack_pyramid(fx.large_pixels(s, d).filter("stack_id = 0 or (y < 130 and x < 150)"))
+
+
 _BUNCHED = f"""{o.SQL_SHARP}, {o.sized('px', 'pw')}, bu AS (SELECT * FROM (VALUES (0), (1)) t(bunch_idx)),
     pz AS (SELECT stack_id, bunch_idx::BIGINT bunch_idx, frame_idx, y, x, h, w, b, g, r FROM pw, bu WHERE frame_idx >= bunch_idx * 2 AND frame_idx < bunch_idx * 2 + 3)"""
 
@@ -672,6 +715,15 @@ def K6_focus_stack_bunch(s, d):
 _BUNCH = f"""{o.FR}, n AS (SELECT stack_id, count(*) alln FROM frames GROUP BY 1), st AS (SELECT stack_id, alln, b.range bunch_idx FROM n, range(0, 100000) b WHERE b.range = 0 OR b.range * 8 < alln - 2)"""
 
 
+_AS_STACKS = f"""{o.SQL_SHARP.replace(' px AS (', ' px3 AS (')}, px AS MATERIALIZED (SELECT stack_id * 10 + bunch_idx stack_id, frame_idx, y, x, b, g, r FROM px3, (VALUES (0), (1)) t(bunch_idx)
+    WHERE frame_idx >= bunch_idx * 2 AND frame_idx < bunch_idx * 2 + 3), {o.sized('px', 'pz3')}, pz AS (SELECT *, {o.LUMA} v FROM pz3)"""
+
+
+@query(f"WITH {_AS_STACKS}, {o._energy('laplacian')}, {o._bilateral()}, {{MAX}}, wb AS (SELECT * FROM wm), {o.blend_deep(1)} SELECT stack_id // 10 stack_id, stack_id % 10 bunch_idx, y, x, b, g, r FROM blended")
+def K6_depthmaps_of_bunches(s, d):
+    return stack.focus_stack_bunch(fx.sharp_pixels(s, d), n=3, overlap=1, algo="depthmap", levels=2)
+
+
 @query(f"WITH {_BUNCH} SELECT st.stack_id, bunch_idx, frame_idx FROM st JOIN frames ON frames.stack_id = st.stack_id AND frame_idx >= bunch_idx * 8 AND frame_idx < bunch_idx * 8 + 10")
 def W2_bunches(s, d):
     return bunches(_frames(s, d), 10, 2)
@@ -704,8 +756,7 @@ def W7_pyr_down(s, d):
 @query(f"WITH {o.SQL_PIXELS}, h AS (SELECT stack_id, frame_idx, b AS \"value\", count(*) n FROM px GROUP BY ALL) SELECT stack_id, frame_idx, \"value\", sum(n) OVER (PARTITION BY stack_id, frame_idx ORDER BY \"value\" DESC)::BIGINT above FROM h")
 def W9_reverse_cumulative(s, d):
     h = balance.histogram(fx.pixels(s, d), "RGB").filter("channel = 'B'")
-    w = Window.partitionBy("stack_id", "frame_idx").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
-    return h.select("stack_id", "frame_idx", "value", F.sum("n").over(w).alias("above"))
+    return balance.reverse_cumulative(h).select("stack_id", "frame_idx", "value", "above")
 
 
 # ---- depth maps -----------------------------------------------------------------------------------------------
@@ -737,6 +788,14 @@ def W8_bilateral(s, d):
     return _rounded(depthmap.bilateral(depthmap.energy_map(_gray(s, d))).select(*PX, "e"), "e")
 
 
+ORACLE_SQL["K6_depthmaps_of_bunches"] = ORACLE_SQL["K6_depthmaps_of_bunches"].replace("{MAX}", _MAX.replace("EN)", "sm2)"))
+
+
+@query(f"WITH {_EN}, {o._bilateral(2)} SELECT {o._PX4}, round(e, 8) e FROM sm2")
+def W8_bilateral_wide(s, d):
+    return _rounded(depthmap.bilateral(depthmap.energy_map(_gray(s, d)), d=5).select(*PX, "e"), "e", digits=8)
+
+
 @query(f"WITH {_EN}, {_AVG} SELECT {o._PX4}, round(wt, 6) wt FROM wa")
 def A18_weights_average(s, d):
     return _rounded(depthmap.focus_weights(depthmap.energy_map(_gray(s, d)), "average").select(*PX, "wt"), "wt")
@@ -783,6 +842,17 @@ def K5_focus_stack_depthmap(s, d):
     return depthmap.focus_stack_depthmap(_sharp(s, d), levels=2)
 
 
+_SHARE2 = "ws AS MATERIALIZED (SELECT * FROM (SELECT sm2.*, e * e / nullif(sum(e * e) OVER (PARTITION BY stack_id, y, x), 0) wt FROM sm2))"
+
+
+@query(f"""WITH {_COLORGRAY}, {o.conv('pz', 'sm', {'v': 'b.v'}, (1, 2, 1), scale='16.0::DOUBLE')}, {o.conv('sm', 'la', {'l1': 'b.v'}, (1, -2, 1), (1, 2, 1))}, {o.conv('sm', 'lb', {'l2': 'b.v'}, (1, 2, 1), (1, -2, 1))},
+    en AS MATERIALIZED (SELECT {o._PX4}, la.h, la.w, abs(l1 + l2) e FROM la JOIN lb USING ({o._PX4})), {o._bilateral(2)}, {_SHARE2}, w0 AS (SELECT * REPLACE (coalesce(wt, 0) AS wt) FROM ws),
+    {o.conv('w0', 'wb', {'wt': 'b.wt'}, (1, 2, 1), scale='16.0::DOUBLE')}, {o.blend_deep(2).replace('FROM pz JOIN wb USING', 'FROM pz JOIN (SELECT stack_id, frame_idx, y, x, wt FROM wb) USING')} SELECT * FROM blended""")
+def K5_depthmap_options(s, d):
+    """Other kernels, smoothing of energies and of weights, the square of the shares, three levels."""
+    return depthmap.focus_stack_depthmap(_sharp(s, d), map_="average", power=2.0, levels=3, kernel_size=3, blur_size=3, energy_smooth_size=5, pyramid_smooth_size=3)
+
+
 @query(f"WITH {_COLORGRAY.replace(o.SQL_SHARP, fx.SQL_LARGE)}, {o._energy('laplacian')}, {o._bilateral()}, {_MAX.replace('EN)', 'sm2)')}, wb AS (SELECT * FROM wm), {o.blend_deep(4)} SELECT * FROM blended")
 def K5_depthmap_of_large_frames(s, d):
     return depthmap.focus_stack_depthmap(with_size(fx.large_pixels(s, d)))
@@ -813,7 +883,8 @@ def I2_local_tonemap(s, d):
     return filters.local_tonemap(_gray(s, d), 0.5, 2.0, 2).select(*PX, "v")
 
 
-@query()
+@query(f"""WITH {_SZ.replace('pz AS', 'pzc AS')}, {o._lab(8)}, pz AS MATERIALIZED (SELECT lab.*, pzc.h, pzc.w, lab.l v FROM lab JOIN pzc USING ({o._PX4})), {_CLAHE},
+    bal AS (SELECT {o._PX4}, floor(round(0.5 * v0 + 0.5 * floor(round(v1, 6) + 0.5), 6) + 0.5)::BIGINT l, lab.a, lab.b FROM mi JOIN lab USING ({o._PX4})), {o._from_lab(8).replace('FROM lab', 'FROM bal')}""")
 def I2_local_tonemap_color(s, d):
     return filters.local_tonemap_color(_sharp(s, d)).select(*PX, "b", "g", "r")
 
@@ -823,7 +894,10 @@ def I3_denoise(s, d):
     return filters.denoise(_sharp(s, d), h=10.0).select(*PX, "b", "g", "r")
 
 
-@query()
+_SHARP0 = ", ".join(f"greatest(0, least(floor(round({c} * 1.5 - 0.5 * floor(round(s{c}, 6) + 0.5), 6) + 0.5), 255))::BIGINT {c}" for c in "bgr")
+
+
+@query(f"{_FUSED}, {o.sized('fused', 'fz')}, {o.conv('fz', 'c', {f's{c}': f'b.{c}' for c in 'bgr'}, _GAUSS, keys=('stack_id',), keep=('b', 'g', 'r'))} SELECT stack_id, y, x, {_SHARP0} FROM c")
 def I4_fuse_and_sharpen(s, d):
     fused = with_size(K4_focus_stack_pyramid(s, d))
     return filters.unsharp_mask(fused, 1.0, 0.5, 0, keys=("stack_id",)).select("stack_id", "y", "x", "b", "g", "r")
@@ -863,8 +937,7 @@ def J7_match_cross_check(s, d):
 @query(f"WITH {_HAM} SELECT stack_id, frame_idx, kp0, kp1, dist, row_number() OVER (PARTITION BY stack_id, frame_idx ORDER BY dist, kp0) rank FROM k WHERE ra = 1 AND rb = 1")
 def T4_matches_by_distance(s, d):
     kp = fx.keypoints(s, d)
-    w = Window.partitionBy("stack_id", "frame_idx").orderBy("dist", "kp0")
-    return align.match_cross_check(kp, _pairs(kp)).select("stack_id", "frame_idx", "kp0", "kp1", "dist", F.row_number().over(w).alias("rank"))
+    return align.best_matches(align.match_cross_check(kp, _pairs(kp))).select("stack_id", "frame_idx", "kp0", "kp1", "dist", "rank")
 
 
 _CAND = f"""{o.FR}, {o.FREF}, cand AS (SELECT f.stack_id, f.frame_idx, f.frame_idx + sign(ref_idx - f.frame_idx)::BIGINT * d.delta target_idx, d.delta FROM frames f JOIN refs USING (stack_id), (VALUES (1), (2)) d(delta)
@@ -880,24 +953,23 @@ def J8_pair_frames(s, d):
 @query(f"WITH {o.FR}, {o.FREF} SELECT stack_id, frame_idx FROM frames EXCEPT SELECT stack_id, ref_idx FROM refs")
 def U3_without_reference(s, d):
     f = _frames(s, d)
-    return f.select("stack_id", "frame_idx").exceptAll(src.resolve_reference(f).select("stack_id", F.col("ref_idx").alias("frame_idx")))
+    return src.without_reference(f, src.resolve_reference(f))
 
 
 @query(f"WITH {o.FR}, {o.FREF} SELECT stack_id, frame_idx, row_number() OVER (PARTITION BY stack_id ORDER BY abs(frame_idx - ref_idx), frame_idx) rank FROM frames JOIN refs USING (stack_id)")
 def T5_frames_by_distance(s, d):
     f = _frames(s, d)
-    w = Window.partitionBy("stack_id").orderBy(F.abs(F.col("frame_idx") - F.col("ref_idx")), "frame_idx")
-    return f.join(src.resolve_reference(f), "stack_id").select("stack_id", "frame_idx", F.row_number().over(w).alias("rank"))
+    return src.by_distance(f, src.resolve_reference(f)).select("stack_id", "frame_idx", "rank")
 
 
 @query(f"WITH {o.FR} SELECT stack_id, frame_idx, path FROM frames WHERE frame_idx < 5")
 def T2_first_frames(s, d):
-    return _frames(s, d).filter("frame_idx < 5").select("stack_id", "frame_idx", "path")
+    return src.first_frames(_frames(s, d), 5).select("stack_id", "frame_idx", "path")
 
 
 @query(f"WITH {o.FR} SELECT stack_id, frame_idx, path FROM frames ORDER BY stack_id, path")
 def T1_sorted_frames(s, d):
-    return _frames(s, d).orderBy("stack_id", "path").select("stack_id", "frame_idx", "path")
+    return src.sorted_frames(_frames(s, d)).select("stack_id", "frame_idx", "path")
 
 
 @query(f"WITH {o.SQL_FILES} SELECT stack_id, path, 0 source_idx FROM files UNION ALL SELECT stack_id, 'more/' || path, 1 FROM files")

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import tiles
+from ..operators.stencil import with_size
+
 #: File extensions that are images, by kind.
 EXTENSIONS = {
     "tif": ["tif", "tiff"],
@@ -86,6 +89,37 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_tiles(px: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Pixel rows as tile rows (see ``operators.tiles``): a row holds a square of a frame."""
+    tiles.pack_tiles(with_size(px)).write.mode(mode).parquet(path)
+
+
+def read_tiles(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_tiles`` wrote: fusion takes it as it is, ``tiles.unpack_tiles`` gives pixel rows."""
+    return spark.read.parquet(path)
+
+
+def sorted_frames(frames: DataFrame) -> DataFrame:
+    """By stack and path; the sort is by ranges, so no task holds all frames."""
+    return frames.orderBy("stack_id", "path")
+
+
+def first_frames(frames: DataFrame, n: int) -> DataFrame:
+    return frames.filter(F.col("frame_idx") < n)
+
+
+def without_reference(frames: DataFrame, refs: DataFrame) -> DataFrame:
+    """Frames but for their stacks' reference frames."""
+    ref = refs.select("stack_id", F.col("ref_idx").alias("frame_idx"))
+    return frames.select("stack_id", "frame_idx").join(ref, ["stack_id", "frame_idx"], "left_anti")
+
+
+def by_distance(frames: DataFrame, refs: DataFrame) -> DataFrame:
+    """Adds ``rank``: frames of a stack from its reference outwards, of two as far the first."""
+    order = Window.partitionBy("stack_id").orderBy(F.abs(F.col("frame_idx") - F.col("ref_idx")), "frame_idx")
+    return frames.join(refs, "stack_id").withColumn("rank", F.row_number().over(order))
+
+
 def output_names(frames: DataFrame, prefix: str = "stack_", algorithm: str | None = None) -> DataFrame:
     """Adds ``out_name``: prefix, file stem, a mark of the fusion, and the extension (raw files become tif)."""
     mark = {"pyramid": "_pyram", "depthmap": "_depmp"}.get(algorithm or "", "")

@@ -1,5 +1,6 @@
 """Operators that SQL has no words for, and whole plans, against plain NumPy and known answers."""
 
+import pathlib
 import struct
 import zlib
 
@@ -7,11 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framespark.operators import align, balance, filters, pyramid, vignette
+from framespark.operators import align, balance, depthmap, filters, pyramid, tiles, vignette
 from framespark.operators.stencil import with_size
 from framespark.plans import stack
 from framespark.sources import frames as src
-from framespark.sources.scratch import scratch_dir
+from framespark.sources import scratch
+from framespark.sources.scratch import scratch_dir, written
 from .test_frames import convolved, image, table
 
 
@@ -247,3 +249,59 @@ def test_masked_histogram_counts_the_circle(spark):
     inside = (x - 15) ** 2 + (y - 10) ** 2 <= 81
     got = balance.histogram(px, factor=2, mask_size=0.9).agg(F.sum("n")).first()[0]
     assert got == (inside & (y % 2 == 0) & (x % 2 == 0)).sum()
+
+
+def test_a_job_leaves_its_result_alone(spark):
+    a = texture(40, 44)
+    px = table(spark, {f: a for f in range(3)})
+    refs = spark.createDataFrame([(0, 1)], "stack_id long, ref_idx long")
+    here = pathlib.Path(scratch_dir(spark).removeprefix("file://"))
+    before = {p.name for p in here.iterdir()}
+    run = lambda: stack.stack_job(px, refs, [stack.balanced(refs, "LAB"), stack.mask_noise(5)], lambda p: pyramid.focus_stack_pyramid(p, 1), [stack.sharpened()])
+    assert run().count() == 40 * 44 and len({p.name for p in here.iterdir()} - before) == 1
+    with scratch.scope(spark):
+        assert run().count() == 40 * 44
+    with pytest.raises(ZeroDivisionError), scratch.scope(spark):
+        scratch.written(px, "lost")
+        raise ZeroDivisionError
+    assert len({p.name for p in here.iterdir()} - before) == 1
+
+
+def test_tiles_of_any_side_are_the_frames(spark):
+    rng = np.random.default_rng(6)
+    px = with_size(table(spark, {f: rng.integers(0, 65536, (53, 41, 3)) for f in range(3)}))
+    for side in (8, 16, 256):
+        packed = tiles.pack_tiles(px, side=side)
+        assert packed.count() == 3 * -(-53 // side) * -(-41 // side)
+        assert tiles.unpack_tiles(packed).select("frame_idx", "y", "x", "b", "g", "r").exceptAll(px.selectExpr("frame_idx", "y", "x", "double(b)", "double(g)", "double(r)")).count() == 0
+
+
+@pytest.mark.parametrize("side", [16, 32])
+def test_small_tiles_fuse_like_one(spark, side, monkeypatch):
+    """Tiles much smaller than the frames, with margins from all neighbours, give what one tile gives."""
+    rng = np.random.default_rng(7)
+    frames = {f: np.clip(texture(90, 75, f) + rng.integers(-9, 9, (90, 75, 3)), 0, 255) for f in range(3)}
+    px = table(spark, frames)
+    whole = pyramid.focus_stack_pyramid(px, 4), depthmap.focus_stack_depthmap(px, levels=5, pyramid_smooth_size=3, energy_smooth_size=5)
+    whole = [[image(w, (90, 75), c) for c in "bgr"] for w in whole]
+    for module in (tiles.parts_of_pixels, tiles.parts_of_tiles, tiles.fuse_details, tiles.rebuild, depthmap._norms, depthmap._blend):
+        monkeypatch.setattr(module, "__defaults__", tuple(side if v == tiles.SIDE else v for v in module.__defaults__))
+    cut = pyramid.focus_stack_pyramid(px, 4), depthmap.focus_stack_depthmap(px, levels=5, pyramid_smooth_size=3, energy_smooth_size=5)
+    for a, b in zip(whole, cut):
+        assert all(np.array_equal(x, image(b, (90, 75), c)) for x, c in zip(a, "bgr"))
+
+
+def test_balancing_keeps_the_reference_frame(spark):
+    """Of 8-bit frames in every mode and map: no nulls, the reference as it is, the other frame brought near it."""
+    a = texture(24, 30)
+    px = table(spark, {0: a, 1: a * 3 // 4})
+    refs = spark.createDataFrame([(0, 0)], "stack_id long, ref_idx long")
+    for mode, map_ in [*((m, "MATCH_HIST") for m in balance.MODES), ("LAB", "LINEAR"), ("HSV", "LINEAR"), ("HLS", "GAMMA")]:
+        done = written(balance.balance_frames(px, refs, mode, map_)[0], "balanced")
+        assert done.filter("b is null or g is null or r is null").count() == 0
+        kept, moved = (image(done.filter(f"frame_idx = {f}"), (24, 30)) for f in (0, 1))
+        assert np.array_equal(kept, a[..., 0]) and abs(moved.mean() - kept.mean()) < 4, (mode, map_)
+    with pytest.raises(ValueError):
+        balance.balance_frames(px, refs, "YUV")
+    with pytest.raises(ValueError):
+        balance.balance_frames(px, refs, "RGB", "CUBIC")
