@@ -95,10 +95,10 @@ def plant(rng: random.Random, words: list[str]) -> tuple[str, str, str, bool]:
     if rng.random() < 0.5:
         value = rng.choice([
             "AKIA" + _drawn(rng, _ALNUM[:26] + _DIGITS, 16), "ghp_" + _drawn(rng, _ALNUM, 36), "sk_live_" + _drawn(rng, _ALNUM, 24), "xoxb-" + _drawn(rng, _DIGITS, 12) + "-" + _drawn(rng, _ALNUM, 24),
-            "eyJ" + _drawn(rng, _ALNUM, 20) + "." + _drawn(rng, _ALNUM, 30) + "." + _drawn(rng, _ALNUM, 40), _drawn(rng, _ALNUM + "+/", 40), _drawn(rng, _ALNUM, 20, 40), _drawn(rng, _HEX, 32), _drawn(rng, _HEX, 40), _drawn(rng, _ALNUM + "!@%-_", 12, 20),
+            "eyJ" + _drawn(rng, _ALNUM, 20) + "." + _drawn(rng, _ALNUM, 30) + "." + _drawn(rng, _ALNUM, 40), *(_drawn(rng, alphabet, 10, 48) for alphabet in (_ALNUM, _ALNUM + "+/", _ALNUM + "!@%-_", _ALNUM[26:], _HEX, _HEX)),
             _drawn(rng, _ALNUM[:52], 18, 30) + _drawn(rng, _DIGITS, 1, 3), f"{a[:9].capitalize()}{b[:9].title()}{_drawn(rng, _DIGITS, 1, 4)}",
         ])
-        known, told = PREFIXES.match(value), len(value) < SHORTEST or value.startswith(a[:9].capitalize())
+        known, told = PREFIXES.match(value), len(value) < 20 or value.startswith(a[:9].capitalize())
         style = 0 if told else rng.randrange(3 if known else 2)
         if style == 2:
             return f"{a} ", value, f" {b}", True

@@ -1,6 +1,12 @@
 """Stages of the corpus pipeline on null and repeated ids, copies and empty tables."""
 
+import pathlib
+
+import pytest
+
 import corpus_pipeline
+from framespark.llm import storage
+from framespark.llm.storage import new_path
 
 FORM = "doc_id long, text string, lang string, source string, n_chars long, id long, n long, kept string"
 
@@ -46,3 +52,20 @@ def test_secrets_and_packing_stages(spark):
         assert offset == at.get(sequence, 0)
         at[sequence] = offset + length
     assert max(at.values()) <= 2048
+
+
+def test_a_run_leaves_its_result_alone(spark):
+    path = new_path(spark, "sf")
+    rows = [(i, f"the river and the stone {i % 5} of the old house " * (5 + i % 3), "en", "s", 1) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    here = pathlib.Path(storage.shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in here.iterdir()}
+    result = corpus_pipeline.run(spark, path)
+    assert result.count() > 0 and len({p.name for p in here.iterdir()} - before) == 1
+    with storage.scope(spark):
+        assert corpus_pipeline.run(spark, path).count() == result.count()
+    with pytest.raises(ZeroDivisionError), storage.scope(spark):
+        storage.materialize(spark.range(3), "lost")
+        raise ZeroDivisionError
+    assert len({p.name for p in here.iterdir()} - before) == 1
