@@ -6,13 +6,14 @@ The first four return the columns of ``documents``; the last returns the packed
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framespark.llm import langid, minhash, packing, quality, secrets
-from framespark.llm.storage import materialize, table
+from framespark.llm.storage import materialize, remove, settled, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -64,11 +65,14 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages in order. Each result is written; what a stage wrote for itself, and its input, are deleted then, so one
+    table is left in the shared folder, and none within ``storage.scope``."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage{k}")
+        docs, path = settled(spark, partial(stage, spark, docs, sf_dir), f"stage{k}")
+        if before:
+            remove(spark, [before])
+        before = path
     return docs
 
 
