@@ -85,8 +85,9 @@ def denoise(
 ) -> DataFrame:
     """Non-local means: every pixel becomes the mean of the search window, weighted by patches' likeness.
 
-    Patches are held against each other by mean squared difference; 16-bit frames by mean absolute difference, with 256
-    times ``h``.
+    Patches are held against each other by mean squared difference; 16-bit frames by the square of the mean over the patch of
+    absolute differences added up over the channels, divided by the number of channels, with 256 times ``h``. Frames are
+    mirrored at their ends without repeating the edge.
 
     Works on tiles with a halo of the window and patch radius, one group a tile, so its memory is bounded by ``tile``.
     """
@@ -109,7 +110,7 @@ def denoise(
         shape = int(pdf["y"].max()) - y0 + 1, int(pdf["x"].max()) - x0 + 1
         image = np.zeros((*shape, len(cols)))
         image[pdf["y"] - y0, pdf["x"] - x0] = pdf[list(cols)].to_numpy()
-        padded = np.pad(image, ((halo, halo), (halo, halo), (0, 0)), mode="symmetric")
+        padded = np.pad(image, ((halo, halo), (halo, halo), (0, 0)), mode="reflect")
         total, weight = np.zeros_like(image), np.zeros(shape)
         r, t = search // 2, template // 2
         base = padded[r : r + shape[0] + 2 * t, r : r + shape[1] + 2 * t]
@@ -120,7 +121,7 @@ def denoise(
                 area = np.pad(gap.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
                 patch = (area[template:, template:] - area[:-template, template:] - area[template:, :-template] + area[:-template, :-template]) / template**2
                 patch = np.maximum(patch, 0)
-                w = np.exp(-(patch * patch if wide else patch) / (h * h))
+                w = np.exp(-(len(cols) * patch * patch if wide else patch) / (h * h))
                 weight += w
                 total += w[..., None] * other[t : t + shape[0], t : t + shape[1]]
         done = np.floor(total / weight[..., None] + 0.5).astype(np.int64)

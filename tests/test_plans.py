@@ -114,7 +114,7 @@ def test_matching_falls_back_to_whole_frames(spark):
 def test_denoise_by_definition(spark, depth):
     a = np.random.default_rng(3).integers(0, 1 << depth, (9, 11, 3))
     t, r, h = 1, 2, 10.0 * (256 if depth == 16 else 1)
-    pad = np.pad(a, ((t + r, t + r), (t + r, t + r), (0, 0)), mode="symmetric").astype(float)
+    pad = np.pad(a, ((t + r, t + r), (t + r, t + r), (0, 0)), mode="reflect").astype(float)
     want = np.zeros(a.shape)
     for y in range(9):
         for x in range(11):
@@ -123,7 +123,7 @@ def test_denoise_by_definition(spark, depth):
             for dy in range(-r, r + 1):
                 for dx in range(-r, r + 1):
                     gap = patch(y, x) - patch(y + dy, x + dx)
-                    far = (gap**2).mean() / h**2 if depth == 8 else (np.abs(gap).mean() / h) ** 2
+                    far = (gap**2).sum(axis=2).mean() / (3 * h**2) if depth == 8 else np.abs(gap).sum(axis=2).mean() ** 2 / (3 * h**2)
                     total += np.exp(-far) * pad[y + dy + r + t, x + dx + r + t]
                     weight += np.exp(-far)
             want[y, x] = np.floor(total / weight + 0.5)
