@@ -130,27 +130,29 @@ def _thinned(px: DataFrame, factor: Column) -> DataFrame:
     return thin.withColumns(at).select("stack_id", "frame_idx", "y", "x", "h", "w", "factor", gray("b", "g", "r").alias("v"))
 
 
-def match_with_fallback(px: DataFrame, pairs: DataFrame, factor: int = 0, top_k: int = 500, least: int = 20) -> DataFrame:
-    """``TARGET, kp_id, x0, y0, x1, y1, factor``: matches of pairs of thinned frames (``factor`` 0 is chosen by the size of
-    each stack), and, of pairs with fewer than ``least`` of them, those of the whole frames.
-
-    Only the frames of such pairs are searched for keypoints again, and only those pairs are matched again. ``px`` has
-    ``h`` and ``w``; keypoints lie at pixels of the thinned frames.
+def fit_with_fallback(
+    px: DataFrame, pairs: DataFrame, factor: int = 0, top_k: int = 500, least: int = 20, kind: str = "similarity", method: str = "RANSAC", threshold: float = 3.0
+) -> DataFrame:
+    """``TARGET, m, n_inliers, …, status, factor`` of pairs of frames thinned by ``factor`` (0: chosen by the size of each
+    stack), and, of pairs with fewer than ``least`` matches that agree there, of the whole frames.
+
+    Only the frames of such pairs are searched for keypoints again, and only those pairs are matched and fitted again. ``px``
+    has ``h`` and ``w``; keypoints lie at pixels of the thinned frames.
     """
     chosen = F.greatest(auto_factor("align", F.col("h"), F.col("w")), F.lit(1)) if factor == 0 else F.lit(factor)
     thin = written(_thinned(px, chosen.cast("long")), "gray")
     factors = thin.groupBy("stack_id").agg(F.max("factor").alias("factor"))
     kp = written(align.detect_keypoints(thin.drop("factor"), top_k), "keypoints")
-    first = written(_matched(kp, pairs).join(factors, "stack_id"), "matches")
-    counts = first.groupBy(*TARGET).agg(F.count("*").alias("found"))
-    poor = pairs.select(*TARGET).join(factors.filter("factor > 1"), "stack_id").join(counts, list(TARGET), "left")
-    poor = written(poor.filter(F.coalesce("found", F.lit(0)) < least).select(*TARGET), "poor")
+    fit = lambda matches: written(_fitted(written(matches, "matches"), least, kind, method, threshold), "fits")
+    first = fit(_matched(kp, pairs).join(factors, "stack_id")).join(factors, "stack_id")
+    poor = pairs.select(*TARGET).join(factors.filter("factor > 1"), "stack_id").join(first, list(TARGET), "left_anti")
+    poor = written(poor.select(*TARGET), "poor")
     if poor.isEmpty():
         return first
     again = poor.select("stack_id", "frame_idx").union(poor.select("stack_id", "target_idx")).distinct()
     whole = _thinned(px.join(again, ["stack_id", "frame_idx"], "left_semi"), F.lit(1).cast("long")).drop("factor")
-    finer = _matched(written(align.detect_keypoints(whole, top_k), "keypoints"), poor).withColumn("factor", F.lit(1).cast("long"))
-    return first.join(poor, list(TARGET), "left_anti").unionByName(written(finer, "matches"))
+    finer = _matched(written(align.detect_keypoints(whole, top_k), "keypoints"), poor)
+    return first.unionByName(fit(finer).withColumn("factor", F.lit(1).cast("long")))
 
 
 def align_stack(
@@ -161,7 +163,7 @@ def align_stack(
     """(warped pixels, transforms): stacks of any shapes aligned to their reference frames.
 
     Keypoints of the gray frames, thinned by ``factor`` (0: by the size of each stack), are detected, matched towards the
-    reference, with a fallback to whole frames (see ``match_with_fallback``), and fitted by a ``kind`` of transform. With
+    reference and fitted by a ``kind`` of transform, with a fallback to whole frames (see ``fit_with_fallback``). With
     ``phase_fallback`` a frame that has none takes the scale and shift that phase correlation tells for its nearest target.
     Transforms beyond ``limits`` do not count, nor those that a chain adds up to; a frame that no chain leads to the
     reference is left out. ``transforms`` has ``stack_id, frame_idx, m``, and of the frame's own fit ``target_idx``,
@@ -170,8 +172,7 @@ def align_stack(
     px = with_size(px)
     sizes = px.groupBy("stack_id").agg(F.max("h").alias("h"), F.max("w").alias("w"))
     pairs = written(align.pair_frames(px.select("stack_id", "frame_idx").distinct(), refs, delta_max), "pairs")
-    matches = match_with_fallback(px, pairs, factor, top_k, least)
-    valid = written(_allowed(_fitted(matches, least, kind, method, threshold), sizes, kind, limits), "valid")
+    valid = written(_allowed(fit_with_fallback(px, pairs, factor, top_k, least, kind, method, threshold), sizes, kind, limits), "valid")
     chosen = written(align.choose_pairs(pairs, valid), "chosen")
     if phase_fallback:
         lost = written(pairs.filter("delta = 1").join(chosen.select("stack_id", "frame_idx"), ["stack_id", "frame_idx"], "left_anti").select(*TARGET), "lost")
