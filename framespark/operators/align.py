@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..functions import geometry
 from ..sources.scratch import written
+from .phase import phase_shift  # noqa: F401
 from .stencil import FRAME, stencil, stencils
 
 PAIR = ("stack_id", "frame_idx")
@@ -335,48 +336,6 @@ def homography_fit(matches: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
     return summed.mapInPandas(solve, schema)
 
 
-def phase_shift(px: DataFrame, pairs: DataFrame, scales: tuple[float, float] = (0.9, 1.1), factor: int = 1) -> DataFrame:
-    """(stack_id, frame_idx, target_idx, dx, dy, scale): shift by phase correlation of Hann-windowed gray frames.
-
-    A frame and its target are one group, of every ``factor``-th row and column: choose it so that two such frames fit a
-    task (``auto_factor``). The shift is told to a fraction of a pixel by the centre of mass around the peak. The scale
-    comes from radial profiles of log magnitudes; it is told, not corrected for.
-    """
-    if factor > 1:
-        px = px.filter((F.col("y") % factor == 0) & (F.col("x") % factor == 0)).withColumns({c: F.expr(f"{c} div {factor}") for c in ("y", "x")})
-    a = px.join(pairs.select(*PAIR, "target_idx"), list(PAIR)).withColumn("side", F.lit(0))
-    b = px.join(pairs.select("stack_id", F.col("frame_idx").alias("of"), F.col("target_idx").alias("frame_idx")), ["stack_id", "frame_idx"])
-    b = b.select("stack_id", F.col("of").alias("frame_idx"), F.col("frame_idx").alias("target_idx"), "y", "x", "v", F.lit(1).alias("side"))
-    both = a.select("stack_id", "frame_idx", "target_idx", "y", "x", "v", "side").unionByName(b)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-        pair = np.zeros((2, h, w))
-        pair[pdf["side"], pdf["y"], pdf["x"]] = pdf["v"]
-        window = np.hanning(h)[:, None] * np.hanning(w)
-        f, g = (np.fft.fft2((p - p.mean()) * window) for p in pair)
-        radius = np.hypot(np.fft.fftfreq(h)[:, None], np.fft.fftfreq(w)[None, :])
-        which = (radius * 64).astype(int).ravel()
-        size = np.maximum(np.bincount(which), 1)
-        profile = [np.bincount(which, np.log1p(np.abs(z)).ravel()) / size for z in (f, g)]
-        at = np.arange(len(size))
-        grid = np.linspace(*scales, 41)
-        errors = [np.mean((np.interp(at * s, at, profile[0]) - profile[1])[1:33] ** 2) for s in grid]
-        cross = np.conj(f) * g
-        surface = np.abs(np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)))
-        peak = np.unravel_index(np.argmax(surface), (h, w))
-        near = np.arange(-2, 3)
-        around = surface[np.ix_((peak[0] + near) % h, (peak[1] + near) % w)]
-        parts = (around.sum(axis=1) @ near, around.sum(axis=0) @ near)
-        dy, dx = (factor * ((p - n if p > n // 2 else p) + c / around.sum()) for p, n, c in zip(peak, (h, w), parts, strict=True))
-        key = {c: pdf[c].iloc[:1] for c in ("stack_id", "frame_idx", "target_idx")}
-        return pd.DataFrame(key | {"dx": float(dx), "dy": float(dy), "scale": float(grid[int(np.argmin(errors))])})
-
-    return both.groupBy("stack_id", "frame_idx", "target_idx").applyInPandas(
-        run, "stack_id long, frame_idx long, target_idx long, dx double, dy double, scale double"
-    )
-
-
 def compose_chain(transforms: DataFrame, refs: DataFrame) -> DataFrame:
     """(stack_id, frame_idx, m): each frame's way to the reference.
 

@@ -46,12 +46,56 @@ def test_vignette_correction_flattens(spark):
     assert flat.std() < 0.15 * a[..., 0].std() and abs(flat[h // 2, w // 2] - a[h // 2, w // 2, 0]) <= 2
 
 
-def test_phase_shift_of_a_moved_frame(spark):
+def _phase(spark, frames, pairs, **options):
+    px = table(spark, frames).withColumn("v", F.col("b")).select("stack_id", "frame_idx", "y", "x", "v")
+    pairs = spark.createDataFrame(pairs, "stack_id long, frame_idx long, target_idx long")
+    return {(r["frame_idx"], r["target_idx"]): r for r in align.phase_shift(px, pairs, **options).collect()}
+
+
+@pytest.mark.parametrize("cells", [1 << 19, 300])
+def test_phase_shift_of_a_moved_frame(spark, cells):
     a = texture(40, 48)
-    px = table(spark, {0: a, 1: np.roll(a, (3, -4), (0, 1))}).withColumn("v", F.col("b"))
-    pairs = spark.createDataFrame([(0, 0, 1)], "stack_id long, frame_idx long, target_idx long")
-    got = align.phase_shift(px.select("stack_id", "frame_idx", "y", "x", "v"), pairs).first()
-    assert abs(got["dx"] + 4) < 0.5 and abs(got["dy"] - 3) < 0.5 and abs(got["scale"] - 1) < 0.02
+    got = _phase(spark, {0: a, 1: np.roll(a, (3, -4), (0, 1))}, [(0, 0, 1), (0, 1, 0), (0, 0, 5)], cells=cells)
+    assert set(got) == {(0, 1), (1, 0)}  # a frame without pixels has no shift
+    for pair, sign in (((0, 1), 1), ((1, 0), -1)):
+        r = got[pair]
+        assert abs(r["dx"] + 4 * sign) < 0.5 and abs(r["dy"] - 3 * sign) < 0.5 and r["scale"] == 1
+
+
+def test_phase_shift_is_that_of_the_whole_transform(spark):
+    a, b = texture(31, 45, 3)[..., 0], texture(31, 45, 4)[..., 0]
+    window = np.hanning(31)[:, None] * np.hanning(45)
+    f, g = (np.fft.fft2((p - p.mean()) * window) for p in (a, b))
+    both = np.conj(f) * g
+    surface = np.abs(np.fft.ifft2(both / np.abs(both)))
+    y, x = np.unravel_index(surface.argmax(), surface.shape)
+    near = np.arange(-2, 3)
+    around = surface[np.ix_((y + near) % 31, (x + near) % 45)]
+    want = (x - 45 * (x > 22) + around.sum(0) @ near / around.sum(), y - 31 * (y > 15) + around.sum(1) @ near / around.sum())
+    for cells in (200, 1 << 19):
+        r = _phase(spark, {0: np.repeat(a[..., None], 3, 2), 1: np.repeat(b[..., None], 3, 2)}, [(0, 0, 1)], scales=(0.999, 1.001), cells=cells)[0, 1]
+        assert np.allclose((r["dx"], r["dy"]), want, atol=1e-6)
+
+
+@pytest.mark.parametrize("scale", [0.94, 1.05])
+def test_phase_shift_finds_a_scale(spark, scale):
+    h, w, dx, dy = 180, 200, 6.0, -4.0
+    whole = texture(400, 400, 5)[..., 0].astype(float)
+    whole = convolved(convolved(whole, (1, 4, 6, 4, 1)) / 256, (1, 4, 6, 4, 1)) / 256
+    whole = (whole - whole.min()) / np.ptp(whole) * 255
+    y, x = np.mgrid[0:h, 0:w].astype(float)
+
+    def at(v, u):
+        i, j = np.floor(v).astype(int), np.floor(u).astype(int)
+        return sum(whole[i + a, j + b] * np.abs(1 - a - (v - i)) * np.abs(1 - b - (u - j)) for a in (0, 1) for b in (0, 1))
+
+    middle = [(1 - scale) * (n - 1) / 2 for n in (h, w)]
+    frames = [at(y + 100, x + 100), at((y - middle[0] - dy) / scale + 100, (x - middle[1] - dx) / scale + 100)]
+    frames = {k: np.repeat(np.round(f).astype(int)[..., None], 3, axis=2) for k, f in enumerate(frames)}
+    r = _phase(spark, frames, [(0, 0, 1)], cells=4000)[0, 1]
+    assert abs(r["scale"] - scale) < 0.02
+    for got, want, n in ((r["dx"], dx + middle[1], w), (r["dy"], dy + middle[0], h)):
+        assert abs(got + (r["scale"] - scale) * n / 2 - want) < 1  # at the middle of the frame
 
 
 def test_homography_of_exact_matches(spark):
