@@ -76,19 +76,24 @@ def _meet(kp: DataFrame, pairs: DataFrame, col: str, keep: int, block: int = BLO
 
     def run(table: pa.Table) -> pa.Table:
         way = table.column("way").to_numpy()
-        sides = [table.filter(pa.array(way == k)) for k in (0, 1)]
-        rows = []
+        sides = [table.filter(pa.array(way == k)).sort_by("kp") for k in (0, 1)]  # so that the first of equals has the least id
+        found = []
         if all(t.num_rows for t in sides):
             dist = distances(sides[0].column("d"), sides[1].column("d"))
             ids = [t.column("kp").to_numpy() for t in sides]
-            for k, d in ((0, dist), (1, dist.T)):
-                best = np.lexsort((np.broadcast_to(ids[1 - k], d.shape), d), axis=1)[:, :keep]
-                for i, own in enumerate(best):
-                    rows += [(k, int(ids[k][i]), int(ids[1 - k][j]), float(d[i, j])) for j in own]
-        names = {c: [table.column(c)[0].as_py()] * len(rows) for c in (*PAIR, "target_idx")} if rows else {c: [] for c in (*PAIR, "target_idx")}
-        kinds = [("way", pa.int32()), ("kp", pa.int64()), ("other", pa.int64()), ("dist", pa.float64())]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in names.items()} | {n: pa.array(v, t) for (n, t), v in zip(kinds, columns, strict=True)})
+            for k, d in ((0, dist), (1, dist.T.copy())):
+                own = np.arange(len(d))
+                for n in range(min(keep, d.shape[1])):
+                    at = d.argmin(axis=1)
+                    found.append((np.full(len(d), k, np.int32), ids[k], ids[1 - k][at], d[own, at]))
+                    if n + 1 < keep:
+                        if k == 0 and n == 0:
+                            d = d.copy()
+                        d[own, at] = np.inf
+        kinds = [("way", np.int32), ("kp", np.int64), ("other", np.int64), ("dist", np.float64)]
+        columns = [np.concatenate([np.empty(0, t), *(f[i] for f in found)]) for i, (_, t) in enumerate(kinds)]
+        names = {c: pa.array(np.full(len(columns[0]), table.column(c)[0].as_py(), np.int64)) for c in (*PAIR, "target_idx")}
+        return pa.table(names | {n: pa.array(v) for (n, _), v in zip(kinds, columns, strict=True)})
 
     schema = "stack_id long, frame_idx long, target_idx long, way int, kp long, other long, dist double"
     return left.unionByName(right).groupBy(*PAIR, "target_idx", "p0", "p1").applyInArrow(run, schema)
@@ -107,8 +112,46 @@ def match_knn(kp: DataFrame, pairs: DataFrame, ratio: float = 0.75, block: int =
 
 def match_cross_check(kp: DataFrame, pairs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs of binary descriptors that are each other's nearest by Hamming distance; ties go to the lower id."""
+    return _mutual(_meet(kp, pairs, "bits", 1, block))
+
+
+def match_within(kp: DataFrame, pairs: DataFrame, within: int = 11, block: int = BLOCK) -> DataFrame:
+    """The matches of ``match_cross_check`` that are at most ``within`` bits apart, found without comparing all keypoints.
+
+    The bits are dealt out to ``within div 2 + 1`` tables: two words at most ``within`` apart differ by at most one bit in one
+    of them, so each word looks its own and its one-bit neighbours up in every table, and what it meets is compared in
+    full. Of equal words of a frame only the least id can match, so they count once; entries of a table with more than
+    ``block`` words are met by parts. Keypoints without bits match nothing.
+    """
+    if not 0 <= within < 64:
+        raise ValueError(f"within must be from 0 to 63: {within}")
+    signed = lambda word: F.lit(word - (1 << 64) if word >> 63 else word).cast("long")
+    tables = within // 2 + 1
+    dealt = [range(k, 64, tables) for k in range(tables)]
+    key = [F.col("bits").bitwiseAND(signed(sum(1 << i for i in each))) for each in dealt]
+    words = kp.filter("bits IS NOT NULL").groupBy(*PAIR, "bits").agg(F.min("kp_id").alias("kp"))
+    pairs = pairs.select(*PAIR, "target_idx").distinct()
+    met = pairs.select("stack_id", F.col("target_idx").alias("frame_idx")).distinct()
+    entries = words.join(met, list(PAIR), "left_semi").select("stack_id", F.col("frame_idx").alias("target_idx"), "kp", "bits", F.posexplode(F.array(*key)).alias("table", "key"))
+    at = ["stack_id", "target_idx", "table", "key"]
+    full = entries.groupBy(*at).agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).filter("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    entries = entries.join(full, at, "left").withColumn("part", F.pmod(F.xxhash64("kp"), parts).cast("int"))
+    entries = entries.select(*at, "part", F.col("kp").alias("kp1"), F.col("bits").alias("other"))
+    asked = [F.struct(F.lit(k).alias("table"), v.alias("key")) for k, own in enumerate(key) for v in (own, *(own.bitwiseXOR(signed(1 << i)) for i in dealt[k]))]
+    probes = words.join(pairs, list(PAIR)).select(*PAIR, "target_idx", "kp", "bits", F.explode(F.array(*asked)).alias("at"))
+    probes = probes.select(*PAIR, "target_idx", F.col("kp").alias("kp0"), "bits", "at.table", "at.key").join(full, at, "left")
+    probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    dist = F.bit_count(F.col("bits").bitwiseXOR(F.col("other"))).cast("long")
+    found = probes.join(entries, [*at, "part"]).withColumn("dist", dist).filter(F.col("dist") <= within)
+    ways = F.array(*(F.struct(F.lit(k).alias("way"), F.col(a).alias("kp"), F.col(b).alias("other")) for k, a, b in ((0, "kp0", "kp1"), (1, "kp1", "kp0"))))
+    return _mutual(found.select(*PAIR, "target_idx", "dist", F.inline(ways)))
+
+
+def _mutual(met: DataFrame) -> DataFrame:
+    """Matches that are nearest both ways, of ``met(stack_id, frame_idx, target_idx, way, kp, other, dist)``."""
     best = F.min(F.struct("dist", "other")).alias("best")
-    nearest = _meet(kp, pairs, "bits", 1, block).groupBy(*PAIR, "target_idx", "way", "kp").agg(best)
+    nearest = met.groupBy(*PAIR, "target_idx", "way", "kp").agg(best)
     # a pair that holds both ways is met twice
     kp0 = F.when(F.col("way") == 0, F.col("kp")).otherwise(F.col("best.other")).alias("kp0")
     kp1 = F.when(F.col("way") == 0, F.col("best.other")).otherwise(F.col("kp")).alias("kp1")

@@ -73,9 +73,11 @@ def aligned(transforms: DataFrame, border: str = "REPLICATE") -> Step:
 TARGET = ("stack_id", "frame_idx", "target_idx")
 
 
-def _matched(kp: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``TARGET, kp_id, x0, y0, x1, y1``: mutual nearest keypoints of pairs of frames, by binary descriptors."""
-    met = align.match_cross_check(kp, pairs.select(*TARGET))
+def _matched(kp: DataFrame, pairs: DataFrame, within: int | None = None) -> DataFrame:
+    """``TARGET, kp_id, x0, y0, x1, y1``: mutual nearest keypoints of pairs of frames, by binary descriptors; of those at
+    most ``within`` bits apart, if given."""
+    pairs = pairs.select(*TARGET)
+    met = align.match_cross_check(kp, pairs) if within is None else align.match_within(kp, pairs, within)
     at = lambda k, a: kp.select("stack_id", F.col("frame_idx").alias(a), F.col("kp_id").alias(f"kp{k}"), F.col("x").cast("double").alias(f"x{k}"), F.col("y").cast("double").alias(f"y{k}"))
     placed = met.join(at(0, "frame_idx"), ["stack_id", "frame_idx", "kp0"]).join(at(1, "target_idx"), ["stack_id", "target_idx", "kp1"])
     return placed.select(*TARGET, F.col("kp0").alias("kp_id"), "x0", "y0", "x1", "y1")
@@ -131,8 +133,9 @@ def _thinned(px: DataFrame, factor: Column) -> DataFrame:
 
 
 def fit_with_fallback(
-    px: DataFrame, pairs: DataFrame, factor: int = 0, top_k: int = 500, least: int = 20, kind: str = "similarity", method: str = "RANSAC", threshold: float = 3.0
-) -> DataFrame:
+    px: DataFrame, pairs: DataFrame, factor: int = 0, top_k: int = 500, least: int = 20, kind: str = "similarity", method: str = "RANSAC", threshold: float = 3.0,
+    within: int | None = None,
+) -> DataFrame:
     """``TARGET, m, n_inliers, …, status, factor`` of pairs of frames thinned by ``factor`` (0: chosen by the size of each
     stack), and, of pairs with fewer than ``least`` matches that agree there, of the whole frames.
 
@@ -144,26 +147,27 @@ def fit_with_fallback(
     factors = thin.groupBy("stack_id").agg(F.max("factor").alias("factor"))
     kp = written(align.detect_keypoints(thin.drop("factor"), top_k), "keypoints")
     fit = lambda matches: written(_fitted(written(matches, "matches"), least, kind, method, threshold), "fits")
-    first = fit(_matched(kp, pairs).join(factors, "stack_id")).join(factors, "stack_id")
+    first = fit(_matched(kp, pairs, within).join(factors, "stack_id")).join(factors, "stack_id")
     poor = pairs.select(*TARGET).join(factors.filter("factor > 1"), "stack_id").join(first, list(TARGET), "left_anti")
     poor = written(poor.select(*TARGET), "poor")
     if poor.isEmpty():
         return first
     again = poor.select("stack_id", "frame_idx").union(poor.select("stack_id", "target_idx")).distinct()
     whole = _thinned(px.join(again, ["stack_id", "frame_idx"], "left_semi"), F.lit(1).cast("long")).drop("factor")
-    finer = _matched(written(align.detect_keypoints(whole, top_k), "keypoints"), poor)
+    finer = _matched(written(align.detect_keypoints(whole, top_k), "keypoints"), poor, within)
     return first.unionByName(fit(finer).withColumn("factor", F.lit(1).cast("long")))
 
 
 def align_stack(
     px: DataFrame, refs: DataFrame, top_k: int = 500, delta_max: int = 2, least: int = 20, limits: str = "normal",
     phase_fallback: bool = False, border: str = "REPLICATE_BLUR", factor: int = 1, kind: str = "similarity", method: str = "RANSAC",
-    threshold: float = 3.0,
+    threshold: float = 3.0, within: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(warped pixels, transforms): stacks of any shapes aligned to their reference frames.
 
     Keypoints of the gray frames, thinned by ``factor`` (0: by the size of each stack), are detected, matched towards the
-    reference and fitted by a ``kind`` of transform, with a fallback to whole frames (see ``fit_with_fallback``). With
+    reference (with ``within``, up to so many bits apart and without comparing all) and fitted by a ``kind`` of transform,
+    with a fallback to whole frames (see ``fit_with_fallback``). With
     ``phase_fallback`` a frame that has none takes the scale and shift that phase correlation tells for its nearest target.
     Transforms beyond ``limits`` do not count, nor those that a chain adds up to; a frame that no chain leads to the
     reference is left out. ``transforms`` has ``stack_id, frame_idx, m``, and of the frame's own fit ``target_idx``,
@@ -172,7 +176,7 @@ def align_stack(
     px = with_size(px)
     sizes = px.groupBy("stack_id").agg(F.max("h").alias("h"), F.max("w").alias("w"))
     pairs = written(align.pair_frames(px.select("stack_id", "frame_idx").distinct(), refs, delta_max), "pairs")
-    valid = written(_allowed(fit_with_fallback(px, pairs, factor, top_k, least, kind, method, threshold), sizes, kind, limits), "valid")
+    valid = written(_allowed(fit_with_fallback(px, pairs, factor, top_k, least, kind, method, threshold, within), sizes, kind, limits), "valid")
     chosen = written(align.choose_pairs(pairs, valid), "chosen")
     if phase_fallback:
         lost = written(pairs.filter("delta = 1").join(chosen.select("stack_id", "frame_idx"), ["stack_id", "frame_idx"], "left_anti").select(*TARGET), "lost")

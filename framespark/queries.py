@@ -934,6 +934,13 @@ def J7_match_cross_check(s, d):
     return align.match_cross_check(kp, _pairs(kp))
 
 
+@query(f"WITH {_HAM} SELECT stack_id, frame_idx, target_idx, kp0, kp1, dist FROM k WHERE ra = 1 AND rb = 1 AND dist <= 21")
+def J7_match_within(s, d):
+    """The same matches up to 21 bits, by tables of parts of the words."""
+    kp = fx.keypoints(s, d)
+    return align.match_within(kp, _pairs(kp), 21)
+
+
 @query(f"WITH {_HAM} SELECT stack_id, frame_idx, kp0, kp1, dist, row_number() OVER (PARTITION BY stack_id, frame_idx ORDER BY dist, kp0) rank FROM k WHERE ra = 1 AND rb = 1")
 def T4_matches_by_distance(s, d):
     kp = fx.keypoints(s, d)

@@ -211,6 +211,24 @@ def test_matching_by_parts_is_matching(spark):
         assert {(r["kp0"], r["kp1"]) for r in align.match_cross_check(kp, pairs, block).collect()} == mutual
 
 
+@pytest.mark.parametrize("block", [2048, 2])
+@pytest.mark.parametrize("within", [0, 1, 6, 13])
+def test_matching_within_a_distance_is_matching(spark, within, block):
+    rng = np.random.default_rng(7)
+    words = rng.integers(-(1 << 62), 1 << 62, 40)
+    flips = lambda n: sum(1 << int(i) for i in rng.choice(62, n, replace=False))
+    rows = [(0, 0, k, int(v)) for k, v in enumerate(words)] + [(0, 1, 100 + k, int(v) ^ flips(k % 16)) for k, v in enumerate(words)]
+    rows += [(0, 0, 50, int(words[3])), (0, 1, 200, int(words[3])), (0, 0, 51, -1), (0, 0, 52, 0), (0, 1, 202, 0), (0, 1, 201, -1)]
+    pairs = spark.createDataFrame([(0, 0, 1), (0, 1, 0), (0, 0, 5)], "stack_id long, frame_idx long, target_idx long")
+    schema = "stack_id long, frame_idx long, kp_id long, bits long"
+    kp = spark.createDataFrame(rows, schema)
+    want = sorted(map(tuple, align.match_cross_check(kp, pairs).filter(F.col("dist") <= within).collect()))
+    with_nulls = spark.createDataFrame([*rows, (0, 0, 60, None), (0, 1, 260, None)], schema)
+    got = sorted(map(tuple, align.match_within(with_nulls, pairs, within, block).collect()))
+    assert got == want and len(want) > 4
+    assert align.match_within(spark.createDataFrame([], schema), pairs, within).count() == 0
+
+
 def test_chains_by_pointer_jumping(spark):
     m = lambda t: [1.0, 0.0, float(t), 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
     rows = [(0, f, f - 1, m(1)) for f in range(1, 40) if f != 30] + [(0, 50, 51, m(1)), (0, 51, 50, m(1))]
