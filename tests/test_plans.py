@@ -250,6 +250,9 @@ def test_whole_alignment(spark):
         assert abs(r["m"][2] - dx) < 0.6 and abs(r["m"][5] - dy) < 0.6, r
     done = image(warped.filter("frame_idx = 2"), (80, 90))
     assert np.abs(done[10:70, 10:80] - cut[1][10:70, 10:80, 0]).mean() < 4
+    _, near = stack.align_stack(px, refs, top_k=200, within=6, border="REPLICATE")
+    near = near.collect()
+    assert len(near) == 3 and all(abs(r["m"][2] - (shifts[r["frame_idx"]][1] - 3)) < 0.5 for r in near)
     # without keypoints phase correlation steps in
     _, fallen = stack.align_stack(px, refs, top_k=200, least=10_000, phase_fallback=True)
     assert {r["frame_idx"] for r in fallen.collect()} == {0, 1, 2}
