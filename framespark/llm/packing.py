@@ -146,7 +146,7 @@ def cut_documents(
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for names, encoded in encode_batches(batches, tokenizer_file, end_id):
             rows = []
-            for doc, raw in zip(names.to_pylist(), encoded, strict=True):
+            for doc, raw in zip(names.to_pylist(), encoded.to_pylist(), strict=True):
                 ids = np.frombuffer(raw, width).astype("<u4")
                 head = len(ids) % capacity or min(len(ids), capacity)
                 cuts = [0, *range(head, len(ids) + 1, capacity)]

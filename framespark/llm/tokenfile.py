@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from .worker import begin_task, stretches
 
 #: Tokens at which a block is closed.
 BLOCK_TOKENS = 1 << 18
+#: Bytes of text encoded at once, about: the more, the fewer pieces are looked up again.
+STRETCH_BYTES = 4 << 20
 #: Documents' tokens in one part of the files.
 PART_TOKENS = 1 << 24
 
@@ -54,14 +57,13 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], tokenizer_file: str, end_id: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
+def encode_batches(batches: Iterator[pa.RecordBatch], tokenizer_file: str, end_id: int) -> Iterator[tuple[pa.Array, pa.Array]]:
     """(ids of documents, their tokens with ``end_id`` as packed unsigned integers) of batches of (id, text)."""
     encoder = ChunkEncoder.shared(tokenizer_file)
-    end = np.array([end_id], encoder.dtype).tobytes()
     for batch in batches:
-        for lo, hi in stretches(batch.column(1)):
+        for lo, hi in stretches(batch.column(1), STRETCH_BYTES):
             part = batch.slice(lo, hi - lo)
-            yield part.column(0), [(encoder.encode(t.as_py()) if t.is_valid else b"") + end for t in part.column(1)]
+            yield part.column(0), encoder.encode_all(part.column(1), end_id)
 
 
 def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -70,8 +72,8 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, end_id: int, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, ids in encode_batches(batches, tokenizer_file, end_id):
-            n = [len(x) // width for x in ids]
-            yield pa.RecordBatch.from_arrays([names, pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["id", "n", "ids"])
+            n = pc.divide(pc.binary_length(ids), width).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([names, n, ids], ["id", "n", "ids"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, "id long, n long, ids binary")
@@ -98,8 +100,9 @@ def write_token_files(
         begin_task()
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for row in batch.column(0):
-                got = np.bincount(np.frombuffer(row.as_py(), width))
+            column = batch.column(0)
+            for lo, hi in stretches(column):
+                got = np.bincount(np.frombuffer(b"".join(column.slice(lo, hi - lo).to_numpy(zero_copy_only=False)), width))
                 if len(got) > len(total):
                     total = np.concatenate((total, np.zeros(len(got) - len(total), np.int64)))
                 total[: len(got)] += got

@@ -1,20 +1,24 @@
 """Ids of whole texts by the tokenizers library, with a bounded memory of the pieces already met.
 
 A byte-level tokenizer first splits a text by its pattern and then encodes every match on its own, so equal matches
-have equal ids and each need be encoded only once while it is remembered. Texts that must not be cut (see ``chunks``)
-are encoded whole.
+have equal ids. Many texts are cut at once by their bytes (see ``chunks``), and of a stretch of texts each distinct piece
+is looked up once, and encoded only if it is not remembered. Texts that must not be cut are encoded whole.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .chunks import chunks, simple_pieces
+from .chunks import SIMPLE, cuttable, piece_starts
 from .worker import kept
 
-#: Bytes of memory for the pieces that one worker remembers, about; others are encoded again each time they occur.
+#: Bytes of memory for the pieces that one worker remembers, about; others are encoded again in each stretch.
 REMEMBERED = 80 << 20
-#: What one remembered piece takes besides its characters and ids: a place in a table and two objects' heads.
+#: What one remembered piece takes besides its bytes and ids: a place in a table and two objects' heads.
 ENTRY_BYTES = 170
 
 #: Characters as a byte-level tokenizer writes them: every byte of their UTF-8 as one visible character.
@@ -32,9 +36,9 @@ class ChunkEncoder:
 
         self.whole = Tokenizer.from_file(tokenizer_file)
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
-        self.split, self.model = self.whole.pre_tokenizer.pre_tokenize_str, self.whole.model.tokenize
-        self.pieces: dict[str, bytes] = {}  # by the piece, without a leading space where it has one
-        self.bare: dict[str, bytes] = {}  # pieces that do not begin with a space
+        self.model = self.whole.model.tokenize
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.pieces: dict[bytes, bytes] = {}
         self.room = remembered
 
     @classmethod
@@ -42,41 +46,43 @@ class ChunkEncoder:
         """One encoder for the tasks of a stage that a worker runs."""
         return kept(("tokens", tokenizer_file), lambda: cls(tokenizer_file))
 
-    def _ids(self, written: str) -> bytes:
-        return np.array([t.id for t in self.model(written)], self.dtype).tobytes()
-
-    def chunk(self, text: str) -> bytes:
-        pieces = simple_pieces(text)
-        if pieces is None:
-            return b"".join([self._ids(written) for written, _ in self.split(text)])
-        out = []
-        for piece in pieces:
-            spaced = piece[0] == " "
-            table, key = (self.pieces, piece[1:]) if spaced else (self.bare, piece)
-            known = table.get(key)
-            if known is None:
-                known = self._ids(piece.translate(_WRITTEN))
-                if self.room > 0 and len(key) < 48:
-                    table[key] = known
-                    self.room -= ENTRY_BYTES + len(key) + len(known)
-            out.append(known)
-        return b"".join(out)
+    def _ids(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        if SIMPLE.fullmatch(text):
+            ids = [t.id for t in self.model(text.translate(_WRITTEN))]
+        else:
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+        known = array(self.code, ids).tobytes()
+        if self.room > 0 and len(piece) < 48:
+            self.pieces[piece] = known
+            self.room -= ENTRY_BYTES + len(piece) + len(known)
+        return known
 
     def encode(self, text: str) -> bytes:
-        words = chunks(text)
-        if words is None:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        out = [self.chunk(words[0])] if words[0] else []
-        find, add, bare = self.pieces.get, out.append, self.bare.get
-        for word in words[1:]:
-            known = find(word)
-            if known is None:
-                last = word[-1:]
-                known = find(word[:-1]) if last == "." or last == "," else None
-                if known is not None and bare(last) is not None and word[-2:-1].isalpha():
-                    add(known)
-                    known = bare(last)
-                else:
-                    known = self.chunk(" " + word)
-            add(known)
-        return b"".join(out)
+        return self.encode_all(pa.array([text], pa.string()))[0].as_py()
+
+    def encode_all(self, texts: pa.Array, end_id: int | None = None) -> pa.Array:
+        """Every text's ids (null: none), followed by ``end_id`` if there is one, in a column of bytes."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        _, places, octets = texts.buffers()
+        offsets = np.frombuffer(places, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(octets or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        starts = piece_starts(data, offsets, np.flatnonzero([not cuttable(t) for t in texts.to_numpy(zero_copy_only=False)]))
+        bounds = np.append(starts, len(data)).astype(np.int32)
+        distinct = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        pieces, which = distinct.dictionary.to_numpy(zero_copy_only=False).tolist(), distinct.indices.to_numpy()
+        ids = [self._ids(p) if known is None else known for p, known in zip(pieces, map(self.pieces.get, pieces), strict=True)]
+        ends = np.searchsorted(starts, offsets[1:])  # a text's pieces by number
+        if end_id is not None:
+            which = np.insert(which, ends, len(ids))
+            ends += np.arange(1, len(ends) + 1)
+            ids.append(array(self.code, [end_id]).tobytes())
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // self.dtype.itemsize
+        length = size[which]
+        after = np.append(0, np.cumsum(length, dtype=np.int32))
+        place = np.repeat((np.cumsum(size, dtype=np.int32) - size)[which] - after[:-1], length)
+        place += np.arange(len(place), dtype=np.int32)
+        out = np.frombuffer(b"".join(ids), self.dtype)[place]
+        bounds = np.append(0, after[ends]).astype(np.int32) * self.dtype.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds), pa.py_buffer(out)])

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from framespark.llm import ann, bpe, components, embdedup, langid, minhash, packing, quality, secrets, tokenfile, warc
@@ -115,6 +116,30 @@ def test_chunked_encoding_equals_whole_encoding():
         assert text.encode(s) == other.encode_ordinary(s)
 
 
+def test_columns_of_texts_are_cut_and_encoded_as_whole_texts():
+    from tokenizers import Tokenizer
+
+    whole, own, rng = Tokenizer.from_file(TOKENIZER), ChunkEncoder(TOKENIZER, remembered=20_000), random.Random(5)
+    parts = [" ", "  ", "\n", " \n", "\n ", "\n\n\n", "a", "the.", " don't", "'s", "12", "½", "é", "×", "÷", "日本", "...", "\t", "\r\n", "\x1c", "😀", "<|"]
+    texts = [*ODD_TEXTS, *("".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(3000)), None]
+    for lo in range(0, len(texts), 500):
+        column = pa.array(["not this one", *texts[lo : lo + 500]])[1:]
+        for text, raw in zip(texts[lo : lo + 500], own.encode_all(column, 2).to_pylist(), strict=True):
+            assert np.frombuffer(raw, own.dtype).tolist() == [*whole.encode(text or "", add_special_tokens=False).ids, 2]
+    assert own.encode_all(pa.array([None, ""], pa.string())).to_pylist() == [b"", b""]
+
+
+def test_a_stretch_encodes_each_piece_once(monkeypatch):
+    own, calls = ChunkEncoder(TOKENIZER, remembered=0), []
+    monkeypatch.setattr(ChunkEncoder, "shared", lambda *_: own)
+    encode = own._ids
+    monkeypatch.setattr(own, "_ids", lambda piece: calls.append(piece) or encode(piece))
+    texts = ["one two, two three\n", "two two two. three", "one 12 two"] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(range(150)), pa.array(texts)], ["id", "text"])
+    assert sum(len(ids) for _, ids in tokenfile.encode_batches(iter([batch]), TOKENIZER, 2)) == 150
+    assert len(calls) == len(set(calls)) == len({"one", " two", ",", " three", "\n", "two", ".", " 12"})
+
+
 def test_prefix_tables_append_and_edit():
     encoder = bpe.PrefixBpe(bpe.load_ranks(RANKS))
     rng = random.Random(2)
