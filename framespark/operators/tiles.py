@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.scratch import written
 from .stencil import GENERATING
 
 #: The side of a tile (a multiple of 2**STEP) and the levels of a pass.
 SIDE, STEP = 256, 3
-#: Bytes of parts that a task gathers before it hands them on.
-GATHER = 48 << 20
+#: Bytes of parts that a task gathers before it hands them on, and of tile rows that go to a Python worker at once: Spark
+#: holds a few copies of these, and by itself sends 64 MB.
+GATHER, BATCH = 24 << 20, 8 << 20
 BGR = ("b", "g", "r")
 #: Pixels beyond a tile that ``n`` levels need at its finest one: details are wanted two pixels beyond it, their energies
 #: two more, and every reduction doubles what it needs and adds two.
@@ -91,6 +93,25 @@ def expanded(planes: np.ndarray, has: list[tuple[int, int]], wants: list[tuple[i
     return convolved(spread, taps) * (4.0 / sum(taps) ** 2)
 
 
+def sizes(px: DataFrame, keys: Sequence[str] = ("stack_id",)) -> DataFrame:
+    """``keys``, ``h`` and ``w`` of every stack, written: Spark then knows that they are few, and a join with them leaves
+    the pixels in the tasks they are in. Shuffled by stack, all pixels of a stack would go to one task."""
+    return written(px.groupBy(*keys).agg((F.max("y") + 1).cast("long").alias("h"), (F.max("x") + 1).cast("long").alias("w")), "sizes")
+
+
+def sized(px: DataFrame, keys: Sequence[str] = ("stack_id",)) -> DataFrame:
+    """``with_size`` by written sizes."""
+    return px.drop("h", "w").join(sizes(px, keys), list(keys))
+
+
+def in_batches(rows: DataFrame) -> DataFrame:
+    """Rows of tiles on their way to Python: their bytes at once are bounded, unless the session says otherwise."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in conf.getAll:
+        conf.set(key, BATCH)
+    return rows
+
+
 class Parts:
     """Packed pixels on their way to tiles."""
 
@@ -224,12 +245,12 @@ def parts_of_tiles(tiles: DataFrame, keys: Sequence[str], margins: Sequence[int]
             yield from parts.add(head, y, x, planes, row["h"], row["w"], margins[n], side >> n if shrink else side)
         yield from parts.flush()
 
-    return tiles.select(*keys, "frame_idx", "left", "h", "w", "y0", "x0", "rows", "columns", "data").mapInArrow(run, schema)
+    return in_batches(tiles.select(*keys, "frame_idx", "left", "h", "w", "y0", "x0", "rows", "columns", "data")).mapInArrow(run, schema)
 
 
 def met(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Parts dealt out by tile, a tile's parts in the order of frames. Rows are few and large."""
-    return parts.repartition(*keys, "ty", "tx").sortWithinPartitions(*keys, "ty", "tx", "frame_idx")
+    return in_batches(parts.repartition(*keys, "ty", "tx").sortWithinPartitions(*keys, "ty", "tx", "frame_idx"))
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -319,7 +340,7 @@ def unpack_tiles(
                     done += [pa.repeat(pa.scalar(row[c], pa.int64()), n) for c in ("h", "w")]
                 yield pa.RecordBatch.from_arrays([*done, *map(pa.array, planes)], schema=arrow)
 
-    return tiles.select(*names, "h", "w", "y0", "x0", "rows", "columns", "data").mapInArrow(run, schema)
+    return in_batches(tiles.select(*names, "h", "w", "y0", "x0", "rows", "columns", "data")).mapInArrow(run, schema)
 
 
 def reductions(h: Column, w: Column, min_size: int = 32) -> Column:

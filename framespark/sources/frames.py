@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import tiles
-from ..operators.stencil import with_size
+from .scratch import TILE_ROWS
 
 #: File extensions that are images, by kind.
 EXTENSIONS = {
@@ -91,7 +91,7 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
 
 def write_tiles(px: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Pixel rows as tile rows (see ``operators.tiles``): a row holds a square of a frame."""
-    tiles.pack_tiles(with_size(px)).write.mode(mode).parquet(path)
+    tiles.pack_tiles(tiles.sized(px)).write.mode(mode).options(**TILE_ROWS).parquet(path)
 
 
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:

@@ -29,13 +29,18 @@ def scratch_dir(spark: SparkSession) -> str:
 _scopes: list[list[str]] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: How Parquet is written whose rows hold tiles of a megabyte and more: readers take a whole row group of such rows at
+#: once, and writers close pages by their rows, not before a hundred of them.
+TILE_ROWS = {"parquet.block.row.count.limit": 16, "parquet.page.row.count.limit": 4, "parquet.enable.dictionary": False}
+
+
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """``df`` written as Parquet under ``scratch_dir`` and read again; it goes when the ``scope`` it was written in ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
