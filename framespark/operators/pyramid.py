@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce as reduce_by
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import TILE_ROWS, written
 from . import tiles
 from .stencil import FRAME, GENERATING, grown, reduce, stencil, with_size
 
@@ -101,37 +102,52 @@ def focus_stack_pyramid(px: DataFrame, levels: int | None = None, depth: int = 8
     reductions, by default until the smaller side nears ``min_size``. A stack of one frame comes out as it is, up to
     rounding down. Frames are worked on by tiles, in passes of several levels (see ``tiles``).
     """
-    sized = with_size(px, list(keys))
     left = tiles.reductions(F.col("h"), F.col("w"), min_size) if levels is None else F.lit(levels).cast("long")
-    sized = sized.select(*keys, "frame_idx", *(F.col(c).cast("long") for c in ("y", "x", "h", "w")), *BGR, left.alias("left"))
-    return _fused(tiles.parts_of_pixels(sized.filter("left > 0"), keys), sized.filter("left = 0"), depth, keys)
+    sizes = tiles.sizes(px, keys, left=left)
+
+    def of(stacks: DataFrame) -> DataFrame:
+        sized = px.drop("h", "w", "left").join(stacks, list(keys))
+        return sized.select(*keys, "frame_idx", *(F.col(c).cast("long") for c in ("y", "x", "h", "w")), *BGR, "left")
+
+    flat = sizes.filter("left = 0")
+    return _fused(tiles.parts_of_pixels(of(sizes.filter("left > 0")), keys), None if flat.isEmpty() else of(flat), depth, keys)
 
 
 def focus_stack_tiles(frames: DataFrame, depth: int = 8, keys: Sequence[str] = ("stack_id",), min_size: int = 32) -> DataFrame:
     """``focus_stack_pyramid`` of tile rows (see ``tiles.pack_tiles``)."""
     frames = frames.withColumn("left", tiles.reductions(F.col("h"), F.col("w"), min_size))
-    return _fused(tiles.parts_of_tiles(frames.filter("left > 0"), keys), tiles.unpack_tiles(frames.filter("left = 0"), keys), depth, keys)
+    flat = frames.filter("left = 0")
+    return _fused(tiles.parts_of_tiles(frames.filter("left > 0"), keys), None if flat.select("h").isEmpty() else tiles.unpack_tiles(flat, keys), depth, keys)
 
 
-def _fused(parts: DataFrame, flat: DataFrame, depth: int, keys: Sequence[str]) -> DataFrame:
-    """Passes from fine to coarse, the base of all stacks, and passes back. ``flat`` has the pixels of stacks without levels.
+def _fused(parts: DataFrame, flat: DataFrame | None, depth: int, keys: Sequence[str]) -> DataFrame:
+    """Passes from fine to coarse, the base of all stacks, and passes back. ``flat`` has the pixels of stacks without levels,
+    if there are any.
 
-    What a pass leaves is written, so each is done once, and the number of passes is that of the largest frames.
+    What a pass leaves is written, so each is done once, and the number of passes is that of the largest frames. So are the
+    coarsest images, which the base reads several times.
     """
     columns = [*keys, "frame_idx", "y", "x", "h", "w", *BGR]
-    bottom = flat.select(*columns[:-3], *(F.col(c).cast("double") for c in BGR), F.lit(0).alias("passes"))
+
+    def coarsest(images: DataFrame, passes: int) -> DataFrame:
+        return written(images.select(*columns[:-3], *(F.col(c).cast("double") for c in BGR), F.lit(passes).alias("passes")), "bottom")
+
+    bottom = [coarsest(flat, 0)] if flat is not None else []
     done: list[DataFrame] = []
     while True:
-        both = written(tiles.fuse_details(parts, keys), "tiles")
+        both = written(tiles.fuse_details(parts, keys), "tiles", **TILE_ROWS)
         coarse = both.filter("frame_idx is not null")
-        if both.isEmpty():
+        if both.select("left").isEmpty():
             break
         done.append(both.filter("frame_idx is null"))
-        bottom = bottom.unionByName(tiles.unpack_tiles(coarse.filter("left = 0"), keys).withColumn("passes", F.lit(len(done))))
+        bottom.append(coarsest(tiles.unpack_tiles(coarse.filter("left = 0"), keys), len(done)))
         active = coarse.filter("left > 0")
-        if active.isEmpty():
+        if active.select("left").isEmpty():
             break
         parts = tiles.parts_of_tiles(active, keys)
+    if not bottom:  # no pixels at all
+        bottom = [coarsest(tiles.unpack_tiles(coarse, keys), 0)]
+    bottom = reduce_by(DataFrame.unionByName, bottom)
     passes = bottom.select(*keys, "passes").distinct()
     base = written(base_fusion(bottom.drop("passes"), keys=keys).join(passes, list(keys)), "base")
     most, image = (1 << depth) - 1, None
@@ -145,7 +161,7 @@ def _fused(parts: DataFrame, flat: DataFrame, depth: int, keys: Sequence[str]) -
             parts = parts.unionByName(tiles.parts_of_tiles(finer, keys, margins, shrink=True))
         image = tiles.rebuild(done[k], parts, keys)
         if k:
-            image = written(image, "image")
+            image = written(image, "image", **TILE_ROWS)
     out = [F.floor(F.round(F.least(F.abs(c), F.lit(float(most))), 6)).cast("long").alias(c) for c in BGR]
     small = base.filter("passes = 0").select(*keys, "y", "x", *out)
     return small if image is None else small.unionByName(tiles.unpack_tiles(image, keys, frames=False, whole=most))

@@ -93,10 +93,12 @@ def expanded(planes: np.ndarray, has: list[tuple[int, int]], wants: list[tuple[i
     return convolved(spread, taps) * (4.0 / sum(taps) ** 2)
 
 
-def sizes(px: DataFrame, keys: Sequence[str] = ("stack_id",)) -> DataFrame:
-    """``keys``, ``h`` and ``w`` of every stack, written: Spark then knows that they are few, and a join with them leaves
-    the pixels in the tasks they are in. Shuffled by stack, all pixels of a stack would go to one task."""
-    return written(px.groupBy(*keys).agg((F.max("y") + 1).cast("long").alias("h"), (F.max("x") + 1).cast("long").alias("w")), "sizes")
+def sizes(px: DataFrame, keys: Sequence[str] = ("stack_id",), **more: Column) -> DataFrame:
+    """``keys``, ``h`` and ``w`` of every stack, and what ``more`` makes of these, written: Spark then knows that they are
+    few, and a join with them leaves the pixels in the tasks they are in. Shuffled by stack, all pixels of a stack would go
+    to one task; and what is said of a stack is worked out once, not for each of its pixels."""
+    size = px.groupBy(*keys).agg((F.max("y") + 1).cast("long").alias("h"), (F.max("x") + 1).cast("long").alias("w"))
+    return written(size.withColumns(more) if more else size, "sizes")
 
 
 def sized(px: DataFrame, keys: Sequence[str] = ("stack_id",)) -> DataFrame:
