@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import TILE_ROWS, written
 from . import tiles
-from .stencil import FRAME, GENERATING, grown, reduce, stencil, with_size
+from .stencil import FRAME, GENERATING, grown, reduce, shuffled, stencil
 
 BGR = ("b", "g", "r")
 
@@ -35,13 +35,13 @@ def laplacian_pyramid(px: DataFrame, levels: int, keys: Sequence[str] = FRAME, c
     The number of levels is a parameter of the plan: frames of one call share a shape (see ``validate_stack``). Coarse
     levels are written, so the plan of a level does not hold those of the levels before it.
     """
-    level = with_size(px, [k for k in keys if k != "frame_idx"] or list(keys))
+    level = tiles.sized(px, [k for k in keys if k != "frame_idx"] or list(keys))
     level = level.select(*keys, *(F.col(c).cast("long") for c in ("y", "x", "h", "w")), *(F.col(c).cast("double") for c in cols))
     out = []
     for _ in range(levels):
         coarse = written(reduce(level, cols, keys), "level")  # each level is read three times
         up = grown(coarse, cols, keys).withColumnsRenamed({c: f"up_{c}" for c in cols})
-        detail = level.join(up, [*keys, "y", "x"])
+        detail = level.join(shuffled(up), [*keys, "y", "x"])
         out.append(detail.select(*keys, "y", "x", "h", "w", *((F.col(c) - F.col(f"up_{c}")).alias(c) for c in cols)))
         level = coarse
     return [*out, level]
@@ -90,7 +90,7 @@ def collapse(pyramid: list[DataFrame], keys: Sequence[str] = ("stack_id",), cols
     image = pyramid[-1]
     for detail in pyramid[-2::-1]:
         up = grown(image, cols, keys).withColumnsRenamed({c: f"up_{c}" for c in cols})
-        both = detail.join(up, [*keys, "y", "x"])
+        both = detail.join(shuffled(up), [*keys, "y", "x"])
         image = both.select(*keys, "y", "x", "h", "w", *((F.col(c) + F.col(f"up_{c}")).alias(c) for c in cols))
     return image
 
