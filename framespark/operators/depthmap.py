@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import TILE_ROWS, written
 from . import tiles
-from .stencil import BINOMIAL, FRAME, gaussian_taps, stencil, stencils, with_size
+from .stencil import BINOMIAL, FRAME, gaussian_taps, stencil, stencils
 
 PLACE = ("stack_id", "y", "x")
 BGR = ("b", "g", "r")
@@ -123,7 +123,7 @@ def weighted_blend(px: DataFrame, weights: DataFrame, levels: int = 5, depth: in
     keys = ["stack_id"]
     both = px.select(*FRAME, "y", "x", "h", "w", *(F.col(c).cast("double") for c in BGR)).join(weights.select(*FRAME, "y", "x", "wt"), [*FRAME, "y", "x"])
     both = both.withColumn("left", F.lit(levels - 1).cast("long"))
-    return _blended(written(tiles.parts_of_pixels(both, keys, _margins(smooth_size // 2), planes=(*BGR, "wt")), "parts"), keys, depth, None, smooth_size)
+    return _blended(written(tiles.parts_of_pixels(both, keys, _margins(smooth_size // 2), planes=(*BGR, "wt")), "parts", **TILE_ROWS), keys, depth, None, smooth_size)
 
 
 def _margins(more: int) -> list[int]:
@@ -320,12 +320,12 @@ def _blend(parts: DataFrame, norms: DataFrame | None, keys: Sequence[str], focus
 
 def _blended(parts: DataFrame, keys: Sequence[str], depth: int, focus: _Focus | None, smooth_size: int) -> DataFrame:
     """Passes from fine to coarse and back, all stacks at once; what a pass leaves is written."""
-    norms = written(_norms(parts, keys, focus, _margins(smooth_size // 2)), "norms") if focus else None
+    norms = written(_norms(parts, keys, focus, _margins(smooth_size // 2)), "norms", **TILE_ROWS) if focus else None
     done: list[DataFrame] = []
     while True:
-        done.append(written(_blend(parts, norms, keys, focus, smooth_size), "blend"))
+        done.append(written(_blend(parts, norms, keys, focus, smooth_size), "blend", **TILE_ROWS))
         active = done[-1].filter("frame_idx is not null")
-        if active.isEmpty():
+        if active.select("left").isEmpty():
             break
         parts, norms, focus, smooth_size = tiles.parts_of_tiles(active, keys, _margins(0)), None, None, 1
     margins, image, levels = [tiles.AROUND] * (tiles.STEP + 1), None, None
@@ -338,7 +338,7 @@ def _blended(parts: DataFrame, keys: Sequence[str], depth: int, focus: _Focus |
         flat = coarse.join(levels.select(*keys), list(keys), "left_anti")  # images of stacks without levels here
         image = tiles.rebuild(details, tiles.parts_of_tiles(sized, keys, margins, shrink=True), keys, BINOMIAL).unionByName(flat)
         if k:
-            image = written(image, "image")
+            image = written(image, "image", **TILE_ROWS)
     return tiles.unpack_tiles(image, keys, frames=False, whole=(1 << depth) - 1, signed=True)
 
 
@@ -354,7 +354,7 @@ def focus_stack_depthmap(
     together give, then to be weighed and blended; a task holds one frame of a tile at a time.
     """
     keys, focus = list(keys), _Focus(energy, kernel_size, blur_size, energy_smooth_size, sigma_color, sigma_space, map_, temperature, power)
-    sized = with_size(px, keys)
+    sized = tiles.sized(px, keys)
     sized = sized.select(*keys, "frame_idx", *(F.col(c).cast("long") for c in ("y", "x", "h", "w")), *BGR, F.lit(levels - 1).cast("long").alias("left"))
     margins = [m + focus.reach for m in _margins(pyramid_smooth_size // 2)]
-    return _blended(written(tiles.parts_of_pixels(sized, keys, margins), "parts"), keys, depth, focus, pyramid_smooth_size)
+    return _blended(written(tiles.parts_of_pixels(sized, keys, margins), "parts", **TILE_ROWS), keys, depth, focus, pyramid_smooth_size)

@@ -855,7 +855,7 @@ def K5_depthmap_options(s, d):
 
 @query(f"WITH {_COLORGRAY.replace(o.SQL_SHARP, fx.SQL_LARGE)}, {o._energy('laplacian')}, {o._bilateral()}, {_MAX.replace('EN)', 'sm2)')}, wb AS (SELECT * FROM wm), {o.blend_deep(4)} SELECT * FROM blended")
 def K5_depthmap_of_large_frames(s, d):
-    return depthmap.focus_stack_depthmap(with_size(fx.large_pixels(s, d)))
+    return depthmap.focus_stack_depthmap(fx.large_pixels(s, d))
 
 
 _SHARPEN = ", ".join(f"CASE WHEN abs({c} - floor(round(s{c}, 6) + 0.5)) > 4 THEN greatest(0, least(floor(round({c} * 1.5 - 0.5 * floor(round(s{c}, 6) + 0.5), 6) + 0.5), 255))::BIGINT ELSE {c} END {c}" for c in "bgr")
