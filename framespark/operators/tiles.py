@@ -40,6 +40,14 @@ def mirrored(at: np.ndarray, size: int) -> np.ndarray:
     return np.where(at >= size, 2 * (size - 1) - at, at)
 
 
+def taken(planes: np.ndarray, at: np.ndarray, axis: int) -> np.ndarray:
+    """Rows (axis -2) or columns (axis -1) at some places; a view where these follow each other, as away from the ends."""
+    if len(at) and at[-1] - at[0] == len(at) - 1 and (np.diff(at) == 1).all():
+        some = slice(at[0], at[-1] + 1)
+        return planes[..., some, :] if axis == -2 else planes[..., some]
+    return np.take(planes, at, axis)
+
+
 def convolved(planes: np.ndarray, taps: Sequence[float]) -> np.ndarray:
     """Planes (…, y, x) convolved along both axes, without their margins."""
     return convolved_by(planes, taps, taps)
@@ -50,11 +58,18 @@ def convolved_by(planes: np.ndarray, taps_y: Sequence[float], taps_x: Sequence[f
         n, total = planes.shape[axis] - len(taps) + 1, None
         for k, tap in enumerate(taps):
             part = planes[..., k : k + n, :] if axis == -2 else planes[..., k : k + n]
-            total = part * tap if total is None else total + part * tap
+            total = added(total, part, tap)
         planes = total
     return planes
 
 
+def added(total: np.ndarray | None, part: np.ndarray, tap: float) -> np.ndarray:
+    if total is None:
+        return part * tap
+    total += part * tap
+    return total
+
+
 class Span:
     """A tile along one axis at every level of a pass: sizes of the frame and ranges of the tile."""
 
@@ -79,18 +94,40 @@ def reduced(planes: np.ndarray, has: list[tuple[int, int]], wants: list[tuple[in
     """The next level over ``wants``, from ``planes`` over ``has`` of a frame with ``sizes``."""
     r = len(taps) // 2
     at = [mirrored(np.arange(2 * lo - r, 2 * (hi - 1) + r + 1), size) - h[0] for (lo, hi), h, size in zip(wants, has, sizes, strict=True)]
-    return convolved(planes[..., at[0][:, None], at[1]], taps)[..., ::2, ::2] / float(sum(taps) ** 2)
+    planes, (rows, columns) = taken(taken(planes, at[0], -2), at[1], -1), [hi - lo for lo, hi in wants]
+    for axis, n in ((-2, rows), (-1, columns)):  # every other row and column alone
+        total = None
+        for k, tap in enumerate(taps):
+            some = slice(k, k + 2 * n - 1, 2)
+            total = added(total, planes[..., some, :] if axis == -2 else planes[..., some], tap)
+        planes = total
+    return planes / float(sum(taps) ** 2)
 
 
 def expanded(planes: np.ndarray, has: list[tuple[int, int]], wants: list[tuple[int, int]], sizes: list[int], taps: Sequence[float]) -> np.ndarray:
-    """A level at twice its size over ``wants``: zeros between, on a grid of exactly twice ``sizes``, convolved, times 4."""
-    r, at, full = len(taps) // 2, [], []
-    for (lo, hi), h, size in zip(wants, has, sizes, strict=True):
-        place = mirrored(np.arange(lo - r, hi + r), 2 * size)
-        full.append(place % 2 == 0)
-        at.append(np.where(full[-1], place // 2 - h[0], 0))
-    spread = planes[..., at[0][:, None], at[1]] * (full[0][:, None] & full[1])
-    return convolved(spread, taps) * (4.0 / sum(taps) ** 2)
+    """A level at twice its size over ``wants``: zeros between, on a grid of exactly twice ``sizes``, convolved, times 4.
+
+    Mirroring keeps even places even, so places of one parity get every other tap of the same run of values, and the zeros
+    need not be laid out.
+    """
+    r = len(taps) // 2
+    for axis, (lo, hi), h, size in zip((-2, -1), wants, has, sizes, strict=True):
+        first = (lo - r) % 2  # of the places from lo - r on, the first even one
+        values = taken(planes, mirrored(np.arange(lo - r + first, hi + r, 2), 2 * size) // 2 - h[0], axis)
+        shape = list(values.shape)
+        shape[axis] = hi - lo
+        planes = np.zeros(shape)
+        for parity in (0, 1):
+            n, total = (hi - lo - parity + 1) // 2, None
+            for k in range((first + parity) % 2, len(taps), 2):
+                at = (parity + k - first) // 2
+                total = added(total, values[..., at : at + n, :] if axis == -2 else values[..., at : at + n], taps[k])
+            if n and total is not None:
+                if axis == -2:
+                    planes[..., parity::2, :] = total
+                else:
+                    planes[..., parity::2] = total
+    return planes * (4.0 / sum(taps) ** 2)
 
 
 def sizes(px: DataFrame, keys: Sequence[str] = ("stack_id",), **more: Column) -> DataFrame:
